@@ -78,7 +78,7 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     cols = docs.columns
     d = decisions.groupBy("row_key").agg(F.sum(F.col("kept").cast("int")).alias("__stay"), F.count("*").alias("__all"))
     d = d.where("__stay > 0").withColumnRenamed("row_key", "__row_key")
-    j = with_row_key(docs).join(d, "__row_key")
+    j = with_row_key(docs).join(by_merge(d), "__row_key")
     whole = j.where("__stay = __all").select(*cols)
     some = j.where("__stay < __all")
     if cols_key := [c for c in cols]:
@@ -86,6 +86,13 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     return whole.unionByName(some)
 
 
+def by_merge(df: DataFrame) -> DataFrame:
+    """Join with ``df`` by sorting both sides. Its size grows with the input, so it is
+    not left to its size at hand whether it is broadcast: plans, and what they
+    shuffle, stay alike at every scale."""
+    return df.hint("merge")
+
+
 def count_groups(n_rows: int, per_part: int, least: int = 1) -> int:
     """Partitions that keep each at about ``per_part`` rows."""
     return max(least, -(-n_rows // per_part))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_rows, materialize, release, with_row_key
+from .common import by_merge, keep_rows, materialize, with_row_key
 
 #: Bytes of each digit; what is left after them is the last digit.
 DIGITS = (32, 512, 8192, 131072, 2097152)
@@ -89,12 +89,12 @@ def radix_groups(digits: DataFrame) -> DataFrame:
     for r in range(len(DIGITS) + 1):
         open_groups = cur.groupBy("gid", "digit").agg(F.count("*").alias("n"), F.min("rep").alias("next")).where("n > 1")
         ended = F.length("digit") < DIGITS[r] if r < len(DIGITS) else F.lit(True)
-        hits = materialize(cur.join(open_groups, ["gid", "digit"]).select("rep", F.col("next").alias("gid"), ended.alias("ended")), f"radix{r}")
+        hits = materialize(cur.join(by_merge(open_groups), ["gid", "digit"]).select("rep", F.col("next").alias("gid"), ended.alias("ended")), f"radix{r}")
         done = done.unionByName(hits.where("ended").select("rep", "gid"))
         going = hits.where("not ended").select("rep", "gid")
         if going.isEmpty():
             break
-        cur = going.join(digits.select("rep", F.col(f"d{r + 1}").alias("digit")), "rep")
+        cur = digits.select("rep", F.col(f"d{r + 1}").alias("digit")).join(by_merge(going), "rep")
     return done
 
 
@@ -106,10 +106,10 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     scanned = materialize(keyed.select(F.col("doc_id").cast("long"), "row_key", F.col("text").cast("binary")).mapInArrow(_scan, _SCAN), "radix")
     reps = scanned.where("copies is not null")
     classes = radix_groups(reps)
-    of = reps.select("rep", "copies", "best").join(classes, "rep", "left").select("rep", F.coalesce("gid", "rep").alias("gid"), "copies", "best")
+    of = reps.select("rep", "copies", "best").join(by_merge(classes), "rep", "left").select("rep", F.coalesce("gid", "rep").alias("gid"), "copies", "best")
     size = of.groupBy("gid").agg(F.sum("copies").alias("group_size"), F.min("best").alias("best"))
-    of = of.select("rep", "gid").join(size, "gid").select("rep", "group_size", "best")
-    out = scanned.select("rid", "doc_id", "row_key", "rep", "text_sha256").join(of, "rep")
+    of = of.select("rep", "gid").join(by_merge(size), "gid").select("rep", "group_size", "best")
+    out = scanned.select("rid", "doc_id", "row_key", "rep", "text_sha256").join(by_merge(of), "rep")
     return out.select("doc_id", "row_key", F.when(~F.col("best.no_id"), F.col("best.doc_id")).alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256")
 
 
