@@ -5,18 +5,28 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_dedup
+from .known_licenses import EQUIVALENT, KNOWN
+from .licenses import COPYRIGHT_LINE, NOTICE, scan_licenses
+from .lm import score
 from .packing import pack
+from .pieces import round_trips
 from .quality import judge
 from .secrets import scan
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeats
+from .toxicity import classify
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(read_table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -38,12 +48,30 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_clean")
 
 
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(read_table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    out = classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"), chain)
+    return out.withColumn("toxic", F.col("p_toxic") >= 0.5)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_secret_scans, op6_quality_rules, op8_exact_dedup)}
+    dealt = (
+        op1_sentencepiece, op2_simhash_near_dedup, op3_best_fit_packing, op4_suffix_array_dedup, op5_secret_scans,
+        op6_quality_rules, op7_license_scans, op8_exact_dedup, op9_lm_scoring, op10_toxicity,
+    )
+    return {f.__name__: f for f in dealt}
 
 
 OP8_SQL = r"""
@@ -55,5 +83,25 @@ FROM d
 """
 
 
+def _canonical_sql(text: str) -> str:
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for spelling, usual in EQUIVALENT:
+        out = f"replace({out}, ' {spelling} ', ' {usual} ')"
+    return f"sha256(trim({out}))"
+
+
+def _op7_sql() -> str:
+    known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    return f"""
+WITH known AS (SELECT DISTINCT license, {_canonical_sql("text")} AS digest FROM (VALUES {known}) AS k(license, text)),
+d AS (SELECT doc_id, coalesce(text, '') AS text, {_canonical_sql("coalesce(text, '')")} AS text_digest FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(lower(text), '{NOTICE}')),
+f AS (SELECT l.doc_id, k.license FROM (SELECT doc_id, {_canonical_sql("line")} AS digest FROM l WHERE contains(lower(line), '{NOTICE}')) l JOIN known k USING (digest)),
+n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM f GROUP BY doc_id)
+SELECT d.doc_id, d.text_digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
+FROM d LEFT JOIN known k ON d.text_digest = k.digest LEFT JOIN n ON d.doc_id = n.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op7_license_scans": _op7_sql(), "op8_exact_dedup": OP8_SQL}
