@@ -1,3 +1,212 @@
-"""x"""
+"""Queries over containers that the engine writes and reads back.
+
+Their inputs are files made from rows: planes of the embedding images, coded losslessly,
+muxed, then read by both parsers. What SQL can say about such files it says.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import iso as I
+from ..operators import derive as D
+from ..operators import frames as P
+from ..operators.codec import DeflateCodec, encode_within
+from ..operators.mux import MuxRequest, mux
+from ..sources import boxes as B
+from ..sources import images as S
+from ..sources.files import parsed, table
+from . import checker
+from . import checks as K
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def packed_images(spark: SparkSession, d: str, subsample: int = 2) -> DataFrame:
+    """image_id, base (RGB bytes), gain (bytes), payload: one row an image, its planes
+    packed in reading order, its metadata serialised in SQL."""
+    px = D.with_gain(D.with_base(D.with_white(P.embedding_images(spark, d)), F.col("white")))
+    ranges = D.gain_range(px)
+    place = F.struct("y", "x", "br", "bg", "bb")
+    base = px.groupBy("image_id").agg(F.array_sort(F.collect_list(place)).alias("p")).select("image_id", F.flatten(F.transform("p", lambda s: F.array(s["br"], s["bg"], s["bb"]))).alias("base"))
+    gain = D.gain_plane(px, ranges, subsample).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("gy", "gx", "code"))).alias("p")).select("image_id", F.transform("p", lambda s: s["code"]).alias("gain"))
+    m = D.consistent_meta(ranges)
+    channel = {"min_log2": F.col("min_log2"), "max_log2": F.col("max_log2"), "gamma": F.col("gamma"), "base_offset": F.col("base_offset"), "alt_offset": F.col("alt_offset")}
+    payload = F.unhex(F.concat(F.lit("00"), I.serialize([channel], F.col("base_headroom"), F.col("alt_headroom"), F.lit(False))))
+    return base.join(gain, "image_id").join(m.select("image_id", payload.alias("payload")), "image_id")
+
+
+def convert(packed: DataFrame, flavor: str = "both", quality: int = 100, side: int = P.SIDE, subsample: int = 2) -> DataFrame:
+    """path, content, error: each image's file. A failure is a row, not the job's end."""
+    small = -(-side // subsample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = DeflateCodec()
+        for b in batches:
+            out, errors = [], []
+            for base, gain, payload in zip(b["base"].to_pylist(), b["gain"].to_pylist(), b["payload"].to_pylist()):
+                try:
+                    request = MuxRequest(codec.encode(side, side, 3, bytes(base), quality), codec.encode(small, small, 1, bytes(gain), quality), flavor, payload, xmp=b'<x HDRGainMapHeadroom="1.0"/>' if flavor == "apple" else None)
+                    out.append(mux(request))
+                    errors.append(None)
+                except Exception as e:
+                    out.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            paths = pa.array([f"image{i}.heic" for i in b["image_id"].to_pylist()])
+            yield pa.RecordBatch.from_arrays([paths, pa.array(out, pa.binary()), pa.array(errors, pa.string())], ["path", "content", "error"])
+
+    return packed.mapInArrow(run, "path string, content binary, error string")
+
+
+def container_facts(files: DataFrame) -> DataFrame:
+    """One row of facts for each file, by the checker's own parser."""
+    schema = K.FACTS.split(",", 1)[1]
+    return parsed(files, lambda d: [checker.facts("", d)[1:]], schema)
+
+
+def _files(spark, d, flavor="both") -> DataFrame:
+    return convert(packed_images(spark, d), flavor)
+
+
+IMAGES = "SELECT DISTINCT vec_id // 3 AS image_id FROM embeddings"
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, k.type, k.n FROM ({IMAGES}), (VALUES ('ftyp', 1), ('meta', 1), ('mdat', 1), ('hdlr', 1), ('pitm', 1), ('iinf', 1), ('iref', 1), ('iprp', 1), ('ipco', 1), ('ipma', 1), ('iloc', 1), ('grpl', 1), ('altr', 1), ('hvcC', 2), ('ispe', 2), ('pixi', 2), ('colr', 1), ('auxC', 1)) k(type, n)")
+def heif_boxes(spark, d):
+    """How often each box stands in each file."""
+    return table(_files(spark, d), "boxes").groupBy("path", "type").agg(F.count("*").cast("int").alias("n"))
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, i.* FROM ({IMAGES}), (VALUES (1::BIGINT, 'hvc1', false, 8::BIGINT), (2, 'hvc1', true, 4), (3, 'tmap', false, 8)) i(item_id, item_type, hidden, width)")
+def heif_items(spark, d):
+    """Items with the width that their associated property states: positions are
+    1-based, and of several the last one counts."""
+    files = _files(spark, d)
+    props = table(files, "item_props").where("prop_type = 'ispe'").select("path", "prop_idx", "width")
+    own = table(files, "item_assoc").join(props, ["path", "prop_idx"]).groupBy("path", "item_id").agg(F.max_by("width", "ord").alias("width"))
+    return table(files, "items").join(own, ["path", "item_id"], "left").select("path", "item_id", "item_type", "hidden", "width")
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, c.criterion, c.status FROM ({IMAGES}), (VALUES (0, 'pass'), (1, 'pass'), (2, 'pass'), (3, 'pass'), (4, 'pass'), (5, 'pass'), (6, 'pass'), (7, 'pass'), (8, 'skip'), (9, 'skip'), (10, 'pass'), (17, 'pass')) c(criterion, status)")
+def container_checks(spark, d):
+    """All rules over files that the muxer wrote, read by the independent parser."""
+    return K.rule_statuses(container_facts(_files(spark, d))).select("path", "criterion", "status")
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, 0::BIGINT AS failed, false AS has_iso FROM ({IMAGES})")
+def container_checks_apple(spark, d):
+    """Files of one flavor: the other's rules are skipped."""
+    facts = container_facts(_files(spark, d, "apple"))
+    v = K.verdicts(K.rule_statuses(facts, "apple"))
+    return facts.select("path", F.col("tmap").isNotNull().alias("has_iso")).join(v, "path").select("path", "failed", "has_iso")
+
+
+@query("""WITH e AS (SELECT vec_id // 3 AS image_id, vec_id % 3 AS ch, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings) SELECT 'image' || image_id || '.heic' AS path, 192 AS n_base, 16 AS n_gain, true AS same FROM (SELECT DISTINCT image_id FROM e)""")
+def mux_roundtrip(spark, d):
+    """Planes coded, muxed, found again through the item tables and decoded are as before."""
+    packed = packed_images(spark, d)
+
+    def planes(data: bytes) -> list[tuple]:
+        import zlib
+
+        h = B.parse(data)
+        return [(list(zlib.decompress(B.item_bytes(data, h, 1))), list(zlib.decompress(B.item_bytes(data, h, 2))))]
+
+    read = parsed(convert(packed), planes, "base2 array<int>, gain2 array<int>")
+    was = packed.select(F.concat(F.lit("image"), F.col("image_id").cast("string"), F.lit(".heic")).alias("path"), "base", "gain")
+    return read.join(was, "path").select("path", F.size("base2").alias("n_base"), F.size("gain2").alias("n_gain"), ((F.col("base") == F.col("base2")) & (F.col("gain") == F.col("gain2"))).alias("same"))
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, NULL::VARCHAR AS error, false AS ok FROM ({IMAGES}) WHERE false UNION ALL SELECT 'image' || image_id || '.heic', 'ValueError', false FROM ({IMAGES})")
+def broken_files(spark, d):
+    """Files cut short are rows with an error."""
+    cut = _files(spark, d).select("path", F.substring("content", 1, 60).alias("content"))
+    t = table(cut, "items")
+    return t.select("path", F.substring_index("error", ":", 1).alias("error"), F.col("item_id").isNotNull().alias("ok"))
+
+
+def _tiffs(spark: SparkSession, d: str, bits: int) -> DataFrame:
+    packed = P.embedding_images(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    flat = packed.select("image_id", F.flatten(F.transform("p", lambda s: F.array(s["r"], s["g"], s["b"]))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [S.write_tiff(P.SIDE, P.SIDE, v if bits == 32 else [x / 8 for x in v], bits) for v in b["v"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.tif" for i in b["image_id"].to_pylist()]), pa.array(files, pa.binary())], ["path", "content"])
+
+    return flat.mapInArrow(run, "path string, content binary")
+
+
+@query("WITH i AS (SELECT DISTINCT vec_id // 3 AS id FROM embeddings) SELECT id || '.tif' AS path, t.* FROM i, (VALUES (256, 4, 1::BIGINT), (257, 4, 1), (258, 3, 3), (259, 3, 1), (262, 3, 1), (273, 4, 1), (277, 3, 1), (278, 4, 1), (279, 4, 1), (284, 3, 1), (339, 3, 3)) t(tag, typ, count)")
+def tiff_entries(spark, d):
+    return table(_tiffs(spark, d, 32), "tiff_entries").select("path", "tag", "typ", "count")
+
+
+@query("""WITH e AS (SELECT vec_id // 3 AS id, unnest(embedding) AS v FROM embeddings) SELECT id || '.tif' AS path, 64::BIGINT AS n, round(sum(abs(v::DOUBLE) * 8), 4) AS total FROM e GROUP BY id""")
+def tiff_linear_pixels(spark, d):
+    """Float pixels written and read back, summed."""
+    px = table(_tiffs(spark, d, 32), "tiff_pixels")
+    return px.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(F.col("r") + F.col("g") + F.col("b")), 4).alias("total"))
+
+
+@query()
+def tiff_pq_pixels(spark, d):
+    """16-bit pixels, read as PQ against a reference white of 203 nits."""
+    from ..functions.color import pq_to_nits
+
+    px = table(_tiffs(spark, d, 16), "tiff_pixels")
+    return px.select("path", "y", "x", *(F.round(pq_to_nits(F.col(c)) / 203, 6).alias(c) for c in "rgb"))
+
+
+def _jpegs(spark: SparkSession, d: str) -> DataFrame:
+    t = _tiffs(spark, d, 8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array([S.jpeg_with_exif(c) for c in b["content"].to_pylist()], pa.binary())], ["path", "content"])
+
+    return t.mapInArrow(run, "path string, content binary")
+
+
+@query("WITH i AS (SELECT DISTINCT vec_id // 3 AS id FROM embeddings) SELECT id || '.tif' AS path, 0 AS ord, 225 AS marker, 356::INTEGER AS size FROM i")
+def jpeg_segments(spark, d):
+    return table(_jpegs(spark, d), "jpeg_segments").select("path", "ord", "marker", F.length("body").alias("size"))
+
+
+@query("WITH i AS (SELECT DISTINCT vec_id // 3 AS id FROM embeddings) SELECT id || '.tif' AS path, false AS rebuilt, 0 AS tags FROM i")
+def exif_rebuild(spark, d):
+    """A source whose tags only describe its own pixels has nothing to carry over."""
+    return parsed(_tiffs(spark, d, 8), lambda c: [(S.rebuild_exif(c)[0] is not None, S.rebuild_exif(c)[1])], "rebuilt boolean, tags int").drop("error")
+
+
+@query()
+def budget_search(spark, d):
+    """The best quality whose measured file fits a size, image by image."""
+    packed = packed_images(spark, d)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = DeflateCodec()
+        for b in batches:
+            rows = []
+            for i, base, gain, payload in zip(*(b[c].to_pylist() for c in ("image_id", "base", "gain", "payload"))):
+                r = encode_within(lambda q: mux(MuxRequest(codec.encode(8, 8, 3, bytes(base), q), codec.encode(4, 4, 1, bytes(gain), q), "both", payload)), 100, 20, 850)
+                rows.append((i, len(r.data), r.quality, r.attempts, r.within))
+            cols = list(zip(*rows)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["image_id", "bytes", "quality", "attempts", "within"])
+
+    return packed.mapInArrow(run, "image_id long, bytes long, quality int, attempts int, within boolean")

@@ -351,26 +351,26 @@ def luma_histogram_percentiles(spark, d):
 _SAT = "(greatest(br, bg, bb) - least(br, bg, bb)) / greatest(br, bg, bb)::DOUBLE"
 
 
-@query(f"""WITH {PX}, {SDR} SELECT image_id, round(avg({_BY}), 8) AS mean, round(stddev_pop({_BY}), 5) AS rms, round(coalesce(avg(CASE WHEN greatest(br, bg, bb) > 0 THEN {_SAT} END), 0.0), 6) AS sat,
+@query(f"""WITH {PX}, {SDR} SELECT image_id, round(avg({_BY}), 10) AS mean, round(stddev_pop({_BY}), 5) AS rms, round(coalesce(avg(CASE WHEN greatest(br, bg, bb) > 0 THEN {_SAT} END), 0.0), 6) AS sat,
 round(coalesce(avg(CASE WHEN greatest(br, bg, bb) >= 32 THEN {_SAT} END), 0.0), 6) AS sat32, round(100.0 * sum((greatest(br, bg, bb) >= 255)::INTEGER) / count(*), 8) AS clip FROM sdr GROUP BY image_id""")
 def saturation_clip_stats(spark, d):
     px = D.with_base(D.with_white(_px(spark, d)), F.col("white"))
     y, hi = C.luma(F.col("br"), F.col("bg"), F.col("bb")), F.greatest("br", "bg", "bb")
     sat = C.saturation(*(F.col(c).cast("double") for c in ("br", "bg", "bb")))
     return px.groupBy("image_id").agg(
-        F.round(F.avg(y), 8).alias("mean"), F.round(F.stddev_pop(y), 5).alias("rms"), F.round(F.coalesce(F.avg(F.when(hi > 0, sat)), F.lit(0.0)), 6).alias("sat"),
+        F.round(F.avg(y), 10).alias("mean"), F.round(F.stddev_pop(y), 5).alias("rms"), F.round(F.coalesce(F.avg(F.when(hi > 0, sat)), F.lit(0.0)), 6).alias("sat"),
         F.round(F.coalesce(F.avg(F.when(hi >= 32, sat)), F.lit(0.0)), 6).alias("sat32"), F.round(100.0 * F.count_if(hi >= 255) / F.count("*"), 8).alias("clip"),
     )
 
 
 @query(f"""WITH {PX}, {SDR}, c AS (SELECT image_id, y, x, CASE WHEN l > 1e-6 THEN least(l, 1.0) / l ELSE 1.0 END AS k FROM sdr),
-t AS (SELECT sdr.image_id, abs({_BY} - (0.2126 * {_code('r * k')} + 0.7152 * {_code('g * k')} + 0.0722 * {_code('b * k')})) AS diff FROM sdr JOIN c USING (image_id, y, x)) SELECT image_id, round(avg(diff), 8) AS dmean, round(max(diff)::DOUBLE, 8) AS dmax FROM t GROUP BY image_id""")
+t AS (SELECT sdr.image_id, abs({_BY} - (0.2126 * {_code('r * k')} + 0.7152 * {_code('g * k')} + 0.0722 * {_code('b * k')})) AS diff FROM sdr JOIN c USING (image_id, y, x)) SELECT image_id, round(avg(diff), 10) AS dmean, round(max(diff)::DOUBLE, 8) AS dmax FROM t GROUP BY image_id""")
 def image_diff(spark, d):
     px = _px(spark, d)
     one = D.with_base(D.with_white(px), F.col("white")).select("image_id", "y", "x", "br", "bg", "bb")
     two = D.with_base(px, None).select("image_id", "y", "x", "br", "bg", "bb")
     diff = F.abs(C.luma(F.col("br"), F.col("bg"), F.col("bb")) - C.luma(F.col("br2"), F.col("bg2"), F.col("bb2")))
-    return P.aligned(one, two).groupBy("image_id").agg(F.round(F.avg(diff), 8).alias("dmean"), F.round(F.max(diff), 8).alias("dmax"))
+    return P.aligned(one, two).groupBy("image_id").agg(F.round(F.avg(diff), 10).alias("dmean"), F.round(F.max(diff), 8).alias("dmax"))
 
 
 @query(f"WITH {PX} SELECT image_id, y, x, ((floor(least(r / 8, 1.0) * 65535)::BIGINT * 255 + 32767) // 65535)::INTEGER AS code FROM px")
