@@ -67,6 +67,14 @@ def with_row_key(docs: DataFrame, name: str = "__row_key") -> DataFrame:
     return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, longer if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) key has a kept row in ``decisions``.
 
@@ -75,14 +83,12 @@ def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     such rows are interchangeable, which of them stays is not defined. Columns and
     their order are those of ``docs``.
     """
-    cols = docs.columns
-    d = decisions.groupBy("row_key").agg(F.sum(F.col("kept").cast("int")).alias("__stay"), F.count("*").alias("__all"))
-    d = d.where("__stay > 0").withColumnRenamed("row_key", "__row_key")
-    j = with_row_key(docs).join(by_merge(d), "__row_key")
-    whole = j.where("__stay = __all").select(*cols)
-    some = j.where("__stay < __all")
-    if cols_key := [c for c in cols]:
-        some = some.dropDuplicates(["__row_key"]).withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__stay")))).select(*cols_key)
+    key, stay, rows = (fresh(docs, x) for x in ("__row_key", "__stay", "__rows"))
+    d = decisions.groupBy(F.col("row_key").alias(key)).agg(F.sum(F.col("kept").cast("int")).alias(stay), F.count("*").alias(rows)).where(F.col(stay) > 0)
+    j = with_row_key(docs, key).join(by_merge(d), key)
+    whole = j.where(F.col(stay) == F.col(rows)).select(*docs.columns)
+    some = j.where(F.col(stay) < F.col(rows)).dropDuplicates([key])
+    some = some.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(stay))).alias(fresh(docs, "__i"))).select(*docs.columns)
     return whole.unionByName(some)
 
 

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh
 from .native import let, running_sum
 from .trigrams import query_of, trigrams_of
 
@@ -58,7 +59,7 @@ def postings(text: Column) -> list[Column]:
         out = bits[0]
         for b in bits[1:]:
             out = out.bitwiseOR(b)
-        words.append(out.alias(f"__postings{w}"))
+        words.append(out)
     return words
 
 
@@ -108,20 +109,21 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``__spans``: all matches by start, then by the order of RULES."""
+def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
+    """``docs`` with column ``name``: all matches by start, then by the order of RULES."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    indexed = docs.select("*", *postings(text))
-    word = [F.col(f"__postings{w}") for w in range(POSTINGS)]
+    names = [fresh(docs, f"__postings{w}") for w in range(POSTINGS)]
+    indexed = docs.select("*", *(p.alias(n) for p, n in zip(postings(text), names)))
+    word = [F.col(n) for n in names]
     none = F.array().cast(_SPAN)
     found = [F.when(satisfies(QUERIES[kind], word) & F.rlike(text, F.lit(pattern)), _spans(text, i)).otherwise(none) for i, (kind, pattern, _) in enumerate(RULES)]
-    return indexed.withColumn("__spans", F.array_sort(F.concat(*found))).drop(*(f"__postings{w}" for w in range(POSTINGS)))
+    return indexed.withColumn(name, F.array_sort(F.concat(*found))).drop(*names)
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_assign, n_access, n_hex,
     base_sha256, spans (text) and found (the spans as structs)."""
-    out = with_spans(docs.select("doc_id", "text")).select("doc_id", F.col("__spans").alias("found"))
+    out = with_spans(docs.select("doc_id", "text"), "found").select("doc_id", "found")
     base = F.filter("found", lambda s: s["kind_at"] < BASE)
     kinds = F.transform("found", lambda s: s["kind_at"])
     counts = [(F.size(kinds) - F.size(F.array_remove(kinds, i))).cast("long").alias(f"n_{RULES[i][0]}") for i in range(BASE)]
@@ -141,9 +143,10 @@ def redact(docs: DataFrame) -> DataFrame:
         last = F.array_max(F.transform(spans, lambda s: s["end"]))
         return F.concat(F.array_join(kept, ""), F.substring(text, (last + 1).cast("int"), F.length(text)))
 
-    found = with_spans(docs)
-    new = F.when(F.size("__spans") == 0, F.col("text")).otherwise(let(F.col("__spans"), cleaned))
-    out = found.withColumn("text", new)
+    name = fresh(docs, "__spans")
+    found = with_spans(docs, name)
+    clean = F.size(name) == 0
+    out = found.withColumn("text", F.when(clean, F.col("text")).otherwise(let(F.col(name), cleaned)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__spans") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(clean, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

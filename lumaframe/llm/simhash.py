@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, count_groups, keep_rows, materialize, release, with_row_key
+from .common import by_merge, connected_components, count_groups, fresh, materialize, with_row_key
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -232,5 +232,6 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     near = near.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     near = near.withColumn("cls", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")))
     stay = near.groupBy("cls").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
-    keyed = with_row_key(docs)
-    return keyed.join(stay.withColumnRenamed("row_key", "__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).select(*docs.columns)
+    key = fresh(docs, "__row_key")
+    keyed = with_row_key(docs, key)
+    return keyed.join(by_merge(stay.withColumnRenamed("row_key", key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
