@@ -19,7 +19,7 @@ from ..operators.codec import DeflateCodec, encode_within
 from ..operators.mux import MuxRequest, mux
 from ..sources import boxes as B
 from ..sources import images as S
-from ..sources.files import parsed, table
+from ..sources.files import parsed, resolved_items, structure, table
 from . import checker
 from . import checks as K
 
@@ -94,12 +94,8 @@ def heif_boxes(spark, d):
 
 @query(f"SELECT 'image' || image_id || '.heic' AS path, i.* FROM ({IMAGES}), (VALUES (1::BIGINT, 'hvc1', false, 8::BIGINT), (2, 'hvc1', true, 4), (3, 'tmap', false, 8)) i(item_id, item_type, hidden, width)")
 def heif_items(spark, d):
-    """Items with the width that their associated property states: positions are
-    1-based, and of several the last one counts."""
-    files = _files(spark, d)
-    props = table(files, "item_props").where("prop_type = 'ispe'").select("path", "prop_idx", "width")
-    own = table(files, "item_assoc").join(props, ["path", "prop_idx"]).groupBy("path", "item_id").agg(F.max_by("width", "ord").alias("width"))
-    return table(files, "items").join(own, ["path", "item_id"], "left").select("path", "item_id", "item_type", "hidden", "width")
+    """Items with the width that their associated property states."""
+    return resolved_items(structure(_files(spark, d))).select("path", "item_id", "item_type", "hidden", "width")
 
 
 @query(f"SELECT 'image' || image_id || '.heic' AS path, c.criterion, c.status FROM ({IMAGES}), (VALUES (0, 'pass'), (1, 'pass'), (2, 'pass'), (3, 'pass'), (4, 'pass'), (5, 'pass'), (6, 'pass'), (7, 'pass'), (8, 'skip'), (9, 'skip'), (10, 'pass'), (17, 'pass')) c(criterion, status)")

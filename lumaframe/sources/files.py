@@ -89,6 +89,41 @@ def table(files: DataFrame, name: str) -> DataFrame:
     return parsed(files, *TABLES[name])
 
 
+_STRUCTURE = ("items", "refs", "props", "assoc", "locs", "groups")
+
+
+def structure(files: DataFrame) -> DataFrame:
+    """One row per file: path, each of its tables as an array of structs, and error.
+
+    Parsed once; what refers to what within a file is then resolved in its row, without
+    joins: ``refs``, ``props`` and so on are a file's own and small.
+    """
+    names = {"refs": "item_refs", "props": "item_props", "assoc": "item_assoc", "locs": "item_locs"}
+    schema = ", ".join(f"{n} array<struct<" + ", ".join(f"{c.split()[0]}:{c.split()[1]}" for c in TABLES[names.get(n, n)][1].split(", ")) + ">>" for n in _STRUCTURE)
+
+    def whole(d: bytes) -> list[tuple]:
+        h = boxes.parse(d)
+        cols = [[c.split()[0] for c in TABLES[names.get(n, n)][1].split(", ")] for n in _STRUCTURE]
+        return [tuple([dict(zip(c, r)) for r in getattr(h, n)] for n, c in zip(_STRUCTURE, cols))]
+
+    return parsed(files, whole, schema)
+
+
+def resolved_items(structures: DataFrame) -> DataFrame:
+    """path, item_id, item_type, name, hidden, width, height, describes: each item with the
+    size its associated property states (1-based places; of several the last counts) and
+    what it describes."""
+
+    def of(item):
+        own = F.filter("assoc", lambda a: a["item_id"] == item["item_id"])
+        sizes = F.filter(F.transform(own, lambda a: F.get("props", a["prop_idx"] - 1)), lambda p: p["prop_type"] == "ispe")
+        last = F.get(sizes, F.size(sizes) - 1)
+        about = F.transform(F.filter("refs", lambda r: (r["from_id"] == item["item_id"]) & (r["ref_type"] == "cdsc")), lambda r: r["to_id"])
+        return F.struct(item["item_id"].alias("item_id"), item["item_type"].alias("item_type"), item["name"].alias("name"), item["hidden"].alias("hidden"), last["width"].alias("width"), last["height"].alias("height"), about.alias("describes"))
+
+    return structures.select("path", F.explode(F.transform("items", of)).alias("i")).select("path", "i.*")
+
+
 def register(spark: SparkSession) -> None:
     """Every table as a function of SQL: ``SELECT t.* FROM files, LATERAL boxes(content) t``."""
     from pyspark.sql.functions import udtf
