@@ -68,6 +68,25 @@ def _iso(payload: bytes) -> dict | None:
         return None
 
 
+def _headroom_tags(exif: bytes) -> tuple[float | None, float | None]:
+    """Tags 33 and 48 of the maker's note, found by its signature: places in it count from
+    where it starts. A missing tag 48 beside a tag 33 is zero."""
+    at = exif.find(b"Apple iOS\0")
+    if at < 0:
+        return None, None
+    note, out = exif[at:], {}
+    code = "<" if note[12:14] == b"II" else ">"
+    try:
+        for i in range(struct.unpack_from(code + "H", note, 14)[0]):
+            tag, kind, n, place = struct.unpack_from(code + "HHII", note, 16 + 12 * i)
+            if tag in (33, 48) and kind in (5, 10) and n == 1:
+                a, b = struct.unpack_from(code + "ii", note, place)
+                out[tag] = a / b if b else None
+    except struct.error:
+        pass
+    return out.get(33), out.get(48)
+
+
 def facts(path: str, data: bytes) -> tuple:
     """One row of ``checks.FACTS``; raises ValueError for what is no HEIF file."""
     root = _Box(memoryview(data), b"", 0, len(data))
@@ -162,10 +181,12 @@ def facts(path: str, data: bytes) -> tuple:
         if m == b"application/rdf+xml" and (text := content(item)):
             _, found, rest = text.partition(b'HDRGainMapHeadroom="')
             xmp = float(rest.split(b'"')[0]) if found else xmp
+    exif = next((content(i) for i, k in kinds.items() if k == "Exif"), None)
+    tag33, tag48 = _headroom_tags(exif or b"")
     altr = [set(g.u(f"{min(g.u('I', 8)[0], (g.stop - g.start - 12) // 4)}I", 12)) for g in (parts[b"grpl"].children() if b"grpl" in parts else ()) if g.kind == b"altr"]
     iso = iso or {}
     return (
         path, primary, kinds.get(primary), hidden.get(primary, False), gain, list(pixi.bytes(5)[: pixi.bytes(4)[0]]) if pixi else None, apple, list(to[apple, b"auxl"]) if apple else [], tmap, list(inputs),
         b"tmap" in brands, None if payload is None else len(payload), want, bool(iso), iso.get("min"), iso.get("max"), iso.get("gamma"), iso.get("base"), iso.get("alt"),
-        xmp, None, None, any({tmap, primary} <= g for g in altr),
+        xmp, tag33, tag48, any({tmap, primary} <= g for g in altr),
     )

@@ -206,3 +206,84 @@ def budget_search(spark, d):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], ["image_id", "bytes", "quality", "attempts", "within"])
 
     return packed.mapInArrow(run, "image_id long, bytes long, quality int, attempts int, within boolean")
+
+
+@query("""WITH e AS (SELECT vec_id // 3 AS id, vec_id % 3 AS ch, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+p AS (SELECT id, ch, i, floor(least(abs(v::DOUBLE) * 8, 1.0) * 65535) / 65535 AS c, floor(least(abs(v::DOUBLE) * 2, 1.0) * 65535) / 65535 AS t FROM e),
+r AS (SELECT id, greatest(((CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END) + 0.015625) * pow(2.0, -0.5 + t * 2.5) - 0.015625, 0.0) AS lin FROM p)
+SELECT id || '.tif' AS path, round(sum(lin), 4) AS total, round(max(lin), 5) AS peak FROM r GROUP BY id""")
+def gain_map_tiff_reconstruct(spark, d):
+    """Files of a 16-bit base and a 16-bit gain map, read and reconstructed per channel.
+    The metadata come from the file, in SQL."""
+    from ..functions.color import srgb_to_linear
+    from ..functions.gain import decode
+    from ..sources.gainmap_tiff import write_gain_map
+
+    px = P.embedding_images(spark, d).groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    flat = F.flatten(F.transform("p", lambda s: F.array(s["r"], s["g"], s["b"])))
+    base = F.transform(flat, lambda v: F.floor(F.least(v, F.lit(1.0)) * 65535))
+    gain = F.transform(flat, lambda v: F.floor(F.least(v / 4, F.lit(1.0)) * 65535))
+    one = {"min_log2": F.lit(-0.5), "max_log2": F.lit(2.0), "gamma": F.lit(1.0), "base_offset": F.lit(1 / 64), "alt_offset": F.lit(1 / 64)}
+    meta = F.unhex(I.serialize([one], F.lit(0.0), F.lit(2.0), F.lit(False)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            files = [write_gain_map(P.SIDE, P.SIDE, x, y, m) for x, y, m in zip(*(b[c].to_pylist() for c in ("base", "gain", "meta")))]
+            yield pa.RecordBatch.from_arrays([pa.array([f"{i}.tif" for i in b["image_id"].to_pylist()]), pa.array(files, pa.binary())], ["path", "content"])
+
+    files = px.select("image_id", base.alias("base"), gain.alias("gain"), meta.alias("meta")).mapInArrow(run, "path string, content binary")
+    t = table(files, "gain_map_pixels")
+    m = I.parse(F.col("meta"))
+    lin = [F.greatest((srgb_to_linear(F.col(f"b{c}") / 65535.0) + m["base_offset"]) * F.pow(F.lit(2.0), decode(F.col(f"g{c}") / 65535.0, m["min_log2"], m["max_log2"], m["gamma"])) - m["alt_offset"], F.lit(0.0)) for c in "rgb"]
+    return t.groupBy("path").agg(F.round(F.sum(lin[0] + lin[1] + lin[2]), 4).alias("total"), F.round(F.max(F.greatest(*lin)), 5).alias("peak"), F.count("*").alias("n")).where("n = 64").drop("n")
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 4 THEN 'absent' WHEN 1 + n_nationkey / 2.0 <= 8.0 THEN 'rewritten' ELSE 'removed' END AS outcome FROM nation""")
+def align_headroom(spark, d):
+    """Maker's notes made to state a headroom: beyond 8x the tags cannot, and go."""
+    from ..sources.camera import align, make_note
+
+    t = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b["id"].to_pylist()
+            notes = [make_note({33: (1, 2), 48: (1, 1000000)} if i % 5 != 4 else {33: (1, 1)}) for i in ids]
+            yield pa.RecordBatch.from_arrays([b["id"], pa.array([align(n, 1 + i / 2)[1] for n, i in zip(notes, ids)])], ["id", "outcome"])
+
+    return t.mapInArrow(run, "id long, outcome string")
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'not-offered' WHEN n_nationkey % 4 = 1 THEN 'source-has-own' WHEN n_nationkey % 3 = 2 THEN 'byte-order-differs' WHEN n_nationkey % 5 = 3 THEN 'no-exif-ifd' WHEN n_nationkey * 100000 > 1048576 + 500 THEN 'unreachable-offset' ELSE 'carried' END AS outcome FROM nation""")
+def maker_note_graft(spark, d):
+    """What becomes of a companion's note beside a block: a left join and one expression."""
+    k = F.col("id")
+    blocks = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 4 == 1).alias("has_own"), (F.col("n_nationkey") % 5 != 3).alias("has_exif"), F.lit(True).alias("little"), F.lit(500).alias("ends"))
+    notes = spark.range(25).where("id % 6 <> 0").select("id", (k % 3 != 2).alias("note_little"), (k * 100000).alias("offset"))
+    outcome = F.when(F.col("offset").isNull(), "not-offered").when(F.col("has_own"), "source-has-own").when(F.col("little") != F.col("note_little"), "byte-order-differs")
+    outcome = outcome.when(~F.col("has_exif"), "no-exif-ifd").when(F.col("offset") > F.col("ends") + (1 << 20), "unreachable-offset").otherwise("carried")
+    return blocks.join(notes, "id", "left").select("id", outcome.alias("outcome"))
+
+
+@query("""SELECT to_json({'id': s_suppkey, 'name': s_name, 'ok': s_suppkey % 3 = 0}) AS report FROM supplier""")
+def json_report(spark, d):
+    t = spark.read.parquet(f"{d}/supplier.parquet")
+    return t.select(F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3 == 0).alias("ok"))).alias("report"))
+
+
+@query("""SELECT conv_id, turn, regexp_extract(text, '^\\s*([a-z]+):', 1) AS said FROM conversations WHERE regexp_matches(text, '^\\s*[a-z]+:') OR turn = 0""")
+def advisory_lines(spark, d):
+    """Lines that start with a program's name; others only as first turns."""
+    t = spark.read.parquet(f"{d}/conversations.parquet")
+    anchored = F.rlike("text", F.lit(r"^\s*[a-z]+:"))
+    return t.where(anchored | (F.col("turn") == 0)).select("conv_id", "turn", F.regexp_extract("text", r"^\s*([a-z]+):", 1).alias("said"))
+
+
+@query(f"SELECT 'image' || image_id || '.heic' AS path, 8::BIGINT AS width, 8::BIGINT AS height, 4::BIGINT AS gain_width, true AS apple_aux, true AS iso_aux FROM ({IMAGES})")
+def inspect(spark, d):
+    """What a file holds, one row each, from its own structure."""
+    s = structure(_files(spark, d))
+    items = resolved_items(s)
+    gain = F.max(F.when(F.col("hidden"), F.col("width"))).alias("gain_width")
+    own = items.groupBy("path").agg(F.max(F.when(F.col("item_id") == 1, F.col("width"))).alias("width"), F.max(F.when(F.col("item_id") == 1, F.col("height"))).alias("height"), gain, F.max(F.col("item_type") == "tmap").alias("iso_aux"))
+    return own.join(s.select("path", F.exists("props", lambda p: p["prop_type"] == "auxC").alias("apple_aux")), "path")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from . import boxes, images
+from . import boxes, gainmap_tiff, images
 
 #: Extensions read from folders; files named outright need none of them.
 EXTENSIONS = ("tif", "tiff", "png", "jpg", "jpeg", "heic", "heif", "dng", "arw", "cr2", "cr3", "nef", "raf")
@@ -81,6 +81,7 @@ TABLES: dict[str, tuple[Callable[[bytes], Iterable[tuple]], str]] = {
     "tiff_entries": (images.tiff_entries, "ifd string, tag int, typ int, count long, value binary"),
     "tiff_pixels": (images.tiff_pixels, "y int, x int, r double, g double, b double"),
     "jpeg_segments": (images.jpeg_segments, "ord int, marker int, body binary"),
+    "gain_map_pixels": (gainmap_tiff.gain_map, "y int, x int, br int, bg int, bb int, gr int, gg int, gb int, meta string"),
     "icc_tags": (images.icc_tags, "signature string, payload binary"),
 }
 
