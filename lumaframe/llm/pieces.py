@@ -15,8 +15,8 @@ and U+2581 itself, become the byte pieces of their UTF-8 form, so that decoding,
 puts the bytes of the pieces together again, gives every text back as it was.
 
 Scale: row by row, no shuffle. No piece goes on past a space into the next word or
-across a line end, so the lattice falls apart into words; each distinct word of a batch is
-filtered once and all its occurrences are sampled together in arrays. Memory is bounded
+across a line end, so the lattice falls apart into words; the distinct words of a batch are
+filtered together, once, and all their occurrences are sampled together, in arrays. Memory is bounded
 by ``MOST_EDGES``; words over ``LONG_WORD`` characters are sampled one by one in linear time.
 
 Defined results: null text gives null pieces and decodes to null; empty text gives no
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import bisect
 import functools
+import itertools
 import re
 import zlib
 from collections.abc import Iterator
@@ -40,8 +41,8 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 ALPHA = 1.0
 #: Edges of word lattices kept at a time.
-MOST_EDGES = 1_500_000
-LONG_WORD = 64
+MOST_EDGES = 6_000_000
+LONG_WORD = 40
 SPACE_MARK = "▁"
 _ESCAPE = 1 << 20  # an edge's piece number from here on stands for a character's bytes
 _WORD = re.compile(r"\n| *[^ \n]+| +")
@@ -88,27 +89,28 @@ class Vocabulary:
         self.longest = max(map(len, self.weight))
         self.escape = (1e-6) ** alpha
 
+    @functools.cache
+    def prefixes(self) -> "Prefixes":
+        return Prefixes(self)
+
     def edges(self, word: str) -> list[tuple[list[int], list[int], list[float]]]:
         """Forward filtering: for each place from 1 on the (length, piece, probability
-        summed up) of the pieces that end there."""
+        summed up) of the pieces that end there, the most likely first."""
         weight, longest = self.weight, self.longest
         before, out = [1.0], []
         for end in range(1, len(word) + 1):
-            lengths, ids, sums, total = [], [], [], 0.0
+            found = []
             for size in range(1, min(end, longest) + 1):
                 w = weight.get(word[end - size : end])
                 if w is not None and before[end - size] > 0:
-                    total += before[end - size] * w[1]
-                    lengths.append(size)
-                    ids.append(w[0])
-                    sums.append(total)
+                    found.append((before[end - size] * w[1], size, w[0]))
             c = word[end - 1]
             if c not in weight or c == SPACE_MARK:
-                total += before[end - 1] * self.escape
-                lengths.append(1)
-                ids.append(_ESCAPE + ord(c))
-                sums.append(total)
-            out.append((lengths, ids, [s / total for s in sums]))
+                found.append((before[end - 1] * self.escape, 1, _ESCAPE + ord(c)))
+            found.sort(key=lambda x: (-x[0], x[1]))
+            total = sum(x[0] for x in found)
+            sums = list(itertools.accumulate(x[0] / total for x in found))
+            out.append(([x[1] for x in found], [x[2] for x in found], sums))
             before.append(total)
             if total < 1e-150:  # only the last places count, and only against each other
                 for i in range(max(0, end - longest), end + 1):
@@ -116,80 +118,171 @@ class Vocabulary:
         return out
 
 
+class Prefixes:
+    """The beginnings of all pieces, by length, as sorted hashes of their characters."""
+
+    def __init__(self, v: Vocabulary) -> None:
+        known: list[dict[int, tuple[int, float]]] = [{} for _ in range(v.longest)]
+        for piece, (i, w) in v.weight.items():
+            h = 0
+            for n, c in enumerate(piece):
+                h = self.step(h, ord(c))
+                if n == len(piece) - 1:
+                    known[n][h] = (i, w)
+                else:
+                    known[n].setdefault(h, (-1, 0.0))
+        self.tables = []
+        for table in known:
+            keys = sorted(table)
+            self.tables.append((np.array(keys, dtype=_U), np.array([table[k][0] for k in keys], dtype=np.int64), np.array([table[k][1] for k in keys])))
+
+    @staticmethod
+    def step(h, code):
+        if isinstance(h, int):
+            return (h * 0x9E3779B97F4A7C15 + code + 1) & (1 << 64) - 1
+        return h * _U(0x9E3779B97F4A7C15) + code + _U(1)
+
+
 class Sampler:
-    """Samples of the words of many texts together."""
+    """Samples of the words of many texts together.
+
+    The lattices of all words not seen before are built at once: pieces are found at
+    every place by extending beginnings, one character for all places at a time, and
+    forward filtering goes from place to place of all words together.
+    """
 
     def __init__(self, vocabulary: Vocabulary) -> None:
         self.v = vocabulary
+        self.prefixes = vocabulary.prefixes()
         self._clear()
 
     def _clear(self) -> None:
-        self.at: dict[str, int] = {}  # word -> state before its first place
+        self.at: dict[str, int] = {}  # word -> state before its first place; -1 for long words
         self.states = 0
-        self.keys: list[float] = []  # state + probability summed up: ascending over all
-        self.length: list[int] = []
-        self.piece: list[int] = []
-        self.frozen = None
-
-    def _add(self, word: str) -> int:
-        base = self.at[word] = self.states
-        for i, (lengths, ids, sums) in enumerate(self.v.edges(word)):
-            sums[-1] = 1.0
-            self.keys += [base + 1 + i + s for s in sums]
-            self.length += lengths
-            self.piece += ids
-        self.states = base + len(word) + 1
-        self.frozen = None
-        return base
+        self.first = np.zeros(0, dtype=np.int32)  # of each state's edges
+        self.keys = np.zeros(0)  # probability summed up over a state's edges
+        self.length = np.zeros(0, dtype=np.int8)
+        self.piece = np.zeros(0, dtype=np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        """Add the edges of words of LONG_WORD characters at most."""
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U)
+        # a word of n characters has n + 1 states; place p of the text is state p + (words before it)
+        first = np.cumsum(sizes) - sizes
+        word = np.repeat(np.arange(len(words)), sizes)
+        offset = np.arange(len(code)) - first[word]
+        room = sizes[word] - offset
+        live, h = np.arange(len(code)), np.zeros(len(code), dtype=_U)
+        begin, size, ids, weight = [], [], [], []
+        for n, (keys, piece, w) in enumerate(self.prefixes.tables, 1):
+            h = Prefixes.step(h, code[live + n - 1])
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            hit = keys[at] == h
+            if n == 1:  # characters without a piece, and the mark itself, are spelled in bytes
+                bare = ~hit | (piece[at] < 0) | (code == ord(SPACE_MARK))
+                begin.append(live[bare])
+                size.append(np.ones(int(bare.sum()), dtype=np.int64))
+                ids.append(_ESCAPE + code[bare].astype(np.int64))
+                weight.append(np.full(int(bare.sum()), self.v.escape))
+                whole = hit & (piece[at] >= 0) & ~bare
+            else:
+                whole = hit & (piece[at] >= 0)
+            begin.append(live[whole])
+            size.append(np.full(int(whole.sum()), n))
+            ids.append(piece[at[whole]])
+            weight.append(w[at[whole]])
+            more = hit & (room[live] > n)
+            live, h = live[more], h[more]
+            if not len(live):
+                break
+        begin, size, ids, weight = (np.concatenate(x) for x in (begin, size, ids, weight))
+        state = begin + word[begin]  # before the piece, counted from this lot's first state
+        end = state + size
+        step = offset[begin] + size  # the place in its word where it ends
+        by_step = np.argsort(step.astype(np.uint8), kind="stable")
+        bounds = np.searchsorted(step[by_step], np.arange(1, int(sizes.max(initial=0)) + 2))
+        before = np.zeros(len(code) + len(words))
+        before[first + np.arange(len(words))] = 1.0
+        share = np.zeros(len(ids))
+        for lo, hi in zip(bounds, bounds[1:]):
+            e = by_step[lo:hi]
+            share[e] = before[state[e]] * weight[e]
+            np.add.at(before, end[e], share[e])
+        share /= before[end]
+        order = np.argsort(end - share, kind="stable")  # by state, and the most likely first
+        end, size, ids, share = (x[order] for x in (end, size, ids, share))
+        summed = np.cumsum(share)
+        group = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
+        last = np.append(group[1:], len(end)) - 1
+        summed -= np.repeat(summed[group] - share[group], last - group + 1)
+        summed[last] = 1.0
+        base = self.states + first + np.arange(len(words))
+        edge = np.zeros(len(before), dtype=np.int32)
+        edge[end[group]] = group + len(self.keys)
+        self.first = np.concatenate([self.first, edge])
+        self.keys = np.concatenate([self.keys, summed])
+        self.length = np.concatenate([self.length, size.astype(np.int8)])
+        self.piece = np.concatenate([self.piece, ids.astype(np.int32)])
+        self.at.update(zip(words, base.tolist()))
+        self.states += len(before)
 
     def sample(self, texts: list[str], seeds: list[int]) -> list[np.ndarray]:
         if len(self.keys) > MOST_EDGES:
             self._clear()
-        starts, ends, owner, place = [], [], [], []  # of each word: states, text, place of its end
-        long_words = []
-        for t, text in enumerate(texts):
-            at = 0
-            for word in _WORD.findall(text):
-                n = len(word)
-                at += n
-                if n > LONG_WORD:
-                    long_words.append((len(starts), t, word, at))
-                    base = last = 0
-                else:
-                    base = self.at.get(word)
-                    if base is None:
-                        base = self._add(word)
-                    last = base + n
-                starts.append(base)
-                ends.append(last)
-                owner.append(t)
-                place.append(at)
-        if not starts:
+        words, counts = [], []
+        for text in texts:
+            found = _WORD.findall(text)
+            counts.append(len(found))
+            words += found
+        if not words:
             return [np.zeros(0, np.int32) for _ in texts]
-        if self.frozen is None:
-            self.frozen = np.array(self.keys), np.array(self.length, dtype=np.int64), np.array(self.piece, dtype=np.int64)
-        keys, length, piece = self.frozen
-        start, state, own, at = (np.array(x, dtype=np.int64) for x in (starts, ends, owner, place))
-        seed = np.array(seeds, dtype=_U)
-        seed = mix(seed + _U(0x9E3779B97F4A7C15))[own]
+        new = [w for w in set(words) if w not in self.at]
+        for w in new:
+            if len(w) > LONG_WORD:
+                self.at[w] = -1
+        if new := [w for w in new if len(w) <= LONG_WORD]:
+            self._learn(new)
+        n = len(words)
+        start = np.fromiter(map(self.at.__getitem__, words), dtype=np.int64, count=n)
+        size = np.fromiter(map(len, words), dtype=np.int64, count=n)
+        own = np.repeat(np.arange(len(texts)), counts)
+        at = np.cumsum(size)  # place of each word's end in its text
+        ends_before = np.concatenate([[0], at])[np.concatenate([[0], np.cumsum(counts)[:-1]])]
+        at -= ends_before[own]
+        seed = mix(np.array(seeds, dtype=_U) + _U(0x9E3779B97F4A7C15))[own]
+        long_words = [(i, int(own[i]), words[i], int(at[i])) for i in np.flatnonzero(start < 0)]
+        state = np.where(start < 0, start, start + size)
         live = np.flatnonzero(state > start)
-        found, words = [], []
+        found, whose = [], []
         while len(live):
             u = (mix(seed[live] + at[live].astype(_U) * _U(0xD6E8FEB86659FD93)) >> _U(11)).astype(np.float64) * 2.0**-53
-            e = np.searchsorted(keys, state[live] + u, side="right")
-            found.append(piece[e])
-            words.append(live)
-            state[live] -= length[e]
-            at[live] -= length[e]
+            e = self.first[state[live]]
+            over = np.flatnonzero(u >= self.keys[e])
+            while len(over):
+                e[over] += 1
+                over = over[u[over] >= self.keys[e[over]]]
+            found.append(self.piece[e])
+            whose.append(live)
+            state[live] -= self.length[e]
+            at[live] -= self.length[e]
             live = live[state[live] > start[live]]
         for i, t, word, end in long_words:
             ids = self._long(word, seeds[t], end)
-            found.append(np.array(ids, dtype=np.int64))
-            words.append(np.full(len(ids), i))
-        ids, words = np.concatenate(found), np.concatenate(words)
+            found.append(np.array(ids, dtype=np.int32))
+            whose.append(np.full(len(ids), i))
         # drawn from the end: within a word the last drawn comes first
-        order = np.lexsort((-np.arange(len(ids)), words))
-        ids, own = ids[order], own[words[order]]
+        many = np.bincount(np.concatenate(whose), minlength=n)
+        first = np.cumsum(many) - many
+        ids = np.empty(int(many.sum()), dtype=np.int64)
+        drawn = np.zeros(n, dtype=np.int64)
+        regular = len(found) - len(long_words)
+        for x, w in zip(found[:regular], whose[:regular]):
+            drawn[w] += 1
+            ids[first[w] + many[w] - drawn[w]] = x
+        for x, (i, *_) in zip(found[regular:], long_words):
+            ids[first[i] : first[i] + many[i]] = x[::-1]
+        own = np.repeat(own, many)
         if (ids >= _ESCAPE).any():
             ids, own = self._spell(ids, own)
         return np.split(ids.astype(np.int32), np.searchsorted(own, np.arange(1, len(texts))))
@@ -217,6 +310,12 @@ class Sampler:
         return out, own
 
 
+@functools.lru_cache(maxsize=1)
+def sampler(path: str, alpha: float = ALPHA) -> Sampler:
+    """One for all tasks of a worker process: what it has learned is of use to the next."""
+    return Sampler(vocabulary(path, alpha))
+
+
 @functools.lru_cache(maxsize=2)
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     return Vocabulary(path, alpha)
@@ -226,7 +325,7 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> bytes:
     return b"".join(map(v.bytes.__getitem__, ids.tolist()))
 
 
-def _lots(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def _lots(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -240,10 +339,10 @@ def seed_of(key: object) -> int:
     return zlib.crc32(b"null") if key is None else int(key) & (1 << 64) - 1
 
 
-def sampled(texts: list[str | None], keys: list, sampler: Sampler) -> Iterator[list[np.ndarray | None]]:
+def sampled(texts: list[str | None], keys: list, of: Sampler) -> Iterator[list[np.ndarray | None]]:
     for lo, hi in _lots(texts):
         some = [t or "" for t in texts[lo:hi]]
-        out = sampler.sample(some, [seed_of(k) for k in keys[lo:hi]])
+        out = of.sample(some, [seed_of(k) for k in keys[lo:hi]])
         yield [None if t is None else x for t, x in zip(texts[lo:hi], out)]
 
 
@@ -252,9 +351,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str |
     A column of that name is replaced."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sampler = Sampler(vocabulary(path or model_path(), alpha))
         for b in batches:
-            ids = [x for part in sampled(b[text].to_pylist(), b[key].to_pylist(), sampler) for x in part]
+            ids = [x for part in sampled(b[text].to_pylist(), b[key].to_pylist(), sampler(path or model_path(), alpha)) for x in part]
             flat = [x for x in ids if x is not None]
             offsets = pa.array(np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in ids])]).astype(np.int32))
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
@@ -287,10 +385,9 @@ def round_trips(docs: DataFrame, path: str | None = None, alpha: float = ALPHA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path or model_path(), alpha)
-        sampler = Sampler(v)
         for b in batches:
             ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
-            pieces = (x for part in sampled(texts, ids, sampler) for x in part)
+            pieces = (x for part in sampled(texts, ids, sampler(path or model_path(), alpha)) for x in part)
             rows = [(i, None, None, None, None) if p is None else (i, len(t), len(p), zlib.crc32(p.astype("<i4").tobytes()), decode_ids(p, v) == t.encode("utf-8", "surrogatepass")) for i, t, p in zip(ids, texts, pieces)]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 5, types)], ["doc_id", "n_chars", "n_pieces", "ids_crc32", "lossless"])
