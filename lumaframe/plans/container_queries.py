@@ -238,7 +238,7 @@ def gain_map_tiff_reconstruct(spark, d):
     return t.groupBy("path").agg(F.round(F.sum(lin[0] + lin[1] + lin[2]), 4).alias("total"), F.round(F.max(F.greatest(*lin)), 5).alias("peak"), F.count("*").alias("n")).where("n = 64").drop("n")
 
 
-@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 = 4 THEN 'absent' WHEN 1 + n_nationkey / 2.0 <= 8.0 THEN 'rewritten' ELSE 'removed' END AS outcome FROM nation""")
+@query("""SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 5 = 4 THEN 'absent' WHEN 1 + n_nationkey / 2.0 <= 8.0 THEN 'rewritten' ELSE 'removed' END AS outcome FROM nation""")
 def align_headroom(spark, d):
     """Maker's notes made to state a headroom: beyond 8x the tags cannot, and go."""
     from ..sources.camera import align, make_note
@@ -265,7 +265,7 @@ def maker_note_graft(spark, d):
     return blocks.join(notes, "id", "left").select("id", outcome.alias("outcome"))
 
 
-@query("""SELECT to_json({'id': s_suppkey, 'name': s_name, 'ok': s_suppkey % 3 = 0}) AS report FROM supplier""")
+@query("""SELECT to_json({'id': s_suppkey, 'name': s_name, 'ok': s_suppkey % 3 = 0})::VARCHAR AS report FROM supplier""")
 def json_report(spark, d):
     t = spark.read.parquet(f"{d}/supplier.parquet")
     return t.select(F.to_json(F.struct(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.col("s_suppkey") % 3 == 0).alias("ok"))).alias("report"))
