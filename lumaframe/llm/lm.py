@@ -18,8 +18,8 @@ Both are distributions, so P sums to one over the vocabulary and the unseen.
 
 Scale: token counts are exact and unbounded: they are summed by shuffles of partial
 counts and joined to the rare tokens of each document. What is broadcast is bounded by
-parameters: the counts of the ``FREQUENT`` most frequent tokens and the table of
-(CLASSES + 2)^2 class pairs. Tokens travel as 64-bit hashes.
+parameters: the counts of at most ``FREQUENT`` tokens, those above a count, and the
+table of (CLASSES + 2)^2 class pairs. Tokens travel as 64-bit hashes.
 
 Defined results: null text is one end token; a null doc_id counts as empty text in
 the crc; repeated rows are scored and counted each; with no training documents all
@@ -164,6 +164,24 @@ def class_model(main: np.ndarray, back: np.ndarray, types: int) -> np.ndarray:
     return np.log10(np.maximum(p, 1e-300))
 
 
+def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list:
+    """Rows (token, n) of all tokens that occur as often as a threshold, the least (of
+    64 to an octave) that at most ``most`` tokens reach; by n, then token.
+
+    The threshold comes from a histogram of a few thousand rows, so tasks send the
+    driver ``most`` rows together, not each.
+    """
+    step = F.floor(F.log2("n") * 64)
+    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("many"), F.min("n").alias("least")).collect(), reverse=True)
+    least, reached = None, 0
+    for r in steps:
+        reached += r["many"]
+        if reached > most:
+            break
+        least = r["least"]
+    return [] if least is None else sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["token"]))
+
+
 _DOC = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token:bigint,n:bigint>>"
 
 
@@ -174,7 +192,7 @@ def score(docs: DataFrame) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     counts = materialize(texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
     types, all_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).collect()  # bounded by FREQUENT
+    top = frequent_tokens(counts)
     frequent = spark.sparkContext.broadcast(np.array([(r["token"], r["n"]) for r in top], dtype=np.int64).reshape(-1, 2))
 
     width = CLASSES + 1
