@@ -144,10 +144,10 @@ def buckets(counts: np.ndarray) -> np.ndarray:
     return np.floor(np.log2(np.maximum(counts, 0) + 1)).astype(np.int64)
 
 
-def class_model(main: np.ndarray, back: np.ndarray, types: int) -> np.ndarray:
-    """log10 P(class | context class) for a vocabulary of ``types`` tokens."""
+def class_model(main: np.ndarray, back: np.ndarray, types: int, own: int) -> np.ndarray:
+    """log10 P(class | context class) for a vocabulary of ``types`` tokens, ``own`` of
+    which are classes of their own."""
     sizes = np.ones(CLASSES + 1)
-    own = min(CLASSES, types)
     sizes[own:CLASSES] = 0
     sizes[CLASSES] = types - own + 1
     weights, bucket = interpolation(main, back, sizes)
@@ -214,8 +214,8 @@ def score(docs: DataFrame) -> DataFrame:
     table = np.zeros((2, (CLASSES + 2) * width), dtype=np.int64)
     table[:, pairs["pair"].to_numpy()] = [pairs["n"].to_numpy(), pairs["n_back"].to_numpy()]
     table = table.reshape(2, CLASSES + 2, width)
-    model = spark.sparkContext.broadcast(class_model(table[0], table[1], types))
     own_n = [r["n"] for r in top[:CLASSES]]
+    model = spark.sparkContext.broadcast(class_model(table[0], table[1], types, len(own_n)))
     shared = all_tokens - sum(own_n) + (types - len(own_n)) + 1  # C + R + 1
     base_all = all_tokens + types + 1
 

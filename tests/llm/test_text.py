@@ -300,7 +300,7 @@ def test_model_is_a_distribution_and_beats_the_base(small):
     main, back = np.zeros((width + 1, width), np.int64), np.zeros((width + 1, width), np.int64)
     main[rng.integers(0, 200, 5000), rng.integers(0, 200, 5000)] += 3
     back[rng.integers(0, 200, 900), rng.integers(0, 200, 900)] += 1
-    p = 10 ** lm.class_model(main, back, 5000)
+    p = 10 ** lm.class_model(main, back, 5000, lm.CLASSES)
     assert np.allclose(p.sum(axis=1), 1)
     out = [r for r in lm.score(small).collect() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
