@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 UNITS = {"": 1.0, "b": 1.0, "k": 1e3, "kb": 1e3, "kib": 1024.0, "m": 1e6, "mb": 1e6, "mib": 1024.0**2, "g": 1e9, "gb": 1e9, "gib": 1024.0**3}
 PRIMARY_NAMES = {"srgb": "bt709", "bt709": "bt709", "rec709": "bt709", "709": "bt709", "p3": "display-p3", "displayp3": "display-p3", "dcip3": "display-p3", "bt2020": "bt2020", "rec2020": "bt2020", "2020": "bt2020"}
 FLAVORS = {"apple": "apple", "iso": "iso", "ios": "iso", "both": "both"}
-ENGINES = {"apple": "apple", "videotoolbox": "videotoolbox", "hpvca": "hpvca", "software": "hpvca"}
+ENGINES = {"apple": "apple", "videotoolbox": "videotoolbox", "software": "software"}
 TONE_MAPS = {"clip": "clip", "reinhard": "reinhard"}
 CHROMA_QUALITY = 95  # fixed value: from here on chroma is kept whole
 

@@ -257,7 +257,7 @@ def human_bytes(spark, d):
     return _t(spark, d, "orders").select("o_orderkey", T.human_bytes(n).alias("size"))
 
 
-NAMES = ("sRGB", "BT.709", "rec-709", "Display P3", "display_p3", "P3", "bt2020", "Rec.2020", "AdobeRGB", "", "apple", "IOS", "iso", "both", "software", "hpvca", "VideoToolbox", "clip", "Reinhard", "1", "100", "101", "0", "85")
+NAMES = ("sRGB", "BT.709", "rec-709", "Display P3", "display_p3", "P3", "bt2020", "Rec.2020", "AdobeRGB", "", "apple", "IOS", "iso", "both", "software", "Software", "VideoToolbox", "clip", "Reinhard", "1", "100", "101", "0", "85")
 
 
 def _case(expr: str, table: dict[str, str]) -> str:
