@@ -24,7 +24,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts the lineage in a way that survives lost executors and lets later readers
-    prune columns. Files go when the session's process ends, or by ``release``.
+    prune columns. Files go when the session's process ends, or by ``release`` or
+    ``clear``.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}-{name}"
@@ -49,13 +50,18 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear() -> None:
+    """Delete all intermediates written so far; results that read them are void."""
+    while _written:
+        _delete(*_written.pop())
+
+
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended
-            return
+    try:
+        clear()
+    except Exception:  # the session may have ended
+        return
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
