@@ -44,7 +44,7 @@ STEMS = (4, 5)
 LEAST_DOCUMENTS = 3
 #: Standard errors by which a word's share must differ between classes for it to count.
 LEAST_Z = 4.0
-ROUNDS = 300
+ROUNDS, STEP = 100, 0.3
 PENALTY = 0.005
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 500_000
@@ -126,7 +126,7 @@ def train(places: list[np.ndarray], before: np.ndarray, labels: np.ndarray) -> M
         grad[:-1] += PENALTY * theta[:-1]
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
-        theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        theta = theta - STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     words[used] = theta[: len(used)] * value[used]
     return Model(words, theta[len(used) : -1], float(theta[-1]))
 
