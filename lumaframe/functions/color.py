@@ -3,7 +3,7 @@ gamut tests and colour difference. Everything stays within whole-stage codegen."
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # BT.709 luma weights, the least linear value, SMPTE ST 2084 constants.
@@ -139,35 +139,41 @@ def lab(x: Column, y: Column, z: Column) -> tuple[Column, Column, Column]:
     return 116 * fy - 16, 500 * (fx - fy), 200 * (fy - fz)
 
 
-def delta_e_2000(one: tuple[Column, Column, Column], two: tuple[Column, Column, Column]) -> Column:
-    """CIEDE2000 colour difference (Sharma, Wu, Dalal 2005)."""
+def with_delta_e(df: DataFrame, one: tuple[str, str, str], two: tuple[str, str, str], out: str = "de") -> DataFrame:
+    """Add the CIEDE2000 difference of two CIELAB colours (Sharma, Wu, Dalal 2005), given
+    by their columns. Steps that later ones use more than once are columns of their own, so
+    that they are worked out once and the generated code stays small."""
+    kept = df.columns
+    c = F.col
     (l1, a1, b1), (l2, a2, b2) = one, two
-    c_mean = (F.sqrt(a1 * a1 + b1 * b1) + F.sqrt(a2 * a2 + b2 * b2)) / 2
-    c7 = F.pow(c_mean, F.lit(7.0))
-    g = 0.5 * (1 - F.sqrt(c7 / (c7 + 25.0**7)))
-    a1, a2 = a1 * (1 + g), a2 * (1 + g)
-    c1, c2 = F.sqrt(a1 * a1 + b1 * b1), F.sqrt(a2 * a2 + b2 * b2)
+
+    def chroma(a: Column, b: Column) -> Column:
+        return F.sqrt(a * a + b * b)
+
+    def weight(mean: Column) -> Column:
+        return F.sqrt(F.pow(mean, F.lit(7.0)) / (F.pow(mean, F.lit(7.0)) + 25.0**7))
 
     def hue(a: Column, b: Column) -> Column:
-        d = F.degrees(F.atan2(b, a))
-        return F.when((a == 0) & (b == 0), 0.0).when(d < 0, d + 360).otherwise(d)
-
-    h1, h2 = hue(a1, b1), hue(a2, b2)
-    grey = (c1 * c2) == 0
-    turn = h2 - h1
-    dh = F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn)
-    big_h = 2 * F.sqrt(c1 * c2) * F.sin(F.radians(dh / 2))
-    far = F.abs(h1 - h2) > 180
-    h_mean = F.when(grey, h1 + h2).when(~far, (h1 + h2) / 2).when(h1 + h2 < 360, (h1 + h2 + 360) / 2).otherwise((h1 + h2 - 360) / 2)
-    l_mean, c_mean = (l1 + l2) / 2, (c1 + c2) / 2
-    t = 1 - 0.17 * F.cos(F.radians(h_mean - 30)) + 0.24 * F.cos(F.radians(2 * h_mean)) + 0.32 * F.cos(F.radians(3 * h_mean + 6)) - 0.20 * F.cos(F.radians(4 * h_mean - 63))
-    s_l = 1 + 0.015 * (l_mean - 50) * (l_mean - 50) / F.sqrt(20 + (l_mean - 50) * (l_mean - 50))
-    s_c, s_h = 1 + 0.045 * c_mean, 1 + 0.015 * c_mean * t
-    c7 = F.pow(c_mean, F.lit(7.0))
-    around = (h_mean - 275) / 25
-    r_t = -F.sin(F.radians(60 * F.exp(-around * around))) * 2 * F.sqrt(c7 / (c7 + 25.0**7))
-    dl, dc, dh = (l2 - l1) / s_l, (c2 - c1) / s_c, big_h / s_h
-    return F.sqrt(F.greatest(dl * dl + dc * dc + dh * dh + r_t * dc * dh, F.lit(0.0)))
+        return F.when((a == 0) & (b == 0), 0.0).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+
+    df = df.withColumn("_g", 1.5 - 0.5 * weight((chroma(c(a1), c(b1)) + chroma(c(a2), c(b2))) / 2))
+    df = df.withColumns({"_a1": c(a1) * c("_g"), "_a2": c(a2) * c("_g")})
+    df = df.withColumns({"_c1": chroma(c("_a1"), c(b1)), "_c2": chroma(c("_a2"), c(b2)), "_h1": hue(c("_a1"), c(b1)), "_h2": hue(c("_a2"), c(b2))})
+    grey, turn, both = c("_c1") * c("_c2") == 0, c("_h2") - c("_h1"), c("_h1") + c("_h2")
+    df = df.withColumns({
+        "_dh": F.when(grey, 0.0).when(turn > 180, turn - 360).when(turn < -180, turn + 360).otherwise(turn),
+        "_hm": F.when(grey, both).when(F.abs(turn) <= 180, both / 2).when(both < 360, both / 2 + 180).otherwise(both / 2 - 180),
+        "_cm": (c("_c1") + c("_c2")) / 2, "_l2": ((c(l1) + c(l2)) / 2 - 50) * ((c(l1) + c(l2)) / 2 - 50),
+    })
+    h = c("_hm")
+    t = 1 - 0.17 * F.cos(F.radians(h - 30)) + 0.24 * F.cos(F.radians(2 * h)) + 0.32 * F.cos(F.radians(3 * h + 6)) - 0.20 * F.cos(F.radians(4 * h - 63))
+    df = df.withColumns({
+        "_dl": (c(l2) - c(l1)) / (1 + 0.015 * c("_l2") / F.sqrt(20 + c("_l2"))), "_dc": (c("_c2") - c("_c1")) / (1 + 0.045 * c("_cm")),
+        "_dd": 2 * F.sqrt(c("_c1") * c("_c2")) * F.sin(F.radians(c("_dh") / 2)) / (1 + 0.015 * c("_cm") * t),
+        "_rt": -2 * F.sin(F.radians(60 * F.exp(-F.pow((h - 275) / 25, F.lit(2.0))))) * weight(c("_cm")),
+    })
+    square = c("_dl") * c("_dl") + c("_dc") * c("_dc") + c("_dd") * c("_dd") + c("_rt") * c("_dc") * c("_dd")
+    return df.select(*kept, F.sqrt(F.greatest(square, F.lit(0.0))).alias(out))
 
 
 def saturation(r: Column, g: Column, b: Column) -> Column:

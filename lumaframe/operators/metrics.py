@@ -31,14 +31,14 @@ def peak_luma(px: DataFrame, fraction: float = 0.001) -> DataFrame:
     return hit.select("image_id", F.greatest(F.pow(F.lit(2.0), F.col("bucket") / float(top) * 2 * PEAK_SPAN - PEAK_SPAN), F.lit(1.0)).alias("peak"))
 
 
-def first_bucket_at(counts: DataFrame, quantiles: dict[str, float], by: list[str], otherwise: int) -> DataFrame:
+def first_bucket_at(counts: DataFrame, quantiles: dict[str, float], by: list[str], otherwise: int, *more: Column) -> DataFrame:
     """For each named quantile the first bucket whose running count reaches
-    floor(n * q). ``counts``: by..., bucket, n. A target of zero is reached by bucket 0."""
+    floor(n * q); ``more`` are further aggregates. ``counts``: by..., bucket, n. A target of zero is reached by bucket 0."""
     up = Window.partitionBy(*by).orderBy("bucket")
     all_of = Window.partitionBy(*by)
-    run = counts.select(*by, "bucket", F.sum("n").over(up).alias("seen"), F.sum("n").over(all_of).alias("all"))
+    run = counts.select(*by, "bucket", "n", F.sum("n").over(up).alias("seen"), F.sum("n").over(all_of).alias("all"))
     picked = [F.when(F.floor(F.max("all") * q) == 0, F.lit(0)).otherwise(F.coalesce(F.min(F.when(F.col("seen") >= F.floor(F.col("all") * q), F.col("bucket"))), F.lit(otherwise))).cast("int").alias(name) for name, q in quantiles.items()]
-    return run.groupBy(*by).agg(*picked)
+    return run.groupBy(*by).agg(*picked, *more)
 
 
 def errors(pairs: DataFrame, floor: float = 0.05) -> DataFrame:
@@ -50,7 +50,7 @@ def errors(pairs: DataFrame, floor: float = 0.05) -> DataFrame:
     rank = Window.partitionBy("image_id").orderBy("rel", "y", "x")
     ranked = lit.select("*", (F.row_number().over(rank) - 1).alias("rank"), F.count("*").over(Window.partitionBy("image_id")).alias("n"))
     out = ranked.groupBy("image_id").agg(
-        F.max("n").alias("n_pixels"), F.avg((F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("mse"), F.max("rel").alias("worst"),
+        F.count("*").alias("n_pixels"), F.avg((F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("mse"), F.max("rel").alias("worst"),
         F.max_by(F.struct("y", "x"), F.struct("rel", -F.col("y"), -F.col("x"))).alias("at"), F.max("a").alias("peak"),
         F.min(F.when(F.col("rank") == F.least(F.floor(F.col("n") * 0.999), F.col("n") - 1), F.col("rel"))).alias("p999"),
     )

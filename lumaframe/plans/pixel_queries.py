@@ -281,8 +281,7 @@ def _clamped(spark, d):
     true = C.lab(F.col("cx"), F.col("cy"), F.col("cz"))
     low = C.lab(*C.apply_matrix(C.to_xyz("bt709"), *(F.greatest(F.col(c), F.lit(0.0)) for c in ("r7", "g7", "b7"))))
     labs = wide.select("image_id", "y", "x", *(c.alias(n) for n, c in zip(("l1", "a1", "b1", "l2", "a2", "b2"), (*true, *low))))
-    one, two = tuple(F.col(c) for c in ("l1", "a1", "b1")), tuple(F.col(c) for c in ("l2", "a2", "b2"))
-    return labs.select("image_id", "y", "x", *one, C.delta_e_2000(one, two).alias("de"))
+    return C.with_delta_e(labs, ("l1", "a1", "b1"), ("l2", "a2", "b2")).drop("l2", "a2", "b2")
 
 
 def _labf(t: str) -> str:
@@ -325,9 +324,8 @@ round(sum(CASE WHEN bucket >= 20 THEN n ELSE 0 END) / max(total), 6) AS above_on
 def delta_e_histogram(spark, d):
     b = F.least(F.floor(F.round(F.col("de") / 0.05, 6)), F.lit(600)).cast("int")
     counts = _clamped(spark, d).select(F.lit(0).alias("all_images"), b.alias("bucket")).groupBy("all_images", "bucket").agg(F.count("*").alias("n"))
-    at = M.first_bucket_at(counts, {"p50": 0.5, "p95": 0.95}, ["all_images"], 600)
-    n = counts.groupBy("all_images").agg(F.sum("n").alias("n"), F.round(F.sum(F.when(F.col("bucket") >= 20, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("above_one"))
-    return at.join(n, "all_images").select("n", "p50", "p95", "above_one")
+    above = F.round(F.sum(F.when(F.col("bucket") >= 20, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("above_one")
+    return M.first_bucket_at(counts, {"p50": 0.5, "p95": 0.95}, ["all_images"], 600, F.sum("n").alias("n"), above).select("n", "p50", "p95", "above_one")
 
 
 @query(f"WITH {PX}, {DE} SELECT least(floor(((degrees(atan2(b1, a1)) + 360) % 360) / 30), 11)::INTEGER AS sector, count(*) AS n FROM de GROUP BY 1 ORDER BY n DESC, sector LIMIT 4")

@@ -57,8 +57,8 @@ def test_nan_and_infinity(spark):
 def test_delta_e_published_pairs(spark):
     """From the supplementary data of Sharma, Wu and Dalal (2005)."""
     for one_lab, two_lab, want in (((50, 2.6772, -79.7751), (50, 0, -82.7485), 2.0425), ((50, 0, 0), (50, -1, 2), 2.3669), ((50, 2.5, 0), (73, 25, -18), 27.1492), ((2.0776, 0.0795, -1.1350), (0.9033, -0.0636, -0.5514), 0.9082)):
-        got = one(spark, C.delta_e_2000(tuple(F.lit(float(x)) for x in one_lab), tuple(F.lit(float(x)) for x in two_lab)))
-        assert got == pytest.approx(want, abs=1e-4)
+        df = spark.createDataFrame([tuple(map(float, one_lab + two_lab))], "a double, b double, c double, d double, e double, f double")
+        assert C.with_delta_e(df, ("a", "b", "c"), ("d", "e", "f")).first()["de"] == pytest.approx(want, abs=1e-4)
 
 
 @pytest.mark.parametrize("h", [1.0, 1.5, 2.0, 4.0, 4.88, 7.9, 8.0])
