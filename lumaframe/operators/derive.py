@@ -14,10 +14,27 @@ from ..functions.color import EPS, is_finite, linear_to_srgb8, luma, positive, s
 from ..functions.gain import OFFSET, apply_gain, decode, log2_gain, normalise
 
 
+#: Images up to which their numbers are broadcast to the pixels.
+MOST_BROADCAST = 1_000_000
+
+
+def attach(px: DataFrame, per_image: DataFrame) -> DataFrame:
+    """Add an image's numbers to its pixels.
+
+    They are counted first, which also works them out, once: up to ``MOST_BROADCAST`` rows
+    go to the pixels where those are, so that an image larger than all others stays spread
+    over tasks. Beyond that both sides are sorted, and adaptive execution splits images
+    that are too large.
+    """
+    per_image = per_image.persist()
+    small = per_image.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return px.join(F.broadcast(per_image) if small else per_image.hint("merge"), "image_id")
+
+
 def with_white(px: DataFrame) -> DataFrame:
     """Add ``white``: the greatest luma of the image, at least 1."""
     top = px.groupBy("image_id").agg(F.greatest(F.max(positive(luma(*map(F.col, "rgb")))), F.lit(1.0)).alias("white"))
-    return px.join(top, "image_id")
+    return attach(px, top)
 
 
 def with_base(px: DataFrame, white: Column | None) -> DataFrame:
@@ -42,7 +59,7 @@ def gain_plane(px: DataFrame, ranges: DataFrame, subsample: int = 1, gamma: floa
     """image_id, gy, gx, code: block means of the normalised gain as 8-bit codes.
     Blocks at the edge may be partial."""
     t = normalise(F.col("gain"), F.col("min_log2"), F.col("max_log2"), gamma)
-    j = px.join(ranges, "image_id").select("image_id", F.floor(F.col("y") / subsample).cast("int").alias("gy"), F.floor(F.col("x") / subsample).cast("int").alias("gx"), t.alias("t"))
+    j = attach(px, ranges).select("image_id", F.floor(F.col("y") / subsample).cast("int").alias("gy"), F.floor(F.col("x") / subsample).cast("int").alias("gx"), t.alias("t"))
     mean = j.groupBy("image_id", "gy", "gx").agg(F.avg("t").alias("t"))
     return mean.select("image_id", "gy", "gx", F.round(F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias("code"))
 

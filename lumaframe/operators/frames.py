@@ -35,19 +35,20 @@ def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scene(spark: SparkSession, width: int, height: int, peak: float, image_id: int = 0) -> DataFrame:
     """A synthetic HDR image: gradients, three soft discs, a saturated red disc, a black
     patch and one pixel pinned at ``peak``."""
-    n = spark.range(width * height)
-    x, y = (F.col("id") % width).cast("int"), F.floor(F.col("id") / width).cast("int")
-    u, v = (x + 0.5) / width, (y + 0.5) / height
+    n = spark.range(width * height).select("id", (F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
+    n = n.withColumns({"u": (F.col("x") + 0.5) / width, "v": (F.col("y") + 0.5) / height})
+    u, v = F.col("u"), F.col("v")
 
     def disc(cx: float, cy: float, radius: float):
-        d = F.sqrt((u - cx) * (u - cx) + (v - cy) * (v - cy)) / radius
-        return F.when(d < 1, F.pow(F.cos(d * 1.5707963267948966), F.lit(2.0))).otherwise(0.0)
-
-    light = peak * (disc(0.25, 0.3, 0.12) + 0.5 * disc(0.5, 0.6, 0.15) + 0.25 * disc(0.8, 0.4, 0.1))
-    red = 0.5 * peak * disc(0.7, 0.8, 0.1)
-    black = (u < 0.1) & (v > 0.9)
-    base = {"r": 0.05 + 0.7 * u + light + red, "g": 0.05 + 0.7 * v + light, "b": 0.05 + 0.35 * (u + v) + light}
-    return n.select(F.lit(image_id).cast("long").alias("image_id"), y.alias("y"), x.alias("x"), *(F.when(F.col("id") == 0, F.lit(peak)).when(black, 0.0).otherwise(c).alias(k) for k, c in base.items()))
+        near = (u - cx) * (u - cx) + (v - cy) * (v - cy)
+        soft = F.cos(F.sqrt(near) / radius * 1.5707963267948966)
+        return F.when(near < radius * radius, soft * soft).otherwise(0.0)
+
+    # each disc is a column: it is used by several channels
+    n = n.withColumns({"light": peak * (disc(0.25, 0.3, 0.12) + 0.5 * disc(0.5, 0.6, 0.15) + 0.25 * disc(0.8, 0.4, 0.1)), "red": 0.5 * peak * disc(0.7, 0.8, 0.1), "black": (u < 0.1) & (v > 0.9)})
+    light = F.col("light")
+    base = {"r": 0.05 + 0.7 * u + light + F.col("red"), "g": 0.05 + 0.7 * v + light, "b": 0.05 + 0.35 * (u + v) + light}
+    return n.select(F.lit(image_id).cast("long").alias("image_id"), "y", "x", *(F.when(F.col("id") == 0, F.lit(peak)).when(F.col("black"), 0.0).otherwise(c).alias(k) for k, c in base.items()))
 
 
 def aligned(one: DataFrame, two: DataFrame) -> DataFrame:
