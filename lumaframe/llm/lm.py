@@ -3,23 +3,29 @@
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. Documents whose
 crc32 (of doc_id as text) modulo 7 is 2 are held out of training.
 
-The model: every token has a class. The ``CLASSES`` most frequent tokens are classes of
-their own, all others share one. P(w | v) = P(class of w | class of v) * P(w | class of w):
-
-* the class part mixes maximum-likelihood estimates of order two, one and zero,
-  with weights that depend on how frequent the context is (one set for each power of
-  two). The weights are learned by expectation-maximisation on counts kept back
-  from the estimates: those of training documents with remainder 6. Estimates are
-  then taken from all training documents.
-* within the shared class, a token has (c + 1) / (C + R + 1), for R tokens that occur C
-  times together; one more stands for all tokens never seen.
-
-Both are distributions, so P sums to one over the vocabulary and the unseen.
-
-Scale: token counts are exact and unbounded: they are summed by shuffles of partial
-counts and joined to the rare tokens of each document. What is broadcast is bounded by
-parameters: the counts of at most ``FREQUENT`` tokens, those above a count, and the
-table of (CLASSES + 2)^2 class pairs. Tokens travel as 64-bit hashes.
+The model: P(w | v) mixes two estimates, with a weight that depends on how frequent
+the context v is (one for each power of two):
+
+* c(v, w) / c(v), from the exact counts of all pairs of adjacent tokens. A document
+  starts after an end token.
+* a class model below it. The ``CLASSES`` most frequent tokens are classes of their own,
+  all others share one; P(class of w | class of v) mixes estimates of order two, one
+  and zero. Within the shared class, a token has (c + 1) / (C + R + 1), for R tokens
+  that occur C times together; one more stands for all tokens never seen.
+
+Both are distributions, so P sums to one over the vocabulary and the unseen. All weights
+are learned by expectation-maximisation on counts kept back from the estimates: those of
+training documents with remainder 6. For pairs, EM sees how often each ratio of the two
+estimates occurs, at 16 steps to an octave. Estimates are then taken from all training
+documents.
+
+Scale: token and pair counts are exact and unbounded. Pairs of two tokens with a class
+of their own are counted in a table of (CLASSES + 2)^2 cells, which is broadcast. Every
+other occurrence of a pair is sent once, packed, to the task that counts its rare token
+(rarest context first) or, of two frequent ones, its pair; none of these is more
+frequent than token number ``CLASSES``. Pairs of two rare tokens go on to the task that
+counts the second. What comes back is packed by the chunk of documents it is for. The
+counts of at most ``FREQUENT`` tokens are broadcast. Tokens travel as 63-bit hashes.
 
 Defined results: null text is one end token; a null doc_id counts as empty text in
 the crc; repeated rows are scored and counted each; with no training documents all
@@ -40,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_merge, materialize
+from .common import by_merge, count_groups, materialize, with_row_key
 
 FREQUENT = 65536
 CLASSES = 1023
@@ -51,6 +57,11 @@ END = b" "
 _SEED = 9
 #: Distinct tokens a task counts or remembers at a time.
 _MEMORY = 400_000
+#: Occurrences of pairs packed at a time, at most so many documents' (a place and a fold
+#: fit 16 bits), and for each part of the pairs.
+_CHUNK, _CHUNK_DOCS, _PART = 2_000_000, 1 << 14, 1_000_000
+#: Steps to an octave of the ratio of two estimates, and of how many octaves each side of one.
+_STEPS, _OCTAVES = 16, 64
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -69,26 +80,30 @@ def fold(doc_id: int | None) -> int:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n): partial counts of the training documents."""
-    counts: Counter[bytes] = Counter()
+    """(token, n, n_back): partial counts of the training documents."""
+    counts: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
 
     def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(map(_hash, counts)), pa.int64()), pa.array(list(counts.values()), pa.int64())], ["token", "n"])
-        counts.clear()
+        main, back = counts
+        words = list(main.keys() | back.keys())
+        n = [main[w] + back[w] for w in words]
+        out = pa.RecordBatch.from_arrays([pa.array(list(map(_hash, words)), pa.int64()), pa.array(n, pa.int64()), pa.array([back[w] for w in words], pa.int64())], ["token", "n", "n_back"])
+        main.clear(), back.clear()
         return out
 
     for b in batches:
         for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-            if fold(doc_id) != HELD_OUT:
-                counts.update(tokens(text))
-            if len(counts) > _MEMORY:
+            f = fold(doc_id)
+            if f != HELD_OUT:
+                counts[f == KEPT_BACK].update(tokens(text))
+            if len(counts[0]) + len(counts[1]) > _MEMORY:
                 yield flush()
-    if counts:
+    if counts[0] or counts[1]:
         yield flush()
 
 
 class _Ranks:
-    """Rank among the frequent tokens of each token, -1 for others."""
+    """Rank among the frequent tokens of each token, a negative hash for others."""
 
     def __init__(self, frequent: np.ndarray) -> None:
         order = np.argsort(frequent)
@@ -104,7 +119,8 @@ class _Ranks:
                 new = list(set(words))
             h = np.array([_hash(w) for w in new], dtype=np.int64)
             at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
-            rank = np.where(self.sorted[at] == h, self.rank[at], -1) if len(self.sorted) else np.full(len(h), -1)
+            rare = h | np.int64(-1 << 63)
+            rank = np.where(self.sorted[at] == h, self.rank[at], rare) if len(self.sorted) else rare
             seen.update(zip(new, rank.tolist()))
         return np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
 
@@ -147,11 +163,20 @@ def buckets(counts: np.ndarray) -> np.ndarray:
 def class_model(main: np.ndarray, back: np.ndarray, types: int, own: int) -> np.ndarray:
     """log10 P(class | context class) for a vocabulary of ``types`` tokens, ``own`` of
     which are classes of their own."""
+    return _class_models(main, back, types, own)[1]
+
+
+def _class_models(main: np.ndarray, back: np.ndarray, types: int, own: int) -> tuple[np.ndarray, np.ndarray]:
+    """class_model of the counts without those kept back, and of all."""
     sizes = np.ones(CLASSES + 1)
     sizes[own:CLASSES] = 0
     sizes[CLASSES] = types - own + 1
     weights, bucket = interpolation(main, back, sizes)
-    both = (main + back).astype(float)
+    return _mixed(weights, buckets(main.sum(axis=1)), main, sizes), _mixed(weights, bucket, main + back, sizes)
+
+
+def _mixed(weights: np.ndarray, bucket: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    both = counts.astype(float)
     context = both.sum(axis=1, keepdims=True)
     lam = weights[bucket]
     order2 = both / np.maximum(context, 1)
@@ -164,6 +189,27 @@ def class_model(main: np.ndarray, back: np.ndarray, types: int, own: int) -> np.
     return np.log10(np.maximum(p, 1e-300))
 
 
+def ratio_cells(bucket: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cell of each (bucket, ratio) in EM's aggregates, and log2 of the ratio; a
+    bucket's first cell is for zero."""
+    log = np.log2(np.maximum(ratio, 2.0**-_OCTAVES))
+    step = np.clip(np.floor((log + _OCTAVES) * _STEPS).astype(np.int64), 0, 2 * _OCTAVES * _STEPS - 1)
+    return bucket * (2 * _OCTAVES * _STEPS + 1) + np.where(ratio > 0, step + 1, 0), np.where(ratio > 0, log, 0.0)
+
+
+def pair_weights(cell: np.ndarray, n: np.ndarray, log: np.ndarray) -> np.ndarray:
+    """EM: the weight of the pairs' estimate for each bucket, from how many (n) counts
+    kept back are in each cell and the sum of their log2 ratios."""
+    bucket, step = np.divmod(cell, 2 * _OCTAVES * _STEPS + 1)
+    ratio = np.where(step > 0, 2.0 ** (log / np.maximum(n, 1)), 0.0)
+    weights = np.full(64, 0.5)
+    of = np.bincount(bucket, n, minlength=64)
+    for _ in range(EM_ROUNDS if len(n) else 0):
+        lam = weights[bucket]
+        weights = (np.bincount(bucket, n * lam * ratio / (lam * ratio + 1 - lam), minlength=64) + 1) / (of + 2)
+    return weights
+
+
 def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list:
     """Rows (token, n) of all tokens that occur as often as a threshold, the least (of
     64 to an octave) that at most ``most`` tokens reach; by n, then token.
@@ -182,18 +228,228 @@ def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list:
     return [] if least is None else sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["token"]))
 
 
-_DOC = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<token:bigint,n:bigint>>"
+_DOC = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
+_PACKED = "kind int, part long, chunk long, v binary, w binary, doc binary"
+#: Kinds of packed rows: occurrences of pairs by whether v, w are frequent; counts of rare
+#: tokens; keys of a chunk's documents; results (ratios, sums); EM's aggregates.
+_FF, _FR, _RR, _RF, _COUNTS, _KEYS, _RATIOS, _SUMS, _CELLS = range(9)
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows)) or [[]] * 6
+    binary = [pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[3:]]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *binary], ["kind", "part", "chunk", "v", "w", "doc"])
+
+
+_NONE = np.zeros(0, np.uint8)
+
+
+def _split(by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
+    """(value of ``by``, that value's part of each column)."""
+    order = np.argsort(by, kind="stable")
+    by, columns = by[order], [c[order] for c in columns]
+    starts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else []
+    for a, z in zip(starts, [*starts[1:], len(by)]):
+        yield (int(by[a]), *(c[a:z] for c in columns))
+
+
+def _part(ids: np.ndarray, parts: int) -> np.ndarray:
+    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x ^ (x >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+
+
+def _tally(keys: np.ndarray, fold_of: np.ndarray, more: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
+    """For each of ``keys``, how often it is there with fold 0, and with 0 or 1.
+    ``more``: keys, their counts of both, that are counted too."""
+    extra = more[0] if more else keys[:0]
+    _, at = np.unique(np.concatenate([keys, extra]), return_inverse=True)
+    own, size = at[: len(keys)], int(at.max(initial=-1)) + 1
+    main = np.bincount(own[fold_of == 0], minlength=size).astype(np.int64)
+    back = np.bincount(own[fold_of == 1], minlength=size).astype(np.int64)
+    if more:
+        main += np.bincount(at[len(keys) :], more[1], minlength=size).astype(np.int64)
+        back += np.bincount(at[len(keys) :], more[2], minlength=size).astype(np.int64)
+    return main[at], (main + back)[at]
+
+
+def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    x = v.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+
+
+class _Pairs:
+    """The two estimates of pairs, packed; what tasks share of the model."""
+
+    def __init__(self, frequent, models, end: int, starts: tuple[int, int], shared: tuple[int, int], base_all: int, parts: int) -> None:
+        self.frequent, self.models, self.end, self.starts, self.shared, self.base_all, self.parts = frequent, models, end, starts, shared, base_all, parts
+
+    def hot(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Whether the pair has a cell of its own in the table."""
+        return (w >= 0) & (w < CLASSES) & (((v >= 0) & (v < CLASSES)) | (v == self.end))
+
+    def scatter(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """All occurrences of pairs that are not hot, by part."""
+        rank = _Ranks(self.frequent.value[:, 0])
+        chunk = TaskContext.get().partitionId() << 32
+        vs, ws, docs, keys, rows = [], [], [], [], 0
+        for b in batches:
+            for key, doc_id, text in zip(b["row_key"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
+                w = rank(tokens(text))
+                v = np.concatenate([[self.end], w[:-1]])
+                cool = ~self.hot(v, w)
+                f = fold(doc_id)
+                vs.append(v[cool]), ws.append(w[cool])
+                docs.append(np.full(len(vs[-1]), len(keys) * 4 + (2 if f == HELD_OUT else int(f == KEPT_BACK)), np.uint16))
+                keys.append(key)
+                rows += len(vs[-1])
+                if rows >= _CHUNK or len(keys) == _CHUNK_DOCS:
+                    yield self._chunk(chunk, *map(np.concatenate, (vs, ws, docs)), np.array(keys, np.int64))
+                    vs, ws, docs, keys, rows = [], [], [], [], 0
+                    chunk += 1
+        if keys:
+            yield self._chunk(chunk, *map(np.concatenate, (vs, ws, docs)), np.array(keys, np.int64))
+
+    def _chunk(self, chunk: int, v: np.ndarray, w: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+        out = [(_KEYS, chunk % self.parts, chunk, keys, _NONE, _NONE)]
+        for kind, here, by in ((_FF, (v >= 0) & (w >= 0), None), (_FR, (v >= 0) & (w < 0), w), (_RR, (v < 0) & (w < 0), v), (_RF, (v < 0) & (w >= 0), v)):
+            a, c, d = v[here], w[here], doc[here]
+            part = _part(a * 65536 + c if by is None else by[here], self.parts)
+            a, c = (a if kind in (_RR, _RF) else a.astype(np.uint16)), (c if kind in (_FR, _RR) else c.astype(np.uint16))
+            out += [(kind, p, chunk, x, y, z) for p, x, y, z in _split(part, a, c, d)]
+            if kind == _RR:  # the second's counts are taken where its other pairs are
+                tokens_, at = np.unique(c, return_inverse=True)
+                n = np.stack([np.bincount(at[d % 4 == k], minlength=len(tokens_)) for k in (0, 1)], axis=1)
+                out += [(_COUNTS, p, chunk, x, y, _NONE) for p, x, y in _split(_part(tokens_, self.parts), tokens_, n)]
+        return _packed(out)
+
+    def _by_part(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list]]]:
+        parts: dict[int, dict[int, list]] = {}
+        for b in batches:
+            for kind, part, *rest in zip(*(b[c].to_pylist() for c in ("kind", "part", "chunk", "v", "w", "doc"))):
+                parts.setdefault(part, {}).setdefault(kind, []).append(rest)
+        while parts:
+            yield parts.popitem()
+
+    @staticmethod
+    def _join(rows: list, v_type: type, w_type: type, doc_type: type = np.uint16) -> tuple[np.ndarray, ...]:
+        """chunk, v, w, doc of all occurrences in packed rows."""
+        if not rows:
+            return tuple(np.zeros(0, np.int64) for _ in range(4))
+        chunk, v, w, doc = zip(*rows)
+        doc = [np.frombuffer(x, doc_type) for x in doc]
+        return np.repeat(np.array(chunk, np.int64), [len(x) for x in doc]), np.concatenate([np.frombuffer(x, v_type) for x in v]).astype(np.int64), np.concatenate([np.frombuffer(x, w_type) for x in w]).astype(np.int64), np.concatenate(doc).astype(np.int64)
+
+    def _of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of frequent tokens: without those kept back, and all."""
+        t = self.frequent.value
+        return t[ids, 1] - t[ids, 2], t[ids, 1]
+
+    def _results(self, part: int, chunk, v, w, doc, pair, of_v, of_w) -> list[tuple]:
+        """Packed ratios and sums by chunk, and the part's aggregates for EM. The counts of
+        pairs and tokens are (without those kept back, all)."""
+        if not len(doc):
+            return []
+        start = v == self.end
+        of_v = [np.where(start, n, x) for n, x in zip(self.starts, of_v)]
+        row, col = np.where(start, CLASSES + 1, _classes(v)), _classes(w)
+        rare = w < 0
+        ratio, low = [], []
+        for k in (0, 1):
+            low.append(self.models.value[k][row, col] + np.where(col == CLASSES, np.log10((of_w[k] + 1) / self.shared[k]), 0.0))
+            ratio.append(pair[k] / np.maximum(of_v[k], 1) / 10.0 ** low[k])
+        known, base = (rare & (of_w[1] > 0)).astype(np.int64), np.where(rare, np.log10((of_w[1] + 1) / self.base_all), 0.0)
+        out = []
+        seen = of_v[1] > 0
+        bucket = buckets(of_v[1]).astype(np.uint8)
+        ids, at = np.unique(chunk * _CHUNK_DOCS + (doc >> 2), return_inverse=True)
+        sums = np.stack([np.bincount(at, z) for z in (known, base, low[1])], axis=1)
+        of_id = (ids % _CHUNK_DOCS).astype(np.uint16)
+        out += [(_SUMS, part, c, x, _NONE, d) for c, x, d in _split(ids // _CHUNK_DOCS, sums, of_id)]
+        order = np.argsort(at, kind="stable")
+        order = order[seen[order]]
+        of_row = at[order]
+        out += [(_RATIOS, part, c, x, y, d) for c, x, y, d in _split(ids[of_row] // _CHUNK_DOCS, ratio[1][order].astype(np.float32), bucket[order], of_id[of_row])]
+        back = (doc % 4 == 1) & (of_v[0] > 0)
+        cell, log = ratio_cells(buckets(of_v[0][back]), ratio[0][back])
+        ids, at = np.unique(cell, return_inverse=True)
+        out.append((_CELLS, part, 0, ids, np.bincount(at, minlength=len(ids)).astype(np.int64), np.bincount(at, log, minlength=len(ids)).astype(np.float64)))
+        return out
+
+    def first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of pairs with a frequent token; those of two rare ones, with counts of
+        pair and context, and the counts of second tokens, by second token."""
+        for part, kinds in self._by_part(batches):
+            out = [(_KEYS, part, c, np.frombuffer(v, np.int64), _NONE, _NONE) for c, v, _, _ in kinds.get(_KEYS, [])]
+            ff, fr = self._join(kinds.get(_FF, []), np.uint16, np.uint16), self._join(kinds.get(_FR, []), np.uint16, np.int64)
+            both, rf = self._join(kinds.get(_RR, []), np.int64, np.int64), self._join(kinds.get(_RF, []), np.int64, np.uint16)
+            more = kinds.get(_COUNTS, [])
+            ids = np.concatenate([np.frombuffer(x[1], np.int64) for x in more] or [np.zeros(0, np.int64)])
+            n = np.concatenate([np.frombuffer(x[2], np.int64) for x in more] or [np.zeros(0, np.int64)]).reshape(-1, 2)
+            at, of_w = len(fr[0]), _tally(fr[2], fr[3] % 4, (ids, n[:, 0], n[:, 1]))
+            of_v = _tally(np.concatenate([both[1], rf[1]]), np.concatenate([both[3], rf[3]]) % 4)
+            own, first = np.unique(ids, return_index=True)
+            out += [(_COUNTS, p, 0, x, y, _NONE) for p, x, y in _split(_part(own, self.parts), own, np.stack([x[at:][first] for x in of_w], axis=1))]
+
+            at2 = len(both[0])
+            pair = [np.concatenate(x) for x in zip(_tally(ff[1] * 65536 + ff[2], ff[3] % 4), _tally(_pair_key(fr[1], fr[2]), fr[3] % 4), _tally(_pair_key(rf[1], rf[2]), rf[3] % 4))]
+            of_all_v = [np.concatenate(x) for x in zip(self._of(ff[1]), self._of(fr[1]), [x[at2:] for x in of_v])]
+            of_all_w = [np.concatenate(x) for x in zip(self._of(ff[2]), [x[:at] for x in of_w], self._of(rf[2]))]
+            out += self._results(part, *map(np.concatenate, zip(ff, fr, rf)), pair, of_all_v, of_all_w)
+            at = at2
+            chunk, v, w, doc = both
+            numbers = np.stack([doc, *_tally(_pair_key(v, w), doc % 4), *(x[:at] for x in of_v)], axis=1).astype(np.int32)
+            for p, c, x, y, z in _split(_part(w, self.parts), chunk, v, w, numbers):
+                out += [(_RR, p, c2, x2, y2, z2) for c2, x2, y2, z2 in _split(c, np.where(x == self.end, self.end, -1), y, z)]
+            yield _packed(out)
+
+    def second(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Results of pairs of two rare tokens."""
+        for part, kinds in self._by_part(batches):
+            rows = kinds.get(_RR, [])
+            if not rows:
+                continue
+            numbers = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]).reshape(-1, 5).astype(np.int64)
+            v, w = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (1, 2))
+            chunk = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[2]) // 8 for r in rows])
+            ids = np.concatenate([np.frombuffer(r[1], np.int64) for r in kinds[_COUNTS]])
+            n = np.concatenate([np.frombuffer(r[2], np.int64) for r in kinds[_COUNTS]]).reshape(-1, 2)
+            order = np.argsort(ids)
+            of_w = n[order[np.searchsorted(ids[order], w)]]
+            yield _packed(self._results(part, chunk, v, w, numbers[:, 0], (numbers[:, 1], numbers[:, 2]), (numbers[:, 3], numbers[:, 4]), (of_w[:, 0], of_w[:, 1])))
+
+
+def _unpack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        cols = [np.concatenate([np.frombuffer(x, t) for x in b[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("v", np.int64), ("w", np.int64), ("doc", np.float64))]
+        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["cell", "n", "log"])
+
+
+def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row_key, add_known, add_base, add_score) of each document of the chunks."""
+    keys: dict[int, np.ndarray] = {}
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for kind, chunk, v, doc in zip(*(b[c].to_pylist() for c in ("kind", "chunk", "v", "doc"))):
+            if kind == _KEYS:
+                keys[chunk] = np.frombuffer(v, np.int64)
+            else:
+                ids = np.frombuffer(doc, np.uint16)
+                of = sums.setdefault(chunk, np.zeros((_CHUNK_DOCS, 3)))
+                of[ids] += np.frombuffer(v, np.float64).reshape(-1, 3)
+    for chunk, key in keys.items():
+        s = sums.get(chunk, np.zeros((_CHUNK_DOCS, 3)))[: len(key)].T
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s[0].astype(np.int64)), pa.array(s[1]), pa.array(s[2])], ["row_key", "add_known", "add_base", "add_score"])
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    counts = materialize(texts.mapInArrow(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")), "counts")
-    types, all_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    texts = with_row_key(docs.select("doc_id", "text"), "row_key").select("row_key", F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    counts = materialize(texts.mapInArrow(_count, "token long, n long, n_back long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_back").alias("n_back")), "counts")
+    types, all_tokens, back_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_back"), F.lit(0))).first()
     top = frequent_tokens(counts)
-    frequent = spark.sparkContext.broadcast(np.array([(r["token"], r["n"]) for r in top], dtype=np.int64).reshape(-1, 2))
+    frequent = spark.sparkContext.broadcast(np.array([(r["token"], r["n"], r["n_back"]) for r in top], dtype=np.int64).reshape(-1, 3))
 
     width = CLASSES + 1
 
@@ -214,42 +470,70 @@ def score(docs: DataFrame) -> DataFrame:
     table = np.zeros((2, (CLASSES + 2) * width), dtype=np.int64)
     table[:, pairs["pair"].to_numpy()] = [pairs["n"].to_numpy(), pairs["n_back"].to_numpy()]
     table = table.reshape(2, CLASSES + 2, width)
-    own_n = [r["n"] for r in top[:CLASSES]]
-    model = spark.sparkContext.broadcast(class_model(table[0], table[1], types, len(own_n)))
-    shared = all_tokens - sum(own_n) + (types - len(own_n)) + 1  # C + R + 1
+    own = top[:CLASSES]
+    main_model, model = _class_models(table[0], table[1], types, len(own))
+    # C + R + 1, without what is kept back and with it
+    shared = all_tokens - sum(r["n"] for r in own) + (types - len(own)) + 1
+    shared_main = shared - back_tokens + sum(r["n_back"] for r in own)
     base_all = all_tokens + types + 1
+    end = int(_Ranks(frequent.value[:, 0])([END])[0])
+    context = table.sum(axis=2)
+    starts = int(context[0, -1]), int(context[:, -1].sum())
+    parts = count_groups(int(all_tokens * FOLDS / (FOLDS - 1)), _PART, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs_of = _Pairs(frequent, spark.sparkContext.broadcast((main_model, model)), end, starts, (shared_main, shared), base_all, parts)
+    first = materialize(texts.mapInArrow(pairs_of.scatter, _PACKED).repartition(parts, "part").mapInArrow(pairs_of.first, _PACKED), "pairs")
+    again = first.where(F.col("kind").isin(_RR, _COUNTS)).repartition(parts, "part")
+    results = first.unionByName(materialize(again.mapInArrow(pairs_of.second, _PACKED), "rare_pairs"))
+
+    # pairs in the table add to EM's aggregates here; the shared class is no token
+    seen_main = context[0][:, None]
+    v, w = np.nonzero((table[1] > 0) & (seen_main > 0) & (np.arange(width) < CLASSES) & (np.arange(CLASSES + 2) != CLASSES)[:, None])
+    cell, log = ratio_cells(buckets(context[0])[v], table[0, v, w] / context[0, v] / 10.0 ** main_model[v, w])
+    cells = np.zeros((2, 64 * (2 * _OCTAVES * _STEPS + 1)))
+    np.add.at(cells, (slice(None), cell), np.stack([table[1, v, w], table[1, v, w] * log]))
+    gathered = results.where(F.col("kind") == _CELLS).select("v", "w", "doc").mapInArrow(_unpack_cells, "cell long, n long, log double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("log").alias("log")).toArrow()
+    cells[:, gathered["cell"].to_numpy()] += [gathered["n"].to_numpy(), gathered["log"].to_numpy()]
+    some = np.flatnonzero(cells[0])
+    weights = pair_weights(some, cells[0, some], cells[1, some])
+    both = table.sum(axis=0)
+    lam = np.where(context.sum(axis=0) > 0, weights[buckets(context.sum(axis=0))], 0)[:, None]
+    hot_score = spark.sparkContext.broadcast(np.log10(lam * both / np.maximum(context.sum(axis=0), 1)[:, None] + (1 - lam) * 10.0**model))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of each chunk's documents with ratios weighed."""
+        for b in batches:
+            rows = []
+            for kind, part, chunk, v, w, doc in zip(*(b[c].to_pylist() for c in ("kind", "part", "chunk", "v", "w", "doc"))):
+                if kind == _RATIOS:
+                    lam = weights[np.frombuffer(w, np.uint8)]
+                    ids, at = np.unique(np.frombuffer(doc, np.uint16), return_inverse=True)
+                    add = np.bincount(at, np.log10(lam * np.frombuffer(v, np.float32) + 1 - lam), minlength=len(ids))
+                    rows.append((_SUMS, part, chunk, np.stack([np.zeros(len(ids)), np.zeros(len(ids)), add], axis=1), _NONE, ids))
+                else:
+                    rows.append((kind, part, chunk, np.frombuffer(v, np.uint8), _NONE, np.frombuffer(doc, np.uint8)))
+            yield _packed(rows)
 
     def score_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = _Ranks(frequent.value[:, 0])
-        n = frequent.value[:, 1].astype(float)
-        base_of = np.log10((n + 1) / base_all)
-        within = np.where(np.arange(len(n)) < CLASSES, 0.0, np.log10((n + 1) / shared))
-        p = model.value
-        rid = TaskContext.get().partitionId() << 40
+        base_of = np.log10((frequent.value[:, 1].astype(float) + 1) / base_all)
+        p = hot_score.value
         for b in batches:
             rows = []
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            for key, doc_id, text in zip(b["row_key"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 words = tokens(text)
                 rank = rank_of(words)
-                c = _classes(rank)
                 known = rank[rank >= 0]
-                rare = Counter(w for w, r in zip(words, rank.tolist()) if r < 0) if len(known) < len(rank) else {}
-                rows.append((rid, doc_id, fold(doc_id) == HELD_OUT, len(words), len(known), float(base_of[known].sum()), float(p[_contexts(c), c].sum() + within[known].sum()), [{"token": _hash(w), "n": k} for w, k in rare.items()]))
-                rid += 1
-            types_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("token", pa.int64()), ("n", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 8, types_)], [f.strip().split(" ")[0] for f in ("rid ,doc_id ,held_out ,n_tokens ,n_known ,base ,score ,rare ").split(",")])
-
-    scored = materialize(texts.mapInArrow(score_batch, _DOC), "scored")
-    rare = scored.select("rid", F.explode("rare").alias("r")).select("rid", F.col("r.token").alias("token"), F.col("r.n").alias("times"))
-    j = rare.join(by_merge(counts), "token", "left").select("rid", "times", F.coalesce("n", F.lit(0)).alias("n"))
-    add = j.groupBy("rid").agg(
-        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("add_known"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(base_all)))).alias("add_base"),
-        F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(float(shared)))).alias("add_score"),
-    )
-    out = scored.drop("rare").join(by_merge(add), "rid", "left")
-    zero = F.lit(0)
+                c = _classes(rank)
+                hot = pairs_of.hot(np.concatenate([[end], rank[:-1]]), rank)
+                rows.append((key, doc_id, fold(doc_id) == HELD_OUT, len(words), len(known), float(base_of[known].sum()), float(p[_contexts(c)[hot], c[hot]].sum())))
+            types_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 7, types_)], ["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
+
+    sums = results.where(F.col("kind").isin(_KEYS, _RATIOS, _SUMS)).mapInArrow(weigh, _PACKED).select("kind", "chunk", "v", "doc")
+    # rows of one key are alike, and so are their sums
+    add = sums.repartition("chunk").mapInArrow(_by_document, "row_key long, add_known long, add_base double, add_score double").dropDuplicates(["row_key"])
+    out = texts.mapInArrow(score_batch, _DOC).join(by_merge(add), "row_key")
     return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("add_known", zero)).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("add_base", zero)).alias("base_score"), (F.col("score") + F.coalesce("add_score", zero)).alias("score"),
+        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("add_known")).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
+        (F.col("base") + F.col("add_base")).alias("base_score"), (F.col("score") + F.col("add_score")).alias("score"),
     )

@@ -294,6 +294,65 @@ def test_scores_brute_force(sets, nothing):
     assert lm.score(nothing).count() == 0
 
 
+def by_pairs(spark, rows):
+    """Scores from counts of all adjacent pairs, worked out in memory."""
+    toks = [[*(t or "").encode().lower().split(), lm.END] for _, t in rows]
+    folds = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 for i, _ in rows]
+    c, pairs = (Counter(), Counter()), (Counter(), Counter())
+    for f, t in zip(folds, toks):
+        if f != lm.HELD_OUT:
+            c[f == lm.KEPT_BACK].update(t)
+            pairs[f == lm.KEPT_BACK].update(zip([lm.END, *t], t))
+    every = c[0] + c[1]
+    word = {lm._hash(w): w for w in every}
+    top = lm.frequent_tokens(spark.createDataFrame([(lm._hash(w), n) for w, n in every.items()], "token long, n long"))
+    own = {word[r["token"]]: k for k, r in enumerate(top[: lm.CLASSES])}
+    table = np.zeros((2, lm.CLASSES + 2, lm.CLASSES + 1), np.int64)
+    places = lambda v, w: (lm.CLASSES + 1 if v == lm.END else own.get(v, lm.CLASSES), own.get(w, lm.CLASSES))
+    for k in (0, 1):
+        for (v, w), n in pairs[k].items():
+            table[(k, *places(v, w))] += n
+    models = lm._class_models(table[0], table[1], len(every), len(own))
+
+    shared = [sum(x for t, x in n.items() if t not in own) + len(every) - len(own) + 1 for n in (c[0], every)]
+
+    def low(k, v, w):
+        n = (c[0], every)[k]
+        return 10 ** models[k][places(v, w)] * (1 if w in own else (n[w] + 1) / shared[k])
+
+    bucket = lambda n: int(math.log2(n + 1))
+    seen = [(bucket(c[0][v]), n, pairs[0][v, w] / c[0][v] / low(0, v, w)) for (v, w), n in pairs[1].items() if c[0][v]]
+    weight = {}
+    for b in {x[0] for x in seen}:
+        n, r = (np.array(x, float) for x in list(zip(*(x for x in seen if x[0] == b)))[1:])
+        lam = 0.5
+        for _ in range(lm.EM_ROUNDS):
+            lam = ((n * lam * r / (lam * r + 1 - lam)).sum() + 1) / (n.sum() + 2)
+        weight[b] = lam
+    both = pairs[0] + pairs[1]
+
+    def p(v, w):
+        lam = weight.get(bucket(every[v]), 0.5) if every[v] else 0
+        return lam * both[v, w] / max(every[v], 1) + (1 - lam) * low(1, v, w)
+
+    return [sum(math.log10(p(v, w)) for v, w in zip([lm.END, *t], t)) for t in toks]
+
+
+@pytest.mark.parametrize("frequent", [lm.FREQUENT, 1500, 100, 0])
+def test_scores_use_all_pairs(spark, sets, monkeypatch, frequent):
+    """Pairs of frequent and of rare tokens, and of tokens that share a class."""
+    monkeypatch.setattr(lm.frequent_tokens, "__defaults__", (frequent,))
+    for df in sets:
+        rows = rows_of(df)
+        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["base_score"], 6), r["score"]) for r in lm.score(df).collect())
+        assert len(got) == len(rows)
+        by_score = Counter()
+        for (i, _), s in zip(rows, by_pairs(spark, rows)):
+            by_score[i] += s
+        for i, s in by_score.items():
+            assert abs(sum(r[3] for r in got if (None if r[0] else r[1]) == i) - s) < 1e-3 * abs(s)
+
+
 def test_model_is_a_distribution_and_beats_the_base(small):
     rng = np.random.default_rng(0)
     width = lm.CLASSES + 1
