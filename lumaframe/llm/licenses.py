@@ -3,7 +3,7 @@
 A text is brought to a canonical form (lower case; copyright lines out; equivalent
 spellings as one; everything but letters and digits is a single space) and its SHA-256
 is joined to the digests of known licence texts. Entire texts are compared: that of a
-document, and that of each of its lines that speaks of a licence, as notices are one
+document, and that of each of its lines with a letter or digit, as notices are one
 line long.
 
 Native throughout; the known digests are a fixed table of a few rows, so that is what
@@ -24,6 +24,7 @@ from .native import let
 
 #: A line that states who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(?:copyright|\(c\)|©)[^\n]{0,20}(?:[0-9]{4}|\(c\)|©|<|\[)[^\n]*$"
+#: What the SQL requires of a line; the scan does not, as not all known texts have it.
 NOTICE = "licen"
 
 
@@ -51,8 +52,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = known(docs.sparkSession).orderBy("license").collect()  # the fixed table
     names = F.create_map(*(F.lit(x) for r in rows for x in (r["digest"], r["license"])))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.contains(F.lower(x), F.lit(NOTICE)))
-    of_lines = F.when(F.contains(F.lower(text), F.lit(NOTICE)), let(lines, lambda xs: F.array_compact(F.transform(xs, lambda x: F.element_at(names, digest(x)))))).otherwise(F.array().cast("array<string>"))
+    lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]")))
+    of_lines = let(lines, lambda xs: F.array_compact(F.transform(xs, lambda x: F.element_at(names, digest(x)))))
     found = docs.select("doc_id", digest(text).alias("text_digest"), of_lines.alias("found"))
     table = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "digest string, license string")
     out = found.join(F.broadcast(table), found.text_digest == table.digest, "left")

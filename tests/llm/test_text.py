@@ -276,6 +276,14 @@ def test_canonical_texts(spark, edges, nothing):
     assert registry.scan_licenses(edges).count() == edges.count() and registry.scan_licenses(nothing).count() == 0
 
 
+def test_every_known_text_is_found_as_a_line(spark):
+    from lumaframe.llm.known_licenses import KNOWN
+
+    rows = [(i, "A first line.\n" + t + "\n \nA last line, of no licence.") for i, (_, t) in enumerate(KNOWN)]
+    got = registry.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["license"], r["notices"], r["n_notices"]) for r in got] == [(None, name, 1) for name, _ in KNOWN]
+
+
 # ---- language model --------------------------------------------------------------------
 
 
