@@ -1,5 +1,7 @@
 """Known licence texts and notices, and spellings that mean the same."""
 
+from pathlib import Path
+
 #: Fixed values. (spelling, usual form), both as they are after punctuation is gone.
 EQUIVALENT = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("sub license", "sublicense"), ("sub licence", "sublicense"),
@@ -29,3 +31,23 @@ KNOWN = (
     ("MIT", "MIT License " + _MIT),
     ("MIT", "The MIT License (MIT) " + _MIT),
 )
+
+
+def _entire() -> tuple[tuple[str, str], ...]:
+    """(licence, entire text) of the files in license_texts, and of BSD licences with
+    their headings and unnumbered."""
+    texts = {f.stem: f.read_text(encoding="utf-8") for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    three = texts.pop("BSD-3-Clause")
+    first, _, rest = three.partition("3. Neither")
+    bsd = [("BSD-3-Clause", "BSD 3-Clause License", three), ("BSD-2-Clause", "BSD 2-Clause License", first + rest[rest.index("THIS SOFTWARE IS PROVIDED") :])]
+    out = list(texts.items())
+    for name, heading, text in bsd:
+        plain = text
+        for n in "123":
+            plain = plain.replace(f"\n{n}. ", "\n* ")
+        out += [(name, x) for t in (text, plain) for x in (t, f"{heading}\n\n{t}")]
+    return tuple(out)
+
+
+#: Fixed values. (licence, entire text) beyond KNOWN; the SQL has KNOWN alone.
+ENTIRE = _entire()

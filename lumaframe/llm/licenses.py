@@ -16,10 +16,12 @@ name, once each; an empty table gives an empty result; extra columns are ignored
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .known_licenses import EQUIVALENT, KNOWN
+from .known_licenses import ENTIRE, EQUIVALENT, KNOWN
 from .native import let
 
 #: A line that states who holds the copyright.
@@ -41,15 +43,17 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
-def known(spark) -> DataFrame:
-    """(digest, license) of the known texts: as many rows as KNOWN has."""
-    return spark.createDataFrame(sorted(KNOWN), "license string, known string").select(digest(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
+def known(spark, more: Iterable[tuple[str, str]] = ()) -> DataFrame:
+    """(digest, license) of the known texts and of ``more``: at most as many rows as those have."""
+    return spark.createDataFrame(sorted({*KNOWN, *ENTIRE, *more}), "license string, known string").select(digest(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, more: Iterable[tuple[str, str]] = ()) -> DataFrame:
     """doc_id, text_digest, license (of the entire text, or null), notices (names of
-    the licences whose notice is a line, comma-joined) and n_notices (such lines)."""
-    rows = known(docs.sparkSession).orderBy("license").collect()  # the fixed table
+    the licences whose notice is a line, comma-joined) and n_notices (such lines).
+
+    ``more``: (licence, text) of a caller that are known too."""
+    rows = known(docs.sparkSession, more).orderBy("license").collect()  # the fixed table
     names = F.create_map(*(F.lit(x) for r in rows for x in (r["digest"], r["license"])))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]")))

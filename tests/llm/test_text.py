@@ -284,6 +284,15 @@ def test_every_known_text_is_found_as_a_line(spark):
     assert [(r["license"], r["notices"], r["n_notices"]) for r in got] == [(None, name, 1) for name, _ in KNOWN]
 
 
+def test_entire_licences_and_a_callers(spark):
+    from lumaframe.llm.known_licenses import ENTIRE
+
+    assert {"BSD-2-Clause", "BSD-3-Clause", "MPL-2.0", "LGPL-2.1", "Unlicense", "Apache-2.0", "GPL-3.0", "CC0-1.0"} <= {name for name, _ in ENTIRE}
+    rows = [*enumerate(t.upper().replace("\n", "\r\n") for _, t in ENTIRE), (len(ENTIRE), "The Own License: do as we say.")]
+    got = registry.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string"), [("Own", "the own licence; do as we say")]).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == [*(name for name, _ in ENTIRE), "Own"]
+
+
 # ---- language model --------------------------------------------------------------------
 
 
