@@ -26,6 +26,10 @@ from .native import let
 
 #: A line that states who holds the copyright.
 COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(?:copyright|\(c\)|©)[^\n]{0,20}(?:[0-9]{4}|\(c\)|©|<|\[)[^\n]*$"
+#: A line that may state it in other words; it does if it is no part of a known text.
+HOLDER_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved\b)"
+#: One that is no part of any text's terms, though MPL-1.1 has the words.
+RESERVED_LINE = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
 #: What the SQL requires of a line; the scan does not, as not all known texts have it.
 NOTICE = "licen"
 
@@ -43,13 +47,25 @@ def digest(text: Column) -> Column:
     return F.sha2(canonical(text), 256)
 
 
+def without_holders(text: Column, known_words: Column) -> Column:
+    """``text`` in lower case without the lines that state a copyright, whatever follows
+    and at any distance. ``known_words``: canonical known texts, with a space around each."""
+
+    def stays(line: Column) -> Column:
+        part = F.contains(known_words, F.concat(F.lit(" "), canonical(line), F.lit(" ")))
+        return ~F.rlike(line, F.lit(HOLDER_LINE)) | (part & ~F.rlike(line, F.lit(RESERVED_LINE)))
+
+    return F.array_join(F.filter(F.split(F.lower(text), "\n"), stays), "\n")
+
+
 def known(spark, more: Iterable[tuple[str, str]] = ()) -> DataFrame:
-    """(digest, license) of the known texts and of ``more``: at most as many rows as those have."""
-    return spark.createDataFrame(sorted({*KNOWN, *ENTIRE, *more}), "license string, known string").select(digest(F.col("known")).alias("digest"), "license").dropDuplicates(["digest"])
+    """(digest, license, words) of the known texts and of ``more``: at most as many rows as those have."""
+    return spark.createDataFrame(sorted({*KNOWN, *ENTIRE, *more}), "license string, known string").select(digest(F.col("known")).alias("digest"), "license", canonical(F.col("known")).alias("words")).dropDuplicates(["digest"])
 
 
 def scan_licenses(docs: DataFrame, more: Iterable[tuple[str, str]] = ()) -> DataFrame:
-    """doc_id, text_digest, license (of the entire text, or null), notices (names of
+    """doc_id, text_digest, license (that of the digest, or of the entire text
+    without any line that states a copyright, or null), notices (names of
     the licences whose notice is a line, comma-joined) and n_notices (such lines).
 
     ``more``: (licence, text) of a caller that are known too."""
@@ -58,7 +74,8 @@ def scan_licenses(docs: DataFrame, more: Iterable[tuple[str, str]] = ()) -> Data
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]")))
     of_lines = let(lines, lambda xs: F.array_compact(F.transform(xs, lambda x: F.element_at(names, digest(x)))))
-    found = docs.select("doc_id", digest(text).alias("text_digest"), of_lines.alias("found"))
-    table = docs.sparkSession.createDataFrame([tuple(r) for r in rows], "digest string, license string")
-    out = found.join(F.broadcast(table), found.text_digest == table.digest, "left")
-    return out.select("doc_id", "text_digest", "license", F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
+    words = F.lit(" " + " | ".join(r["words"] for r in rows) + " ")
+    bare = F.when(F.rlike(F.lower(text), F.lit(HOLDER_LINE)), digest(without_holders(text, words)))
+    found = docs.select("doc_id", digest(text).alias("text_digest"), bare.alias("bare"), of_lines.alias("found"))
+    license = F.coalesce(F.element_at(names, F.col("text_digest")), F.element_at(names, F.col("bare")))
+    return found.select("doc_id", "text_digest", license.alias("license"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))

@@ -293,6 +293,16 @@ def test_entire_licences_and_a_callers(spark):
     assert [r["license"] for r in got] == [*(name for name, _ in ENTIRE), "Own"]
 
 
+def test_copyright_lines_in_any_words(spark):
+    from lumaframe.llm.known_licenses import _ISC, _MIT
+
+    heads = ["Copyright Massachusetts Institute of Technology 2019", "# Copyright Jane Alexandra Doe-Smith, 2019", "Copyright The Go Authors. All rights reserved.", "(c) Some Body\nAll rights reserved."]
+    wrapped = _ISC.replace("the above copyright", "the above\ncopyright")
+    rows = list(enumerate(f"{h}\n\n{t}" for h in heads for t in (_MIT, wrapped)))
+    got = registry.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["license"] for r in got] == ["MIT", "ISC"] * len(heads)
+
+
 # ---- language model --------------------------------------------------------------------
 
 
