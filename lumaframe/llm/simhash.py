@@ -212,15 +212,16 @@ def fingerprint_links(distinct: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, hot_key: int = HOT_KEY) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, row_key, fp, fingerprint
-    (16 hex digits), component_id (smallest doc_id reachable)."""
+    (16 hex digits), component_id (smallest doc_id reachable), root (the
+    component's key, also where no row has an id)."""
     fps = materialize(fingerprints(docs), "fingerprints")
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct")
     roots = connected_components(fingerprint_links(distinct, hot_key))
     node = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
     least = node.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    of = node.select("fp", "root").join(least, "root").select("fp", "component_id")
+    of = node.select("fp", "root").join(least, "root").select("fp", "root", "component_id")
     out = fps.join(of, "fp")
-    return out.select("doc_id", "row_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select("doc_id", "row_key", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "root")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -228,10 +229,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     rows that share it (or where all are null) the one with the smallest key. All
     columns of ``docs`` are kept."""
     near = near_duplicates(docs)
-    # the class key is the component id, or the fingerprint where no row has an id
     near = near.withColumn("first", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
-    near = near.withColumn("cls", F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp")))
-    stay = near.groupBy("cls").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
+    stay = near.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row_key").alias("row_key"))
     key = fresh(docs, "__row_key")
     keyed = with_row_key(docs, key)
     return keyed.join(by_merge(stay.withColumnRenamed("row_key", key)), key, "left_semi").dropDuplicates([key]).select(*docs.columns)

@@ -195,3 +195,13 @@ def test_texts_longer_than_a_block(monkeypatch):
 
 def test_substrings_of_nothing(nothing):
     assert S.remove_repeats(nothing).count() == 0
+
+
+def test_near_copies_without_ids_are_one(spark):
+    """A component of several fingerprints none of whose rows has an id."""
+    words = [f"w{i}" for i in range(500)]
+    own = fingerprint(" ".join(words).encode())
+    others = (" ".join([*words[:i], "other", *words[i + 1 :]]) for i in range(500))
+    near = [t for t in others if 1 <= (fingerprint(t.encode()) ^ own).bit_count() <= MAX_BITS][:3]
+    docs = spark.createDataFrame([(None, t) for t in (" ".join(words), *near)], "doc_id long, text string")
+    assert len(near) == 3 and drop_near_duplicates(docs).count() == 1
