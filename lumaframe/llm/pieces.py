@@ -18,10 +18,12 @@ Scale: row by row, no shuffle. No piece goes on past a space into the next word
 across a line end, so the lattice falls apart into words; the distinct words of a batch are
 filtered together, once, and all their occurrences are sampled together, in arrays. Memory is bounded
 by ``MOST_EDGES``; words over ``LONG_WORD`` characters are sampled one by one in linear time.
+What a word's states hold depends on the word alone, to the last digit, so batch sizes,
+retries and partitions change no sample.
 
 Defined results: null text gives null pieces and decodes to null; empty text gives no
-pieces; a null key is a key like any other; repeated rows give equal samples; an
-empty table gives an empty result; extra columns are kept by ``encode``.
+pieces; a null key is a key like any other, and so is one that is no number; repeated
+rows give equal samples; a very long text is a lot of its own; an empty table gives an empty result; extra columns are kept by ``encode``.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
@@ -119,28 +122,30 @@ class Vocabulary:
 
 
 class Prefixes:
-    """The beginnings of all pieces, by length, as sorted hashes of their characters."""
+    """The beginnings of all pieces, as a tree.
+
+    ``tables[n]`` holds the beginnings of n + 1 characters: sorted keys, each the number
+    of the beginning one character shorter and the last character, which no two
+    beginnings share; then piece and weight, -1 and 0 where it is no piece.
+    """
 
     def __init__(self, v: Vocabulary) -> None:
-        known: list[dict[int, tuple[int, float]]] = [{} for _ in range(v.longest)]
-        for piece, (i, w) in v.weight.items():
-            h = 0
-            for n, c in enumerate(piece):
-                h = self.step(h, ord(c))
-                if n == len(piece) - 1:
-                    known[n][h] = (i, w)
-                else:
-                    known[n].setdefault(h, (-1, 0.0))
-        self.tables = []
-        for table in known:
-            keys = sorted(table)
-            self.tables.append((np.array(keys, dtype=_U), np.array([table[k][0] for k in keys], dtype=np.int64), np.array([table[k][1] for k in keys])))
+        levels: list[dict[str, tuple[int, float]]] = [{} for _ in range(v.longest)]
+        for piece, found in v.weight.items():
+            for n in range(1, len(piece)):
+                levels[n - 1].setdefault(piece[:n], (-1, 0.0))
+            levels[len(piece) - 1][piece] = found
+        self.tables, number = [], {"": 0}
+        for level in levels:
+            keys = {int(self.key(number[b[:-1]], ord(b[-1]))): b for b in level}
+            order = sorted(keys)
+            number = {keys[k]: i for i, k in enumerate(order)}
+            self.tables.append((np.array(order, dtype=np.int64), np.array([level[keys[k]][0] for k in order], dtype=np.int64), np.array([level[keys[k]][1] for k in order])))
 
     @staticmethod
-    def step(h, code):
-        if isinstance(h, int):
-            return (h * 0x9E3779B97F4A7C15 + code + 1) & (1 << 64) - 1
-        return h * _U(0x9E3779B97F4A7C15) + code + _U(1)
+    def key(parent, code):
+        """Code points take 21 bits."""
+        return parent << 21 | code
 
 
 class Sampler:
@@ -167,23 +172,23 @@ class Sampler:
     def _learn(self, words: list[str]) -> None:
         """Add the edges of words of LONG_WORD characters at most."""
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(_U)
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         # a word of n characters has n + 1 states; place p of the text is state p + (words before it)
         first = np.cumsum(sizes) - sizes
         word = np.repeat(np.arange(len(words)), sizes)
         offset = np.arange(len(code)) - first[word]
         room = sizes[word] - offset
-        live, h = np.arange(len(code)), np.zeros(len(code), dtype=_U)
+        live, node = np.arange(len(code)), np.zeros(len(code), dtype=np.int64)
         begin, size, ids, weight = [], [], [], []
         for n, (keys, piece, w) in enumerate(self.prefixes.tables, 1):
-            h = Prefixes.step(h, code[live + n - 1])
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[at] == h
+            key = Prefixes.key(node, code[live + n - 1])
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
             if n == 1:  # characters without a piece, and the mark itself, are spelled in bytes
                 bare = ~hit | (piece[at] < 0) | (code == ord(SPACE_MARK))
                 begin.append(live[bare])
                 size.append(np.ones(int(bare.sum()), dtype=np.int64))
-                ids.append(_ESCAPE + code[bare].astype(np.int64))
+                ids.append(_ESCAPE + code[bare])
                 weight.append(np.full(int(bare.sum()), self.v.escape))
                 whole = hit & (piece[at] >= 0) & ~bare
             else:
@@ -193,7 +198,7 @@ class Sampler:
             ids.append(piece[at[whole]])
             weight.append(w[at[whole]])
             more = hit & (room[live] > n)
-            live, h = live[more], h[more]
+            live, node = live[more], at[more]
             if not len(live):
                 break
         begin, size, ids, weight = (np.concatenate(x) for x in (begin, size, ids, weight))
@@ -210,12 +215,16 @@ class Sampler:
             share[e] = before[state[e]] * weight[e]
             np.add.at(before, end[e], share[e])
         share /= before[end]
-        order = np.argsort(end - share, kind="stable")  # by state, and the most likely first
+        # by state, the most likely first, the shorter of equally likely ones
+        order = np.lexsort((size, -share, end))
         end, size, ids, share = (x[order] for x in (end, size, ids, share))
-        summed = np.cumsum(share)
         group = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
         last = np.append(group[1:], len(end)) - 1
-        summed -= np.repeat(summed[group] - share[group], last - group + 1)
+        # summed within each state alone, so that company changes no digit
+        summed, within = share.copy(), np.arange(len(end)) - np.repeat(group, last - group + 1)
+        for k in range(1, int(within.max(initial=0)) + 1):
+            at = np.flatnonzero(within == k)
+            summed[at] += summed[at - 1]
         summed[last] = 1.0
         base = self.states + first + np.arange(len(words))
         edge = np.zeros(len(before), dtype=np.int32)
@@ -336,7 +345,12 @@ def _lots(texts: list[str | None], most: int = 1 << 21) -> Iterator[tuple[int, i
 
 
 def seed_of(key: object) -> int:
-    return zlib.crc32(b"null") if key is None else int(key) & (1 << 64) - 1
+    """A row key's seed: a whole number is its own, any other key that of its text."""
+    if key is None:
+        return zlib.crc32(b"null")
+    if isinstance(key, int):
+        return key & (1 << 64) - 1
+    return xxhash.xxh64_intdigest(key if isinstance(key, bytes) else str(key).encode("utf-8", "surrogatepass"))
 
 
 def sampled(texts: list[str | None], keys: list, of: Sampler) -> Iterator[list[np.ndarray | None]]:

@@ -71,10 +71,62 @@ def test_samples_follow_the_lattice():
 
 
 def test_long_words_sample_alike():
+    """The way of long words and that of short ones draw the same pieces."""
     v = pieces.vocabulary(pieces.model_path())
-    word = "thereforeandsoon" * 3
-    short = pieces.Sampler(v).sample([word], [5])[0].tolist()
-    assert pieces.Sampler(v)._long(word, 5, len(word)) [::-1] == short
+    for word in ("thereforeandsoon" * 2, " internationalisation\t𝒳"):
+        assert len(word) <= pieces.LONG_WORD
+        for seed in range(200):
+            short = pieces.Sampler(v).sample([word], [seed])[0].tolist() if seed < 5 else of_all.sample([word], [seed])[0].tolist()
+            of_all = pieces.Sampler(v) if seed < 5 else of_all
+            ids = np.array(of_all._long(word, seed, len(word))[::-1], dtype=np.int64)
+            if (ids >= pieces._ESCAPE).any():
+                ids, _ = of_all._spell(ids, np.zeros(len(ids), np.int64))
+            assert ids.tolist() == short
+
+
+def odd_words():
+    """Long stems with a tab, a digit or a rare letter behind, and pieces' own beginnings."""
+    rng = np.random.default_rng(4)
+    v = pieces.vocabulary(pieces.model_path())
+    stems = [w.strip() for w in v.weight if w.isascii() and w.strip().isalpha() and len(w) > 6]
+    ends = ["\t", "7", "𝒳", "ß", "▁", "'s", "ization", "\tx", "漢"]
+    return [(" " if rng.random() < 0.5 else "") + stems[i] + e for i, e in zip(rng.integers(0, len(stems), 1000), rng.choice(ends, 1000))]
+
+
+def test_every_state_is_the_lattice():
+    """All states of odd words, learned among many others, against the exact lattice."""
+    v = pieces.vocabulary(pieces.model_path())
+    s = pieces.Sampler(v)
+    rng = np.random.default_rng(5)
+    odd = list(dict.fromkeys(odd_words()))
+    others = {"".join(rng.choice(list("etaoinshr "), n)).strip() or "x" for n in rng.integers(1, 25, 60_000)}
+    words = [*others.difference(odd), *odd]
+    s._learn(words)
+    for w in odd:
+        for place, (lengths, ids, sums) in enumerate(v.edges(w), 1):
+            e = int(s.first[s.at[w] + place])
+            got = list(zip(s.length[e : e + len(ids)].tolist(), s.piece[e : e + len(ids)].tolist()))
+            assert sorted(got) == sorted(zip(lengths, ids)) and s.keys[e + len(ids) - 1] == 1.0
+            want = dict(zip(zip(lengths, ids), np.diff([0, *sums])))
+            assert all(abs(p - want[k]) < 1e-9 for k, p in zip(got, np.diff([0, *s.keys[e : e + len(ids)]])))
+
+
+def test_company_changes_no_sample():
+    v = pieces.vocabulary(pieces.model_path())
+    text = "see responsibility𝒳 and configuration𝒳 here\t" + " ".join(odd_words()[:50])
+    long = " ".join(odd_words()) * 20
+    for seed in range(40):
+        alone = pieces.Sampler(v).sample([text], [seed])[0] if seed < 8 else own.sample([text], [seed])[0]
+        own = pieces.Sampler(v) if seed < 8 else own
+        company = pieces.Sampler(v) if seed < 2 else company
+        assert np.array_equal(alone, company.sample([long, text, long], [7, seed, 8])[1])
+
+
+def test_any_key(spark):
+    df = spark.createDataFrame([("a", "there and there"), ("b", "there"), (None, "there"), ("a", "there and there")], "k string, text string")
+    out = pieces.decode(pieces.encode(df, key="k")).collect()
+    assert all(r["decoded"] == r["text"] for r in out)
+    assert len({tuple(r["pieces"]) for r in out if r["k"] == "a"}) == 1
 
 
 # ---- packing ---------------------------------------------------------------------------
