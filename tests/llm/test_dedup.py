@@ -11,7 +11,7 @@ from lumaframe.llm import registry
 from lumaframe.llm import substring_dedup as S
 from lumaframe.llm.common import connected_components
 from lumaframe.llm.exact_dedup import drop_copies, exact_dedup
-from lumaframe.llm.simhash import MAX_BITS, chains_hold, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates
+from lumaframe.llm.simhash import MAX_BITS, drop_near_duplicates, fingerprint, fingerprint_links, near_duplicates, prune
 
 SPACE = str.maketrans("", "", " \t\n\x0b\x0c\r")
 
@@ -111,8 +111,11 @@ def test_pigeonring_misses_nothing(spark):
     rng = random.Random(1)
     for _ in range(3000):
         flips = rng.sample(range(64), rng.randint(0, 4))
-        differ = np.array([sum(1 << b for b in flips)], dtype=np.uint64)
-        assert any(chains_hold(np.array([i]), differ)[0] for i in range(5))
+        fp = np.array([0, sum(1 << b for b in flips)], dtype=np.uint64)
+        assert any(len(prune(np.array([0]), np.array([1]), np.array([i]), fp)[0]) for i in range(5))
+    for _ in range(3000):  # and no pair beyond them does
+        fp = np.array([0, sum(1 << b for b in rng.sample(range(64), rng.randint(5, 9)))], dtype=np.uint64)
+        assert not any(len(prune(np.array([0]), np.array([1]), np.array([i]), fp)[0]) for i in range(5))
     base = rng.getrandbits(63)
     pairs = []
     for _ in range(300):
@@ -137,7 +140,7 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_near_keeps_one_of_each(edges, nothing):
     near = near_duplicates(edges).collect()
-    classes = {(r["component_id"], None if r["component_id"] is not None else r["fp"]) for r in near}
+    classes = {r["root"] for r in near}  # two components may have one smallest id, where ids repeat
     out = drop_near_duplicates(edges)
     assert out.columns == edges.columns and out.count() == len(classes)
     assert drop_near_duplicates(nothing).count() == 0
