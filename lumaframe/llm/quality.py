@@ -35,11 +35,12 @@ MARKS = r"[^\p{L}\x20\x09-\x0D]"  # neither letters nor spaces
 WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED = 30  # percent of words
-EM_ROUNDS = 100
+#: EM ends when no posterior moves by more than this, or after so many rounds.
+STILL, EM_ROUNDS = 1e-9, 1000
 
-#: How often a rule is taken to call a clean document junk before any is seen; the
-#: documents it votes on count as much again as what is seen of them.
-FALSE_ALARM = 0.01
+#: Votes (right, wrong) that a rule is taken to have cast on clean and on junk documents
+#: before any is seen: a few, whatever the size of the input, so that data outweigh them.
+ON_CLEAN, ON_JUNK = (9, 1), (1, 1)
 
 #: (rule, measure, clean if, junk if); neither: it abstains. Measures of one thing are
 #: one rule, as EM takes rules to err independently.
@@ -100,6 +101,12 @@ def votes() -> list[Column]:
     return [F.when(F.expr(junk), -1).when(F.expr(clean), 1).otherwise(0).alias(f"vote_{name}") for name, _, clean, junk in RULES]
 
 
+def _accuracy(votes: list[tuple[float, int]], right: int, before: tuple[int, int]) -> float:
+    """Share of right votes among (documents, vote), abstentions aside."""
+    cast = sum(n for n, v in votes if v)
+    return (sum(n for n, v in votes if v == right) + before[0]) / (cast + sum(before))
+
+
 def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[float, float]]]:
     """EM over (votes, documents): log odds of clean before any vote, and for each
     rule the log odds that its vote for clean and its vote for junk add.
@@ -120,18 +127,12 @@ def fit(patterns: list[tuple[tuple[int, ...], int]]) -> tuple[float, list[tuple[
         prior = math.log((all_clean + 1) / (everything - all_clean + 1))
         weights = []
         for j in rules:
-            right_clean = sum(p * n for p, (v, n) in zip(post, patterns) if v[j] > 0)
-            voted_clean = sum(p * n for p, (v, n) in zip(post, patterns) if v[j])
-            right_junk = sum((1 - p) * n for p, (v, n) in zip(post, patterns) if v[j] < 0)
-            voted_junk = sum((1 - p) * n for p, (v, n) in zip(post, patterns) if v[j])
-            voted = voted_clean + voted_junk + 1
-            on_clean = (right_clean + (1 - FALSE_ALARM) * voted) / (voted_clean + voted)
-            on_junk = (right_junk + 1) / (voted_junk + 3)
-            # a vote never speaks against itself
-            weights.append((max(0.0, math.log(on_clean / (1 - on_junk))), min(0.0, math.log((1 - on_clean) / on_junk))))
+            on_clean = _accuracy([(p * n, v[j]) for p, (v, n) in zip(post, patterns)], 1, ON_CLEAN)
+            on_junk = _accuracy([((1 - p) * n, v[j]) for p, (v, n) in zip(post, patterns)], -1, ON_JUNK)
+            weights.append((math.log(on_clean / (1 - on_junk)), math.log((1 - on_clean) / on_junk)))
         odds = [prior + sum(weights[j][0] if v[j] > 0 else weights[j][1] if v[j] < 0 else 0.0 for j in rules) for v, _ in patterns]
         post = [1 / (1 + math.exp(-max(-50.0, min(50.0, x)))) for x in odds]
-        if max(abs(a - b) for a, b in zip(post, last)) < 1e-9:
+        if max(abs(a - b) for a, b in zip(post, last)) < STILL:
             break
     return prior, weights
 

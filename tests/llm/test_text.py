@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from lumaframe.llm import lm, packing, pieces, quality, registry, secrets, toxicity, trigrams
@@ -293,6 +294,44 @@ def test_quality_measures(sets, nothing):
     assert quality.drop_junk(sets[0]).columns == sets[0].columns
 
 
+def vote_of(t):
+    """The rules' votes on a text, worked out from it."""
+    n, chars, symbols, dup, _ = measures(t)
+    t = t or ""
+    lines = sum(bool(SPACE.search(x)) for x in t.split("\n"))
+    marks, capitals, distinct = len(regex.findall(r"[^\p{L}\x20\x09-\x0D]", t)), len(re.findall("[A-Z]", t)), len(set(SPACE.findall(t)))
+    said = [
+        (3 * n <= chars <= 10 * n, chars < 2 * n or chars > 14 * n), (20 * symbols <= n, 5 * symbols > n), (8 * marks <= chars, 5 * marks > chars),
+        (10 * dup <= lines and 5 * distinct >= n, 2 * dup > lines or 12 * distinct < n), (5 * capitals <= chars, 2 * capitals > chars),
+    ]
+    return [-1 if junk else int(clean) for clean, junk in said]
+
+
+def posteriors(votes):
+    """EM document by document."""
+    v = np.array(votes)
+    p = np.choose(np.minimum((v < 0).sum(axis=1), 2), [0.95, 0.3, 0.05])
+    for _ in range(1000):
+        clean = [((p[:, None] * (v > 0)).sum(axis=0) + 9) / ((p[:, None] * (v != 0)).sum(axis=0) + 10)]
+        junk = [(((1 - p)[:, None] * (v < 0)).sum(axis=0) + 1) / (((1 - p)[:, None] * (v != 0)).sum(axis=0) + 2)]
+        share = (p.sum() + 1) / (len(v) + 2)
+        on_clean = share * np.where(v > 0, clean, np.where(v < 0, 1 - np.array(clean), 1)).prod(axis=1)
+        on_junk = (1 - share) * np.where(v < 0, junk, np.where(v > 0, 1 - np.array(junk), 1)).prod(axis=1)
+        last, p = p, on_clean / (on_clean + on_junk)
+        if np.abs(p - last).max() < 1e-9:
+            break
+    return p
+
+
+def test_kept_brute_force(sets):
+    for df in sets:
+        rows = [(i, t) for i, t in rows_of(df)]
+        passed = [(i, t) for i, t in rows if not ((m := measures(t))[0] < 20 or 100 * m[4] > 30 * m[0])]
+        want = Counter((i, round(float(p), 5), bool(p >= 0.5)) for (i, t), p in zip(passed, posteriors([vote_of(t) for _, t in passed])))
+        got = [r for r in quality.judge(df).collect() if not r["base_failed"]]
+        assert Counter((r["doc_id"], round(r["p_clean"], 5), r["kept"]) for r in got) == want
+
+
 def test_em_finds_the_rules_that_work():
     rng = np.random.default_rng(1)
     accuracy = [(0.99, 0.9), (0.97, 0.6), (0.98, 0.7), (0.9, 0.1), (0.99, 0.05)]  # on clean, on junk
