@@ -11,21 +11,26 @@ The query's chain is low_quality (``labels.quality`` = 0), then toxic
 
 A document's features are its lower-cased runs of letters and their beginnings, hashed
 to ``DIMENSIONS`` places; a place counts once. Training uses at most ``SAMPLE`` labelled documents, those with the least
-hash of doc_id: a documented bound. All documents are scored.
+hash of doc_id and at most ``MOST_PLACES`` places together: documented bounds. Of a
+word's places, those that do not tell the classes apart (``LEAST_Z`` standard errors) or
+occur in fewer than ``LEAST_DOCUMENTS`` fitted documents have no weight. Training goes on
+until the gradient vanishes (``STILL``). All documents are scored.
 
 Scale: one pass with a broadcast of DIMENSIONS weights for each category; the labelled
-sample (place numbers, not texts) is all that reaches the driver.
+sample (place numbers, not texts, 160 MB at most) is all that reaches the driver.
 
 Defined results: null text has no words and is scored by the intercepts; null doc_id is
 an id like any other and is never labelled; repeated rows are scored each, alike;
-labels that repeat count once, by their largest values; without both kinds of label a
-category is constant; an empty table gives an empty result; extra columns are ignored.
+labels that repeat count once, by their largest values; of rows that share a labelled
+doc_id the one whose text has the least hash is fitted; without both kinds of label a
+category is constant; a very long text is one row's set of places; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,6 +39,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize, release
+
 SAMPLE = 12_000
 DIMENSIONS = 1 << 18
 FOLDS = 5
@@ -44,8 +51,13 @@ STEMS = (4, 5)
 LEAST_DOCUMENTS = 3
 #: Standard errors by which a word's share must differ between classes for it to count.
 LEAST_Z = 4.0
-ROUNDS, STEP = 100, 0.3
 PENALTY = 0.005
+#: Training ends where no part of the gradient exceeds this much of the documents' number.
+STILL = 1e-6
+#: Steps and gradients that the approximation of the curvature looks back on.
+HISTORY = 10
+#: Places of all fitted documents together, at most.
+MOST_PLACES = 40_000_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 _REMEMBERED = 500_000
 
@@ -93,8 +105,38 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def minimise(loss: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, still: float) -> np.ndarray:
+    """Where a convex ``loss`` (value, gradient) is least: limited-memory quasi-Newton
+    steps, halved until the value falls enough, until no part of the gradient is over
+    ``still`` or no step lowers the value any more."""
+    value, grad = loss(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    while np.abs(grad).max() > still:
+        way, parts = -grad, []
+        for s, y in reversed(steps):
+            a = (s @ way) / (s @ y)
+            way = way - a * y
+            parts.append(a)
+        way = way * ((steps[-1][0] @ steps[-1][1]) / (steps[-1][1] @ steps[-1][1]) if steps else 1 / max(1.0, np.abs(grad).sum()))
+        for (s, y), a in zip(steps, reversed(parts)):
+            way = way + (a - (y @ way) / (s @ y)) * s
+        slope, size = float(grad @ way), 1.0
+        while True:
+            there, its = loss(x + size * way)
+            if there <= value + 1e-4 * size * slope:
+                break
+            size /= 2
+            if size < 1e-12:  # as low as numbers go
+                return x
+        s, y = size * way, its - grad
+        x, value, grad = x + s, there, its
+        if s @ y > 0:
+            steps = [*steps[1 - HISTORY :], (s, y)]
+    return x
+
+
 def train(places: list[np.ndarray], before: np.ndarray, labels: np.ndarray) -> Model:
-    """L2-penalised logistic regression by adaptive full-batch steps."""
+    """L2-penalised logistic regression, minimised until it is still."""
     n, chain = len(labels), before.shape[1]
     words = np.zeros(DIMENSIONS)
     if n == 0 or labels.min() == labels.max():
@@ -118,15 +160,16 @@ def train(places: list[np.ndarray], before: np.ndarray, labels: np.ndarray) -> M
     flat, own = number[flat[keep]], own[keep]
     theta = np.zeros(len(used) + chain + 1)
     theta[-1] = np.log(labels.mean() / (1 - labels.mean()))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    for step in range(1, ROUNDS + 1):
-        w, c = theta[: len(used)], theta[len(used) : -1]
-        error = _sigmoid(np.bincount(own, w[flat] * worth, minlength=n) + before @ c + theta[-1]) - labels
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        w, c = x[: len(used)], x[len(used) : -1]
+        z = np.bincount(own, w[flat] * worth, minlength=n) + before @ c + x[-1]
+        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - labels
         grad = np.concatenate([np.bincount(flat, error[own] * worth, minlength=len(used)), error @ before, [error.sum()]])
-        grad[:-1] += PENALTY * theta[:-1]
-        m = 0.9 * m + 0.1 * grad
-        v = 0.99 * v + 0.01 * grad**2
-        theta = theta - STEP * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        grad[:-1] += PENALTY * x[:-1]
+        return float((np.logaddexp(0, z) - labels * z).sum() + PENALTY / 2 * (x[:-1] @ x[:-1])), grad
+
+    theta = minimise(loss, theta, STILL * n)
     words[used] = theta[: len(used)] * value[used]
     return Model(words, theta[len(used) : -1], float(theta[-1]))
 
@@ -171,12 +214,18 @@ def classify(docs: DataFrame, labels: DataFrame, categories: dict[str, Column],
     def as_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Places()
         for b in batches:
-            rows = [of(t).tolist() for t in b["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([b["order"], *(b[n] for n in names), pa.array(rows, pa.list_(pa.int32()))], ["order", *names, "places"])
-
-    rows = texts.select("order", "text", *names).mapInArrow(as_places, "order long, " + "".join(f"`{n}` int, " for n in names) + "places array<int>")
-    t = rows.dropDuplicates(["order"]).toArrow().sort_by("order")
-    places = [np.array(p, dtype=np.int64) for p in t["places"].to_pylist()]
+            found = [of(t) for t in b["text"].to_pylist()]
+            sizes, packed = pa.array([len(p) for p in found], pa.int64()), pa.array([np.sort(p).astype("<i4").tobytes() for p in found], pa.binary())
+            yield pa.RecordBatch.from_arrays([b["order"], b["own"], *(b[n] for n in names), sizes, packed], ["order", "own", *names, "size", "places"])
+
+    rows = texts.select("order", F.xxhash64("text").alias("own"), "text", *names).mapInArrow(as_places, "order long, own long, " + "".join(f"`{n}` int, " for n in names) + "size long, places binary")
+    one = materialize(rows.groupBy("order").agg(*(F.min_by(n, "own").alias(n) for n in (*names, "size", "places"))), "places")
+    room = np.array(sorted((r["order"], r["size"]) for r in one.select("order", "size").collect()), dtype=np.int64).reshape(-1, 2)  # at most ``sample`` rows
+    fits = np.cumsum(room[:, 1]) <= MOST_PLACES
+    last = int(room[fits, 0].max()) if fits.any() else -(1 << 63)
+    t = one.where(F.col("order") <= last).toArrow().sort_by("order")
+    release(one)
+    places = [np.frombuffer(p, "<i4").astype(np.int64) for p in t["places"].to_pylist()]
     y = np.column_stack([t[n].to_numpy() for n in names]).reshape(-1, len(names))
     order = t["order"].to_numpy()
     del t

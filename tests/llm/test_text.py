@@ -532,6 +532,90 @@ def test_the_chain_uses_earlier_categories():
     assert ((p[:, 1] >= 0.5) == (first == 1)).all()
 
 
+def newton(x, labels, penalty):
+    """Penalised logistic regression, dense, to the end; the last column is a constant."""
+    theta = np.zeros(x.shape[1])
+    theta[-1] = math.log(labels.mean() / (1 - labels.mean()))
+    keep = np.append(np.full(x.shape[1] - 1, penalty), 0.0)
+
+    def loss(t):
+        z = x @ t
+        return (np.logaddexp(0, z) - labels * z).sum() + (keep * t * t).sum() / 2
+
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-(x @ theta)))
+        grad = x.T @ (p - labels) + keep * theta
+        way = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep + 1e-12), grad)
+        size = 1.0
+        while loss(theta - size * way) > loss(theta) and size > 1e-9:
+            size /= 2
+        theta = theta - size * way
+        if np.abs(grad).max() < 1e-8:
+            break
+    return theta
+
+
+def chained(texts, labels, folds):
+    """A plain chain over dense matrices; probabilities of all texts."""
+    def words_of(t):
+        runs = [r for w in set((t or "").lower().split()) for r in re.findall(r"[^\W\d_]+", w)]
+        return {toxicity.place(x) for r in runs for x in (r, *(r[:n] + "-" for n in (4, 5) if len(r) > n))}
+
+    sets_ = [words_of(t) for t in texts]
+    columns = sorted(set().union(*sets_))
+    at = {c: k for k, c in enumerate(columns)}
+    has = np.zeros((len(texts), len(columns)))
+    for i, s in enumerate(sets_):
+        has[i, [at[c] for c in s]] = 1
+
+    def model(rows, before, y):
+        n, n1 = len(rows), y[rows].sum()
+        if n1 in (0, n):
+            return lambda own, b: np.full(len(own), (n1 + 1) / (n + 2))
+        seen, positive = has[rows].sum(axis=0), has[rows][y[rows] == 1].sum(axis=0)
+        share = np.maximum(seen, 1) / n
+        z = (positive / n1 - (seen - positive) / (n - n1)) / np.sqrt(share * np.maximum(1 - share, 0.5 / n) * (1 / n1 + 1 / (n - n1)))
+        value = np.sign(z) * np.maximum(np.abs(z) - 4, 0) * (seen >= 3)
+        value = value / max(1.0, np.abs(value).max())
+        used = value != 0
+        x = lambda own, b: np.column_stack([has[own][:, used] * value[used], b, np.ones(len(own))])
+        theta = newton(x(rows, before[rows]), y[rows], 0.005)
+        return lambda own, b: 1 / (1 + np.exp(-(x(own, b) @ theta)))
+
+    everyone, out = np.arange(len(texts)), np.zeros((len(texts), 0))
+    before = np.zeros((len(texts), 0))
+    for k in range(labels.shape[1]):
+        y = labels[:, k].astype(float)
+        out = np.column_stack([out, model(everyone, before, y)(everyone, out)])
+        apart = np.zeros(len(texts))
+        for f in range(5):
+            test, rest = everyone[folds == f], everyone[folds != f]
+            if len(test):
+                apart[test] = model(rest, before, y)(test, before[test])
+        before = np.column_stack([before, apart])
+    return out
+
+
+def test_chain_brute_force(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    got = {r["doc_id"]: (r["p_low_quality"], r["p_toxic"]) for r in toxicity.classify(docs, labels, chain).collect()}
+    rows = docs.join(labels, "doc_id").select("text", "quality", "toxic", "doc_id", F.xxhash64("doc_id").alias("o")).collect()
+    want = chained([r["text"] for r in rows], np.array([(r["quality"] == 0, r["toxic"] == 1) for r in rows]), np.array([r["o"] % 5 for r in rows]))
+    assert np.abs(np.array([got[r["doc_id"]] for r in rows]) - want).max() < 1e-3
+
+
+def test_one_of_repeated_ids_is_fitted(spark):
+    """Whatever the order of rows, the same models."""
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in "abcdefghijklmnop"]
+    rows = [(i, " ".join(rng.choice(words[:8] if i % 3 else words[6:], 12))) for i in range(300)] + [(i, " ".join(rng.choice(words, 12))) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
+    one, two = (sorted(map(tuple, toxicity.classify(spark.createDataFrame(r, "doc_id long, text string").repartition(k), labels, chain).collect())) for r, k in ((rows, 3), (rows[::-1], 5)))
+    assert one == two
+
+
 def test_toxicity_edges(edges, nothing, spark):
     chain = {"low_quality": F.col("quality") == 0, "toxic": F.col("toxic") == 1}
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
