@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only where the cluster names no shared folder (tests, a single machine).
-DEFAULT_SCRATCH = "/tmp/checkpoints"
+#: Type of a row key.
+ROW_KEY = "struct<a:bigint,b:bigint>"
 
 _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir."""
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, one in
+    the temporary folder if all tasks run in this process's machine; else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{base or DEFAULT_SCRATCH}/lumaframe"
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{base or tempfile.gettempdir() + '/checkpoints'}/lumaframe"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -69,8 +73,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_row_key(docs: DataFrame, name: str = "__row_key") -> DataFrame:
-    """Add a 64-bit key of (doc_id, text); rows that agree in both share it."""
-    return docs.withColumn(name, F.xxhash64(F.col("doc_id"), F.col("text"), F.col("doc_id").isNull(), F.col("text").isNull()))
+    """Add a key of (doc_id, text), two hashes of 64 bits; rows that agree in both share it."""
+    doc_id, text = F.col("doc_id"), F.col("text")
+    one = F.xxhash64(doc_id, text, doc_id.isNull(), text.isNull())
+    two = F.xxhash64(text.isNull(), F.lit(1), text, doc_id, doc_id.isNull())
+    return docs.withColumn(name, F.struct(one.alias("a"), two.alias("b")))
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -84,7 +91,7 @@ def fresh(df: DataFrame, name: str) -> str:
 def keep_rows(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of ``docs`` whose (doc_id, text) key has a kept row in ``decisions``.
 
-    ``decisions``: row_key long, kept boolean, one row per row of ``docs``. Of rows
+    ``decisions``: row_key, kept boolean, one row per row of ``docs``. Of rows
     that agree in doc_id and text as many stay as are kept in ``decisions``; as
     such rows are interchangeable, which of them stays is not defined. Columns and
     their order are those of ``docs``.
@@ -105,6 +112,16 @@ def by_merge(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Rows of a few numbers up to which a table is broadcast.
+MOST_BROADCAST = 1_000_000
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """Join with ``df``, a written table of a few numbers a row: by broadcast if it has
+    ``MOST_BROADCAST`` rows at most, else by sorting both sides."""
+    return F.broadcast(df) if df.count() <= MOST_BROADCAST else by_merge(df)
+
+
 def count_groups(n_rows: int, per_part: int, least: int = 1) -> int:
     """Partitions that keep each at about ``per_part`` rows."""
     return max(least, -(-n_rows // per_part))

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_merge, keep_rows, materialize, with_row_key
+from .common import ROW_KEY, by_merge, keep_rows, materialize, with_row_key
 
 #: Bytes of each digit; what is left after them is the last digit.
 DIGITS = (32, 512, 8192, 131072, 2097152)
 SPACE = b" \t\n\x0b\x0c\r"
 
-_SCAN = "rid long, doc_id long, row_key long, n_points long, text_sha256 string, rep long, copies long, best struct<neg_points:long,no_id:boolean,doc_id:long,rid:long>, " + ", ".join(f"d{i} binary" for i in range(len(DIGITS) + 1))
+_SCAN = f"rid long, doc_id long, row_key {ROW_KEY}, n_points long, text_sha256 string, rep long, copies long, best struct<neg_points:long,no_id:boolean,doc_id:long,rid:long>, " + ", ".join(f"d{i} binary" for i in range(len(DIGITS) + 1))
 
 
 def _cut(norm: bytes) -> list[bytes]:
@@ -51,10 +51,10 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rid = TaskContext.get().partitionId() << 40
     best_t = pa.struct([("neg_points", pa.int64()), ("no_id", pa.bool_()), ("doc_id", pa.int64()), ("rid", pa.int64())])
     for b in batches:
-        ids, keys, texts = b["doc_id"].to_pylist(), b["row_key"].to_pylist(), b["text"].to_pylist()
+        ids, texts = b["doc_id"].to_pylist(), b["text"].to_pylist()
         groups: dict[bytes, list] = {}  # text -> [rep, copies, best]
         rows = []
-        for doc_id, key, text in zip(ids, keys, texts):
+        for doc_id, text in zip(ids, texts):
             text = text or b""
             points = len(text) if text.isascii() else len(text.decode("utf-8", "replace"))
             norm = text.translate(None, SPACE)
@@ -65,14 +65,15 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 g[1] += 1
                 g[2] = min(g[2], mine)
-            rows.append((rid, doc_id, key, points, g[3], g[0]))
+            rows.append((rid, doc_id, points, g[3], g[0]))
             rid += 1
         of = {g[0]: (norm, g) for norm, g in groups.items()}
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        mine = [of.get(r) if r == p else None for r, p in zip(cols[0], cols[5])]
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        mine = [of.get(r) if r == p else None for r, p in zip(cols[0], cols[4])]
         digits = [_cut(m[0]) if m else [None] * (len(DIGITS) + 1) for m in mine]
         names = ("neg_points", "no_id", "doc_id", "rid")
-        arrays = [pa.array(cols[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+        arrays = [pa.array(cols[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64()))]
+        arrays.insert(2, b["row_key"])
         arrays += [pa.array([m and m[1][1] for m in mine], pa.int64()), pa.array([m and dict(zip(names, m[1][2])) for m in mine], best_t)]
         arrays += [pa.array([d[i] for d in digits], pa.binary()) for i in range(len(DIGITS) + 1)]
         yield pa.RecordBatch.from_arrays(arrays, [f.strip().split(" ")[0] for f in ("rid,doc_id,row_key,n_points,text_sha256,rep,copies,best," + ",".join(f"d{i}" for i in range(len(DIGITS) + 1))).split(",")])

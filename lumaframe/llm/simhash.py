@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_merge, connected_components, count_groups, fresh, materialize, with_row_key
+from .common import ROW_KEY, by_merge, connected_components, count_groups, fresh, materialize, with_row_key
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -80,7 +80,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, row_key, fp (the 64 bits as a signed long) for each row of ``docs``."""
     keyed = with_row_key(docs.select("doc_id", "text"), "row_key")
-    return keyed.select(F.col("doc_id").cast("long"), "row_key", F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, row_key long, fp long")
+    return keyed.select(F.col("doc_id").cast("long"), "row_key", F.col("text").cast("binary")).mapInArrow(_fingerprints, f"doc_id long, row_key {ROW_KEY}, fp long")
 
 
 def _segment(fp: np.ndarray, i: int) -> np.ndarray:
