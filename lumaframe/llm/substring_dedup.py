@@ -25,13 +25,15 @@ out so that suffixes which could share 200 bytes meet:
 
 Scale: about one short row per 69 bytes is shuffled once, text twice (compressed).
 Copies collapse per batch before the shuffle, so a hot passage costs one row per
-batch. A gram with more than ``HOT_GRAM`` different stretches is not gathered: its
-strings are counted by two hashes of all 200 bytes with map-side sums instead.
+batch. Grams with more than ``HOT_GRAM`` of those rows are found by counts, with map-side
+sums, before any of their rows meet. They are dealt out by gram and stretch, and
+their strings are counted by two hashes of all 200 bytes with map-side sums instead.
 
-Hashes are of 64 bits; equality of stretches takes two of them and the length.
+Hashes are two polynomials modulo a prime, 62 bits; equality of stretches takes two such
+hashes of different bases and the length.
 Defined results: null text counts as empty; null doc_id is an id like any other;
-repeated rows are copies of each other; texts under 200 bytes lose nothing; an
-empty table gives an empty result; extra columns are ignored.
+repeated rows are copies of each other; texts under 200 bytes lose nothing; a very long
+text is hashed a block at a time, all of it; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, with_row_key
+from .common import ROW_KEY, materialize, sized, with_row_key
 
 MIN_LENGTH = 200
 GRAM = 64
@@ -62,7 +64,11 @@ ROWS_TOGETHER = 50_000
 ANCHOR, REPEATED, COMPARE, HOT = range(4)
 
 _U = np.uint64
-# odd multipliers, and a table that spreads the byte values
+#: Hashes are polynomials modulo this prime; bases come two by two, for 62 bits.
+PRIME = (1 << 31) - 1
+GRAM_BASES, STRETCH_BASES = (1_103_515_245, 1_812_433_253), (1_664_525, 1_566_083_941)
+#: Hash bits of gram, of at least this many rows each, by which hot grams are looked for.
+LEAST_BUCKET_BITS, UNKNOWN_BUCKET_BITS = 16, 24
 _B1, _B2 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 
 
@@ -74,20 +80,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(_B1))
+# what stands for each byte: numbers below the prime, none of them zero
+_BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(_B1)) % _U(PRIME - 1) + _U(1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """A number below 2^32 that equals ``x``, below 2^63, modulo the prime."""
+    x = (x & _U(PRIME)) + (x >> _U(31))
+    return (x & _U(PRIME)) + (x >> _U(31))
 
 
 class Roll:
-    """Hashes of any substring of ``data`` in constant time: a polynomial modulo
-    2^64 with an odd base, so that powers can be divided out."""
+    """Hashes of any substring of ``data`` (BLOCK bytes at most) in constant time: two
+    polynomials modulo a prime, in which a string's place can be divided out. A
+    modulus of 2^64 would do with one, but strings that double themselves defeat it."""
 
     _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def __init__(self, data: np.ndarray, base: int = _B1) -> None:
-        up, down = self._of(base, len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, dtype=_U)
-        np.cumsum(_BYTES[data] * up[: len(data)], out=self.sums[1:])
-        self.down = down
+    def __init__(self, data: np.ndarray, bases: tuple[int, int] = GRAM_BASES) -> None:
+        self.sums, self.down = [], []
+        for base in bases:
+            up, down = self._of(base, len(data) + 1)
+            sums = np.zeros(len(data) + 1, dtype=_U)
+            np.cumsum(_folded(_BYTES[data] * up[: len(data)]), out=sums[1:])
+            self.sums.append(sums)
+            self.down.append(down)
 
     @classmethod
     def _of(cls, base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,18 +115,24 @@ class Roll:
             def powers(b: int) -> np.ndarray:
                 p = np.ones(1, dtype=_U)
                 while len(p) < size:
-                    p = np.concatenate([p, p * _U(pow(b, len(p), 1 << 64))])
+                    p = np.concatenate([p, p * _U(pow(b, len(p), PRIME)) % _U(PRIME)])
                 return p
 
-            have = cls._powers[base] = powers(base), powers(pow(base, -1, 1 << 64))
+            have = cls._powers[base] = powers(base), powers(pow(base, -1, PRIME))
         return have
 
+    @staticmethod
+    def _hash(differences: list[np.ndarray], downs: list[np.ndarray]) -> np.ndarray:
+        one, two = (_folded(_folded(d) * down) for d, down in zip(differences, downs))
+        one, two = (np.where(x >= _U(PRIME), x - _U(PRIME), x) for x in (one, two))
+        return _mix(one << _U(32) | two)
+
     def __call__(self, start, end) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.down[start])
+        return self._hash([s[end] - s[start] for s in self.sums], [d[start] for d in self.down])
 
     def all(self, n: int) -> np.ndarray:
         """Of each substring of n bytes, by its start."""
-        return _mix((self.sums[n:] - self.sums[:-n]) * self.down[: len(self.sums) - n])
+        return self._hash([s[n:] - s[:-n] for s in self.sums], [d[: len(s) - n] for s, d in zip(self.sums, self.down)])
 
 
 def _window_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -144,7 +167,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])])) if len(valid) else np.zeros(0, np.int64)
     n = np.diff(np.append(new, len(valid)))
     lo, at, own = valid[new], place[new], owner[new]
-    stretch = Roll(data, _B2)(lo, lo + n - 1 + MIN_LENGTH) ^ _mix(n.astype(_U) * _U(_B2) + (at - lo).astype(_U))
+    stretch = Roll(data, STRETCH_BASES)(lo, lo + n - 1 + MIN_LENGTH) ^ _mix(n.astype(_U) * _U(_B2) + (at - lo).astype(_U))
     return own, grams[at], stretch, lo - first[own], n, at - lo
 
 
@@ -169,19 +192,18 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byt
         yield index, begin, lot
 
 
-_COLUMNS = ("route", "kind", "gram", "stretch", "doc", "lo", "n", "at", "copies")
+_COLUMNS = ("kind", "gram", "stretch", "doc", "lo", "n", "at", "copies")
 #: Spark gives this size or more where it knows none.
 UNKNOWN_SIZE = 1 << 60
-_ANCHOR_ROW = "route long, kind int, gram long, stretch long, doc long, lo long, n int, at int, copies int"
+_ANCHOR_ROW = f"kind int, gram long, stretch long, doc {ROW_KEY}, lo long, n int, at int, copies int"
 
 
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
-def _batch(kind, gram, stretch, doc, lo, n, at, copies) -> pa.RecordBatch:
-    route = np.where(kind == ANCHOR, gram.view(np.int64), doc)
-    return pa.RecordBatch.from_arrays([pa.array(route), pa.array(kind.astype(np.int32)), _signed(gram), _signed(stretch), pa.array(doc), pa.array(lo), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(copies.astype(np.int32))], list(_COLUMNS))
+def _batch(kind, gram, stretch, doc: pa.Array, lo, n, at, copies) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), _signed(gram), _signed(stretch), doc, pa.array(lo), pa.array(n.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(copies.astype(np.int32))], list(_COLUMNS))
 
 
 def _same(gram: np.ndarray, stretch: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -196,82 +218,125 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The anchors of each batch; stretches that the batch holds more than once are
     settled here, and one row of each goes on with ``copies`` above one."""
     for b in batches:
-        docs = b["doc"].to_numpy()
         found = []
         for index, begin, lot in _chunks([t or b"" for t in b["text"].to_pylist()]):
             own, gram, stretch, lo, n, at = anchors(lot)
-            found.append((docs[np.array(index)[own]], gram, stretch, lo + np.array(begin)[own], n, at))
+            found.append((np.array(index)[own], gram, stretch, lo + np.array(begin)[own], n, at))
         if not found:
             continue
-        doc, gram, stretch, lo, n, at = (np.concatenate(c) for c in zip(*found))
+        row, gram, stretch, lo, n, at = (np.concatenate(c) for c in zip(*found))
         order, starts, many = _same(gram, stretch, n)
-        first = order[starts]
-        yield _batch(np.full(len(first), ANCHOR), gram[first], stretch[first], doc[first], lo[first], n[first], at[first], np.minimum(many, 2))
-        more = order[np.repeat(many, many) > 1]
-        if len(more):
-            yield _batch(np.full(len(more), REPEATED), gram[more], stretch[more], doc[more], lo[more], n[more], at[more], np.full(len(more), 2))
-
-
-def _settle(hot_gram: int):
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For all anchors of a task's grams: which stretches are repeated, and which
-        different ones of a gram are still to be compared."""
-        tables = [b for b in batches if b.num_rows]
-        if not tables:
-            return
-        t = pa.Table.from_batches(tables)
-        kind, doc, lo, n, at, copies = (t[c].to_numpy() for c in ("kind", "doc", "lo", "n", "at", "copies"))
-        gram, stretch = (t[c].to_numpy().view(_U) for c in ("gram", "stretch"))
-        done = np.flatnonzero(kind == REPEATED)
-        a = np.flatnonzero(kind == ANCHOR)
-        order, starts, many = _same(gram[a], stretch[a], n[a])
-        order = a[order]
-        total = np.add.reduceat(copies[order], starts) if len(starts) else many
-        again = order[np.repeat(total > 1, many)]
-        first = order[starts]
-        g = gram[first]
-        begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
-        size = np.diff(np.append(begin, len(g)))
-        size = np.repeat(size, size)
-        ask = first[size > 1]
-        hot = size[size > 1] > hot_gram
-        for rows, k in ((np.concatenate([done, again]), REPEATED), (ask, np.where(hot, HOT, COMPARE))):
+        for rows, kind, copies in ((order[starts], ANCHOR, np.minimum(many, 2)), (order[np.repeat(many, many) > 1], REPEATED, None)):
             if len(rows):
-                yield _batch(np.broadcast_to(k, rows.shape), gram[rows], stretch[rows], doc[rows], lo[rows], n[rows], at[rows], copies[rows])
-
-    return settle
+                yield _batch(np.full(len(rows), kind), gram[rows], stretch[rows], b["doc"].take(pa.array(row[rows])), lo[rows], n[rows], at[rows], np.full(len(rows), 2) if copies is None else copies)
+
+
+def _buckets(bits: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(bucket, n): anchors by the first bits of their gram, as _scan sends them on."""
+        lot, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            bucket, n = np.unique(np.concatenate(lot), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int64)), pa.array(n)], ["bucket", "n"])
+
+        for b in _scan(batches):
+            gram = b["gram"].to_numpy().view(_U)[b["kind"].to_numpy() == ANCHOR]
+            lot.append(gram >> _U(64 - bits))
+            size += len(gram)
+            if size > 1 << 22:
+                yield flush()
+                lot, size = [], 0
+        if size:
+            yield flush()
+
+    return count
+
+
+def hot_grams(keyed: DataFrame, hot_gram: int, bits: int) -> DataFrame | None:
+    """(gram) of all grams with more than ``hot_gram`` anchors, or None if there are none:
+    counted before any of them meet. Most buckets of grams hold too few for one; only
+    the grams of the others are counted themselves."""
+    counts = keyed.mapInArrow(_buckets(bits), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    full = materialize(counts.where(F.col("n") > hot_gram).select("bucket"), "full_buckets")
+    if full.isEmpty():
+        return None
+    grams = keyed.mapInArrow(_scan, _ANCHOR_ROW).where(f"kind = {ANCHOR}").select("gram", F.shiftrightunsigned("gram", 64 - bits).alias("bucket"))
+    hot = materialize(grams.join(sized(full), "bucket").groupBy("gram").agg(F.count("*").alias("many")).where(F.col("many") > hot_gram).select("gram"), "hot_grams")
+    return None if hot.isEmpty() else hot
+
+
+def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is settled already, as it is, and what _settle makes of the anchors."""
+    waiting = []
+    for b in batches:
+        done = b["kind"].to_numpy() == REPEATED
+        for rows, keep in ((np.flatnonzero(done), True), (np.flatnonzero(~done), False)):
+            if len(rows):
+                part = b.take(pa.array(rows))
+                if keep:
+                    yield part.select(list(_COLUMNS))
+                else:
+                    waiting.append(part)
+    yield from _settle(waiting)
+
+
+def _settle(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For a task's anchors: which stretches are repeated, and which different ones of a
+    gram are still to be compared. All anchors of a gram are here, or of a hot one
+    all with a stretch."""
+    if not batches:
+        return
+    t = pa.Table.from_batches(batches)
+    hot, lo, n, at, copies = (t[c].to_numpy() for c in ("hot", "lo", "n", "at", "copies"))
+    gram, stretch = (t[c].to_numpy().view(_U) for c in ("gram", "stretch"))
+    doc = t["doc"].combine_chunks()
+    order, starts, many = _same(gram, stretch, n)
+    again = order[np.repeat(np.add.reduceat(copies[order], starts) > 1, many)]
+    first = order[starts]
+    g = gram[first]
+    begin = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+    size = np.diff(np.append(begin, len(g)))
+    ask = first[(np.repeat(size, size) > 1) | hot[first]]
+    for rows, k in ((again, np.full(len(again), REPEATED)), (ask, np.where(hot[ask], HOT, COMPARE))):
+        if len(rows):
+            yield _batch(k, gram[rows], stretch[rows], doc.take(pa.array(rows)), lo[rows], n[rows], at[rows], copies[rows])
 
 
-_CONTEXT_ROW = "kind int, gram long, doc long, lo long, n int, at int, other long, before binary, after binary"
+_CONTEXT_ROW = f"kind int, gram long, doc {ROW_KEY}, lo long, n int, at int, other long, before binary, after binary"
 
 
 def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes around the gram of each stretch to compare; of a hot gram, two hashes
     of each of its strings (gram and other)."""
     codec = pa.Codec("zstd")
+    types = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    names = ["kind", "gram", "lo", "n", "at", "other", "before", "after"]
     for b in batches:
-        rows = []
-        for doc, size, packed, asked in zip(*(b[c].to_pylist() for c in ("doc", "n_bytes", "packed", "asked"))):
+        rows, of = [], []
+
+        def flush() -> pa.RecordBatch:
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+            arrays.insert(2, b["doc"].take(pa.array(of)))
+            return pa.RecordBatch.from_arrays(arrays, [*names[:2], "doc", *names[2:]])
+
+        for i, (size, packed, asked) in enumerate(zip(*(b[c].to_pylist() for c in ("n_bytes", "packed", "asked")))):
             text = codec.decompress(packed, size, asbytes=True) if size else b""
             for r in asked:
                 lo, n, at = r["lo"], r["n"], r["at"]
                 end = lo + n - 1 + MIN_LENGTH
                 if r["kind"] == COMPARE:
-                    rows.append((COMPARE, r["gram"], doc, lo, n, at, 0, text[lo : lo + at], text[lo + at + GRAM : end]))
-                    continue
-                part = np.frombuffer(text, dtype=np.uint8)[lo:end]
-                one, two = (Roll(part, base).all(MIN_LENGTH).view(np.int64).tolist() for base in (_B1, _B2))
-                rows += [(HOT, x, doc, lo + i, 1, 0, y, None, None) for i, (x, y) in enumerate(zip(one, two))]
+                    rows.append((COMPARE, r["gram"], lo, n, at, 0, text[lo : lo + at], text[lo + at + GRAM : end]))
+                else:
+                    part = np.frombuffer(text, dtype=np.uint8)[lo:end]
+                    one, two = (Roll(part, bases).all(MIN_LENGTH).view(np.int64).tolist() for bases in (GRAM_BASES, STRETCH_BASES))
+                    rows += [(HOT, x, lo + k, 1, 0, y, None, None) for k, (x, y) in enumerate(zip(one, two))]
+            of += [i] * (len(rows) - len(of))
             if len(rows) >= 20_000:
-                yield _context_batch(rows)
-                rows = []
+                yield flush()
+                rows, of = [], []
         if rows:
-            yield _context_batch(rows)
-
-
-def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
-    types = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], [f.strip().split()[0] for f in _CONTEXT_ROW.split(",")])
+            yield flush()
 
 
 def _matrix(parts: list[bytes], width: int, backward: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -341,7 +406,7 @@ def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, high = np.nonzero(step == -1)  # d in [low, high)
         if len(row):
             base = part["lo"].to_numpy()[row] + part["at"].to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(part["doc"].to_numpy()[row]), pa.array(base - high + 1), pa.array(high - low)], ["doc", "lo", "n"])
+            yield pa.RecordBatch.from_arrays([part["doc"].combine_chunks().take(pa.array(row)), pa.array(base - high + 1), pa.array(high - low)], ["doc", "lo", "n"])
         at = to
 
 
@@ -385,12 +450,22 @@ def repeated_strings(docs: DataFrame, hot_gram: int = HOT_GRAM) -> DataFrame:
     spark = docs.sparkSession
     keyed = with_row_key(docs.select("doc_id", "text"), "doc").select("doc", F.col("text").cast("binary"))
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_TASK if size < UNKNOWN_SIZE else 1)
-    settled = materialize(keyed.mapInArrow(_scan, _ANCHOR_ROW).repartition(parts, "route").mapInArrow(_settle(hot_gram), _ANCHOR_ROW).select("kind", "gram", "doc", "lo", "n", "at"), "anchors")
+    known_size = size < UNKNOWN_SIZE
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // BYTES_PER_TASK if known_size else 1)
+    # an eighth of what would make a gram hot, for each bucket on average
+    bits = min(62, max(LEAST_BUCKET_BITS, (8 * size // GRAM // hot_gram).bit_length())) if known_size else UNKNOWN_BUCKET_BITS
+    hot = hot_grams(keyed, hot_gram, bits)
+    rows = keyed.mapInArrow(_scan, _ANCHOR_ROW)
+    if hot is None:
+        rows = rows.withColumn("hot", F.lit(False))
+    else:
+        rows = rows.join(sized(hot.withColumn("is_hot", F.lit(True))), "gram", "left").withColumn("hot", F.coalesce("is_hot", F.lit(False)))
+    route = F.when(F.col("kind") == REPEATED, F.col("doc.a")).when(F.col("hot"), F.xxhash64("gram", "stretch")).otherwise(F.col("gram"))
+    settled = materialize(rows.select("*", route.alias("route")).repartition(parts, "route").mapInArrow(_settled, _ANCHOR_ROW).select("kind", "gram", "doc", "lo", "n", "at"), "anchors")
     known = settled.where(f"kind = {REPEATED}").select("doc", "lo", F.col("n").cast("long").alias("n"))
     asked = settled.where(f"kind <> {REPEATED}").groupBy("doc").agg(F.collect_list(F.struct("kind", "gram", "lo", "n", "at")).alias("asked"))
     around = asked.join(_texts(docs), "doc").select("doc", "n_bytes", "packed", "asked").mapInArrow(_fetch, _CONTEXT_ROW)
-    compared = around.where(f"kind = {COMPARE}").select("gram", "doc", "lo", "at", "before", "after").repartition(parts, "gram").mapInArrow(_expand, "doc long, lo long, n long")
+    compared = around.where(f"kind = {COMPARE}").select("gram", "doc", "lo", "at", "before", "after").repartition(parts, "gram").mapInArrow(_expand, f"doc {ROW_KEY}, lo long, n long")
     out = known.unionByName(compared)
     if not settled.where(f"kind = {HOT}").isEmpty():
         strings = materialize(around.where(f"kind = {HOT}").select("gram", "other", "doc", "lo"), "hot_strings")
@@ -401,7 +476,7 @@ def repeated_strings(docs: DataFrame, hot_gram: int = HOT_GRAM) -> DataFrame:
 
 def _texts(docs: DataFrame) -> DataFrame:
     keyed = with_row_key(docs.select("doc_id", "text"), "doc")
-    return keyed.select("doc", F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_pack, "doc long, doc_id long, n_bytes long, packed binary")
+    return keyed.select("doc", F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_pack, f"doc {ROW_KEY}, doc_id long, n_bytes long, packed binary")
 
 
 def remove_repeats(docs: DataFrame, hot_gram: int = HOT_GRAM) -> DataFrame:

@@ -177,6 +177,28 @@ def test_substrings_brute_force(spark, sets, hot):
         assert got == want
 
 
+def test_hashes_of_strings():
+    """Against the polynomials themselves, and on strings that double themselves."""
+    rng = random.Random(9)
+    text = bytes(rng.choice(b"abc") for _ in range(400))
+    data = np.frombuffer(text, np.uint8)
+
+    def by_hand(part, bases):
+        one, two = (sum(int(S._BYTES[c]) * pow(b, k, S.PRIME) for k, c in enumerate(part)) % S.PRIME for b in bases)
+        return int(S._mix(np.array([one << 32 | two], dtype=np.uint64))[0])
+
+    for bases in (S.GRAM_BASES, S.STRETCH_BASES):
+        roll = S.Roll(data, bases)
+        assert all(int(h) == by_hand(text[i : i + 64], bases) for i, h in enumerate(roll.all(64)))
+        assert int(roll(np.array([7]), np.array([390]))[0]) == by_hand(text[7:390], bases)
+    a, b = b"a", b"b"
+    while len(a) < 256:
+        a, b = a + b, b + a
+    for bases in (S.GRAM_BASES, S.STRETCH_BASES):
+        x, y = (int(S.Roll(np.frombuffer(t, np.uint8), bases).all(256)[0]) for t in (a, b))
+        assert x != y and bin(x ^ y).count("1") > 8
+
+
 def test_anchors_own_every_string_once():
     text = bytes(random.Random(4).choice(b"ab") for _ in range(5000))
     own, gram, stretch, lo, n, at = S.anchors([b"q" * 150, text, b"", text[:300]])
