@@ -21,7 +21,7 @@ class DeflateCodec:
 
     def encode(self, width: int, height: int, channels: int, samples: bytes, quality: int) -> CodedImage:
         mask = 0xFF << ((100 - quality) // 13) & 0xFF
-        data = zlib.compress(bytes(s & mask for s in samples), 6)
+        data = zlib.compress(samples.translate(bytes(s & mask for s in range(256))), 6)
         config = bytes([1, 1]) + bytes(14) + bytes([0xFC | (0 if channels == 1 else 3), 0xF8]) + bytes(5)
         return CodedImage(width, height, 8, channels, config, data)
 

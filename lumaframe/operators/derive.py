@@ -1,8 +1,6 @@
-"""Deriving, applying and measuring gain planes.
+"""Renditions and gains of long frames, and what joins an image's numbers to its rows.
 
-Derivation has a barrier: the range of a whole image is needed before any of its
-samples can be normalised. The range is a partial and final aggregate of two numbers an
-image, joined back to the pixels; nothing but those numbers is gathered.
+Deriving planes, reconstructing and measuring work on tiles; see ``tiles``.
 """
 
 from __future__ import annotations
@@ -10,25 +8,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import EPS, is_finite, linear_to_srgb8, luma, positive, srgb8_to_linear, tone_map
-from ..functions.gain import OFFSET, apply_gain, decode, log2_gain, normalise
+from ..functions.color import is_finite, luma, positive, srgb8_to_linear, tone_map
+from ..functions.gain import OFFSET, log2_gain
 
 
 #: Images up to which their numbers are broadcast to the pixels.
 MOST_BROADCAST = 1_000_000
 
 
-def attach(px: DataFrame, per_image: DataFrame) -> DataFrame:
-    """Add an image's numbers to its pixels.
+def attach(rows: DataFrame, per_image: DataFrame, key: str = "image_id") -> DataFrame:
+    """Add an image's numbers to its rows.
 
-    They are counted first, which also works them out, once: up to ``MOST_BROADCAST`` rows
-    go to the pixels where those are, so that an image larger than all others stays spread
-    over tasks. Beyond that both sides are sorted, and adaptive execution splits images
-    that are too large.
+    As many images as ``MOST_BROADCAST`` go to the rows where those are, so that an image
+    larger than all others stays spread over tasks. How many there are is bounded by a
+    count of ids that stops there. Beyond that both sides are sorted, and adaptive
+    execution splits images that are too large.
     """
-    per_image = per_image.persist()
-    small = per_image.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return px.join(F.broadcast(per_image) if small else per_image.hint("merge"), "image_id")
+    small = per_image.select(key).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(per_image) if small else per_image.hint("merge"), key)
 
 
 def with_white(px: DataFrame) -> DataFrame:
@@ -55,42 +52,6 @@ def gain_range(px: DataFrame) -> DataFrame:
     return px.groupBy("image_id").agg(F.coalesce(F.min(g), F.lit(0.0)).alias("min_log2"), F.coalesce(F.max(g), F.lit(0.0)).alias("max_log2"))
 
 
-def gain_plane(px: DataFrame, ranges: DataFrame, subsample: int = 1, gamma: float = 1.0) -> DataFrame:
-    """image_id, gy, gx, code: block means of the normalised gain as 8-bit codes.
-    Blocks at the edge may be partial."""
-    t = normalise(F.col("gain"), F.col("min_log2"), F.col("max_log2"), gamma)
-    j = attach(px, ranges).select("image_id", F.floor(F.col("y") / subsample).cast("int").alias("gy"), F.floor(F.col("x") / subsample).cast("int").alias("gx"), t.alias("t"))
-    mean = j.groupBy("image_id", "gy", "gx").agg(F.avg("t").alias("t"))
-    return mean.select("image_id", "gy", "gx", F.round(F.least(F.greatest("t", F.lit(0.0)), F.lit(1.0)) * 255).cast("int").alias("code"))
-
-
 def consistent_meta(ranges: DataFrame, gamma: float = 1.0, offset: float = OFFSET) -> DataFrame:
     """The metadata row of each image; headroom is the range's top, never negative."""
     return ranges.select("image_id", "min_log2", "max_log2", F.lit(gamma).alias("gamma"), F.lit(offset).alias("base_offset"), F.lit(offset).alias("alt_offset"), F.lit(0.0).alias("base_headroom"), F.greatest("max_log2", F.lit(0.0)).alias("alt_headroom"))
-
-
-def sample_bilinear(px: DataFrame, plane: DataFrame, subsample: int, gw: Column, gh: Column) -> DataFrame:
-    """Add ``t``: the plane's value at each pixel, bilinear between half-pixel centres
-    with clamped edges. The four neighbours are one join: each pixel is exploded to
-    them with weights, which are summed after the join."""
-    fy, fx = (F.col("y") + 0.5) / subsample - 0.5, (F.col("x") + 0.5) / subsample - 0.5
-    corners = []
-    for dy in (0, 1):
-        for dx in (0, 1):
-            wy = F.when(F.lit(dy == 1), fy - F.floor(fy)).otherwise(1 - (fy - F.floor(fy)))
-            wx = F.when(F.lit(dx == 1), fx - F.floor(fx)).otherwise(1 - (fx - F.floor(fx)))
-            corners.append(F.struct(F.least(F.greatest(F.floor(fy) + dy, F.lit(0)), gh - 1).cast("int").alias("gy"), F.least(F.greatest(F.floor(fx) + dx, F.lit(0)), gw - 1).cast("int").alias("gx"), (wy * wx).alias("w")))
-    spread = px.select("image_id", "y", "x", F.explode(F.array(*corners)).alias("c")).select("image_id", "y", "x", "c.gy", "c.gx", "c.w")
-    t = spread.join(plane, ["image_id", "gy", "gx"]).groupBy("image_id", "y", "x").agg((F.sum(F.col("w") * F.col("code")) / 255.0).alias("t"))
-    return px.join(t, ["image_id", "y", "x"])
-
-
-def reconstruct(px: DataFrame) -> DataFrame:
-    """Add r2, g2, b2: the base with the decoded gain ``t`` applied (min_log2, max_log2)."""
-    stops = decode(F.col("t"), F.col("min_log2"), F.col("max_log2"))
-    return px.select("*", *(apply_gain(srgb8_to_linear(F.col(b)), stops).alias(n) for b, n in (("br", "r2"), ("bg", "g2"), ("bb", "b2"))))
-
-
-def encode_sdr(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Fixed-range application: the result as 8-bit codes, clamped at white."""
-    return linear_to_srgb8(r), linear_to_srgb8(g), linear_to_srgb8(b)

@@ -1,29 +1,41 @@
-"""Pixel frames: (image_id, y, x, r, g, b), one row per pixel, linear light.
-
-The long layout is what queries see. Images are keyed by image_id, and every operator
-partitions by it (plus the block for plane work), so per-image steps share one exchange.
+"""Frames of images in linear light: tiles (see ``tiles``), and long frames with a row a
+pixel (image_id, y, x, r, g, b) for work that is relational in pixels.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .tiles import BAND, SCHEMA
+
 SIDE = 8
 
 
-def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The embeddings table as 8 x 8 images: three vectors are the channels of one, and
-    |v| * 8 is linear light. A channel that is missing is black.
-
-    The channels meet as arrays, one row a vector, before they become pixels.
-    """
+def _embedding_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_id, r, g, b: three vectors of the embeddings table are the channels of an
+    8 x 8 image, and |v| * 8 is linear light. A channel that is missing is black."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.floor(F.col("vec_id") / 3).alias("image_id"), (F.col("vec_id") % 3).alias("channel"), "embedding")
     planes = v.groupBy("image_id").agg(*(F.max(F.when(F.col("channel") == i, F.col("embedding"))).alias(c) for i, c in enumerate("rgb")))
     dark = F.array_repeat(F.lit(0.0).cast("float"), SIDE * SIDE)
-    zipped = F.arrays_zip(*(F.coalesce(c, dark).alias(c) for c in "rgb"))
-    px = planes.select("image_id", F.posexplode(zipped).alias("i", "p"))
-    return px.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), *((F.abs(F.coalesce(F.col(f"p.{c}"), F.lit(0.0)).cast("double")) * 8).alias(c) for c in "rgb"))
+    light = lambda v: F.abs(F.coalesce(v, F.lit(0.0)).cast("double")) * 8
+    return planes.select("image_id", *(F.transform(F.coalesce(c, dark), light).alias(c) for c in "rgb"))
+
+
+def embedding_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding images, a row a pixel."""
+    px = _embedding_planes(spark, sf_dir).select("image_id", F.posexplode(F.arrays_zip(*"rgb")).alias("i", "p"))
+    return px.select("image_id", F.floor(F.col("i") / SIDE).cast("int").alias("y"), (F.col("i") % SIDE).cast("int").alias("x"), "p.r", "p.g", "p.b")
+
+
+def embedding_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The embedding images as tiles, one each."""
+    side = F.lit(SIDE)
+    return _embedding_planes(spark, sf_dir).select("image_id", F.lit(0).alias("y0"), side.alias("height"), side.alias("width"), *"rgb")
 
 
 def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,22 +45,30 @@ def wide_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scene(spark: SparkSession, width: int, height: int, peak: float, image_id: int = 0) -> DataFrame:
-    """A synthetic HDR image: gradients, three soft discs, a saturated red disc, a black
-    patch and one pixel pinned at ``peak``."""
-    n = spark.range(width * height).select("id", (F.col("id") % width).cast("int").alias("x"), F.floor(F.col("id") / width).cast("int").alias("y"))
-    n = n.withColumns({"u": (F.col("x") + 0.5) / width, "v": (F.col("y") + 0.5) / height})
-    u, v = F.col("u"), F.col("v")
-
-    def disc(cx: float, cy: float, radius: float):
-        near = (u - cx) * (u - cx) + (v - cy) * (v - cy)
-        soft = F.cos(F.sqrt(near) / radius * 1.5707963267948966)
-        return F.when(near < radius * radius, soft * soft).otherwise(0.0)
-
-    # each disc is a column: it is used by several channels
-    n = n.withColumns({"light": peak * (disc(0.25, 0.3, 0.12) + 0.5 * disc(0.5, 0.6, 0.15) + 0.25 * disc(0.8, 0.4, 0.1)), "red": 0.5 * peak * disc(0.7, 0.8, 0.1), "black": (u < 0.1) & (v > 0.9)})
-    light = F.col("light")
-    base = {"r": 0.05 + 0.7 * u + light + F.col("red"), "g": 0.05 + 0.7 * v + light, "b": 0.05 + 0.35 * (u + v) + light}
-    return n.select(F.lit(image_id).cast("long").alias("image_id"), "y", "x", *(F.when(F.col("id") == 0, F.lit(peak)).when(F.col("black"), 0.0).otherwise(c).alias(k) for k, c in base.items()))
+    """Tiles of a synthetic HDR image: gradients, three soft discs, a saturated red disc, a
+    black patch and one pixel pinned at ``peak``. Bands are made where they are worked on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for band in b["id"].to_pylist():
+                y0 = band * BAND
+                rows = min(BAND, height - y0)
+                v, u = (np.arange(y0, y0 + rows)[:, None] + 0.5) / height, (np.arange(width)[None, :] + 0.5) / width
+
+                def disc(cx: float, cy: float, radius: float) -> np.ndarray:
+                    near = (u - cx) ** 2 + (v - cy) ** 2
+                    return np.where(near < radius * radius, np.cos(np.sqrt(near) / radius * 1.5707963267948966) ** 2, 0.0)
+
+                light = peak * (disc(0.25, 0.3, 0.12) + 0.5 * disc(0.5, 0.6, 0.15) + 0.25 * disc(0.8, 0.4, 0.1))
+                base = (0.05 + 0.7 * u + light + 0.5 * peak * disc(0.7, 0.8, 0.1), 0.05 + 0.7 * v + light, 0.05 + 0.35 * (u + v) + light)
+                planes = [np.where((u < 0.1) & (v > 0.9), 0.0, c) for c in base]
+                if y0 == 0:
+                    for c in planes:
+                        c[0, 0] = peak
+                ends = pa.array([0, rows * width], pa.int32())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in ((image_id, pa.int64()), (y0, pa.int32()), (rows, pa.int32()), (width, pa.int32()))), *(pa.ListArray.from_arrays(ends, pa.array(c.reshape(-1))) for c in planes)], ["image_id", "y0", "height", "width", *"rgb"])
+
+    return spark.range(-(-height // BAND)).mapInArrow(run, SCHEMA)
 
 
 def aligned(one: DataFrame, two: DataFrame) -> DataFrame:

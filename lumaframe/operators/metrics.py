@@ -1,4 +1,4 @@
-"""Image statistics: histogram percentiles, errors, gamut counts.
+"""Image statistics: histogram percentiles and signal to noise.
 
 Histogram quantiles are exact about their buckets: counts per (image, bucket) combine
 on the map side, and the running sum over at most a thousand buckets an image is the
@@ -41,22 +41,6 @@ def first_bucket_at(counts: DataFrame, quantiles: dict[str, float], by: list[str
     return run.groupBy(*by).agg(*picked, *more)
 
 
-def errors(pairs: DataFrame, floor: float = 0.05) -> DataFrame:
-    """Per image, of luma ``a`` against ``b`` where a >= floor: pixels, mean squared error,
-    worst relative error with its place (ties: first in reading order), peak of all a,
-    and the error at rank floor(n * 0.999)."""
-    rel = F.abs((F.col("b") - F.col("a")) / F.col("a"))
-    lit = pairs.where(F.col("a") >= floor).select("*", rel.alias("rel"))
-    rank = Window.partitionBy("image_id").orderBy("rel", "y", "x")
-    ranked = lit.select("*", (F.row_number().over(rank) - 1).alias("rank"), F.count("*").over(Window.partitionBy("image_id")).alias("n"))
-    out = ranked.groupBy("image_id").agg(
-        F.count("*").alias("n_pixels"), F.avg((F.col("b") - F.col("a")) * (F.col("b") - F.col("a"))).alias("mse"), F.max("rel").alias("worst"),
-        F.max_by(F.struct("y", "x"), F.struct("rel", -F.col("y"), -F.col("x"))).alias("at"), F.max("a").alias("peak"),
-        F.min(F.when(F.col("rank") == F.least(F.floor(F.col("n") * 0.999), F.col("n") - 1), F.col("rel"))).alias("p999"),
-    )
-    return out.select("image_id", "n_pixels", "mse", "worst", F.col("at.y").alias("worst_y"), F.col("at.x").alias("worst_x"), "peak", "p999")
-
-
 def psnr(peak: Column, mse: Column) -> Column:
     """Decibels; infinite without error."""
     return F.when(mse <= 0, F.lit(float("inf"))).otherwise(20 * F.log10(peak / F.sqrt(F.when(mse > 0, mse).otherwise(1.0))))

@@ -13,6 +13,7 @@ from ..functions import iso as I
 from ..functions import orient as O
 from ..functions import text as T
 from ..functions import xmp as X
+from ..sources.images import DROPPED
 from . import checks as K
 
 QUERIES: dict = {}
@@ -323,7 +324,8 @@ def output_collisions(spark, d):
     k = F.col("n_nationkey")
     path = F.concat(F.lit("dir"), F.col("n_regionkey").cast("string"), F.lit("/img"), (k % 9).cast("string"), F.when(k % 3 == 0, ".tif").when(k % 3 == 1, ".a.png").otherwise(""))
     out = _t(spark, d, "nation").select(path.alias("path")).withColumn("out", T.output_name(F.col("path")))
-    return out.groupBy("out").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths")).where("n > 1")
+    twice = out.groupBy("out").agg(F.count("*").alias("n")).where("n > 1").select("out")
+    return out.join(twice, "out", "left_semi").groupBy("out").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("path")), ",").alias("paths"))
 
 
 @query("SELECT o_orderpriority AS batch, sum((o_orderstatus <> 'F')::INTEGER)::BIGINT AS converted, sum((o_orderstatus = 'F')::INTEGER)::BIGINT AS failed, round(sum(o_totalprice) / 1e5, 4) AS seconds, round(count(*) / (sum(o_totalprice) / 1e5) * 60, 4) AS per_minute FROM orders GROUP BY o_orderpriority")
@@ -373,10 +375,7 @@ def describing_items_semi_join(spark, d):
     return _items(spark, d).where(~F.col("item_type").isin("hvc1", "Exif", "tmap")).join(about, F.col("item_id") == F.col("from_id"), "left_semi")
 
 
-DROPPED = (273, 279, 288, 289, 324, 325, 330, 513, 514, 254, 255, 256, 258, 259, 262, 277, 278, 284, 700)  # fixed values: tags that describe a source's own pixels and places
-
-
-@query(f"SELECT p_partkey AS tag, p_size AS typ FROM part WHERE p_partkey NOT IN {DROPPED} AND p_size BETWEEN 1 AND 12")
+@query(f"SELECT p_partkey AS tag, p_size AS typ FROM part WHERE p_partkey NOT IN {tuple(sorted(DROPPED))} AND p_size BETWEEN 1 AND 12")
 def exif_denylist_anti_join(spark, d):
     drop = spark.createDataFrame([(t,) for t in DROPPED], "tag long")
     return _t(spark, d, "part").select(F.col("p_partkey").alias("tag"), F.col("p_size").alias("typ")).where("typ BETWEEN 1 AND 12").join(F.broadcast(drop), "tag", "left_anti")

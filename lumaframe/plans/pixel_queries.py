@@ -5,14 +5,16 @@ The SQL restates the arithmetic on its own; only constants are shared.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import color as C
 from ..functions import gain as G
+from ..functions import kernels as K
 from ..operators import derive as D
 from ..operators import frames as P
 from ..operators import metrics as M
+from ..operators import tiles as T
 
 # ---- pieces of SQL -----------------------------------------------------------------
 
@@ -60,21 +62,17 @@ def _px(spark: SparkSession, d: str) -> DataFrame:
     return P.embedding_images(spark, d)
 
 
-def _gained(spark: SparkSession, d: str) -> DataFrame:
-    return D.with_gain(D.with_base(D.with_white(_px(spark, d)), F.col("white")))
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    return P.embedding_tiles(spark, d)
 
 
-def _rebuilt(spark: SparkSession, d: str, s: int) -> DataFrame:
-    """Pixels with the reconstruction r2, g2, b2 from the derived plane."""
-    px = _gained(spark, d)
-    ranges = D.gain_range(px)
-    plane = D.gain_plane(px, ranges, s)
-    side = F.lit(-(-P.SIDE // s))
-    if s == 1:
-        with_t = px.join(plane.select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), (F.col("code") / 255.0).alias("t")), ["image_id", "y", "x"])
-    else:
-        with_t = D.sample_bilinear(px, plane, s, side, side)
-    return D.reconstruct(with_t.join(ranges, "image_id"))
+def _plane(spark: SparkSession, d: str, s: int) -> DataFrame:
+    lit = T.with_white(_tiles(spark, d))
+    return T.plane_rows(T.gain_plane(lit, T.gain_range(lit), s))
+
+
+def _codes(tiles: DataFrame) -> DataFrame:
+    return T.pixel_rows(tiles, lambda t: dict(zip(("br", "bg", "bb"), (c.astype("int32") for c in T._base(t)))), "br int, bg int, bb int")
 
 
 RECON = """{plane},
@@ -128,12 +126,12 @@ def pq_decode(spark, d):
 
 @query(f"WITH {PX}, {SDR} SELECT image_id, y, x, br, bg, bb FROM sdr")
 def reinhard_tonemap(spark, d):
-    return D.with_base(D.with_white(_px(spark, d)), F.col("white")).select("image_id", "y", "x", "br", "bg", "bb")
+    return _codes(T.with_white(_tiles(spark, d)))
 
 
 @query(f"WITH {PX}, l AS (SELECT *, {Y} AS l FROM px), s AS (SELECT *, CASE WHEN l > 1e-6 THEN least(l, 1.0) / l ELSE 1.0 END AS k FROM l) SELECT image_id, y, x, {_code('r * k')} AS br, {_code('g * k')} AS bg, {_code('b * k')} AS bb FROM s")
 def clip_tonemap(spark, d):
-    return D.with_base(_px(spark, d), None).select("image_id", "y", "x", "br", "bg", "bb")
+    return _codes(_tiles(spark, d))
 
 
 def _peak_sql(source: str, fraction: float) -> str:
@@ -166,60 +164,55 @@ def derive_range(spark, d):
 
 @query(f"WITH {PX}, {_plane_sql(1)} SELECT * FROM pl")
 def derive_plane_s1(spark, d):
-    px = _gained(spark, d)
-    return D.gain_plane(px, D.gain_range(px), 1)
+    return _plane(spark, d, 1)
 
 
 @query(f"WITH {PX}, {_plane_sql(2)} SELECT * FROM pl")
 def derive_plane_s2(spark, d):
     """The flagship: pixels to tone-mapped base to gain plane."""
-    px = _gained(spark, d)
-    return D.gain_plane(px, D.gain_range(px), 2)
+    return _plane(spark, d, 2)
 
 
 @query(f"WITH {PX}, {_plane_sql(3)} SELECT * FROM pl")
 def derive_plane_s3(spark, d):
     """Blocks of three leave partial ones at the edges."""
-    px = _gained(spark, d)
-    return D.gain_plane(px, D.gain_range(px), 3)
+    return _plane(spark, d, 3)
 
 
 @query(f"WITH {PX}, {GAIN} SELECT image_id, round(lo, 6) AS min_log2, round(hi, 6) AS max_log2, 1.0::DOUBLE AS gamma, 0.015625::DOUBLE AS base_offset, 0.015625::DOUBLE AS alt_offset, 0.0::DOUBLE AS base_headroom, round(greatest(hi, 0.0), 6) AS alt_headroom FROM rg")
 def derive_consistent_meta(spark, d):
-    m = D.consistent_meta(D.gain_range(_gained(spark, d)))
+    m = D.consistent_meta(T.gain_range(T.with_white(_tiles(spark, d))))
     return m.select("image_id", *(F.round(c, 6).alias(c) for c in ("min_log2", "max_log2")), "gamma", "base_offset", "alt_offset", "base_headroom", F.round("alt_headroom", 6).alias("alt_headroom"))
 
 
 @query(f"WITH {PX}, {RECON1} SELECT image_id, y, x, {_code('r')} AS r, {_code('g')} AS g, {_code('b')} AS b FROM r2")
 def gain_decode_apply(spark, d):
-    r = _rebuilt(spark, d, 1)
-    return r.select("image_id", "y", "x", *(c.alias(n) for n, c in zip("rgb", D.encode_sdr(F.col("r2"), F.col("g2"), F.col("b2")))))
+    def codes(t):
+        return {n: K.linear_to_srgb8(c).astype("int32") for n, c in zip("rgb", T.rebuilt(t, 1))}
+
+    return T.pixel_rows(T.reconstructible(_tiles(spark, d), 1), codes, "r int, g int, b int")
 
 
 @query(f"WITH {PX}, {RECON1} SELECT image_id, round(max(greatest(r, g, b)), 5) AS peak, sum(CASE WHEN {Y} > 1 THEN 1 ELSE 0 END)::BIGINT AS n_above FROM r2 GROUP BY image_id")
 def apply_hdr_peak(spark, d):
-    r = _rebuilt(spark, d, 1)
-    return r.groupBy("image_id").agg(F.round(F.max(F.greatest("r2", "g2", "b2")), 5).alias("peak"), F.count_if(C.luma(F.col("r2"), F.col("g2"), F.col("b2")) > 1).alias("n_above"))
+    return T.extremes(_tiles(spark, d), 1).select("image_id", F.round("peak", 5).alias("peak"), "n_above")
 
 
+_RANKS = {"p50": 0.5, "p90": 0.9, "p99": 0.99, "p999": 0.999}
 _ERR = f"a AS (SELECT image_id, y, x, l AS a, {Y} AS b FROM r2), q AS (SELECT *, abs((b - a) / a) AS rel FROM a WHERE a >= 0.05)"
 
 
-@query(f"""WITH {PX}, {RECON1}, {_ERR} SELECT image_id, count(*) AS n_pixels, round(CASE WHEN avg((b - a) * (b - a)) > 0 THEN 20 * log10(max(a) / sqrt(avg((b - a) * (b - a)))) END, 4) AS psnr, round(max(rel), 6) AS worst FROM q GROUP BY image_id""")
+@query(f"""WITH {PX}, {RECON1}, {_ERR} SELECT image_id, count(*) AS n_pixels, round(CASE WHEN avg((b - a) * (b - a)) > 0 THEN 20 * log10(max(a) / sqrt(avg((b - a) * (b - a)))) END, 4) AS psnr, round(max(rel), 6) AS worst, first(y ORDER BY rel DESC, y, x) AS worst_y, first(x ORDER BY rel DESC, y, x) AS worst_x FROM q GROUP BY image_id""")
 def roundtrip_psnr(spark, d):
-    e = M.errors(_pairs(spark, d, 1))
-    return e.select("image_id", "n_pixels", F.round(F.when(F.col("mse") > 0, M.psnr(F.col("peak"), F.col("mse"))), 4).alias("psnr"), F.round("worst", 6).alias("worst"))
-
-
-def _pairs(spark, d, s):
-    r = _rebuilt(spark, d, s)
-    return r.select("image_id", "y", "x", C.luma(*map(F.col, "rgb")).alias("a"), C.luma(F.col("r2"), F.col("g2"), F.col("b2")).alias("b"))
+    e = T.errors(_tiles(spark, d), 1)
+    return e.select("image_id", "n_pixels", F.round(F.when(F.col("mse") > 0, M.psnr(F.col("peak"), F.col("mse"))), 4).alias("psnr"), F.round("worst", 6).alias("worst"), "worst_y", "worst_x")
 
 
 @query(f"""WITH {PX}, {RECON1}, {_ERR}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rel, y, x) - 1 AS rk, count(*) OVER (PARTITION BY image_id) AS n FROM q)
-SELECT image_id, round(max(CASE WHEN rk = least(floor(n * 0.999), n - 1) THEN rel END), 6) AS p999 FROM k GROUP BY image_id""")
+SELECT image_id, {", ".join(f"round(max(CASE WHEN rk = least(floor(n * {q}), n - 1) THEN rel END), 6) AS {c}" for c, q in _RANKS.items())} FROM k GROUP BY image_id""")
 def roundtrip_p999(spark, d):
-    return M.errors(_pairs(spark, d, 1)).select("image_id", F.round("p999", 6).alias("p999"))
+    """Errors at four ranks of each image."""
+    return T.errors(_tiles(spark, d), 1).select("image_id", *(F.round(c, 6).alias(c) for c in _RANKS))
 
 
 _FY, _FX = "((y + 0.5) / 2 - 0.5)", "((x + 0.5) / 2 - 0.5)"
@@ -233,9 +226,9 @@ def _corner(dy: int, dx: int) -> str:
 
 @query(f"WITH {PX}, {_plane_sql(2)}, cr AS ({' UNION ALL '.join(_corner(a, b) for a in (0, 1) for b in (0, 1))}) SELECT image_id, y, x, round(sum(w * code), 6) AS code FROM cr JOIN pl USING (image_id, gy, gx) GROUP BY image_id, y, x")
 def bilinear_upsample(spark, d):
-    px = _gained(spark, d)
-    plane = D.gain_plane(px, D.gain_range(px), 2)
-    return D.sample_bilinear(px.select("image_id", "y", "x"), plane, 2, F.lit(4), F.lit(4)).select("image_id", "y", "x", F.round(F.col("t") * 255, 6).alias("code"))
+    lit = T.with_white(_tiles(spark, d))
+    near = T.with_plane(lit, T.gain_plane(lit, T.gain_range(lit), 2))
+    return T.pixel_rows(near, lambda t: {"code": T.sampled(t, 2)}, "code double").withColumn("code", F.round("code", 6))
 
 
 @query(f"WITH {PX} SELECT image_id, (y // 4)::INTEGER AS by, (x // 4)::INTEGER AS bx, round(avg({Y}), 6) AS mean FROM px GROUP BY image_id, y // 4, x // 4")
@@ -385,20 +378,36 @@ def above_white_counts(spark, d):
 
 @query(f"""WITH {PX}, {RECON1}, a AS (SELECT image_id, y, x, l AS a, {Y} AS b FROM r2), t AS (SELECT *, ntile(10) OVER (PARTITION BY image_id ORDER BY a, y, x) AS decile FROM a) SELECT image_id, decile::INTEGER AS decile, count(*) AS n, round(avg(b - a), 6) + 0.0 AS diff FROM t GROUP BY image_id, decile""")
 def decile_differences(spark, d):
-    own = Window.partitionBy("image_id").orderBy("a", "y", "x")
-    t = _pairs(spark, d, 1).select("*", F.ntile(10).over(own).alias("decile"))
-    return t.groupBy("image_id", "decile").agg(F.count("*").alias("n"), (F.round(F.avg(F.col("b") - F.col("a")), 6) + 0.0).alias("diff"))
+    t = T.group_differences(_tiles(spark, d), 1)
+    return t.select("image_id", "decile", "n", (F.round("diff", 6) + 0.0).alias("diff"))
+
 
+RECON2 = f"""{_plane_sql(2)}, cr AS ({' UNION ALL '.join(_corner(a, b) for a in (0, 1) for b in (0, 1))}),
+up AS (SELECT image_id, y, x, sum(w * code) / 255.0 AS t FROM cr JOIN pl USING (image_id, gy, gx) GROUP BY image_id, y, x),
+rc AS (SELECT gn.image_id, gn.y, gn.x, l, br, bg, bb, CASE WHEN hi > lo THEN lo + t * (hi - lo) ELSE lo END AS st FROM gn JOIN rg USING (image_id) JOIN up USING (image_id, y, x)),
+r2 AS (SELECT image_id, y, x, l, {", ".join(f"greatest(({_lin('b' + c)} + 0.015625) * pow(2.0, st) - 0.015625, 0.0) AS {c}" for c in "rgb")} FROM rc)"""
 
-@query()
+
+@query(f"""WITH {PX}, {RECON2}, {_ERR}, k AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY rel, y, x) - 1 AS rk, count(*) OVER (PARTITION BY image_id) AS n FROM q)
+SELECT image_id, max(n) AS n_pixels, round(avg((b - a) * (b - a)), 6) AS mse, round(max(rel), 6) AS worst, round(max(CASE WHEN rk = least(floor(n * 0.999), n - 1) THEN rel END), 6) AS p999 FROM k GROUP BY image_id""")
 def subsampled_roundtrip(spark, d):
     """Round trip through a half-size plane with bilinear sampling: errors per image."""
-    e = M.errors(_pairs(spark, d, 2))
-    return e.select("image_id", "n_pixels", "mse", "worst", "p999")
+    e = T.errors(_tiles(spark, d), 2)
+    return e.select("image_id", "n_pixels", *(F.round(c, 6).alias(c) for c in ("mse", "worst", "p999")))
+
+
+def _disc(cx: float, cy: float, radius: float) -> str:
+    near = f"((u - {cx}) * (u - {cx}) + (v - {cy}) * (v - {cy}))"
+    return f"(CASE WHEN {near} < {radius * radius!r}::DOUBLE THEN pow(cos(sqrt({near}) / {radius} * 1.5707963267948966), 2) ELSE 0.0 END)"
+
+
+SCENE = f"""at AS (SELECT i, i % 96 AS x, i // 96 AS y, (i % 96 + 0.5::DOUBLE) / 96 AS u, (i // 96 + 0.5::DOUBLE) / 64 AS v FROM range(96 * 64) t(i)),
+lt AS (SELECT *, 8.0 * ({_disc(0.25, 0.3, 0.12)} + 0.5 * {_disc(0.5, 0.6, 0.15)} + 0.25 * {_disc(0.8, 0.4, 0.1)}) AS light, 4.0 * {_disc(0.7, 0.8, 0.1)} AS red FROM at),
+px AS (SELECT 0::BIGINT AS image_id, y::INTEGER AS y, x::INTEGER AS x, {", ".join(f"CASE WHEN i = 0 THEN 8.0 WHEN u < 0.1 AND v > 0.9 THEN 0.0 ELSE {c} END::DOUBLE AS {n}" for n, c in zip("rgb", ("0.05 + 0.7 * u + light + red", "0.05 + 0.7 * v + light", "0.05 + 0.35 * (u + v) + light")))} FROM lt)"""
 
 
-@query()
+@query(f"WITH {SCENE}, {_plane_sql(2)} SELECT * FROM pl")
 def synthetic_scene(spark, d):
-    """A generated scene, tone-mapped, derived and measured."""
-    px = D.with_gain(D.with_base(D.with_white(P.scene(spark, 96, 64, 8.0)), F.col("white")))
-    return D.gain_plane(px, D.gain_range(px), 2)
+    """A generated scene in two bands, tone-mapped, and its plane."""
+    lit = T.with_white(P.scene(spark, 96, 64, 8.0))
+    return T.plane_rows(T.gain_plane(lit, T.gain_range(lit), 2))

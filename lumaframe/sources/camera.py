@@ -109,6 +109,11 @@ def align(note: bytes, headroom: float) -> tuple[bytes, str]:
     return bytes(out), "removed"
 
 
+def tags_for(headroom: float, negative: bool = False) -> dict[int, tuple[int, int]]:
+    """The two tags that state ``headroom``, or a tag 48 that none has."""
+    return {TAG33: (1, 1), TAG48: (-DENOMINATOR // 2 if negative else round(encoded(headroom) * DENOMINATOR), DENOMINATOR)}
+
+
 def make_note(rationals: dict[int, tuple[int, int]]) -> bytes:
     """A note with these tags, big-endian."""
     at = DIRECTORY + 2 + 12 * len(rationals) + 4

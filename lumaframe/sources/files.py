@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,15 +14,33 @@ from pyspark.sql.types import StringType, StructField, StructType, _parse_dataty
 from . import boxes, gainmap_tiff, images
 
 #: Extensions read from folders; files named outright need none of them.
-EXTENSIONS = ("tif", "tiff", "png", "jpg", "jpeg", "heic", "heif", "dng", "arw", "cr2", "cr3", "nef", "raf")
+EXTENSIONS = ("tif", "tiff", "png", "jpg", "jpeg", "heic", "heif", "dng", "arw", "cr2", "cr3", "nef", "raf", "orf", "rw2")
 #: Rows of a batch sent back to the JVM.
 BATCH = 10_000
+#: Pixels of one.
+PIXELS = 1 << 18
+
+
+#: The same as a pattern of file names, whatever the case.
+PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in EXTENSIONS) + "}"
 
 
 def binary_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """path, modificationTime, length, content of files and of folders one level deep."""
-    pattern = "*.{" + ",".join(e for x in EXTENSIONS for e in (x, x.upper())) + "}"
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(paths)
+    """path, modificationTime, length, content of files named outright, whatever their
+    names, and of files with EXTENSIONS in folders, one level deep."""
+    folders = [p for p in paths if _is_folder(spark, p)]
+    named = [p for p in paths if p not in set(folders)]
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "false")
+    parts = [read.load(named)] if named else []
+    if folders:
+        parts.append(spark.read.format("binaryFile").option("pathGlobFilter", PATTERN).option("recursiveFileLookup", "false").load(folders))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).dropDuplicates(["path"])
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(p) and fs.getFileStatus(p).isDirectory()
 
 
 def listing(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -65,6 +84,32 @@ def parsed(files: DataFrame, parse: Callable[[bytes], Iterable[tuple]], schema:
     return files.select("path", "content").mapInArrow(run, out)
 
 
+def parsed_columns(files: DataFrame, parse: Callable[[bytes], Iterable[tuple[np.ndarray, ...]]], schema: str) -> DataFrame:
+    """``parsed``, for parsers that give blocks of whole columns."""
+    inner = _parse_datatype_string(schema)
+    out = StructType([StructField("path", StringType()), *inner.fields, StructField("error", StringType())])
+    arrow = to_arrow_schema(out)
+
+    def batch(path: str, block: tuple, n: int, error: str | None) -> pa.RecordBatch:
+        cols = [pa.array(c, f.type) for c, f in zip(block, list(arrow)[1:-1])]
+        return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(path, pa.string()), n), *cols, pa.repeat(pa.scalar(error, pa.string()), n)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for path, content in zip(b["path"].to_pylist(), b["content"].to_pylist()):
+                try:
+                    blocks = list(parse(content or b""))
+                except Exception as e:  # what is wrong with a file is part of the result
+                    yield batch(path, tuple([None] for _ in inner.fields), 1, f"{type(e).__name__}: {e}")
+                    continue
+                for block in blocks:
+                    for at in range(0, len(block[0]), PIXELS):
+                        part = tuple(c[at : at + PIXELS] for c in block)
+                        yield batch(path, part, len(part[0]), None)
+
+    return files.select("path", "content").mapInArrow(run, out)
+
+
 def _table(name: str) -> Callable[[bytes], Iterable[tuple]]:
     return lambda d: getattr(boxes.parse(d), name)
 
@@ -81,13 +126,19 @@ TABLES: dict[str, tuple[Callable[[bytes], Iterable[tuple]], str]] = {
     "tiff_entries": (images.tiff_entries, "ifd string, tag int, typ int, count long, value binary"),
     "tiff_pixels": (images.tiff_pixels, "y int, x int, r double, g double, b double"),
     "jpeg_segments": (images.jpeg_segments, "ord int, marker int, body binary"),
-    "gain_map_pixels": (gainmap_tiff.gain_map, "y int, x int, br int, bg int, bb int, gr int, gg int, gb int, meta string"),
+    "gain_map_pixels": (gainmap_tiff.gain_map, "y int, x int, br int, bg int, bb int, gr int, gg int, gb int"),
+    "gain_maps": (gainmap_tiff.gain_map_meta, "width int, height int, meta string"),
+    "tiff_tiles": (images.tiff_tiles, "y0 int, height int, width int, r array<double>, g array<double>, b array<double>"),
     "icc_tags": (images.icc_tags, "signature string, payload binary"),
 }
 
 
+#: Those whose parsers give whole columns.
+COLUMNS = frozenset(("tiff_pixels", "gain_map_pixels"))
+
+
 def table(files: DataFrame, name: str) -> DataFrame:
-    return parsed(files, *TABLES[name])
+    return (parsed_columns if name in COLUMNS else parsed)(files, *TABLES[name])
 
 
 _STRUCTURE = ("items", "refs", "props", "assoc", "locs", "groups")
@@ -126,15 +177,21 @@ def resolved_items(structures: DataFrame) -> DataFrame:
 
 
 def register(spark: SparkSession) -> None:
-    """Every table as a function of SQL: ``SELECT t.* FROM files, LATERAL boxes(content) t``."""
+    """Every table as a function of SQL: ``SELECT t.* FROM files, LATERAL boxes(content) t``.
+    Its last column is ``error``: a file that cannot be read is a row with one."""
     from pyspark.sql.functions import udtf
 
     for name, (parse, schema) in TABLES.items():
+        width = len(_parse_datatype_string(schema).fields)
 
-        def eval_(self, content: bytes, parse=parse):
+        def eval_(self, content: bytes, parse=parse, columns=name in COLUMNS, width=width):
             try:
-                yield from (tuple(r) for r in parse(bytes(content or b"")))
-            except Exception:
+                found = list(parse(bytes(content or b"")))
+            except Exception as e:  # what is wrong with a file is part of the result
+                yield (*[None] * width, f"{type(e).__name__}: {e}")
                 return
+            rows = (r for block in found for r in zip(*(c.tolist() for c in block))) if columns else found
+            for r in rows:
+                yield (*(x.tolist() if isinstance(x, np.ndarray) else x for x in r), None)
 
-        spark.udtf.register(f"{name}", udtf(type(f"Table_{name}", (), {"eval": eval_}), returnType=schema))
+        spark.udtf.register(f"{name}", udtf(type(f"Table_{name}", (), {"eval": eval_}), returnType=schema + ", error string"))

@@ -6,61 +6,66 @@ import struct
 from collections import defaultdict
 from collections.abc import Iterator
 
-from .images import byte_order, integers, tiff_entries
+import numpy as np
+
+from .images import byte_order, integers, places, samples, tiff_entries
 
 #: The photometric interpretation and metadata tag of a gain map, and the
 #: bytes that stand before its ISO metadata.
 PHOTOMETRIC_GAIN, METADATA_TAG, PREFIX = 52553, 52557, 4
 
 
-def _plane(data: bytes, tags: dict[int, tuple[int, bytes]], what: str) -> tuple[int, int, tuple[int, ...]]:
-    order = byte_order(data)
-
-    def number(tag: int, default: int | None = None) -> list[int]:
-        if tag not in tags:
-            if default is None:
-                raise ValueError(f"{what}: tag {tag} is missing")
-            return [default]
-        return integers(tags[tag][1], tags[tag][0], order)
-
-    if number(259, 1)[0] != 1 or number(284, 1)[0] != 1 or number(277, 1)[0] != 3:
-        raise ValueError(f"{what}: compressed, planar, or not three samples")
-    if set(number(258)) != {16} or number(339, 1)[0] != 1:
-        raise ValueError(f"{what}: not 16-bit integers")
-    width, height = number(256)[0], number(257)[0]
-    strips = b"".join(data[o : o + n] for o, n in zip(number(273), number(279)))
-    count = width * height * 3
-    if len(strips) < 2 * count:
-        raise ValueError(f"{what}: strips are cut short")
-    return width, height, struct.unpack_from(order + f"{count}H", strips)
-
-
-def gain_map(data: bytes) -> Iterator[tuple[int, int, int, int, int, int, int, int, str]]:
-    """(y, x, three base codes, three gain codes, metadata in hex) of each pixel.
-
-    No rows for files that hold no gain map; ValueError for ones that say they do and
-    cannot be read, or whose base is the HDR side.
-    """
+def _parts(data: bytes) -> tuple[dict, dict, bytes] | None:
+    """Tags of the base and of the gain map, and the metadata; None without a gain map."""
     ifds: dict[str, dict[int, tuple[int, bytes]]] = defaultdict(dict)
     for ifd, tag, typ, _, value in tiff_entries(data):
         ifds[ifd][tag] = (typ, value)
     order = byte_order(data)
-    subs = (t for name, t in sorted(ifds.items()) if name.startswith("sub"))
-    gain = next((t for t in subs if METADATA_TAG in t and 262 in t and integers(t[262][1], t[262][0], order)[0] == PHOTOMETRIC_GAIN), None)
-    if gain is None:
-        return
-    meta = gain[METADATA_TAG][1][PREFIX:]
+    numbers = {name: {tag: integers(v, typ, order) for tag, (typ, v) in t.items() if typ in (1, 3, 4)} for name, t in ifds.items()}
+    name = next((n for n in sorted(ifds) if n.startswith("sub") and METADATA_TAG in ifds[n] and numbers[n].get(262, [0])[0] == PHOTOMETRIC_GAIN), None)
+    if name is None:
+        return None
+    meta = ifds[name][METADATA_TAG][1][PREFIX:]
     if len(meta) < 61:
         raise ValueError("metadata are cut short")
     if struct.unpack_from(">I", meta, 5)[0]:
         raise ValueError("the base is the HDR side")
-    width, height, base = _plane(data, ifds["ifd0"], "base")
-    gw, gh, codes = _plane(data, gain, "gain map")
-    if (gw, gh) != (width, height):
+    return numbers["ifd0"], numbers[name], meta
+
+
+def _plane(data: bytes, tags: dict[int, list[int]], what: str) -> np.ndarray:
+    missing = [t for t in (256, 257, 258, 273, 279) if t not in tags]
+    if missing:
+        raise ValueError(f"{what}: tag {missing[0]} is missing")
+    try:
+        found = samples(data, tags, byte_order(data))
+    except ValueError as e:
+        raise ValueError(f"{what}: {e}") from e
+    if found.dtype.itemsize != 2:
+        raise ValueError(f"{what}: not 16-bit integers")
+    return found
+
+
+def gain_map(data: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (y, x, three base codes, three gain codes).
+
+    Nothing for files that hold no gain map; ValueError for ones that say they do and
+    cannot be read, or whose base is the HDR side.
+    """
+    parts = _parts(data)
+    if parts is None:
+        return
+    base, gain = _plane(data, parts[0], "base"), _plane(data, parts[1], "gain map")
+    if gain.shape != base.shape:
         raise ValueError("the gain map is of another size")
-    text = meta.hex().upper()
-    for i in range(width * height):
-        yield i // width, i % width, *base[3 * i : 3 * i + 3], *codes[3 * i : 3 * i + 3], text
+    yield (*places(*base.shape[:2]), *base.reshape(-1, 3).T.astype(np.int32), *gain.reshape(-1, 3).T.astype(np.int32))
+
+
+def gain_map_meta(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """(width, height, metadata in hex) of a file with a gain map."""
+    parts = _parts(data)
+    if parts is not None:
+        yield parts[0][256][0], parts[0][257][0], parts[2].hex().upper()
 
 
 def write_gain_map(width: int, height: int, base: list[int], gain: list[int], meta: bytes) -> bytes:

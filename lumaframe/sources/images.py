@@ -5,6 +5,10 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import numpy as np
+
+from ..operators.tiles import BAND
+
 #: Bytes of each TIFF type.
 TYPE_SIZE = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 SUB_IFDS, EXIF_IFD, GPS_IFD = 330, 34665, 34853
@@ -52,35 +56,61 @@ def integers(value: bytes, typ: int, order: str) -> list[int]:
     return list(struct.unpack(order + f"{len(value) // TYPE_SIZE[typ]}{code}", value))
 
 
-def tiff_pixels(d: bytes) -> Iterator[tuple[int, int, float, float, float]]:
-    """(y, x, r, g, b) of the first directory: uncompressed, chunky, three samples of 8 or
-    16 bits or of 32-bit floats (negatives become 0)."""
-    order = byte_order(d)
-    tags = {tag: integers(value, typ, order) for ifd, tag, typ, _, value in tiff_entries(d) if ifd == "ifd0" and typ in (1, 3, 4)}
+#: Pixels of an image that are decoded at most.
+MOST_PIXELS = 512 << 20
+
+
+def samples(d: bytes, tags: dict[int, list[int]], order: str) -> np.ndarray:
+    """The strips of a directory as [row, column, channel]: uncompressed, chunky, three
+    samples of 8 or 16 bits or of 32-bit floats."""
     width, height = tags[256][0], tags[257][0]
-    bits, fmt = tags[258][0], tags.get(339, [1])[0]
     if tags.get(259, [1])[0] != 1 or tags.get(284, [1])[0] != 1 or tags.get(277, [1])[0] != 3:
         raise ValueError("compressed, planar, or not three samples")
-    if width * height > 512 << 20 or (bits, fmt) not in ((8, 1), (16, 1), (32, 3)):
+    kind = {(8, 1): "u1", (16, 1): "u2", (32, 3): "f4"}.get((tags[258][0], tags.get(339, [1])[0]))
+    if kind is None or width * height > MOST_PIXELS:
         raise ValueError("too large, or samples of another kind")
-    code, scale = {8: ("B", 255.0), 16: ("H", 65535.0), 32: ("f", 1.0)}[bits]
     data = b"".join(d[o : o + n] for o, n in zip(tags[273], tags[279]))
-    row = width * 3
-    if len(data) < row * height * bits // 8:
+    if len(data) < width * height * 3 * int(kind[1]):
         raise ValueError("strips are cut short")
-    for y in range(height):
-        v = struct.unpack_from(order + f"{row}{code}", data, y * row * bits // 8)
-        for x in range(width):
-            yield y, x, *(max(0.0, s / scale) for s in v[3 * x : 3 * x + 3])
+    return np.frombuffer(data, order + kind, width * height * 3).reshape(height, width, 3)
+
+
+def tags_of(d: bytes, name: str) -> dict[int, list[int]]:
+    """The whole numbers of a directory's tags."""
+    order = byte_order(d)
+    return {tag: integers(value, typ, order) for ifd, tag, typ, _, value in tiff_entries(d) if ifd == name and typ in (1, 3, 4)}
+
+
+def tiff_image(d: bytes) -> np.ndarray:
+    """[row, column, channel] of the first directory: codes as 0..1, floats as they are
+    with negatives as 0."""
+    found = samples(d, tags_of(d, "ifd0"), byte_order(d))
+    return np.maximum(found.astype(np.float64), 0.0) if found.dtype.kind == "f" else found / float(np.iinfo(found.dtype).max)
 
 
-def write_tiff(width: int, height: int, values: list[float], bits: int = 32) -> bytes:
+def places(height: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """y and x of each pixel, row by row."""
+    return np.repeat(np.arange(height, dtype=np.int32), width), np.tile(np.arange(width, dtype=np.int32), height)
+
+
+def tiff_pixels(d: bytes) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns (y, x, r, g, b) of ``tiff_image``."""
+    image = tiff_image(d)
+    yield (*places(*image.shape[:2]), *image.reshape(-1, 3).T)
+
+
+def tiff_tiles(d: bytes) -> Iterator[tuple[int, int, int, list, list, list]]:
+    """(y0, height, width, r, g, b) of the bands of ``tiff_image``."""
+    image = tiff_image(d)
+    for y0 in range(0, len(image), BAND):
+        band = image[y0 : y0 + BAND]
+        yield y0, len(band), band.shape[1], *(np.ascontiguousarray(c) for c in band.reshape(-1, 3).T)
+
+
+def write_tiff(width: int, height: int, values: list[float] | np.ndarray, bits: int = 32) -> bytes:
     """An uncompressed little-endian RGB file of 32-bit floats, or codes of 8 or 16 bits."""
-    if bits == 32:
-        data = struct.pack(f"<{len(values)}f", *values)
-    else:
-        top = (1 << bits) - 1
-        data = struct.pack(f"<{len(values)}{'B' if bits == 8 else 'H'}", *(round(min(1.0, max(0.0, v)) * top) for v in values))
+    values = np.asarray(values, dtype=np.float64)
+    data = values.astype("<f4").tobytes() if bits == 32 else np.rint(np.clip(values, 0, 1) * ((1 << bits) - 1)).astype(f"<u{bits // 8}").tobytes()
     tags = [(256, 4, [width]), (257, 4, [height]), (258, 3, [bits] * 3), (259, 3, [1]), (262, 3, [2]), (273, 4, [0]), (277, 3, [3]), (278, 4, [height]), (279, 4, [len(data)]), (284, 3, [1]), (339, 3, [3 if bits == 32 else 1] * 3)]
     after = 8 + 2 + 12 * len(tags) + 4
     extra, body = b"", b""
@@ -94,6 +124,23 @@ def write_tiff(width: int, height: int, values: list[float], bits: int = 32) ->
     return b"II*\0" + struct.pack("<IH", 8, len(tags)) + body + b"\0\0\0\0" + extra + data
 
 
+def write_tags(first: list[tuple[int, int, bytes]], exif: list[tuple[int, int, bytes]] = ()) -> bytes:
+    """A little-endian block with these tags (tag, type, value) in its first directory, and
+    those of an Exif directory where there are any."""
+    def directory(rows: list[tuple[int, int, bytes]], at: int) -> bytes:
+        body, blobs, room = b"", b"", at + 2 + 12 * len(rows) + 4
+        for tag, typ, value in sorted(rows):
+            cell = value.ljust(4, b"\0") if len(value) <= 4 else struct.pack("<I", room + len(blobs))
+            blobs += value if len(value) > 4 else b""
+            body += struct.pack("<HHI", tag, typ, len(value) // TYPE_SIZE[typ]) + cell
+        return struct.pack("<H", len(rows)) + body + b"\0\0\0\0" + blobs
+
+    rows = list(first) + ([(EXIF_IFD, 4, b"\0\0\0\0")] if exif else [])
+    at = 8 + len(directory(rows, 8))
+    rows = [(t, k, struct.pack("<I", at) if t == EXIF_IFD else v) for t, k, v in rows]
+    return b"II*\0" + struct.pack("<I", 8) + directory(rows, 8) + (directory(list(exif), at) if exif else b"")
+
+
 def jpeg_segments(d: bytes) -> Iterator[tuple[int, int, bytes]]:
     """(ordinal, marker, body) up to the scan; fill bytes are skipped, and a file cut
     short ends the list."""
@@ -173,8 +220,14 @@ def icc_description(d: bytes) -> str | None:
     return None
 
 
-#: Tags of the first directory that describe the source's pixels and places.
-DROPPED = frozenset((254, 255, 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 288, 289, 317, 320, 322, 323, 324, 325, 330, 338, 339, 513, 514, 700, 34675))
+#: Tags of the first directory that are not carried over. Offsets and
+#: lengths of bytes that stay behind, and vendor blobs with offsets inside; how the source's
+#: own pixels are laid out; what another part of the output states.
+DROPPED = frozenset((
+    273, 279, 288, 289, 324, 325, 330, 513, 514, 519, 520, 521, 559, 50740,
+    254, 255, 258, 259, 262, 263, 264, 265, 266, 277, 278, 284, 290, 291, 292, 293, 301, 317, 320, 322, 323, 332, 333, 334, 336, 337, 338, 339, 340, 341, 342, 512, 515, 517, 518, 532, 50706, 50707,
+    700, 34675,
+))
 
 
 def rebuild_exif(d: bytes) -> tuple[bytes | None, int]:

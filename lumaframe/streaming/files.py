@@ -11,14 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType, TimestampType
 
-from ..sources.files import EXTENSIONS, table
+from ..sources.files import PATTERN, table
 
 SCHEMA = StructType([StructField("path", StringType()), StructField("modificationTime", TimestampType()), StructField("length", LongType()), StructField("content", BinaryType())])
 
 
 def arriving(spark: SparkSession, folder: str, most_per_trigger: int = 1000) -> DataFrame:
-    pattern = "*.{" + ",".join(EXTENSIONS) + "}"
-    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", most_per_trigger).load(folder)
+    return spark.readStream.format("binaryFile").schema(SCHEMA).option("pathGlobFilter", PATTERN).option("maxFilesPerTrigger", most_per_trigger).load(folder)
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, target: str, checkpoint: str):

@@ -10,7 +10,7 @@ from lumaframe.plans import checker
 from lumaframe.plans import checks as K
 from lumaframe.sources import boxes as B
 from lumaframe.sources import images as S
-from lumaframe.sources.files import parsed, register, table
+from lumaframe.sources.files import binary_files, parsed, register, table
 
 PAYLOAD = bytes.fromhex("000000000040" + "00000000000F4240" + "0022E605000F4240" + "FFFFF855000F4240" + "0022E605000F4240" + "000C9954000F4240" + "0000000A000F4240" + "0000000A000F4240")
 
@@ -126,6 +126,26 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT count(*) FROM files, LATERAL boxes(content) b WHERE b.type = 'ispe'").first()[0] == 2
 
 
+def test_sql_functions_say_what_is_wrong(spark):
+    register(spark)
+    spark.createDataFrame([("f", bytearray(b"no such file")), ("t", bytearray(S.write_tiff(2, 1, [0.5] * 6)))], "path string, content binary").createOrReplaceTempView("some")
+    rows = spark.sql("SELECT path, p.r, p.error FROM some, LATERAL tiff_pixels(content) p").collect()
+    assert [(r["r"], r["error"][:10]) for r in rows if r["path"] == "f"] == [(None, "ValueError")]
+    assert [(r["r"], r["error"]) for r in rows if r["path"] == "t"] == [(0.5, None)] * 2
+
+
+def test_inputs(spark, tmp_path):
+    """Folders by suffix, in any case; files named outright whatever their name."""
+    for name in ("a.tif", "b.TIF", "c.Orf", "d.rw2", "e.txt", "f"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "g.tif").write_bytes(b"x")
+    names = lambda paths: sorted(r["path"].rsplit("/", 1)[1] for r in binary_files(spark, paths).collect())
+    assert names([str(tmp_path)]) == ["a.tif", "b.TIF", "c.Orf", "d.rw2"]
+    assert names([str(tmp_path / "e.txt"), str(tmp_path / "f")]) == ["e.txt", "f"]
+    assert names([str(tmp_path), str(tmp_path / "f"), str(tmp_path / "a.tif")]) == ["a.tif", "b.TIF", "c.Orf", "d.rw2", "f"]
+
+
 def test_budget():
     sizes = []
 
@@ -143,7 +163,9 @@ def test_budget():
 def test_tiff_and_jpeg():
     values = [0.5, 2.0, -1.0] * 4
     t = S.write_tiff(2, 2, values)
-    assert [p[2:] for p in S.tiff_pixels(t)] == [(0.5, 2.0, 0.0)] * 4
+    (y, x, *rgb), = S.tiff_pixels(t)
+    assert y.tolist() == [0, 0, 1, 1] and x.tolist() == [0, 1, 0, 1] and [c.tolist() for c in rgb] == [[0.5] * 4, [2.0] * 4, [0.0] * 4]
+    assert [(a, h, w) for a, h, w, *_ in S.tiff_tiles(S.write_tiff(3, 100, [0.25] * 900, 8))] == [(0, 48, 3), (48, 48, 3), (96, 4, 3)]
     assert S.exif_of(S.jpeg_with_exif(t)) == t
     assert S.jpeg_with_exif(bytes(70_000)) is None and S.jpeg_with_exif(b"") is None
     for n in range(len(t)):
@@ -163,15 +185,17 @@ def test_exif_keeps_what_describes_the_picture():
     first = ifd([(256, 3, 1, b"\x08\0\0\0"), (274, 3, 1, b"\x06\0\0\0"), (34665, 4, 1, struct.pack("<I", 8 + 42))], 0)
     out, n = S.rebuild_exif(b"II*\0" + struct.pack("<I", 8) + first + exif)
     kept = {(i, tag): v for i, tag, _, _, v in S.tiff_entries(out)}
-    assert n == 2 and kept["ifd0", 274] == b"\x06\0" and kept["exif", 37386] == b"\x32\0" and ("ifd0", 256) not in kept
+    assert n == 3 and kept["ifd0", 274] == b"\x06\0" and kept["exif", 37386] == b"\x32\0" and kept["ifd0", 256] == b"\x08\0"
+    stays = S.write_tags([(t, 3, b"\1\0") for t in (519, 559, 532, 263, 50740, 50706, 273)])
+    assert S.rebuild_exif(stays) == (None, 0)
 
 
 def test_stream(spark, tmp_path):
     from lumaframe.streaming.files import stream_table
 
     (tmp_path / "in").mkdir()
-    for i in range(3):
-        (tmp_path / "in" / f"{i}.heic").write_bytes(sample())
+    for name in ("0.heic", "1.HEIC", "2.Heic"):
+        (tmp_path / "in" / name).write_bytes(sample())
     q = stream_table(spark, str(tmp_path / "in"), "items", str(tmp_path / "out"), str(tmp_path / "check"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9

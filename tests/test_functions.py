@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,9 +10,11 @@ from lumaframe.functions import color as C
 from lumaframe.functions import gain as G
 from lumaframe.functions import headroom as H
 from lumaframe.functions import iso as I
+from lumaframe.functions import kernels as N
 from lumaframe.functions import text as T
 from lumaframe.operators import derive as D
 from lumaframe.operators import metrics as M
+from lumaframe.operators import tiles as L
 from lumaframe.operators.frames import scene
 
 NAN, INF = float("nan"), float("inf")
@@ -47,11 +50,68 @@ def test_nan_and_infinity(spark):
     px = spark.createDataFrame([(1, 0, i, g) for i, g in enumerate([1.0, NAN, INF, 3.0, -INF])], "image_id long, y int, x int, gain double")
     r = D.gain_range(px)
     assert tuple(r.first()) == (1, 1.0, 3.0)
-    codes = {x["gx"]: x["code"] for x in D.gain_plane(px, r).collect()}
-    assert codes == {0: 0, 1: 0, 2: 255, 3: 255, 4: 0}
+    codes = N.codes(N.normalise(np.array([1.0, NAN, INF, 3.0, -INF]), 1.0, 3.0))
+    assert codes.tolist() == [0, 0, 255, 255, 0]
     none = spark.createDataFrame([(1, 0, 0, NAN)], "image_id long, y int, x int, gain double")
     assert tuple(D.gain_range(none).first()) == (1, 0.0, 0.0)
-    assert D.gain_plane(none, D.gain_range(none)).first()["code"] == 0
+    assert N.codes(N.normalise(np.array([NAN]), 0.0, 0.0)).tolist() == [0]
+
+
+def test_kernels_are_the_expressions(spark):
+    """Arrays and columns give the same numbers, odd ones included."""
+    rng = np.random.default_rng(0)
+    v = np.concatenate([rng.gamma(1, 2, (500, 3)), [[0, 0, 0], [NAN, 1, 1], [INF, 0, 0], [-1, -2, 3], [1e-7, 0, 0], [0.0031308, 0.04045, 1]]])
+    df = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(v)], "i long, r double, g double, b double")
+    rgb = tuple(map(F.col, "rgb"))
+    for white, arg in ((F.lit(5.0), np.full(len(v), 5.0)), (None, None)):
+        got = df.select("i", *C.tone_map(*rgb, white)).orderBy("i").collect()
+        assert [list(r[1:]) for r in got] == np.stack(N.tone_map(*v.T, arg), axis=1).tolist()
+    got = df.select("i", G.log2_gain(C.positive(F.col("r")), C.positive(F.col("g"))), G.normalise(F.col("b"), F.lit(0.5), F.lit(2.0), 0.7), G.apply_gain(F.col("r"), G.decode(F.lit(0.3), F.lit(0.5), F.lit(2.0), 0.7))).orderBy("i").collect()
+    want = np.stack([N.log2_gain(N.positive(v[:, 0]), N.positive(v[:, 1])), N.normalise(v[:, 2], 0.5, 2.0, 0.7), N.apply_gain(v[:, 0], N.decode(0.3, 0.5, 2.0, 0.7))], axis=1)
+    assert np.allclose([r[1:] for r in got], want, rtol=1e-12, equal_nan=True)
+
+
+@pytest.mark.parametrize("band", [12, 48])
+@pytest.mark.parametrize("subsample", [1, 2, 3])
+def test_bands_change_nothing(spark, monkeypatch, band, subsample):
+    """An image in bands against the whole of it in one array."""
+    from lumaframe.operators import frames
+
+    for module in (L, frames):
+        monkeypatch.setattr(module, "BAND", band)
+    tiles = scene(spark, 50, 70, 6.0)
+    rows = sorted(tiles.collect(), key=lambda r: r["y0"])
+    assert len(rows) == -(-70 // band)
+    r, g, b = (np.concatenate([np.array(x[c]) for x in rows]) for c in "rgb")
+    white = np.full(len(r), max(1.0, N.luma(r, g, b).max()))
+    base = N.tone_map(r, g, b, white)
+    gain = N.log2_gain(N.luma(r, g, b), N.luma(*(N.LINEAR[c] for c in base)))
+    t = N.normalise(gain, gain.min(), gain.max()).reshape(70, 50)
+    gh, gw = -(-70 // subsample), -(-50 // subsample)
+    plane = N.codes(np.array([[t[y * subsample : (y + 1) * subsample, x * subsample : (x + 1) * subsample].mean() for x in range(gw)] for y in range(gh)]))
+    lit = L.with_white(tiles)
+    got = np.zeros((gh, gw), int)
+    for x in L.plane_rows(L.gain_plane(lit, L.gain_range(lit), subsample)).collect():
+        got[x["gy"], x["gx"]] = x["code"]
+    assert (got == plane).all()
+
+    def at(n, size):
+        f = (np.arange(n) + 0.5) / subsample - 0.5
+        low = np.floor(f).astype(int)
+        return np.clip(low, 0, size - 1), np.clip(low + 1, 0, size - 1), f - low
+
+    y0, y1, fy = at(70, gh)
+    x0, x1, fx = at(50, gw)
+    up = lambda p: (p[y0] * (1 - fy)[:, None] + p[y1] * fy[:, None])
+    smooth = up(plane.astype(float))[:, x0] * (1 - fx) + up(plane.astype(float))[:, x1] * fx
+    light = N.luma(*(N.apply_gain(N.LINEAR[c], N.decode(smooth.reshape(-1) / 255, gain.min(), gain.max())) for c in base))
+    own = N.luma(r, g, b)
+    rel = np.abs(light - own)[own >= 0.05] / own[own >= 0.05]
+    e = L.errors(tiles, subsample).first()
+    assert e["n_pixels"] == len(rel) and e["worst"] == pytest.approx(rel.max()) and e["p999"] == pytest.approx(np.sort(rel)[int(len(rel) * 0.999)]) and e["p50"] == pytest.approx(np.sort(rel)[len(rel) // 2])
+    deciles = {x["decile"]: (x["n"], x["diff"]) for x in L.group_differences(tiles, subsample).collect()}
+    for k, part in enumerate(np.array_split(np.argsort(own, kind="stable"), 10), 1):
+        assert deciles[k][0] == len(part) and deciles[k][1] == pytest.approx((light - own)[part].mean(), abs=1e-9)
 
 
 def test_delta_e_published_pairs(spark):
@@ -103,11 +163,6 @@ def test_peak_ignores_a_hot_pixel(spark):
 
 def test_round_trip_of_a_scene(spark):
     """Luma comes back within 6 percent where it is above 0.05."""
-    px = D.with_gain(D.with_base(D.with_white(scene(spark, 32, 24, 6.0)), F.col("white")))
-    ranges = D.gain_range(px)
-    plane = D.gain_plane(px, ranges)
-    t = px.join(plane.select("image_id", F.col("gy").alias("y"), F.col("gx").alias("x"), (F.col("code") / 255.0).alias("t")), ["image_id", "y", "x"]).join(ranges, "image_id")
-    r = D.reconstruct(t).select("image_id", "y", "x", C.luma(*map(F.col, "rgb")).alias("a"), C.luma(F.col("r2"), F.col("g2"), F.col("b2")).alias("b"))
-    e = M.errors(r).first()
+    e = L.errors(scene(spark, 32, 24, 6.0), 1).first()
     assert e["worst"] < 0.06
     assert 20 * math.log10(e["peak"] / math.sqrt(e["mse"])) > 40

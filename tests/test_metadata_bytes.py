@@ -44,8 +44,9 @@ def test_notes_reach_the_rules():
 def test_gain_map_tiff():
     base, gain = list(range(0, 48 * 1000, 1000)), list(range(48))
     d = G.write_gain_map(4, 4, base, gain, META)
-    rows = list(G.gain_map(d))
-    assert len(rows) == 16 and rows[5][2:8] == (*base[15:18], *gain[15:18]) and rows[0][8] == META.hex().upper()
+    (columns,) = G.gain_map(d)
+    assert all(len(c) == 16 for c in columns) and [int(c[5]) for c in columns] == [1, 1, *base[15:18], *gain[15:18]]
+    assert list(G.gain_map_meta(d)) == [(4, 4, META.hex().upper())]
     assert list(G.gain_map(S.write_tiff(2, 2, [0.0] * 12))) == []
     hdr = META[:5] + b"\0\1" + META[7:]
     with pytest.raises(ValueError, match="HDR side"):
