@@ -2,16 +2,16 @@
 
 A text is brought to a canonical form (lower case; copyright lines out; equivalent
 spellings as one; everything but letters and digits is a single space) and its SHA-256
-is joined to the digests of known licence texts. Entire texts are compared: that of a
-document, and that of each of its lines with a letter or digit, as notices are one
-line long.
+is hash-joined to the digests of known licence texts. Entire texts are compared: that of
+a document, and that of each of its lines with a letter or digit, as notices are one
+line long; a document's lines are looked up within its row, by a map of the same digests.
 
 Native throughout; the known digests are a fixed table of a few rows, so that is what
 is broadcast. Scale: one scan, no shuffle.
 
 Defined results: null text counts as empty and holds no licence; null doc_id is an id
 like any other; repeated rows are scanned each, alike; several notices are listed by
-name, once each; an empty table gives an empty result; extra columns are ignored.
+name, once each; a very long text is read whole; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,8 +30,6 @@ COPYRIGHT_LINE = r"(?m)^[^\n]{0,20}(?:copyright|\(c\)|©)[^\n]{0,20}(?:[0-9]{4}|
 HOLDER_LINE = r"(?m)^[^\p{L}\p{N}\n]*(?:copyright\b|\(c\)|©|all rights reserved\b)"
 #: One that is no part of any text's terms, though MPL-1.1 has the words.
 RESERVED_LINE = r"^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
-#: What the SQL requires of a line; the scan does not, as not all known texts have it.
-NOTICE = "licen"
 
 
 def canonical(text: Column) -> Column:
@@ -69,7 +67,8 @@ def scan_licenses(docs: DataFrame, more: Iterable[tuple[str, str]] = ()) -> Data
     the licences whose notice is a line, comma-joined) and n_notices (such lines).
 
     ``more``: (licence, text) of a caller that are known too."""
-    rows = known(docs.sparkSession, more).orderBy("license").collect()  # the fixed table
+    table = known(docs.sparkSession, more)
+    rows = table.orderBy("license").collect()  # the fixed table
     names = F.create_map(*(F.lit(x) for r in rows for x in (r["digest"], r["license"])))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.rlike(x, F.lit(r"[\p{L}\p{N}]")))
@@ -77,5 +76,7 @@ def scan_licenses(docs: DataFrame, more: Iterable[tuple[str, str]] = ()) -> Data
     words = F.lit(" " + " | ".join(r["words"] for r in rows) + " ")
     bare = F.when(F.rlike(F.lower(text), F.lit(HOLDER_LINE)), digest(without_holders(text, words)))
     found = docs.select("doc_id", digest(text).alias("text_digest"), bare.alias("bare"), of_lines.alias("found"))
-    license = F.coalesce(F.element_at(names, F.col("text_digest")), F.element_at(names, F.col("bare")))
-    return found.select("doc_id", "text_digest", license.alias("license"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("notices"), F.size("found").cast("long").alias("n_notices"))
+    for digest_of, name in (("text_digest", "whole"), ("bare", "without")):
+        found = found.join(F.broadcast(table.select(F.col("digest").alias(digest_of), F.col("license").alias(name))), digest_of, "left")
+    notices = F.array_join(F.array_sort(F.array_distinct("found")), ",")
+    return found.select("doc_id", "text_digest", F.coalesce("whole", "without").alias("license"), notices.alias("notices"), F.size("found").cast("long").alias("n_notices"))

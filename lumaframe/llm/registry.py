@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .common import read_table
 from .exact_dedup import exact_dedup
-from .known_licenses import EQUIVALENT, KNOWN
-from .licenses import COPYRIGHT_LINE, NOTICE, scan_licenses
+from .known_licenses import KNOWN
+from .licenses import scan_licenses
 from .lm import score
 from .packing import pack
 from .pieces import round_trips
@@ -83,20 +83,29 @@ FROM d
 """
 
 
+#: What the SQL takes for the same word, and for a line that states a copyright: its own.
+_SAME_WORDS = {
+    "licence": "license", "licences": "licenses", "licenced": "licensed", "sub license": "sublicense", "sub licence": "sublicense", "copyright owner": "copyright holder", "favour": "favor",
+    "non infringement": "noninfringement", "v 2": "version 2", "v2": "version 2", "v 3": "version 3", "v3": "version 3", "organisation": "organization", "per cent": "percent", "while": "whilst",
+}
+_HOLDER = r"(^|\n)[^\n]{0,20}(copyright|\(c\)|©)[^\n]{0,20}([0-9][0-9][0-9][0-9]|\(c\)|©|<|\[)[^\n]*"
+
+
 def _canonical_sql(text: str) -> str:
-    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
-    for spelling, usual in EQUIVALENT:
+    out = f"' ' || trim(regexp_replace(regexp_replace(lower({text}), '{_HOLDER}', '\\1 ', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
+    for spelling, usual in _SAME_WORDS.items():
         out = f"replace({out}, ' {spelling} ', ' {usual} ')"
     return f"sha256(trim({out}))"
 
 
 def _op7_sql() -> str:
+    """All lines with a letter or digit are looked up, as are all texts."""
     known = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
     return f"""
 WITH known AS (SELECT DISTINCT license, {_canonical_sql("text")} AS digest FROM (VALUES {known}) AS k(license, text)),
 d AS (SELECT doc_id, coalesce(text, '') AS text, {_canonical_sql("coalesce(text, '')")} AS text_digest FROM documents),
-l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d WHERE contains(lower(text), '{NOTICE}')),
-f AS (SELECT l.doc_id, k.license FROM (SELECT doc_id, {_canonical_sql("line")} AS digest FROM l WHERE contains(lower(line), '{NOTICE}')) l JOIN known k USING (digest)),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+f AS (SELECT l.doc_id, k.license FROM (SELECT doc_id, {_canonical_sql("line")} AS digest FROM l WHERE regexp_matches(line, '[\\p{{L}}\\p{{N}}]')) l JOIN known k USING (digest)),
 n AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(*) AS n_notices FROM f GROUP BY doc_id)
 SELECT d.doc_id, d.text_digest, k.license, coalesce(n.notices, '') AS notices, coalesce(n.n_notices, 0) AS n_notices
 FROM d LEFT JOIN known k ON d.text_digest = k.digest LEFT JOIN n ON d.doc_id = n.doc_id
