@@ -3,40 +3,41 @@
 Tokens: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``, then one end token. Documents whose
 crc32 (of doc_id as text) modulo 7 is 2 are held out of training.
 
-The model: P(w | v) mixes two estimates, with a weight that depends on how frequent
-the context v is (one for each power of two):
-
-* c(v, w) / c(v), from the exact counts of all pairs of adjacent tokens. A document
-  starts after an end token.
-* a class model below it. The ``CLASSES`` most frequent tokens are classes of their own,
-  all others share one; P(class of w | class of v) mixes estimates of order two, one
-  and zero. Within the shared class, a token has (c + 1) / (C + R + 1), for R tokens
-  that occur C times together; one more stands for all tokens never seen.
-
-Both are distributions, so P sums to one over the vocabulary and the unseen. All weights
-are learned by expectation-maximisation on counts kept back from the estimates: those of
-training documents with remainder 6. For pairs, EM sees how often each ratio of the two
-estimates occurs, at 16 steps to an octave. Estimates are then taken from all training
-documents.
-
-Scale: token and pair counts are exact and unbounded. Pairs of two tokens with a class
-of their own are counted in a table of (CLASSES + 2)^2 cells, which is broadcast. Every
-other occurrence of a pair is sent once, packed, to the task that counts its rare token
-(rarest context first) or, of two frequent ones, its pair; none of these is more
-frequent than token number ``CLASSES``. Pairs of two rare tokens go on to the task that
-counts the second. What comes back is packed by the chunk of documents it is for. The
-counts of at most ``FREQUENT`` tokens are broadcast. Tokens travel as 63-bit hashes.
+The model mixes maximum-likelihood estimates of three orders, from exact counts of all
+n-grams of the training documents, each order resting on the one below:
+
+    P1(w)       = l1 c(w) / N                + (1 - l1) / (V + 1)
+    P2(w | v)   = l2[c(v)] c(v w) / c(v)     + (1 - l2[c(v)]) P1(w)
+    P3(w | u v) = l3[c(u v)] c(u v w) / c(u v) + (1 - l3[c(u v)]) P2(w | v)
+
+The last share of P1 is for each of V known tokens and one for all others, so that each P
+sums to one. Weights go by the frequency of the context, one for each power of two, and
+are zero for a context never seen. A document starts after an end token, and that after
+a start of its own.
+
+Weights are learned by expectation-maximisation on counts kept back from the
+estimates: those of training documents with remainder 6. EM sees how often each pair of
+context frequencies and of ratios of the estimates to P1 occurs, at two steps to an
+octave with the mean within the step; the grid bounds what the driver gets, not the
+input. The scores' estimates are then taken from all training documents.
+
+Scale: the documents are dealt into chunks of about ``CHUNK_BYTES``, each of one kind
+(main, kept back, held out), and written, compressed. A chunk sends each of its
+different n-grams once, with its count, to the task that counts it, packed by ``2^bits``
+buckets of hashes; what comes back are the totals of those n-grams that other chunks
+have too. So a frequent n-gram costs one entry a chunk, texts are shuffled once (those
+kept back twice), and nothing but sums of EM reaches the driver. N-grams travel as hashes
+of 48 bits and those of their bucket.
 
 Defined results: null text is one end token; a null doc_id counts as empty text in
-the crc; repeated rows are scored and counted each; with no training documents all
-weights stay equal and every token is unseen; an empty table gives an empty
-result; extra columns are ignored.
+the crc; repeated rows are scored and counted each; with no training documents
+every token is unseen and scores zero; a very long text is a chunk of its own; an
+empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,22 +47,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_merge, count_groups, materialize, with_row_key
+from .common import count_groups, materialize
 
-FREQUENT = 65536
-CLASSES = 1023
 FOLDS, HELD_OUT, KEPT_BACK = 7, 2, 6
-EM_ROUNDS = 30
+#: Kinds of documents, and so of chunks.
+MAIN, BACK, HELD = range(3)
 #: No word has a space in it.
 END = b" "
+#: Text of a chunk; chunks for each task that scores them.
+CHUNK_BYTES, CHUNKS_PER_TASK = 12 << 20, 2
+#: Text whose n-grams share a bucket or a counting task; bits of a bucket's number.
+BUCKET_BYTES, TASK_BYTES = 16 << 20, 24 << 20
+LEAST_BITS, MOST_BITS = 11, 20
+_PAYLOAD = 48
 _SEED = 9
-#: Distinct tokens a task counts or remembers at a time.
-_MEMORY = 400_000
-#: Occurrences of pairs packed at a time, at most so many documents' (a place and a fold
-#: fit 16 bits), and for each part of the pairs.
-_CHUNK, _CHUNK_DOCS, _PART = 2_000_000, 1 << 14, 1_000_000
-#: Steps to an octave of the ratio of two estimates, and of how many octaves each side of one.
-_STEPS, _OCTAVES = 16, 64
+#: Steps to an octave of the ratio of two estimates, and octaves on each side of one.
+STEPS, OCTAVES = 2, 64
+#: EM ends when no weight moves by more than this, or after so many rounds.
+STILL, EM_ROUNDS = 1e-6, 500
+#: Cells of the table of totals, beside the steps of counts.
+_TYPES, _TOKENS, _TOKENS_BACK = -1, -2, -3
+
+_U = np.uint64
+_CHUNK = "chunk long, kind int, bucket long, ids binary, sizes binary, packed binary"
+_ASK = "chunk long, kind int, bucket long, high binary, low binary, n binary, more binary"
+_REPLY = "cell long, n long, x double, chunk long, kind int, bucket long, at binary, main binary, back binary"
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -70,470 +80,350 @@ def tokens(text: bytes | None) -> list[bytes]:
     return out
 
 
-def _hash(word: bytes) -> int:
-    h = xxhash.xxh64_intdigest(word, _SEED)
-    return h - (1 << 64) if h >> 63 else h
+def kind_of(doc_id: int | None) -> int:
+    fold = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
+    return HELD if fold == HELD_OUT else BACK if fold == KEPT_BACK else MAIN
 
 
-def fold(doc_id: int | None) -> int:
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
+def _rows(columns: dict[str, str], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    cols = list(zip(*rows)) or [[]] * len(columns)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(cols, columns.values())], list(columns))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n, n_back): partial counts of the training documents."""
-    counts: tuple[Counter[bytes], Counter[bytes]] = Counter(), Counter()
-
-    def flush() -> pa.RecordBatch:
-        main, back = counts
-        words = list(main.keys() | back.keys())
-        n = [main[w] + back[w] for w in words]
-        out = pa.RecordBatch.from_arrays([pa.array(list(map(_hash, words)), pa.int64()), pa.array(n, pa.int64()), pa.array([back[w] for w in words], pa.int64())], ["token", "n", "n_back"])
-        main.clear(), back.clear()
-        return out
+def _columns(schema: str) -> dict[str, str]:
+    return dict(x.split() for x in schema.split(", "))
 
-    for b in batches:
-        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-            f = fold(doc_id)
-            if f != HELD_OUT:
-                counts[f == KEPT_BACK].update(tokens(text))
-            if len(counts[0]) + len(counts[1]) > _MEMORY:
-                yield flush()
-    if counts[0] or counts[1]:
-        yield flush()
-
-
-class _Ranks:
-    """Rank among the frequent tokens of each token, a negative hash for others."""
-
-    def __init__(self, frequent: np.ndarray) -> None:
-        order = np.argsort(frequent)
-        self.sorted, self.rank = frequent[order], order
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        seen = self.seen
-        new = [w for w in set(words) if w not in seen]
-        if new:
-            if len(seen) > _MEMORY:
-                seen.clear()
-                new = list(set(words))
-            h = np.array([_hash(w) for w in new], dtype=np.int64)
-            at = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
-            rare = h | np.int64(-1 << 63)
-            rank = np.where(self.sorted[at] == h, self.rank[at], rare) if len(self.sorted) else rare
-            seen.update(zip(new, rank.tolist()))
-        return np.fromiter(map(seen.__getitem__, words), dtype=np.int64, count=len(words))
-
-
-def _classes(rank: np.ndarray) -> np.ndarray:
-    return np.where((rank >= 0) & (rank < CLASSES), rank, CLASSES)
-
-
-def _contexts(classes: np.ndarray) -> np.ndarray:
-    """The class before each token; CLASSES + 1 at the start."""
-    return np.concatenate([[CLASSES + 1], classes[:-1]])
-
-
-def interpolation(main: np.ndarray, back: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM: weights [bucket, order 2 1 0] and the bucket of each count.
-
-    ``main``, ``back``: [context, class] counts; ``sizes``: tokens of each class.
-    """
-    weights = np.full((64, 3), 1 / 3)
-    context = main.sum(axis=1)
-    v, w = np.nonzero(back)
-    n = back[v, w].astype(float)
-    bucket = buckets(context)[v]
-    p = np.stack([main[v, w] / np.maximum(context[v], 1), main.sum(axis=0)[w] / max(main.sum(), 1), sizes[w] / sizes.sum()], axis=1)
-    for _ in range(EM_ROUNDS if len(n) else 0):
-        share = weights[bucket] * p
-        total = share.sum(axis=1, keepdims=True)
-        share *= n[:, None] / np.where(total > 0, total, 1)
-        mass = np.stack([np.bincount(bucket, share[:, k], minlength=64) for k in range(3)], axis=1)
-        # as if each order had explained one more token: a bucket without data keeps equal weights
-        weights = (mass + 1) / (mass + 1).sum(axis=1, keepdims=True)
-    return weights, buckets(main.sum(axis=1) + back.sum(axis=1))
 
+# ---- chunks -----------------------------------------------------------------------------
 
-def buckets(counts: np.ndarray) -> np.ndarray:
-    """Power of two of each context's frequency."""
-    return np.floor(np.log2(np.maximum(counts, 0) + 1)).astype(np.int64)
-
-
-def class_model(main: np.ndarray, back: np.ndarray, types: int, own: int) -> np.ndarray:
-    """log10 P(class | context class) for a vocabulary of ``types`` tokens, ``own`` of
-    which are classes of their own."""
-    return _class_models(main, back, types, own)[1]
-
-
-def _class_models(main: np.ndarray, back: np.ndarray, types: int, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """class_model of the counts without those kept back, and of all."""
-    sizes = np.ones(CLASSES + 1)
-    sizes[own:CLASSES] = 0
-    sizes[CLASSES] = types - own + 1
-    weights, bucket = interpolation(main, back, sizes)
-    return _mixed(weights, buckets(main.sum(axis=1)), main, sizes), _mixed(weights, bucket, main + back, sizes)
-
-
-def _mixed(weights: np.ndarray, bucket: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    both = counts.astype(float)
-    context = both.sum(axis=1, keepdims=True)
-    lam = weights[bucket]
-    order2 = both / np.maximum(context, 1)
-    order1 = both.sum(axis=0) / max(both.sum(), 1)
-    # what an order without counts would have goes to the one below
-    l2 = np.where(context[:, 0] > 0, lam[:, 0], 0)
-    l1 = np.where(both.sum() > 0, lam[:, 1] + lam[:, 0] - l2, 0)
-    l0 = 1 - l1 - l2
-    p = l2[:, None] * order2 + l1[:, None] * order1 + l0[:, None] * (sizes / sizes.sum())
-    return np.log10(np.maximum(p, 1e-300))
-
-
-def ratio_cells(bucket: np.ndarray, ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The cell of each (bucket, ratio) in EM's aggregates, and log2 of the ratio; a
-    bucket's first cell is for zero."""
-    log = np.log2(np.maximum(ratio, 2.0**-_OCTAVES))
-    step = np.clip(np.floor((log + _OCTAVES) * _STEPS).astype(np.int64), 0, 2 * _OCTAVES * _STEPS - 1)
-    return bucket * (2 * _OCTAVES * _STEPS + 1) + np.where(ratio > 0, step + 1, 0), np.where(ratio > 0, log, 0.0)
-
-
-def pair_weights(cell: np.ndarray, n: np.ndarray, log: np.ndarray) -> np.ndarray:
-    """EM: the weight of the pairs' estimate for each bucket, from how many (n) counts
-    kept back are in each cell and the sum of their log2 ratios."""
-    bucket, step = np.divmod(cell, 2 * _OCTAVES * _STEPS + 1)
-    ratio = np.where(step > 0, 2.0 ** (log / np.maximum(n, 1)), 0.0)
-    weights = np.full(64, 0.5)
-    of = np.bincount(bucket, n, minlength=64)
-    for _ in range(EM_ROUNDS if len(n) else 0):
-        lam = weights[bucket]
-        weights = (np.bincount(bucket, n * lam * ratio / (lam * ratio + 1 - lam), minlength=64) + 1) / (of + 2)
-    return weights
-
-
-def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> list:
-    """Rows (token, n) of all tokens that occur as often as a threshold, the least (of
-    64 to an octave) that at most ``most`` tokens reach; by n, then token.
-
-    The threshold comes from a histogram of a few thousand rows, so tasks send the
-    driver ``most`` rows together, not each.
-    """
-    step = F.floor(F.log2("n") * 64)
-    steps = sorted(counts.groupBy(step.alias("step")).agg(F.count("*").alias("many"), F.min("n").alias("least")).collect(), reverse=True)
-    least, reached = None, 0
-    for r in steps:
-        reached += r["many"]
-        if reached > most:
-            break
-        least = r["least"]
-    return [] if least is None else sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["token"]))
 
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chunks of documents of one kind. An id's place holds its bytes, with a null apart."""
+    codec = pa.Codec("zstd", compression_level=3)
+    number = TaskContext.get().partitionId() << 24
+    open_: list[tuple[list, list[bytes]]] = [([], []) for _ in range(3)]
+    size = [0] * 3
 
-_DOC = "row_key long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double"
-_PACKED = "kind int, part long, chunk long, v binary, w binary, doc binary"
-#: Kinds of packed rows: occurrences of pairs by whether v, w are frequent; counts of rare
-#: tokens; keys of a chunk's documents; results (ratios, sums); EM's aggregates.
-_FF, _FR, _RR, _RF, _COUNTS, _KEYS, _RATIOS, _SUMS, _CELLS = range(9)
+    def close(kind: int) -> pa.RecordBatch:
+        nonlocal number
+        ids, texts = open_[kind]
+        whole = b"".join(texts)
+        packed = codec.compress(whole, asbytes=True) if whole else b""
+        has = np.array([i is not None for i in ids])
+        row = (number, kind, -1, np.array([i or 0 for i in ids], np.int64).tobytes() + has.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), packed)
+        number, open_[kind], size[kind] = number + 1, ([], []), 0
+        return _rows(_columns(_CHUNK), [row])
 
-
-def _packed(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [[]] * 6
-    binary = [pa.array([x.tobytes() for x in c], pa.binary()) for c in cols[3:]]
-    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), *binary], ["kind", "part", "chunk", "v", "w", "doc"])
+    for b in batches:
+        for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            kind = kind_of(doc_id)
+            if size[kind] and size[kind] + len(text or b"") > CHUNK_BYTES:
+                yield close(kind)
+            open_[kind][0].append(doc_id)
+            open_[kind][1].append(text or b"")
+            size[kind] += len(text or b"") + 16
+    for kind in range(3):
+        if open_[kind][0]:
+            yield close(kind)
+
+
+class Chunk:
+    """The n-grams of a chunk's documents."""
+
+    def __init__(self, ids: bytes, sizes: bytes, packed: bytes, bits: int) -> None:
+        length = np.frombuffer(sizes, np.int64)
+        n = len(length)
+        self.ids, self.has_id = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], bool)
+        text = pa.Codec("zstd").decompress(packed, int(length.sum()), asbytes=True) if packed else b""
+        words: list[bytes] = []
+        ends, at = np.zeros(n, np.int64), 0
+        for i, size in enumerate(length.tolist()):
+            words += tokens(text[at : at + size])
+            at += size
+            ends[i] = len(words)
+        hashes = {w: xxhash.xxh64_intdigest(w, _SEED) for w in set(words)}
+        self.w = np.fromiter(map(hashes.__getitem__, words), dtype=_U, count=len(words))
+        self.end = hashes[END]
+        self.starts, self.many, self.bits = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0), bits
+
+    def grams(self) -> np.ndarray:
+        """Of every token, its n-grams of order one, then two, then three; the lowest bit
+        is one for order one alone."""
+        first = self.starts
+        v = np.concatenate([[0], self.w[:-1]]).astype(_U)
+        v[first] = _U(self.end)
+        pair = _mixed(v, self.w)
+        before = np.concatenate([[0], pair[:-1]]).astype(_U)
+        before[first] = _U(0)  # the start of its own
+        triple = _mixed(before ^ _U(0x5851F42D4C957F2D), self.w)
+        out = np.concatenate([self.w, pair, triple]) >> _U(64 - _PAYLOAD - self.bits)
+        out &= ~_U(1)
+        out[: len(self.w)] |= _U(1)
+        return out
 
 
-_NONE = np.zeros(0, np.uint8)
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a ^ (a >> _U(31))) * _U(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
 
 
-def _split(by: np.ndarray, *columns: np.ndarray) -> Iterator[tuple]:
-    """(value of ``by``, that value's part of each column)."""
-    order = np.argsort(by, kind="stable")
-    by, columns = by[order], [c[order] for c in columns]
-    starts = np.flatnonzero(np.concatenate([[True], by[1:] != by[:-1]])) if len(by) else []
-    for a, z in zip(starts, [*starts[1:], len(by)]):
-        yield (int(by[a]), *(c[a:z] for c in columns))
+def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and its length."""
+    starts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+    return starts, np.diff(np.append(starts, len(sorted_)))
 
 
-def _part(ids: np.ndarray, parts: int) -> np.ndarray:
-    x = ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((x ^ (x >> np.uint64(32))) % np.uint64(parts)).astype(np.int64)
+def _ask(bits: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different n-grams of each chunk, by bucket, with how often they are there."""
+        for b in batches:
+            for chunk, kind, ids, sizes, packed in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "ids", "sizes", "packed"))):
+                gram = np.sort(Chunk(ids, sizes, packed, bits).grams())
+                at, n = _runs(gram)
+                gram = gram[at]
+                first, size = _runs(gram >> _U(_PAYLOAD))
+                bucket = (gram[first] >> _U(_PAYLOAD)).astype(np.int64).tolist()
+                high, low = (gram >> _U(32)).astype("<u2"), gram.astype("<u4")
+                small, counted = np.minimum(n, 255).astype(np.uint8), kind != HELD
+                rows = []
+                for k, a, z in zip(bucket, first.tolist(), (first + size).tolist()):
+                    more = n[a:z][small[a:z] == 255].astype("<i8").tobytes() if counted else b""
+                    rows.append((chunk, kind, k, high[a:z].tobytes(), low[a:z].tobytes(), small[a:z].tobytes() if counted else b"", more))
+                yield _rows(_columns(_ASK), rows)
+
+    return ask
+
+
+# ---- counting ---------------------------------------------------------------------------
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
+    """The rows of each value of ``by``, in which the batches are sorted."""
+    held: list[pa.RecordBatch] = []
+    value = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        keys = b[by].to_numpy()
+        starts, sizes = _runs(keys)
+        for a, n in zip(starts.tolist(), sizes.tolist()):
+            if held and keys[a] != value:
+                yield pa.Table.from_batches(held)
+                held = []
+            value = keys[a]
+            held.append(b.slice(a, n))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _joined(t: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(t[column].to_pylist()), kind)
+
+
+def count_bucket(t: pa.Table) -> tuple[list[tuple], dict[int, list[float]]]:
+    """Replies to the chunks that ask for a bucket's n-grams, and sums over its tokens."""
+    high, low = _joined(t, "high", "<u2"), _joined(t, "low", "<u4")
+    gram = high.astype(_U) << _U(32) | low
+    kinds = t["kind"].to_numpy()
+    size = np.array([len(x) // 2 for x in t["high"].to_pylist()])
+    row = np.repeat(np.arange(len(size)), size)
+    kind = kinds[row]
+    n = np.zeros(len(gram), np.int64)
+    n[kind != HELD] = _joined(t, "n", np.uint8)
+    n[n == 255] = _joined(t, "more", "<i8")
+    order = np.argsort(gram, kind="stable")
+    first, many = _runs(gram[order])
+    main = np.add.reduceat(np.where(kind == MAIN, n, 0)[order], first) if len(first) else many
+    back = np.add.reduceat(np.where(kind == BACK, n, 0)[order], first) if len(first) else many
+
+    one = (gram[order[first]] & _U(1)) == 1
+    m, b = main[one], back[one]
+    sums = {_TYPES: [int((m + b > 0).sum()), 0.0], _TOKENS: [int((m + b).sum()), 0.0], _TOKENS_BACK: [int(b.sum()), 0.0]}
+    cell, log = ratio_cells(m[b > 0].astype(float))
+    for c, k, x in zip(cell.tolist(), b[b > 0].tolist(), log.tolist()):
+        own = sums.setdefault(c, [0, 0.0])
+        own[0] += k
+        own[1] += k * x
+
+    # those that one chunk alone has are known there
+    ask = np.flatnonzero(np.repeat(many > 1, many))
+    of = np.repeat(np.arange(len(first)), many)[ask]
+    entry = order[ask]
+    by_row = np.argsort(entry)
+    entry, of = entry[by_row], of[by_row]
+    place = (entry - (np.cumsum(size) - size)[row[entry]]).astype("<u4")
+    rows = []
+    chunks, buckets_ = t["chunk"].to_pylist(), t["bucket"].to_pylist()
+    begin, length = _runs(row[entry])
+    for a, k in zip(begin.tolist(), length.tolist()):
+        r, z = int(row[entry[a]]), a + k
+        wide = int(main[of[a:z]].max()) >> 32 or int(back[of[a:z]].max()) >> 32
+        number = "<u8" if wide else "<u4"
+        rows.append((None, None, None, chunks[r], int(kinds[r]), buckets_[r], place[a:z].tobytes(), main[of[a:z]].astype(number).tobytes(), back[of[a:z]].astype(number).tobytes()))
+    return rows, sums
 
 
-def _tally(keys: np.ndarray, fold_of: np.ndarray, more: tuple = ()) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``keys``, how often it is there with fold 0, and with 0 or 1.
-    ``more``: keys, their counts of both, that are counted too."""
-    extra = more[0] if more else keys[:0]
-    _, at = np.unique(np.concatenate([keys, extra]), return_inverse=True)
-    own, size = at[: len(keys)], int(at.max(initial=-1)) + 1
-    main = np.bincount(own[fold_of == 0], minlength=size).astype(np.int64)
-    back = np.bincount(own[fold_of == 1], minlength=size).astype(np.int64)
-    if more:
-        main += np.bincount(at[len(keys) :], more[1], minlength=size).astype(np.int64)
-        back += np.bincount(at[len(keys) :], more[2], minlength=size).astype(np.int64)
-    return main[at], (main + back)[at]
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, list[float]] = {}
+    rows: list[tuple] = []
+    for t in _grouped(batches, "bucket"):
+        more, own = count_bucket(t)
+        rows += more
+        for c, (n, x) in own.items():
+            total = sums.setdefault(c, [0, 0.0])
+            total[0] += n
+            total[1] += x
+        if len(rows) > 2000:
+            yield _rows(_columns(_REPLY), rows)
+            rows = []
+    rows += [(c, n, x, None, None, None, None, None, None) for c, (n, x) in sums.items()]
+    yield _rows(_columns(_REPLY), rows)
 
 
-def _pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    x = v.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    return (x ^ (x >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64)
+# ---- the model --------------------------------------------------------------------------
 
 
-class _Pairs:
-    """The two estimates of pairs, packed; what tasks share of the model."""
+def buckets(counts: np.ndarray) -> np.ndarray:
+    """Power of two of each context's frequency; 0 for one never seen."""
+    return np.frexp(np.maximum(counts, 0).astype(float))[1].astype(np.int64)
 
-    def __init__(self, frequent, models, end: int, starts: tuple[int, int], shared: tuple[int, int], base_all: int, parts: int) -> None:
-        self.frequent, self.models, self.end, self.starts, self.shared, self.base_all, self.parts = frequent, models, end, starts, shared, base_all, parts
 
-    def hot(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Whether the pair has a cell of its own in the table."""
-        return (w >= 0) & (w < CLASSES) & (((v >= 0) & (v < CLASSES)) | (v == self.end))
+def ratio_cells(ratio: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The step of each ratio, 0 for zero, and its log2."""
+    log = np.log2(np.maximum(ratio, 2.0**-OCTAVES))
+    step = np.clip(np.floor((log + OCTAVES) * STEPS).astype(np.int64), 0, 2 * OCTAVES * STEPS - 1)
+    return np.where(ratio > 0, step + 1, 0), np.where(ratio > 0, log, 0.0)
 
-    def scatter(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """All occurrences of pairs that are not hot, by part."""
-        rank = _Ranks(self.frequent.value[:, 0])
-        chunk = TaskContext.get().partitionId() << 32
-        vs, ws, docs, keys, rows = [], [], [], [], 0
-        for b in batches:
-            for key, doc_id, text in zip(b["row_key"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                w = rank(tokens(text))
-                v = np.concatenate([[self.end], w[:-1]])
-                cool = ~self.hot(v, w)
-                f = fold(doc_id)
-                vs.append(v[cool]), ws.append(w[cool])
-                docs.append(np.full(len(vs[-1]), len(keys) * 4 + (2 if f == HELD_OUT else int(f == KEPT_BACK)), np.uint16))
-                keys.append(key)
-                rows += len(vs[-1])
-                if rows >= _CHUNK or len(keys) == _CHUNK_DOCS:
-                    yield self._chunk(chunk, *map(np.concatenate, (vs, ws, docs)), np.array(keys, np.int64))
-                    vs, ws, docs, keys, rows = [], [], [], [], 0
-                    chunk += 1
-        if keys:
-            yield self._chunk(chunk, *map(np.concatenate, (vs, ws, docs)), np.array(keys, np.int64))
-
-    def _chunk(self, chunk: int, v: np.ndarray, w: np.ndarray, doc: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        out = [(_KEYS, chunk % self.parts, chunk, keys, _NONE, _NONE)]
-        for kind, here, by in ((_FF, (v >= 0) & (w >= 0), None), (_FR, (v >= 0) & (w < 0), w), (_RR, (v < 0) & (w < 0), v), (_RF, (v < 0) & (w >= 0), v)):
-            a, c, d = v[here], w[here], doc[here]
-            part = _part(a * 65536 + c if by is None else by[here], self.parts)
-            a, c = (a if kind in (_RR, _RF) else a.astype(np.uint16)), (c if kind in (_FR, _RR) else c.astype(np.uint16))
-            out += [(kind, p, chunk, x, y, z) for p, x, y, z in _split(part, a, c, d)]
-            if kind == _RR:  # the second's counts are taken where its other pairs are
-                tokens_, at = np.unique(c, return_inverse=True)
-                n = np.stack([np.bincount(at[d % 4 == k], minlength=len(tokens_)) for k in (0, 1)], axis=1)
-                out += [(_COUNTS, p, chunk, x, y, _NONE) for p, x, y in _split(_part(tokens_, self.parts), tokens_, n)]
-        return _packed(out)
-
-    def _by_part(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list]]]:
-        parts: dict[int, dict[int, list]] = {}
-        for b in batches:
-            for kind, part, *rest in zip(*(b[c].to_pylist() for c in ("kind", "part", "chunk", "v", "w", "doc"))):
-                parts.setdefault(part, {}).setdefault(kind, []).append(rest)
-        while parts:
-            yield parts.popitem()
-
-    @staticmethod
-    def _join(rows: list, v_type: type, w_type: type, doc_type: type = np.uint16) -> tuple[np.ndarray, ...]:
-        """chunk, v, w, doc of all occurrences in packed rows."""
-        if not rows:
-            return tuple(np.zeros(0, np.int64) for _ in range(4))
-        chunk, v, w, doc = zip(*rows)
-        doc = [np.frombuffer(x, doc_type) for x in doc]
-        return np.repeat(np.array(chunk, np.int64), [len(x) for x in doc]), np.concatenate([np.frombuffer(x, v_type) for x in v]).astype(np.int64), np.concatenate([np.frombuffer(x, w_type) for x in w]).astype(np.int64), np.concatenate(doc).astype(np.int64)
-
-    def _of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of frequent tokens: without those kept back, and all."""
-        t = self.frequent.value
-        return t[ids, 1] - t[ids, 2], t[ids, 1]
-
-    def _results(self, part: int, chunk, v, w, doc, pair, of_v, of_w) -> list[tuple]:
-        """Packed ratios and sums by chunk, and the part's aggregates for EM. The counts of
-        pairs and tokens are (without those kept back, all)."""
-        if not len(doc):
-            return []
-        start = v == self.end
-        of_v = [np.where(start, n, x) for n, x in zip(self.starts, of_v)]
-        row, col = np.where(start, CLASSES + 1, _classes(v)), _classes(w)
-        rare = w < 0
-        ratio, low = [], []
-        for k in (0, 1):
-            low.append(self.models.value[k][row, col] + np.where(col == CLASSES, np.log10((of_w[k] + 1) / self.shared[k]), 0.0))
-            ratio.append(pair[k] / np.maximum(of_v[k], 1) / 10.0 ** low[k])
-        known, base = (rare & (of_w[1] > 0)).astype(np.int64), np.where(rare, np.log10((of_w[1] + 1) / self.base_all), 0.0)
-        out = []
-        seen = of_v[1] > 0
-        bucket = buckets(of_v[1]).astype(np.uint8)
-        ids, at = np.unique(chunk * _CHUNK_DOCS + (doc >> 2), return_inverse=True)
-        sums = np.stack([np.bincount(at, z) for z in (known, base, low[1])], axis=1)
-        of_id = (ids % _CHUNK_DOCS).astype(np.uint16)
-        out += [(_SUMS, part, c, x, _NONE, d) for c, x, d in _split(ids // _CHUNK_DOCS, sums, of_id)]
-        order = np.argsort(at, kind="stable")
-        order = order[seen[order]]
-        of_row = at[order]
-        out += [(_RATIOS, part, c, x, y, d) for c, x, y, d in _split(ids[of_row] // _CHUNK_DOCS, ratio[1][order].astype(np.float32), bucket[order], of_id[of_row])]
-        back = (doc % 4 == 1) & (of_v[0] > 0)
-        cell, log = ratio_cells(buckets(of_v[0][back]), ratio[0][back])
-        ids, at = np.unique(cell, return_inverse=True)
-        out.append((_CELLS, part, 0, ids, np.bincount(at, minlength=len(ids)).astype(np.int64), np.bincount(at, log, minlength=len(ids)).astype(np.float64)))
-        return out
 
-    def first(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of pairs with a frequent token; those of two rare ones, with counts of
-        pair and context, and the counts of second tokens, by second token."""
-        for part, kinds in self._by_part(batches):
-            out = [(_KEYS, part, c, np.frombuffer(v, np.int64), _NONE, _NONE) for c, v, _, _ in kinds.get(_KEYS, [])]
-            ff, fr = self._join(kinds.get(_FF, []), np.uint16, np.uint16), self._join(kinds.get(_FR, []), np.uint16, np.int64)
-            both, rf = self._join(kinds.get(_RR, []), np.int64, np.int64), self._join(kinds.get(_RF, []), np.int64, np.uint16)
-            more = kinds.get(_COUNTS, [])
-            ids = np.concatenate([np.frombuffer(x[1], np.int64) for x in more] or [np.zeros(0, np.int64)])
-            n = np.concatenate([np.frombuffer(x[2], np.int64) for x in more] or [np.zeros(0, np.int64)]).reshape(-1, 2)
-            at, of_w = len(fr[0]), _tally(fr[2], fr[3] % 4, (ids, n[:, 0], n[:, 1]))
-            of_v = _tally(np.concatenate([both[1], rf[1]]), np.concatenate([both[3], rf[3]]) % 4)
-            own, first = np.unique(ids, return_index=True)
-            out += [(_COUNTS, p, 0, x, y, _NONE) for p, x, y in _split(_part(own, self.parts), own, np.stack([x[at:][first] for x in of_w], axis=1))]
-
-            at2 = len(both[0])
-            pair = [np.concatenate(x) for x in zip(_tally(ff[1] * 65536 + ff[2], ff[3] % 4), _tally(_pair_key(fr[1], fr[2]), fr[3] % 4), _tally(_pair_key(rf[1], rf[2]), rf[3] % 4))]
-            of_all_v = [np.concatenate(x) for x in zip(self._of(ff[1]), self._of(fr[1]), [x[at2:] for x in of_v])]
-            of_all_w = [np.concatenate(x) for x in zip(self._of(ff[2]), [x[:at] for x in of_w], self._of(rf[2]))]
-            out += self._results(part, *map(np.concatenate, zip(ff, fr, rf)), pair, of_all_v, of_all_w)
-            at = at2
-            chunk, v, w, doc = both
-            numbers = np.stack([doc, *_tally(_pair_key(v, w), doc % 4), *(x[:at] for x in of_v)], axis=1).astype(np.int32)
-            for p, c, x, y, z in _split(_part(w, self.parts), chunk, v, w, numbers):
-                out += [(_RR, p, c2, x2, y2, z2) for c2, x2, y2, z2 in _split(c, np.where(x == self.end, self.end, -1), y, z)]
-            yield _packed(out)
-
-    def second(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of pairs of two rare tokens."""
-        for part, kinds in self._by_part(batches):
-            rows = kinds.get(_RR, [])
-            if not rows:
-                continue
-            numbers = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows]).reshape(-1, 5).astype(np.int64)
-            v, w = (np.concatenate([np.frombuffer(r[k], np.int64) for r in rows]) for k in (1, 2))
-            chunk = np.repeat(np.array([r[0] for r in rows], np.int64), [len(r[2]) // 8 for r in rows])
-            ids = np.concatenate([np.frombuffer(r[1], np.int64) for r in kinds[_COUNTS]])
-            n = np.concatenate([np.frombuffer(r[2], np.int64) for r in kinds[_COUNTS]]).reshape(-1, 2)
-            order = np.argsort(ids)
-            of_w = n[order[np.searchsorted(ids[order], w)]]
-            yield _packed(self._results(part, chunk, v, w, numbers[:, 0], (numbers[:, 1], numbers[:, 2]), (numbers[:, 3], numbers[:, 4]), (of_w[:, 0], of_w[:, 1])))
-
-
-def _unpack_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        cols = [np.concatenate([np.frombuffer(x, t) for x in b[c].to_pylist()] or [np.zeros(0, t)]) for c, t in (("v", np.int64), ("w", np.int64), ("doc", np.float64))]
-        yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["cell", "n", "log"])
+def token_weight(n: np.ndarray, ratio: np.ndarray) -> float:
+    """EM: l1, from the counts kept back (n) of tokens whose estimate is ``ratio`` times
+    that of all alike."""
+    lam = 0.5
+    for _ in range(EM_ROUNDS if n.sum() else 0):
+        last, lam = lam, float((n * lam * ratio / (lam * ratio + 1 - lam)).sum() + 1) / (n.sum() + 2)
+        if abs(lam - last) < STILL:
+            break
+    return lam
 
 
-def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row_key, add_known, add_base, add_score) of each document of the chunks."""
-    keys: dict[int, np.ndarray] = {}
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for kind, chunk, v, doc in zip(*(b[c].to_pylist() for c in ("kind", "chunk", "v", "doc"))):
-            if kind == _KEYS:
-                keys[chunk] = np.frombuffer(v, np.int64)
-            else:
-                ids = np.frombuffer(doc, np.uint16)
-                of = sums.setdefault(chunk, np.zeros((_CHUNK_DOCS, 3)))
-                of[ids] += np.frombuffer(v, np.float64).reshape(-1, 3)
-    for chunk, key in keys.items():
-        s = sums.get(chunk, np.zeros((_CHUNK_DOCS, 3)))[: len(key)].T
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(s[0].astype(np.int64)), pa.array(s[1]), pa.array(s[2])], ["row_key", "add_known", "add_base", "add_score"])
+def context_weights(b2: np.ndarray, b3: np.ndarray, n: np.ndarray, r2: np.ndarray, r3: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """EM: l2 and l3 by the bucket of their context's frequency, from how many (n)
+    counts kept back have which buckets and which ratios of the estimates to P1."""
+    l2, l3 = np.full(64, 0.5), np.full(64, 0.5)
+    l2[0] = l3[0] = 0
+    for _ in range(EM_ROUNDS if len(n) else 0):
+        two, three = l2[b2] * r2, l3[b3] * r3
+        rest = 1 - l3[b3]
+        total = three + rest * (two + 1 - l2[b2])
+        g3, g2, g1 = n * three / total, n * rest * two / total, n * rest * (1 - l2[b2]) / total
+        new2 = (np.bincount(b2, g2, 64) + 1) / (np.bincount(b2, g2 + g1, 64) + 2)
+        new3 = (np.bincount(b3, g3, 64) + 1) / (np.bincount(b3, n, 64) + 2)
+        new2[0] = new3[0] = 0
+        moved = max(np.abs(new2 - l2).max(), np.abs(new3 - l3).max())
+        l2, l3 = new2, new3
+        if moved < STILL:
+            break
+    return l2, l3
+
+
+class Counts:
+    """Counts of a chunk's tokens, their n-grams and contexts."""
+
+    def __init__(self, chunk: Chunk, kind: int, replies: pa.Table) -> None:
+        gram, at, n = np.unique(chunk.grams(), return_inverse=True, return_counts=True)
+        self.main, self.all = (n if kind == MAIN else np.zeros_like(n)), (np.zeros_like(n) if kind == HELD else n.copy())
+        self.main = self.main.copy()
+        if replies.num_rows:
+            place = _joined(replies, "at", "<u4").astype(np.int64)
+            sizes = np.array([len(x) // 4 for x in replies["at"].to_pylist()])
+            place += np.repeat(np.searchsorted(gram >> _U(_PAYLOAD), replies["bucket"].to_numpy().astype(_U)), sizes)
+            main, back = ([np.frombuffer(x, "<u4" if len(x) == 4 * k else "<u8").astype(np.int64) for x, k in zip(replies[c].to_pylist(), sizes)] for c in ("main", "back"))
+            self.main[place] = np.concatenate(main)
+            self.all[place] = self.main[place] + np.concatenate(back)
+        self.at = at.reshape(3, -1)
+        self.starts = chunk.starts
+        end = int(np.flatnonzero(chunk.w == _U(chunk.end))[0])
+        self.end = self.at[0, end]
+
+    def of(self, table: np.ndarray) -> tuple[np.ndarray, ...]:
+        """c(w), c(v), c(v w), c(u v), c(u v w) of every token."""
+        one, two, three = table[self.at]
+        v, uv = np.concatenate([[0], one[:-1]]), np.concatenate([[0], two[:-1]])
+        v[self.starts] = uv[self.starts] = table[self.end]
+        return one, v, two, uv, three
+
+
+def estimates(counts: tuple[np.ndarray, ...], tokens_: int, types: int, l1: float) -> tuple[np.ndarray, ...]:
+    """P1, and the maximum-likelihood estimates of orders two and three."""
+    one, v, two, uv, three = counts
+    p1 = (l1 * one / tokens_ if tokens_ else 0) + (1 - l1 if tokens_ else 1) / (types + 1)
+    return p1, two / np.maximum(v, 1), three / np.maximum(uv, 1)
+
+
+def _chunks_with_replies(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple[int, Chunk, Counts]]:
+    for t in _grouped(batches, "chunk"):
+        own = t["bucket"].to_numpy() < 0
+        row = t.filter(pa.array(own)).to_pylist()[0]
+        chunk = Chunk(row["ids"], row["sizes"], row["packed"], bits)
+        yield row["kind"], chunk, Counts(chunk, row["kind"], t.filter(pa.array(~own)))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, n_tokens,
     n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    texts = with_row_key(docs.select("doc_id", "text"), "row_key").select("row_key", F.col("doc_id").cast("long"), F.col("text").cast("binary"))
-    counts = materialize(texts.mapInArrow(_count, "token long, n long, n_back long").groupBy("token").agg(F.sum("n").alias("n"), F.sum("n_back").alias("n_back")), "counts")
-    types, all_tokens, back_tokens = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_back"), F.lit(0))).first()
-    top = frequent_tokens(counts)
-    frequent = spark.sparkContext.broadcast(np.array([(r["token"], r["n"], r["n_back"]) for r in top], dtype=np.int64).reshape(-1, 3))
-
-    width = CLASSES + 1
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = _Ranks(frequent.value[:, 0])
-        table = np.zeros((2, (CLASSES + 2) * width), dtype=np.int64)
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                f = fold(doc_id)
-                if f != HELD_OUT:
-                    c = _classes(rank(tokens(text)))
-                    np.add.at(table[int(f == KEPT_BACK)], _contexts(c) * width + c, 1)
-        pair = np.flatnonzero(table.any(axis=0))
-        if len(pair):
-            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(table[0, pair]), pa.array(table[1, pair])], ["pair", "n", "n_back"])
-
-    pairs = texts.mapInArrow(count_pairs, "pair long, n long, n_back long").groupBy("pair").agg(F.sum("n").alias("n"), F.sum("n_back").alias("n_back")).toArrow()  # at most (CLASSES + 2) * (CLASSES + 1) rows
-    table = np.zeros((2, (CLASSES + 2) * width), dtype=np.int64)
-    table[:, pairs["pair"].to_numpy()] = [pairs["n"].to_numpy(), pairs["n_back"].to_numpy()]
-    table = table.reshape(2, CLASSES + 2, width)
-    own = top[:CLASSES]
-    main_model, model = _class_models(table[0], table[1], types, len(own))
-    # C + R + 1, without what is kept back and with it
-    shared = all_tokens - sum(r["n"] for r in own) + (types - len(own)) + 1
-    shared_main = shared - back_tokens + sum(r["n_back"] for r in own)
-    base_all = all_tokens + types + 1
-    end = int(_Ranks(frequent.value[:, 0])([END])[0])
-    context = table.sum(axis=2)
-    starts = int(context[0, -1]), int(context[:, -1].sum())
-    parts = count_groups(int(all_tokens * FOLDS / (FOLDS - 1)), _PART, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs_of = _Pairs(frequent, spark.sparkContext.broadcast((main_model, model)), end, starts, (shared_main, shared), base_all, parts)
-    first = materialize(texts.mapInArrow(pairs_of.scatter, _PACKED).repartition(parts, "part").mapInArrow(pairs_of.first, _PACKED), "pairs")
-    again = first.where(F.col("kind").isin(_RR, _COUNTS)).repartition(parts, "part")
-    results = first.unionByName(materialize(again.mapInArrow(pairs_of.second, _PACKED), "rare_pairs"))
-
-    # pairs in the table add to EM's aggregates here; the shared class is no token
-    seen_main = context[0][:, None]
-    v, w = np.nonzero((table[1] > 0) & (seen_main > 0) & (np.arange(width) < CLASSES) & (np.arange(CLASSES + 2) != CLASSES)[:, None])
-    cell, log = ratio_cells(buckets(context[0])[v], table[0, v, w] / context[0, v] / 10.0 ** main_model[v, w])
-    cells = np.zeros((2, 64 * (2 * _OCTAVES * _STEPS + 1)))
-    np.add.at(cells, (slice(None), cell), np.stack([table[1, v, w], table[1, v, w] * log]))
-    gathered = results.where(F.col("kind") == _CELLS).select("v", "w", "doc").mapInArrow(_unpack_cells, "cell long, n long, log double").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("log").alias("log")).toArrow()
-    cells[:, gathered["cell"].to_numpy()] += [gathered["n"].to_numpy(), gathered["log"].to_numpy()]
-    some = np.flatnonzero(cells[0])
-    weights = pair_weights(some, cells[0, some], cells[1, some])
-    both = table.sum(axis=0)
-    lam = np.where(context.sum(axis=0) > 0, weights[buckets(context.sum(axis=0))], 0)[:, None]
-    hot_score = spark.sparkContext.broadcast(np.log10(lam * both / np.maximum(context.sum(axis=0), 1)[:, None] + (1 - lam) * 10.0**model))
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
+    chunks = materialize(texts.mapInArrow(_deal, _CHUNK), "chunks")
+    n_chunks, n_docs, n_bytes = chunks.select(F.length("sizes"), F.length("packed")).toDF("s", "p").agg(F.count("*"), F.coalesce(F.sum("s"), F.lit(0)) / 8, F.coalesce(F.sum("p"), F.lit(0)) * 3).first()
+    n_bytes = int(n_bytes + 16 * n_docs)  # texts compress to about a third
+    bits = min(MOST_BITS, max(LEAST_BITS, (n_bytes // BUCKET_BYTES).bit_length()))
+
+    asked = chunks.mapInArrow(_ask(bits), _ASK).repartition(count_groups(n_bytes, TASK_BYTES, least), "bucket").sortWithinPartitions("bucket")
+    replies = materialize(asked.mapInArrow(_count, _REPLY), "replies")
+    table = {r["cell"]: (r["n"], r["x"]) for r in replies.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("x").alias("x")).collect()}  # a row for each step
+    types, every, back = (int(table.pop(c, (0, 0.0))[0]) for c in (_TYPES, _TOKENS, _TOKENS_BACK))
+    main = every - back
+    n, x = (np.array([v[k] for v in table.values()], float) for k in (0, 1))
+    some = np.array(list(table)) > 0 if table else np.zeros(0, bool)
+    l1 = token_weight(n, np.where(some, 2.0 ** (x / np.maximum(n, 1)), 0) * (types + 1) / max(main, 1))
+
+    parts = count_groups(n_chunks, CHUNKS_PER_TASK, least)
+
+    def met(which: str) -> DataFrame:
+        answer = replies.where("cell is null").select("chunk", "kind", "bucket", "at", "main", "back")
+        own = chunks.select("chunk", "kind", "bucket", "ids", "sizes", "packed")
+        return own.where(which).unionByName(answer.where(which), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk")
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, counts in _chunks_with_replies(batches, bits):
+            of = counts.of(counts.main)
+            p1, two, three = estimates(of, main, types, l1)
+            q2, log2 = ratio_cells(two / p1)
+            q3, log3 = ratio_cells(three / p1)
+            wide = 2 * OCTAVES * STEPS + 1
+            cell, at = np.unique(((buckets(of[3]) * 64 + buckets(of[1])) * wide + q2) * wide + q3, return_inverse=True)
+            sums = [np.bincount(at, y, len(cell)) for y in (np.ones(len(at)), log2, log3)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), *map(pa.array, sums)], ["cell", "n", "x2", "x3"])
+
+    cells = met(f"kind = {BACK}").mapInArrow(learn, "cell long, n double, x2 double, x3 double").groupBy("cell").agg(*(F.sum(c).alias(c) for c in ("n", "x2", "x3"))).toArrow()
+    cell, n, x2, x3 = (cells[c].to_numpy() for c in ("cell", "n", "x2", "x3"))
+    wide = 2 * OCTAVES * STEPS + 1
+    both, q2, q3 = cell // wide**2, cell // wide % wide, cell % wide
+    l2, l3 = context_weights(both % 64, both // 64, n, np.where(q2 > 0, 2.0 ** (x2 / np.maximum(n, 1)), 0), np.where(q3 > 0, 2.0 ** (x3 / np.maximum(n, 1)), 0))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sums of each chunk's documents with ratios weighed."""
-        for b in batches:
-            rows = []
-            for kind, part, chunk, v, w, doc in zip(*(b[c].to_pylist() for c in ("kind", "part", "chunk", "v", "w", "doc"))):
-                if kind == _RATIOS:
-                    lam = weights[np.frombuffer(w, np.uint8)]
-                    ids, at = np.unique(np.frombuffer(doc, np.uint16), return_inverse=True)
-                    add = np.bincount(at, np.log10(lam * np.frombuffer(v, np.float32) + 1 - lam), minlength=len(ids))
-                    rows.append((_SUMS, part, chunk, np.stack([np.zeros(len(ids)), np.zeros(len(ids)), add], axis=1), _NONE, ids))
-                else:
-                    rows.append((kind, part, chunk, np.frombuffer(v, np.uint8), _NONE, np.frombuffer(doc, np.uint8)))
-            yield _packed(rows)
-
-    def score_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank_of = _Ranks(frequent.value[:, 0])
-        base_of = np.log10((frequent.value[:, 1].astype(float) + 1) / base_all)
-        p = hot_score.value
-        for b in batches:
-            rows = []
-            for key, doc_id, text in zip(b["row_key"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                words = tokens(text)
-                rank = rank_of(words)
-                known = rank[rank >= 0]
-                c = _classes(rank)
-                hot = pairs_of.hot(np.concatenate([[end], rank[:-1]]), rank)
-                rows.append((key, doc_id, fold(doc_id) == HELD_OUT, len(words), len(known), float(base_of[known].sum()), float(p[_contexts(c)[hot], c[hot]].sum())))
-            types_ = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows)) or [[]] * 7, types_)], ["row_key", "doc_id", "held_out", "n_tokens", "n_known", "base", "score"])
-
-    sums = results.where(F.col("kind").isin(_KEYS, _RATIOS, _SUMS)).mapInArrow(weigh, _PACKED).select("kind", "chunk", "v", "doc")
-    # rows of one key are alike, and so are their sums
-    add = sums.repartition("chunk").mapInArrow(_by_document, "row_key long, add_known long, add_base double, add_score double").dropDuplicates(["row_key"])
-    out = texts.mapInArrow(score_batch, _DOC).join(by_merge(add), "row_key")
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.col("add_known")).alias("n_known"), F.lit(all_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.col("add_base")).alias("base_score"), (F.col("score") + F.col("add_score")).alias("score"),
-    )
+        for kind, chunk, counts in _chunks_with_replies(batches, bits):
+            of = counts.of(counts.all)
+            p1, two, three = estimates(of, every, types, l1)
+            lam2, lam3 = l2[buckets(of[1])], l3[buckets(of[3])]
+            p = lam3 * three + (1 - lam3) * (lam2 * two + (1 - lam2) * p1)
+            base = np.log10((of[0] + 1) / (every + types + 1))
+            known, base, log = (np.add.reduceat(y, chunk.starts) for y in ((of[0] > 0).astype(np.int64), base, np.log10(p)))
+            arrays = [pa.array(chunk.ids, mask=~chunk.has_id), pa.array(np.full(len(known), kind == HELD)), pa.array(chunk.many), pa.array(known), pa.array(np.full(len(known), every, np.int64)), pa.array(base), pa.array(log)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    return met("true").mapInArrow(weigh, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

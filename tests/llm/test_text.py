@@ -7,6 +7,8 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -428,100 +430,124 @@ def test_scores_brute_force(sets, nothing):
     assert lm.score(nothing).count() == 0
 
 
-def by_pairs(spark, rows):
-    """Scores from counts of all adjacent pairs, worked out in memory."""
+def interpolated(rows):
+    """Scores from counts of all n-grams in memory, and EM token by token."""
     toks = [[*(t or "").encode().lower().split(), lm.END] for _, t in rows]
     folds = [zlib.crc32(b"" if i is None else str(i).encode()) % 7 for i, _ in rows]
-    c, pairs = (Counter(), Counter()), (Counter(), Counter())
-    for f, t in zip(folds, toks):
-        if f != lm.HELD_OUT:
-            c[f == lm.KEPT_BACK].update(t)
-            pairs[f == lm.KEPT_BACK].update(zip([lm.END, *t], t))
-    every = c[0] + c[1]
-    word = {lm._hash(w): w for w in every}
-    top = lm.frequent_tokens(spark.createDataFrame([(lm._hash(w), n) for w, n in every.items()], "token long, n long"))
-    own = {word[r["token"]]: k for k, r in enumerate(top[: lm.CLASSES])}
-    table = np.zeros((2, lm.CLASSES + 2, lm.CLASSES + 1), np.int64)
-    places = lambda v, w: (lm.CLASSES + 1 if v == lm.END else own.get(v, lm.CLASSES), own.get(w, lm.CLASSES))
-    for k in (0, 1):
-        for (v, w), n in pairs[k].items():
-            table[(k, *places(v, w))] += n
-    models = lm._class_models(table[0], table[1], len(every), len(own))
-
-    shared = [sum(x for t, x in n.items() if t not in own) + len(every) - len(own) + 1 for n in (c[0], every)]
-
-    def low(k, v, w):
-        n = (c[0], every)[k]
-        return 10 ** models[k][places(v, w)] * (1 if w in own else (n[w] + 1) / shared[k])
-
-    bucket = lambda n: int(math.log2(n + 1))
-    seen = [(bucket(c[0][v]), n, pairs[0][v, w] / c[0][v] / low(0, v, w)) for (v, w), n in pairs[1].items() if c[0][v]]
-    weight = {}
-    for b in {x[0] for x in seen}:
-        n, r = (np.array(x, float) for x in list(zip(*(x for x in seen if x[0] == b)))[1:])
-        lam = 0.5
-        for _ in range(lm.EM_ROUNDS):
-            lam = ((n * lam * r / (lam * r + 1 - lam)).sum() + 1) / (n.sum() + 2)
-        weight[b] = lam
-    both = pairs[0] + pairs[1]
-
-    def p(v, w):
-        lam = weight.get(bucket(every[v]), 0.5) if every[v] else 0
-        return lam * both[v, w] / max(every[v], 1) + (1 - lam) * low(1, v, w)
-
-    return [sum(math.log10(p(v, w)) for v, w in zip([lm.END, *t], t)) for t in toks]
-
-
-@pytest.mark.parametrize("frequent", [lm.FREQUENT, 1500, 100, 0])
-def test_scores_use_all_pairs(spark, sets, monkeypatch, frequent):
-    """Pairs of frequent and of rare tokens, and of tokens that share a class."""
-    monkeypatch.setattr(lm.frequent_tokens, "__defaults__", (frequent,))
+    places = [[("start", lm.END, w) if k == 0 else (lm.END if k == 1 else t[k - 2], t[k - 1], w) for k, w in enumerate(t)] for t in toks]
+
+    def counts(which):
+        c = Counter()
+        for f, p in zip(folds, places):
+            if f in which:
+                for u, v, w in p:
+                    c.update([(w,), (v, w), (u, v, w), ("of", v), ("of", u, v), "n"])
+        return c
+
+    train = counts({0, 1, 3, 4, 5, 6})
+    types = sum(1 for k in train if k != "n" and len(k) == 1)
+    bucket = lambda n: n.bit_length()
+
+    def terms(c, u, v, w, l1):
+        n, cv, cuv = c["n"], c["of", v], c["of", u, v]
+        p1 = (l1 * c[w,] / n if n else 0) + (1 - l1 if n else 1) / (types + 1)
+        return p1, c[v, w] / max(cv, 1), c[u, v, w] / max(cuv, 1), bucket(cv), bucket(cuv)
+
+    main = counts({0, 1, 3, 4, 5})
+    seen = [p for f, ps in zip(folds, places) if f == lm.KEPT_BACK for p in ps]
+    l1 = 0.5
+    if seen:
+        r = np.array([main[w,] for _, _, w in seen]) * (types + 1) / max(main["n"], 1)
+        for _ in range(3000):
+            l1 = ((l1 * r / (l1 * r + 1 - l1)).sum() + 1) / (len(r) + 2)
+    l2, l3 = np.full(64, 0.5), np.full(64, 0.5)
+    l2[0] = l3[0] = 0
+    if seen:
+        p1, f2, f3, b2, b3 = (np.array(x) for x in zip(*(terms(main, *p, l1) for p in seen)))
+        for _ in range(2000):
+            a = l3[b3] * f3
+            b, c = (1 - l3[b3]) * l2[b2] * f2, (1 - l3[b3]) * (1 - l2[b2]) * p1
+            a, b, c = a / (a + b + c), b / (a + b + c), c / (a + b + c)
+            l3 = (np.bincount(b3, a, 64) + 1) / (np.bincount(b3, minlength=64) + 2)
+            l2 = (np.bincount(b2, b, 64) + 1) / (np.bincount(b2, b + c, 64) + 2)
+            l2[0] = l3[0] = 0
+
+    def p(u, v, w):
+        p1, f2, f3, b2, b3 = terms(train, u, v, w, l1)
+        return l3[b3] * f3 + (1 - l3[b3]) * (l2[b2] * f2 + (1 - l2[b2]) * p1)
+
+    return [sum(math.log10(p(*x)) for x in ps) for ps in places], p, [k[0] for k in train if k != "n" and len(k) == 1]
+
+
+def test_scores_are_interpolated(sets):
+    """Against counts in memory."""
     for df in sets:
         rows = rows_of(df)
-        got = sorted((r["doc_id"] is None, r["doc_id"] or 0, round(r["base_score"], 6), r["score"]) for r in lm.score(df).collect())
-        assert len(got) == len(rows)
-        by_score = Counter()
-        for (i, _), s in zip(rows, by_pairs(spark, rows)):
-            by_score[i] += s
-        for i, s in by_score.items():
-            assert abs(sum(r[3] for r in got if (None if r[0] else r[1]) == i) - s) < 1e-3 * abs(s)
+        want = Counter()
+        for (i, _), s in zip(rows, interpolated(rows)[0]):
+            want[i] += s
+        got = Counter()
+        for r in lm.score(df).collect():
+            got[r["doc_id"]] += r["score"]
+        assert set(got) == set(want) and all(abs(got[i] - s) < 2e-3 * abs(s) + 1e-9 for i, s in want.items())
 
 
-def test_model_is_a_distribution_and_beats_the_base(small):
-    rng = np.random.default_rng(0)
-    width = lm.CLASSES + 1
-    main, back = np.zeros((width + 1, width), np.int64), np.zeros((width + 1, width), np.int64)
-    main[rng.integers(0, 200, 5000), rng.integers(0, 200, 5000)] += 3
-    back[rng.integers(0, 200, 900), rng.integers(0, 200, 900)] += 1
-    p = 10 ** lm.class_model(main, back, 5000, lm.CLASSES)
-    assert np.allclose(p.sum(axis=1), 1)
+def test_model_is_a_distribution(small):
+    """The probabilities of all known tokens and one unknown, in contexts of all kinds."""
+    rows = rows_of(small)
+    _, p, types = interpolated(rows)
+    words = rows[3][1].encode().lower().split()[:3]
+    for u, v in (("start", lm.END), (lm.END, words[0]), (words[0], words[1]), (words[2], words[0]), (b"no such", b"word at all")):
+        assert abs(sum(p(u, v, w) for w in types) + p(u, v, b"no such word either") - 1) < 1e-9
+
+
+def test_scores_beat_the_base(small):
     out = [r for r in lm.score(small).collect() if r["held_out"]]
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
-def test_frequent_tokens(spark):
-    rows = [(i, n) for i, n in enumerate([100] * 3 + [50] * 5 + [2] * 40)]
-    counts = spark.createDataFrame(rows, "token long, n long")
-    assert [r["n"] for r in lm.frequent_tokens(counts, 10)] == [100] * 3 + [50] * 5
-    assert len(lm.frequent_tokens(counts, 48)) == 48 and lm.frequent_tokens(counts, 2) == []
+def test_chunks_and_buckets_change_nothing(small, monkeypatch):
+    """Counting over many small chunks, against one for each task."""
+    codec = pa.Codec("zstd")
+    texts = [(t or "").encode() for _, t in rows_of(small)][:60]
+
+    def counted(lots, bits):
+        rows, chunks = [], []
+        for k, lot in enumerate(lots):
+            whole = b"".join(lot)
+            row = (np.arange(len(lot)).tobytes() + b"\1" * len(lot), np.array([len(t) for t in lot]).tobytes(), codec.compress(whole, asbytes=True) if whole else b"")
+            chunks.append(lm.Chunk(*row, bits))
+            rows.append((k, k % 2, -1, *row))
+        asked = pa.Table.from_batches(list(lm._ask(bits)(iter([lm._rows(lm._columns(lm._CHUNK), rows)])))).sort_by("bucket")
+        answers = pa.Table.from_batches(list(lm._count(iter(asked.to_batches()))))
+        sums = {r["cell"]: r["n"] for r in answers.filter(pa.compute.is_valid(answers["cell"])).to_pylist()}
+        out = Counter()
+        for k, c in enumerate(chunks):
+            own = answers.filter(pa.compute.equal(answers["chunk"], k))
+            got = lm.Counts(c, k % 2, own)
+            out.update(zip(c.w.tolist(), *(x.tolist() for x in got.of(got.all))))
+        return out, sums[lm._TOKENS], sums[lm._TYPES]
+
+    one, two = counted([texts], 11), counted([texts[i : i + 7] for i in range(0, 60, 7)], 14)
+    assert one == two and one[1] == sum(len(lm.tokens(t)) for t in texts)
 
 
 def test_em_raises_the_likelihood():
     rng = np.random.default_rng(2)
-    width = lm.CLASSES + 1
-    main, back = np.zeros((width + 1, width), np.int64), np.zeros((width + 1, width), np.int64)
-    np.add.at(main, (rng.integers(0, 30, 9000), rng.integers(0, 30, 9000)), 1)
-    np.add.at(back, (rng.integers(0, 30, 2000), rng.integers(0, 30, 2000)), 1)
-    sizes = np.ones(width)
-    weights, _ = lm.interpolation(main, back, sizes)
-    b = lm.buckets(main.sum(axis=1))
-
-    def likelihood(lam):
-        v, w = np.nonzero(back)
-        p = np.stack([main[v, w] / np.maximum(main.sum(axis=1)[v], 1), main.sum(axis=0)[w] / main.sum(), sizes[w] / sizes.sum()], axis=1)
-        return (back[v, w] * np.log((lam[b[v]] * p).sum(axis=1))).sum()
-
-    assert likelihood(weights) > likelihood(np.full_like(weights, 1 / 3))
+    b2, b3, n = rng.integers(0, 9, 400), rng.integers(0, 6, 400), rng.integers(1, 50, 400).astype(float)
+    r2, r3 = rng.gamma(1, 2, 400) * (b2 > 0), rng.gamma(0.5, 5, 400) * (b3 > 0)
+    l2, l3 = lm.context_weights(b2, b3, n, r2, r3)
+
+    def likelihood(two, three):
+        return (n * np.log(three[b3] * r3 + (1 - three[b3]) * (two[b2] * r2 + 1 - two[b2]))).sum()
+
+    half = np.where(np.arange(64) > 0, 0.5, 0)
+    assert likelihood(l2, l3) > likelihood(half, half)
+    for k in range(1, 6):  # no single weight can be bettered by much
+        for step in (-0.02, 0.02):
+            near = l3.copy()
+            near[k] = min(max(near[k] + step, 0), 1 - 1e-9)
+            assert likelihood(l2, near) < likelihood(l2, l3) + 0.3
 
 
 # ---- toxicity --------------------------------------------------------------------------
