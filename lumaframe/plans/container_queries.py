@@ -30,6 +30,7 @@ from ..sources.gainmap_tiff import write_gain_map
 from ..sources.files import parsed, resolved_items, structure, table
 from . import checker
 from . import checks as K
+from .pixel_queries import GAIN, PX
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -166,12 +167,13 @@ def noted(payload: bytes, fault: int) -> bytes | None:
     return b"II*\0" + bytes(8) + make_note(tags_for(2.0 ** (stops + (name == "tags that do not")), name == "a negative tag"))
 
 
-@query(f"""WITH i AS ({IMAGES}), r AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 17]) AS criterion),
+@query(f"""WITH {PX}, {GAIN}, i AS (SELECT image_id, hi FROM rg), r AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 17]) AS criterion),
 f AS (SELECT * FROM (VALUES {", ".join(f"({k}, {c}, '{s}')" for k, (_, of) in enumerate(FAULTS) for c, s in of.items())}) v(fault, criterion, status))
-SELECT 'image' || image_id || '.heic' AS path, r.criterion, coalesce(f.status, CASE WHEN r.criterion IN (8, 9) THEN 'skip' ELSE 'pass' END) AS status FROM i CROSS JOIN r LEFT JOIN f ON f.fault = i.image_id % {len(FAULTS)} AND f.criterion = r.criterion""")
+SELECT 'image' || image_id || '.heic' AS path, r.criterion, coalesce(CASE WHEN r.criterion = 10 AND f.fault = 5 AND NOT (hi > 1 AND abs(hi * 0.5 / (hi - 0.5) - 1) > 0.001) THEN 'pass' ELSE f.status END, CASE WHEN r.criterion IN (8, 9) THEN 'skip' ELSE 'pass' END) AS status FROM i CROSS JOIN r LEFT JOIN f ON f.fault = i.image_id % {len(FAULTS)} AND f.criterion = r.criterion""")
 def container_checks(spark, d):
     """All rules, each of which fails for some files and passes for others: files that the
-    muxer wrote, with faults by id, read by the independent parser."""
+    muxer wrote, with faults by id, read by the independent parser. A base headroom of half a stop
+    is no matter where the first display shows all of the map."""
     packed = packed_images(P.embedding_tiles(spark, d))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

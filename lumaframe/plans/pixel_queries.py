@@ -401,8 +401,8 @@ def _disc(cx: float, cy: float, radius: float) -> str:
     return f"(CASE WHEN {near} < {radius * radius!r}::DOUBLE THEN pow(cos(sqrt({near}) / {radius} * 1.5707963267948966), 2) ELSE 0.0 END)"
 
 
-SCENE = f"""at AS (SELECT i, i % 96 AS x, i // 96 AS y, (i % 96 + 0.5::DOUBLE) / 96 AS u, (i // 96 + 0.5::DOUBLE) / 64 AS v FROM range(96 * 64) t(i)),
-lt AS (SELECT *, 8.0 * ({_disc(0.25, 0.3, 0.12)} + 0.5 * {_disc(0.5, 0.6, 0.15)} + 0.25 * {_disc(0.8, 0.4, 0.1)}) AS light, 4.0 * {_disc(0.7, 0.8, 0.1)} AS red FROM at),
+SCENE = f"""pt AS (SELECT i, i % 96 AS x, i // 96 AS y, (i % 96 + 0.5::DOUBLE) / 96 AS u, (i // 96 + 0.5::DOUBLE) / 64 AS v FROM range(96 * 64) t(i)),
+lt AS (SELECT *, 8.0 * ({_disc(0.25, 0.3, 0.12)} + 0.5 * {_disc(0.5, 0.6, 0.15)} + 0.25 * {_disc(0.8, 0.4, 0.1)}) AS light, 4.0 * {_disc(0.7, 0.8, 0.1)} AS red FROM pt),
 px AS (SELECT 0::BIGINT AS image_id, y::INTEGER AS y, x::INTEGER AS x, {", ".join(f"CASE WHEN i = 0 THEN 8.0 WHEN u < 0.1 AND v > 0.9 THEN 0.0 ELSE {c} END::DOUBLE AS {n}" for n, c in zip("rgb", ("0.05 + 0.7 * u + light + red", "0.05 + 0.7 * v + light", "0.05 + 0.35 * (u + v) + light")))} FROM lt)"""
 
 
