@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,10 +25,12 @@ from ..operators.codec import DeflateCodec, encode_within
 from ..operators.derive import attach
 from ..operators.mux import MuxRequest, mux
 from ..sources import boxes as B
+from ..sources import carriers as M
 from ..sources import images as S
 from ..sources.camera import align, make_note, tags_for
 from ..sources.gainmap_tiff import write_gain_map
 from ..sources.files import parsed, resolved_items, structure, table
+from ..sources.loading import tiff_light
 from . import checker
 from . import checks as K
 from .pixel_queries import GAIN, PX
@@ -270,6 +273,58 @@ def jpeg_segments(spark, d):
     return table(_jpegs(spark, d), "jpeg_segments").select("path", "ord", "marker", F.length("body").alias("size"))
 
 
+@query("""WITH e AS (SELECT vec_id // 3 AS id, unnest(embedding) AS v FROM embeddings), c AS (SELECT id, abs(v::DOUBLE) * 8 AS l FROM e),
+d AS (SELECT id, CASE id % 3 WHEN 0 THEN l::FLOAT::DOUBLE WHEN 1 THEN round_even(least(l / 8, 1.0) * 65535, 0) / 65535 ELSE round_even(least(l / 8, 1.0) * 255, 0) / 255 END AS s FROM c),
+n AS (SELECT id, CASE id % 3 WHEN 0 THEN s WHEN 1 THEN 10000 * pow(greatest(pow(s, 1 / 78.84375::DOUBLE) - 0.8359375, 0.0) / (18.8515625 - 18.6875 * pow(s, 1 / 78.84375::DOUBLE)), 1 / 0.1593017578125::DOUBLE) / 203 WHEN 2 THEN CASE WHEN s <= 0.04045 THEN s / 12.92 ELSE pow((s + 0.055) / 1.055, 2.4) END END AS lin FROM d)
+SELECT id || '.tif' AS path, 1::BIGINT AS n_tiles, round(sum(lin), 4) AS total, round(max(lin), 5) AS peak FROM n GROUP BY id""")
+def loaded_light(spark, d):
+    """Files of three sample formats, each read as what it is: linear, PQ or sRGB."""
+    kinds = [_tiffs(spark, d, bits).where(F.regexp_extract("path", r"(\d+)", 1).cast("long") % 3 == k) for k, bits in enumerate((32, 16, 8))]
+    tiles = tiff_light(kinds[0].unionByName(kinds[1]).unionByName(kinds[2]))
+    light = L.each(tiles, lambda t: {"path": t.b["path"], "total": np.add.reduceat(sum(t.rgb()), t.first), "peak": t.most(np.max(t.rgb(), axis=0))}, "path string, total double, peak double")
+    return light.groupBy("path").agg(F.count("*").alias("n_tiles"), F.round(F.sum("total"), 4).alias("total"), F.round(F.max("peak"), 5).alias("peak"))
+
+
+@query(f"""SELECT 'image' || image_id || '.heic' AS path, CASE WHEN image_id % 4 = 3 THEN NULL ELSE 8::BIGINT END AS width, CASE WHEN image_id % 4 = 3 THEN NULL ELSE 3 END AS chroma, CASE WHEN image_id % 4 = 3 THEN NULL ELSE 8 END AS depth,
+CASE WHEN image_id % 4 = 3 THEN 'ValueError: the primary item is grid, not one coded picture' END AS error FROM ({IMAGES})""")
+def coded_images(spark, d):
+    """The primary picture of each file as it was coded; grids are refused."""
+    def grids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            paths = b["path"].to_pylist()
+            out = [c.replace(b"hvc1", b"grid", 1) if int(p[5:-5]) % 4 == 3 else c for p, c in zip(paths, b["content"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([b["path"], pa.array(out, pa.binary())], ["path", "content"])
+
+    files = _files(spark, d).select("path", "content").mapInArrow(grids, "path string, content binary")
+    return table(files, "coded_images").select("path", "width", "chroma", "depth", "error")
+
+
+@query(f"""WITH i AS ({IMAGES}) SELECT image_id, ['tiff', 'jpeg', 'heif'][image_id % 3 + 1] AS kind, 38 AS exif_bytes, CASE WHEN image_id % 3 = 0 THEN NULL ELSE 'xmp' || image_id END AS xmp,
+CASE WHEN image_id % 3 = 1 AND image_id % 2 = 1 AND image_id % 5 <> 0 THEN 3 END::INTEGER AS iptc_bytes, CASE WHEN image_id % 3 = 1 AND image_id % 5 = 0 THEN 'iptc' ELSE '' END AS left_out FROM i""")
+def metadata_by_magic(spark, d):
+    """Blocks put into TIFF, JPEG and HEIF files by id, and found again by the first bytes."""
+    base = MuxRequest(DeflateCodec().encode(8, 8, 3, bytes(192), 100), DeflateCodec().encode(4, 4, 1, bytes(16), 100), "apple")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i in b["image_id"].to_pylist():
+                exif, xmp, left = S.write_tags([(274, 3, b"\1\0"), (33432, 2, b"abc\0")], []), f"xmp{i}".encode(), []
+                if i % 3 == 0:
+                    file = exif
+                elif i % 3 == 1:
+                    file, left = M.wrapped(exif, bytes(70_000) if i % 5 == 0 else b"abc" if i % 2 else None, xmp)
+                else:
+                    file = mux(replace(base, exif=exif, xmp=xmp))
+                found = {kind: data for kind, _, data in M.sidecar(file)}
+                text = found.get("xmp")
+                rows.append((i, M.kind_of(file), len(M.exif_block(file) or b""), None if text is None else text.decode(), len(found["iptc"]) if "iptc" in found else None, ",".join(left)))
+            types = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 6, types)], ["image_id", "kind", "exif_bytes", "xmp", "iptc_bytes", "left_out"])
+
+    return P.embedding_tiles(spark, d).select("image_id").mapInArrow(run, "image_id long, kind string, exif_bytes int, xmp string, iptc_bytes int, left_out string")
+
+
 #: Tags that exif_rebuild gives to the file of an image, if its id divides by the number
 #: beside: some to be carried over, some to stay behind.
 _GIVEN = ((256, 1), (274, 2), (519, 2), (532, 3), (559, 1), (700, 5), (50706, 1), (50740, 3), (33432, 3))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StringType, StructField, StructType, _parse_datatype_string
 
-from . import boxes, gainmap_tiff, images
+from . import boxes, carriers, gainmap_tiff, images
 
 #: Extensions read from folders; files named outright need none of them.
 EXTENSIONS = ("tif", "tiff", "png", "jpg", "jpeg", "heic", "heif", "dng", "arw", "cr2", "cr3", "nef", "raf", "orf", "rw2")
@@ -21,8 +21,14 @@ BATCH = 10_000
 PIXELS = 1 << 18
 
 
-#: The same as a pattern of file names, whatever the case.
-PATTERN = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in EXTENSIONS) + "}"
+
+
+def pattern_of(suffixes: tuple[str, ...]) -> str:
+    """A pattern of file names with these suffixes, whatever the case."""
+    return "*.{" + ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in suffixes) + "}"
+
+
+PATTERN = pattern_of(EXTENSIONS)
 
 
 def binary_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -129,6 +135,8 @@ TABLES: dict[str, tuple[Callable[[bytes], Iterable[tuple]], str]] = {
     "gain_map_pixels": (gainmap_tiff.gain_map, "y int, x int, br int, bg int, bb int, gr int, gg int, gb int"),
     "gain_maps": (gainmap_tiff.gain_map_meta, "width int, height int, meta string"),
     "tiff_tiles": (images.tiff_tiles, "y0 int, height int, width int, r array<double>, g array<double>, b array<double>"),
+    "sidecar": (carriers.sidecar, "kind string, label string, data binary"),
+    "coded_images": (lambda d: [carriers.coded_image(d)], "width long, height long, chroma int, depth int, config binary, data binary"),
     "icc_tags": (images.icc_tags, "signature string, payload binary"),
 }
 
