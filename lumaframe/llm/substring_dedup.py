@@ -53,8 +53,9 @@ GRAM = 64
 GRAMS = MIN_LENGTH - GRAM + 1
 #: Different stretches of one gram that a task compares.
 HOT_GRAM = 20_000
-#: Bytes of text hashed at a time; places within one take PLACE_BITS.
-PLACE_BITS = 20
+#: Bytes of text hashed at a time, few enough for a processor's cache; places within one
+#: take PLACE_BITS.
+PLACE_BITS = 17
 BLOCK = 1 << PLACE_BITS
 #: Bytes of scanned input for each task of the gram shuffle.
 BYTES_PER_TASK = 32 << 20
@@ -85,8 +86,7 @@ _BYTES = _mix(np.arange(1, 257, dtype=_U) * _U(_B1)) % _U(PRIME - 1) + _U(1)
 
 
 def _folded(x: np.ndarray) -> np.ndarray:
-    """A number below 2^32 that equals ``x``, below 2^63, modulo the prime."""
-    x = (x & _U(PRIME)) + (x >> _U(31))
+    """A number that equals ``x`` modulo the prime; of less than 2^62 it is below 2^32."""
     return (x & _U(PRIME)) + (x >> _U(31))
 
 
@@ -99,10 +99,11 @@ class Roll:
 
     def __init__(self, data: np.ndarray, bases: tuple[int, int] = GRAM_BASES) -> None:
         self.sums, self.down = [], []
+        values = _BYTES[data]
         for base in bases:
             up, down = self._of(base, len(data) + 1)
             sums = np.zeros(len(data) + 1, dtype=_U)
-            np.cumsum(_folded(_BYTES[data] * up[: len(data)]), out=sums[1:])
+            np.cumsum(_folded(values * up[: len(data)]), out=sums[1:])
             self.sums.append(sums)
             self.down.append(down)
 
@@ -123,8 +124,9 @@ class Roll:
 
     @staticmethod
     def _hash(differences: list[np.ndarray], downs: list[np.ndarray]) -> np.ndarray:
-        one, two = (_folded(_folded(d) * down) for d, down in zip(differences, downs))
-        one, two = (np.where(x >= _U(PRIME), x - _U(PRIME), x) for x in (one, two))
+        # sums of BLOCK numbers below 2^32 are below 2^52, so folded below 2^31 + 2^21
+        one, two = (_folded(_folded(_folded(d) * down)) for d, down in zip(differences, downs))
+        one, two = ((x + ((x + _U(1)) >> _U(31))) & _U(PRIME) for x in (one, two))  # the prime itself is zero
         return _mix(one << _U(32) | two)
 
     def __call__(self, start, end) -> np.ndarray:
