@@ -62,9 +62,9 @@ def numbered(docs: DataFrame, shards: int, shard: str, row: str) -> DataFrame:
 def postings(rows: DataFrame) -> DataFrame:
     """(shard, trigram, rows): the index of ``rows`` (shard, row, text). ``trigram``
     counts TRIGRAMS from 0."""
-    low = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    held = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(i)) for i, t in enumerate(TRIGRAMS))))
-    each = rows.select("shard", "row", F.explode(held).alias("trigram"))
+    lower = rows.select("shard", "row", F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("low"))  # once for all trigrams
+    held = F.array_compact(F.array(*(F.when(F.contains("low", F.lit(t)), F.lit(i)) for i, t in enumerate(TRIGRAMS))))
+    each = lower.select("shard", "row", F.explode(held).alias("trigram"))
     return each.groupBy("shard", "trigram").agg(F.sort_array(F.collect_set("row")).alias("rows"))
 
 
