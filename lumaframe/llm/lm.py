@@ -26,8 +26,10 @@ Scale: the documents are dealt into chunks of about ``CHUNK_BYTES``, each of one
 different n-grams once, with its count, to the task that counts it, packed by ``2^bits``
 buckets of hashes; what comes back are the totals of those n-grams that other chunks
 have too. So a frequent n-gram costs one entry a chunk, texts are shuffled once (those
-kept back twice), and nothing but sums of EM reaches the driver. N-grams travel as hashes
-of 48 bits and those of their bucket.
+kept back twice), and nothing but sums of EM reaches the driver. What travels is sorted
+hashes, as compressed differences: of tokens 48 bits and those of the bucket, 59 or more;
+of pairs and triples 36 and those of the bucket, so that of 10 GB's pairs and triples
+one in about 40,000 counts together with another.
 
 Defined results: null text is one end token; a null doc_id counts as empty text in
 the crc; repeated rows are scored and counted each; with no training documents
@@ -48,18 +50,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import count_groups, materialize
+from .substring_dedup import Roll
 
 FOLDS, HELD_OUT, KEPT_BACK = 7, 2, 6
 #: Kinds of documents, and so of chunks.
 MAIN, BACK, HELD = range(3)
 #: No word has a space in it.
 END = b" "
+END_HASH = 0x2545F4914F6CDD1D
+#: Text hashed at a time, few enough for a processor's cache; words over LONG_WORD bytes are
+#: hashed one by one.
+BLOCK, LONG_WORD = 1 << 16, 1024
 #: Text of a chunk; chunks for each task that scores them.
 CHUNK_BYTES, CHUNKS_PER_TASK = 12 << 20, 2
 #: Text whose n-grams share a bucket or a counting task; bits of a bucket's number.
 BUCKET_BYTES, TASK_BYTES = 16 << 20, 24 << 20
 LEAST_BITS, MOST_BITS = 11, 20
-_PAYLOAD = 48
+#: Bits of a hash below its bucket, of tokens and of longer n-grams; the bytes that hold
+#: them; and how many of those, the lowest, are too random to compress.
+PAYLOADS = ((48, 6, 5), (36, 5, 3))
 _SEED = 9
 #: Steps to an octave of the ratio of two estimates, and octaves on each side of one.
 STEPS, OCTAVES = 2, 64
@@ -70,8 +79,9 @@ _TYPES, _TOKENS, _TOKENS_BACK = -1, -2, -3
 
 _U = np.uint64
 _CHUNK = "chunk long, kind int, bucket long, ids binary, sizes binary, packed binary"
-_ASK = "chunk long, kind int, bucket long, high binary, low binary, n binary, more binary"
-_REPLY = "cell long, n long, x double, chunk long, kind int, bucket long, at binary, main binary, back binary"
+_ASK = "chunk long, kind int, bucket long, many1 int, size1 int, data1 binary, many2 int, size2 int, data2 binary"
+_REPLY = "cell long, n long, x double, chunk long, kind int, bucket long, size1 int, data1 binary, size2 int, data2 binary"
+_SPACES = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 def tokens(text: bytes | None) -> list[bytes]:
@@ -99,8 +109,9 @@ def _columns(schema: str) -> dict[str, str]:
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Chunks of documents of one kind. An id's place holds its bytes, with a null apart."""
-    codec = pa.Codec("zstd", compression_level=3)
+    """Chunks of documents of one kind: ids, with which are there; sizes; and texts, each
+    with a line end."""
+    codec = pa.Codec("zstd", compression_level=6)
     number = TaskContext.get().partitionId() << 24
     open_: list[tuple[list, list[bytes]]] = [([], []) for _ in range(3)]
     size = [0] * 3
@@ -108,8 +119,7 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close(kind: int) -> pa.RecordBatch:
         nonlocal number
         ids, texts = open_[kind]
-        whole = b"".join(texts)
-        packed = codec.compress(whole, asbytes=True) if whole else b""
+        packed = codec.compress(b"".join(t + b"\n" for t in texts), asbytes=True)
         has = np.array([i is not None for i in ids])
         row = (number, kind, -1, np.array([i or 0 for i in ids], np.int64).tobytes() + has.tobytes(), np.array([len(t) for t in texts], np.int64).tobytes(), packed)
         number, open_[kind], size[kind] = number + 1, ([], []), 0
@@ -128,6 +138,37 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield close(kind)
 
 
+def token_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of a text without capitals. Blocks end between
+    words, and a word's hash does not depend on where it stands."""
+    hashes, places, at = [], [], 0
+    while at < len(text):
+        data = np.frombuffer(text, np.uint8, min(BLOCK, len(text) - at), at)
+        space = _SPACES[data]
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = (edge[k:][::2] for k in ((0, 1) if space[0] else (1, 0)))
+        if not space[0]:
+            starts = np.concatenate([[0], starts])
+        done = len(data)
+        if not space[-1] and at + done < len(text) and not _SPACES[text[at + done]]:
+            starts, done = starts[:-1], int(starts[-1])  # the last word goes on
+        ends = ends[: len(starts)] if len(ends) >= len(starts) else np.append(ends, done)
+        if not done:  # a word longer than a block
+            done = next((k for k in range(at, len(text)) if _SPACES[text[k]]), len(text)) - at
+            hashes.append(np.array([xxhash.xxh64_intdigest(text[at : at + done], _SEED)], dtype=_U))
+            places.append(np.array([at]))
+        elif len(starts):
+            h = Roll(data[:done])(starts, ends)
+            for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+                h[k] = xxhash.xxh64_intdigest(text[at + int(starts[k]) : at + int(ends[k])], _SEED)
+            hashes.append(h)
+            places.append(starts + at)
+        at += done
+    if not hashes:
+        return np.zeros(0, _U), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(places)
+
+
 class Chunk:
     """The n-grams of a chunk's documents."""
 
@@ -135,32 +176,27 @@ class Chunk:
         length = np.frombuffer(sizes, np.int64)
         n = len(length)
         self.ids, self.has_id = np.frombuffer(ids[: 8 * n], np.int64), np.frombuffer(ids[8 * n :], bool)
-        text = pa.Codec("zstd").decompress(packed, int(length.sum()), asbytes=True) if packed else b""
-        words: list[bytes] = []
-        ends, at = np.zeros(n, np.int64), 0
-        for i, size in enumerate(length.tolist()):
-            words += tokens(text[at : at + size])
-            at += size
-            ends[i] = len(words)
-        hashes = {w: xxhash.xxh64_intdigest(w, _SEED) for w in set(words)}
-        self.w = np.fromiter(map(hashes.__getitem__, words), dtype=_U, count=len(words))
-        self.end = hashes[END]
-        self.starts, self.many, self.bits = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0), bits
-
-    def grams(self) -> np.ndarray:
-        """Of every token, its n-grams of order one, then two, then three; the lowest bit
-        is one for order one alone."""
+        text = pa.Codec("zstd").decompress(packed, int((length + 1).sum()), asbytes=True).lower() if packed else b""
+        hashes, places = token_hashes(text)
+        words = np.bincount(np.searchsorted(np.cumsum(length + 1), places, side="right"), minlength=n)
+        ends = np.cumsum(words + 1)
+        self.w = np.full(int(ends[-1]), END_HASH, dtype=_U)
+        own = np.ones(len(self.w), bool)
+        own[ends - 1] = False
+        self.w[own] = hashes
+        self.starts, self.many, self.bits = np.concatenate([[0], ends[:-1]]), words + 1, bits
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of every token, itself; and its pair, then its triple."""
         first = self.starts
         v = np.concatenate([[0], self.w[:-1]]).astype(_U)
-        v[first] = _U(self.end)
+        v[first] = _U(END_HASH)
         pair = _mixed(v, self.w)
         before = np.concatenate([[0], pair[:-1]]).astype(_U)
         before[first] = _U(0)  # the start of its own
         triple = _mixed(before ^ _U(0x5851F42D4C957F2D), self.w)
-        out = np.concatenate([self.w, pair, triple]) >> _U(64 - _PAYLOAD - self.bits)
-        out &= ~_U(1)
-        out[: len(self.w)] |= _U(1)
-        return out
+        lists = (self.w, np.concatenate([pair, triple]))
+        return tuple(x >> _U(64 - payload - self.bits) for x, (payload, *_) in zip(lists, PAYLOADS))
 
 
 def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,23 +212,48 @@ def _runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(sorted_)))
 
 
+def _planes(x: np.ndarray, width: int) -> bytes:
+    """The lowest ``width`` bytes of numbers, byte by byte, as like compresses with like."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _of_planes(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = data[: n * width].reshape(width, n).T
+    return out.reshape(-1).view("<u8")
+
+
+def _zipped(data: bytes, plain: int) -> tuple[int, bytes]:
+    """The size of ``data``, and itself with all after the first ``plain`` bytes compressed."""
+    return len(data), data[:plain] + (pa.Codec("zstd", compression_level=1).compress(data[plain:], asbytes=True) if len(data) > plain else b"")
+
+
+def _unzipped(size: int, data: bytes, plain: int) -> np.ndarray:
+    rest = pa.Codec("zstd").decompress(data[plain:], size - plain, asbytes=True) if size > plain else b""
+    return np.frombuffer(data[:plain] + rest, np.uint8)
+
+
 def _ask(bits: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different n-grams of each chunk, by bucket, with how often they are there."""
         for b in batches:
             for chunk, kind, ids, sizes, packed in zip(*(b[c].to_pylist() for c in ("chunk", "kind", "ids", "sizes", "packed"))):
-                gram = np.sort(Chunk(ids, sizes, packed, bits).grams())
-                at, n = _runs(gram)
-                gram = gram[at]
-                first, size = _runs(gram >> _U(_PAYLOAD))
-                bucket = (gram[first] >> _U(_PAYLOAD)).astype(np.int64).tolist()
-                high, low = (gram >> _U(32)).astype("<u2"), gram.astype("<u4")
-                small, counted = np.minimum(n, 255).astype(np.uint8), kind != HELD
-                rows = []
-                for k, a, z in zip(bucket, first.tolist(), (first + size).tolist()):
-                    more = n[a:z][small[a:z] == 255].astype("<i8").tobytes() if counted else b""
-                    rows.append((chunk, kind, k, high[a:z].tobytes(), low[a:z].tobytes(), small[a:z].tobytes() if counted else b"", more))
-                yield _rows(_columns(_ASK), rows)
+                parts: list[dict[int, tuple]] = []
+                for gram, (payload, width, plain) in zip(Chunk(ids, sizes, packed, bits).grams(), PAYLOADS):
+                    gram = np.sort(gram)
+                    at, n = _runs(gram)
+                    gram = gram[at]
+                    first, size = _runs(gram >> _U(payload))
+                    gaps = np.diff(gram, prepend=_U(0))
+                    gaps[first] = gram[first] & _U((1 << payload) - 1)
+                    small = np.minimum(n, 255).astype(np.uint8)
+                    own = {}
+                    for k, a, z in zip((gram[first] >> _U(payload)).tolist(), first.tolist(), (first + size).tolist()):
+                        counts = b"" if kind == HELD else small[a:z].tobytes() + n[a:z][small[a:z] == 255].astype("<i8").tobytes()
+                        own[k] = (z - a, *_zipped(_planes(gaps[a:z], width) + counts, plain * (z - a)))
+                    parts.append(own)
+                none = (0, 0, b"")
+                yield _rows(_columns(_ASK), [(chunk, kind, k, *parts[0].get(k, none), *parts[1].get(k, none)) for k in sorted({*parts[0], *parts[1]})])
 
     return ask
 
@@ -219,51 +280,62 @@ def _grouped(batches: Iterator[pa.RecordBatch], by: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _joined(t: pa.Table, column: str, kind: str) -> np.ndarray:
-    return np.frombuffer(b"".join(t[column].to_pylist()), kind)
+class _Totals:
+    """Totals of the n-grams of a list, over all chunks that ask for a bucket."""
+
+    def __init__(self, kinds: list[int], many: list[int], sizes: list[int], data: list[bytes], width: int, plain: int) -> None:
+        self.size = np.array(many)
+        grams, ns = [], []
+        for kind, m, size, packed in zip(kinds, many, sizes, data):
+            raw = _unzipped(size, packed, plain * m)
+            grams.append(np.cumsum(_of_planes(raw, m, width)))
+            n = np.zeros(m, np.int64)
+            if kind != HELD:
+                n[:] = raw[m * width : m * (width + 1)]
+                n[n == 255] = np.frombuffer(raw[m * (width + 1) :].tobytes(), "<i8")
+            ns.append(n)
+        gram, n = np.concatenate(grams), np.concatenate(ns)
+        self.row = np.repeat(np.arange(len(many)), self.size)
+        kind = np.array(kinds)[self.row]
+        self.order = np.argsort(gram)
+        self.first, self.many = _runs(gram[self.order])
+        totals = (np.where(kind == k, n, 0)[self.order] for k in (MAIN, BACK))
+        self.main, self.back = (np.add.reduceat(x, self.first) if len(self.first) else self.many for x in totals)
+
+    def replies(self) -> dict[int, tuple[int, bytes]]:
+        """For each row, which of its n-grams other rows have too, and their totals."""
+        entry = self.order[np.repeat(self.many > 1, self.many)]
+        of = np.repeat(np.arange(len(self.first)), self.many)[np.repeat(self.many > 1, self.many)]
+        by_row = np.argsort(entry)
+        entry, of = entry[by_row], of[by_row]
+        start = np.cumsum(self.size) - self.size
+        begin, length = _runs(self.row[entry])
+        out = {}
+        for a, k in zip(begin.tolist(), length.tolist()):
+            r = int(self.row[entry[a]])
+            shared = np.zeros(int(self.size[r]), bool)
+            shared[entry[a : a + k] - start[r]] = True
+            main, back = self.main[of[a : a + k]], self.back[of[a : a + k]]
+            width = max(1, -(-int(max(main.max(), back.max())).bit_length() // 8))
+            bits = np.packbits(shared).tobytes()
+            out[r] = _zipped(bits + bytes([width]) + _planes(main, width) + _planes(back, width), len(bits))
+        return out
 
 
 def count_bucket(t: pa.Table) -> tuple[list[tuple], dict[int, list[float]]]:
     """Replies to the chunks that ask for a bucket's n-grams, and sums over its tokens."""
-    high, low = _joined(t, "high", "<u2"), _joined(t, "low", "<u4")
-    gram = high.astype(_U) << _U(32) | low
-    kinds = t["kind"].to_numpy()
-    size = np.array([len(x) // 2 for x in t["high"].to_pylist()])
-    row = np.repeat(np.arange(len(size)), size)
-    kind = kinds[row]
-    n = np.zeros(len(gram), np.int64)
-    n[kind != HELD] = _joined(t, "n", np.uint8)
-    n[n == 255] = _joined(t, "more", "<i8")
-    order = np.argsort(gram, kind="stable")
-    first, many = _runs(gram[order])
-    main = np.add.reduceat(np.where(kind == MAIN, n, 0)[order], first) if len(first) else many
-    back = np.add.reduceat(np.where(kind == BACK, n, 0)[order], first) if len(first) else many
-
-    one = (gram[order[first]] & _U(1)) == 1
-    m, b = main[one], back[one]
+    kinds, chunks, bucket = (t[c].to_pylist() for c in ("kind", "chunk", "bucket"))
+    one, more = (_Totals(kinds, *(t[f"{c}{k}"].to_pylist() for c in ("many", "size", "data")), *widths) for k, (_, *widths) in enumerate(PAYLOADS, 1))
+    m, b = one.main, one.back
     sums = {_TYPES: [int((m + b > 0).sum()), 0.0], _TOKENS: [int((m + b).sum()), 0.0], _TOKENS_BACK: [int(b.sum()), 0.0]}
     cell, log = ratio_cells(m[b > 0].astype(float))
     for c, k, x in zip(cell.tolist(), b[b > 0].tolist(), log.tolist()):
         own = sums.setdefault(c, [0, 0.0])
         own[0] += k
         own[1] += k * x
-
-    # those that one chunk alone has are known there
-    ask = np.flatnonzero(np.repeat(many > 1, many))
-    of = np.repeat(np.arange(len(first)), many)[ask]
-    entry = order[ask]
-    by_row = np.argsort(entry)
-    entry, of = entry[by_row], of[by_row]
-    place = (entry - (np.cumsum(size) - size)[row[entry]]).astype("<u4")
-    rows = []
-    chunks, buckets_ = t["chunk"].to_pylist(), t["bucket"].to_pylist()
-    begin, length = _runs(row[entry])
-    for a, k in zip(begin.tolist(), length.tolist()):
-        r, z = int(row[entry[a]]), a + k
-        wide = int(main[of[a:z]].max()) >> 32 or int(back[of[a:z]].max()) >> 32
-        number = "<u8" if wide else "<u4"
-        rows.append((None, None, None, chunks[r], int(kinds[r]), buckets_[r], place[a:z].tobytes(), main[of[a:z]].astype(number).tobytes(), back[of[a:z]].astype(number).tobytes()))
-    return rows, sums
+    first, second = one.replies(), more.replies()
+    none = (0, b"")
+    return [(None, None, None, chunks[r], kinds[r], bucket[r], *first.get(r, none), *second.get(r, none)) for r in sorted({*first, *second})], sums
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +351,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(rows) > 2000:
             yield _rows(_columns(_REPLY), rows)
             rows = []
-    rows += [(c, n, x, None, None, None, None, None, None) for c, (n, x) in sums.items()]
+    rows += [(c, n, x, *[None] * 7) for c, (n, x) in sums.items()]
     yield _rows(_columns(_REPLY), rows)
 
 
@@ -330,29 +402,34 @@ def context_weights(b2: np.ndarray, b3: np.ndarray, n: np.ndarray, r2: np.ndarra
 
 
 class Counts:
-    """Counts of a chunk's tokens, their n-grams and contexts."""
+    """Counts of a chunk's tokens, their n-grams and contexts: ``main`` without those kept
+    back and ``all``, each of tokens, then of pairs, then of triples."""
 
     def __init__(self, chunk: Chunk, kind: int, replies: pa.Table) -> None:
-        gram, at, n = np.unique(chunk.grams(), return_inverse=True, return_counts=True)
-        self.main, self.all = (n if kind == MAIN else np.zeros_like(n)), (np.zeros_like(n) if kind == HELD else n.copy())
-        self.main = self.main.copy()
-        if replies.num_rows:
-            place = _joined(replies, "at", "<u4").astype(np.int64)
-            sizes = np.array([len(x) // 4 for x in replies["at"].to_pylist()])
-            place += np.repeat(np.searchsorted(gram >> _U(_PAYLOAD), replies["bucket"].to_numpy().astype(_U)), sizes)
-            main, back = ([np.frombuffer(x, "<u4" if len(x) == 4 * k else "<u8").astype(np.int64) for x, k in zip(replies[c].to_pylist(), sizes)] for c in ("main", "back"))
-            self.main[place] = np.concatenate(main)
-            self.all[place] = self.main[place] + np.concatenate(back)
-        self.at = at.reshape(3, -1)
-        self.starts = chunk.starts
-        end = int(np.flatnonzero(chunk.w == _U(chunk.end))[0])
-        self.end = self.at[0, end]
-
-    def of(self, table: np.ndarray) -> tuple[np.ndarray, ...]:
+        n_tokens = len(chunk.w)
+        mains, alls = [], []
+        for k, (gram, (payload, *_)) in enumerate(zip(chunk.grams(), PAYLOADS), 1):
+            own, at, n = np.unique(gram, return_inverse=True, return_counts=True)
+            main, both = (n if kind == MAIN else np.zeros_like(n)).copy(), np.zeros_like(n) if kind == HELD else n.copy()
+            first, many = _runs(own >> _U(payload))
+            places = dict(zip((own[first] >> _U(payload)).tolist(), zip(first.tolist(), many.tolist())))
+            for bucket, size, data in zip(*(replies[c].to_pylist() for c in ("bucket", f"size{k}", f"data{k}"))):
+                if size:
+                    start, m = places[bucket]
+                    ends = -(-m // 8)
+                    raw = _unzipped(size, data, ends)
+                    place, width = start + np.flatnonzero(np.unpackbits(raw[:ends], count=m)), int(raw[ends])
+                    main[place] = _of_planes(raw[ends + 1 :], len(place), width).astype(np.int64)
+                    both[place] = main[place] + _of_planes(raw[ends + 1 + len(place) * width :], len(place), width).astype(np.int64)
+            mains.append(main[at]), alls.append(both[at])
+        self.main, self.all = ((x[0], x[1][:n_tokens], x[1][n_tokens:]) for x in (mains, alls))
+        self.starts, self.end = chunk.starts, int(chunk.starts[0] + chunk.many[0] - 1)
+
+    def of(self, table: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
         """c(w), c(v), c(v w), c(u v), c(u v w) of every token."""
-        one, two, three = table[self.at]
+        one, two, three = table
         v, uv = np.concatenate([[0], one[:-1]]), np.concatenate([[0], two[:-1]])
-        v[self.starts] = uv[self.starts] = table[self.end]
+        v[self.starts] = uv[self.starts] = one[self.end]
         return one, v, two, uv, three
 
 
@@ -394,7 +471,7 @@ def score(docs: DataFrame) -> DataFrame:
     parts = count_groups(n_chunks, CHUNKS_PER_TASK, least)
 
     def met(which: str) -> DataFrame:
-        answer = replies.where("cell is null").select("chunk", "kind", "bucket", "at", "main", "back")
+        answer = replies.where("cell is null").drop("cell", "n", "x")
         own = chunks.select("chunk", "kind", "bucket", "ids", "sizes", "packed")
         return own.where(which).unionByName(answer.where(which), allowMissingColumns=True).repartition(parts, "chunk").sortWithinPartitions("chunk")
 

@@ -506,6 +506,26 @@ def test_scores_beat_the_base(small):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+@pytest.mark.parametrize("block", [64, 1 << 16])
+def test_words_have_one_hash(monkeypatch, block):
+    """Wherever they stand, however long they and the text are."""
+    monkeypatch.setattr(lm, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    some = [b"".join(rng.choice([b"a", b"b", "é".encode()], n)) for n in rng.integers(1, 9, 300)] + [b"x" * 1024, b"x" * 1025, b"y" * 70, b"z" * 200_000]
+    seen = {}
+    for _ in range(5):
+        words = [some[i] for i in rng.integers(0, len(some), 2000)]
+        gaps = [b"".join(rng.choice([b" ", b"\n", b"\t", b"\x0b\r"], n)) for n in rng.integers(1, 4, 2001)]
+        text = (gaps[0] if rng.random() < 0.5 else b"") + b"".join(w + g for w, g in zip(words, gaps[1:])) + some[0]
+        hashes, places = lm.token_hashes(text)
+        want = text.split()
+        assert len(hashes) == len(want) and all(text.startswith(w, p) for w, p in zip(want, places.tolist()))
+        for w, h in zip(want, hashes.tolist()):
+            assert seen.setdefault(w, h) == h
+    assert len(set(seen.values())) == len(seen)
+    assert len(lm.token_hashes(b"")[0]) == len(lm.token_hashes(b" \n ")[0]) == 0
+
+
 def test_chunks_and_buckets_change_nothing(small, monkeypatch):
     """Counting over many small chunks, against one for each task."""
     codec = pa.Codec("zstd")
@@ -514,8 +534,7 @@ def test_chunks_and_buckets_change_nothing(small, monkeypatch):
     def counted(lots, bits):
         rows, chunks = [], []
         for k, lot in enumerate(lots):
-            whole = b"".join(lot)
-            row = (np.arange(len(lot)).tobytes() + b"\1" * len(lot), np.array([len(t) for t in lot]).tobytes(), codec.compress(whole, asbytes=True) if whole else b"")
+            row = (np.arange(len(lot)).tobytes() + b"\1" * len(lot), np.array([len(t) for t in lot]).tobytes(), codec.compress(b"".join(t + b"\n" for t in lot), asbytes=True))
             chunks.append(lm.Chunk(*row, bits))
             rows.append((k, k % 2, -1, *row))
         asked = pa.Table.from_batches(list(lm._ask(bits)(iter([lm._rows(lm._columns(lm._CHUNK), rows)])))).sort_by("bucket")
