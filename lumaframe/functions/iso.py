@@ -52,22 +52,42 @@ def fraction_at(digits: Column, byte: int, signed: bool) -> Column:
     return F.when(den != 0, word_at(digits, byte, signed) / F.when(den != 0, den).otherwise(1))
 
 
-def parse(digits: Column) -> dict[str, Column]:
-    """Fields of the (first) channel and ``error``: truncated, version, denominator, range
-    or NULL. Fields are NULL where there is an error."""
+def _read(digits: Column) -> tuple[dict[str, Column], dict[str, list[Column]], Column, Column, Column]:
+    """Headrooms, each field's three channels, flags, whether there are three, error."""
     flags = F.conv(F.substring(digits, 9, 2), 16, 10).cast("int")
     three = flags.bitwiseAND(0x80) != 0
     need = F.when(three, 141).otherwise(61) * 2
-    places = {"base_headroom": (5, False), "alt_headroom": (13, False)} | {f: (21 + 8 * i, f in SIGNED) for i, f in enumerate(FIELDS)}
-    values = {f: fraction_at(digits, at, signed) for f, (at, signed) in places.items()}
+    rooms = {"base_headroom": fraction_at(digits, 5, False), "alt_headroom": fraction_at(digits, 13, False)}
+    fields = {f: [fraction_at(digits, 21 + 40 * c + 8 * i, f in SIGNED) for c in range(3)] for i, f in enumerate(FIELDS)}
     version = F.conv(F.substring(digits, 1, 4), 16, 10).cast("int")
     zero, wide = F.lit(False), F.lit(False)
-    for v in values.values():
-        zero, wide = zero | v.isNull(), wide | (F.abs(v) > MOST)
+    for v, counts in [*((v, F.lit(True)) for v in rooms.values()), *((v, F.lit(True) if c == 0 else three) for of in fields.values() for c, v in enumerate(of))]:
+        zero, wide = zero | (counts & v.isNull()), wide | (counts & (F.abs(v) > MOST))
     error = F.when(F.length(digits) < 10, "truncated").when(version != 0, "version").when(F.length(digits) < need, "truncated").when(zero, "denominator").when(wide, "range")
+    return rooms, fields, flags, three, error
+
+
+def parse(digits: Column) -> dict[str, Column]:
+    """Fields of the (first) channel and ``error``: truncated, version, denominator, range
+    or NULL, of any channel. Fields are NULL where there is an error."""
+    rooms, fields, flags, _, error = _read(digits)
+    values = rooms | {f: v[0] for f, v in fields.items()}
     return {f: F.when(error.isNull(), v) for f, v in values.items()} | {"base_space": F.when(error.isNull(), flags.bitwiseAND(0x40) != 0), "error": error}
 
 
+def parse_channels(digits: Column) -> dict[str, Column]:
+    """``parse`` with each channel's field as an array of one or three: ``F.array_max`` is
+    the greatest over channels, and ``channel_of`` a channel's own."""
+    rooms, fields, flags, three, error = _read(digits)
+    values = rooms | {f: F.when(three, F.array(*v)).otherwise(F.array(v[0])) for f, v in fields.items()}
+    return {f: F.when(error.isNull(), v) for f, v in values.items()} | {"base_space": F.when(error.isNull(), flags.bitwiseAND(0x40) != 0), "error": error}
+
+
+def channel_of(values: Column, channel: int) -> Column:
+    """A channel's value; one that stands alone is that of all."""
+    return F.coalesce(F.get(values, F.lit(channel)), F.get(values, F.lit(0)))
+
+
 def expected_length(digits: Column) -> Column:
     """Bytes that a tone-map payload (with its version byte) should have by its flags."""
     flags = F.conv(F.substring(digits, 11, 2), 16, 10).cast("int")

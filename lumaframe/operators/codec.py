@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -37,6 +38,12 @@ class Budgeted:
     within: bool
 
 
+def gain_quality(quality: int, high: int, gain: int) -> int:
+    """The gain map's quality beside a base's of ``quality``, in proportion to their
+    highest, so that the map does not stay dear while the base starves."""
+    return min(100, max(1, math.floor(quality * gain / high + 0.5)))
+
+
 def encode_within(encode: Callable[[int], bytes], high: int, low: int, budget: int) -> Budgeted:
     """The best quality in [low, high] whose measured size fits: the highest first, then
     the floor, then halves. If not even the floor fits, the floor, marked so."""

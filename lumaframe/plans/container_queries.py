@@ -12,7 +12,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import iso as I
@@ -21,7 +21,7 @@ from ..functions.gain import decode
 from ..operators import derive as D
 from ..operators import frames as P
 from ..operators import tiles as L
-from ..operators.codec import DeflateCodec, encode_within
+from ..operators.codec import DeflateCodec, encode_within, gain_quality
 from ..operators.derive import attach
 from ..operators.mux import MuxRequest, mux
 from ..sources import boxes as B
@@ -49,22 +49,31 @@ def query(sql: str | None = None):
     return add
 
 
-def packed_images(tiles: DataFrame, subsample: int = 2) -> DataFrame:
-    """image_id, width, height, base (RGB bytes), gain (bytes), payload: one row an
-    image, its planes joined from tiles, its metadata serialised in SQL."""
+#: Stops by which a headroom that is asked for may differ from the derived one unremarked.
+UNREMARKED = 1e-3
+
+
+def packed_images(tiles: DataFrame, subsample: int = 2, headroom: Column | None = None) -> DataFrame:
+    """image_id, width, height, base (RGB bytes), gain (bytes), payload, warning: one row
+    an image, its planes joined from tiles, its metadata serialised in SQL. ``headroom``
+    (stops, an expression of image_id and max_log2; NULL keeps the derived one) is stated
+    in its place, with a warning where it differs: displays then apply too much or too little."""
     lit = L.with_white(tiles)
     ranges = L.gain_range(lit)
     gain = L.joined_codes(L.gain_plane(lit, ranges, subsample))
     m = D.consistent_meta(ranges)
     channel = {"min_log2": F.col("min_log2"), "max_log2": F.col("max_log2"), "gamma": F.col("gamma"), "base_offset": F.col("base_offset"), "alt_offset": F.col("alt_offset")}
-    payload = F.unhex(F.concat(F.lit("00"), I.serialize([channel], F.col("base_headroom"), F.col("alt_headroom"), F.lit(False))))
-    return L.joined_base(lit).join(gain, "image_id").join(m.select("image_id", payload.alias("payload")), "image_id")
+    asked = F.lit(None).cast("double") if headroom is None else headroom
+    m = m.withColumn("asked", asked)
+    payload = F.unhex(F.concat(F.lit("00"), I.serialize([channel], F.col("base_headroom"), F.coalesce("asked", "alt_headroom"), F.lit(False))))
+    warning = F.when(F.abs(F.col("asked") - F.col("max_log2")) > UNREMARKED, F.format_string("headroom %.3f overrides the derived %.3f stops", "asked", "max_log2"))
+    return L.joined_base(lit).join(gain, "image_id").join(m.select("image_id", payload.alias("payload"), warning.alias("warning")), "image_id")
 
 
-def _request(width: int, height: int, base: bytes, gain: bytes, payload: bytes, flavor: str, quality: int, subsample: int, metadata: dict) -> MuxRequest:
+def _request(width: int, height: int, base: bytes, gain: bytes, payload: bytes, flavor: str, quality: int, subsample: int, metadata: dict, plane_quality: int | None = None) -> MuxRequest:
     codec = DeflateCodec()
     xmp = metadata.get("xmp") or (b'<x HDRGainMapHeadroom="1.0"/>' if flavor == "apple" else None)
-    coded = codec.encode(-(-width // subsample), -(-height // subsample), 1, gain, quality)
+    coded = codec.encode(-(-width // subsample), -(-height // subsample), 1, gain, plane_quality or quality)
     return MuxRequest(codec.encode(width, height, 3, base, quality), coded, flavor, payload, exif=metadata.get("exif"), xmp=xmp)
 
 
@@ -170,6 +179,14 @@ def noted(payload: bytes, fault: int) -> bytes | None:
     return b"II*\0" + bytes(8) + make_note(tags_for(2.0 ** (stops + (name == "tags that do not")), name == "a negative tag"))
 
 
+@query(f"""WITH {PX}, {GAIN} SELECT image_id, CASE image_id % 3 WHEN 0 THEN round(round(greatest(hi, 0.0) * 65536) / 65536, 6) WHEN 1 THEN 1.5 ELSE round(round(hi * 65536) / 65536, 6) END AS stated, image_id % 3 = 1 AND abs(hi - 1.5) > 0.001 AS warned FROM rg""")
+def headroom_override(spark, d):
+    """Headrooms asked for in place of the derived ones, as the payload then states them."""
+    asked = F.when(F.col("image_id") % 3 == 1, 1.5).when(F.col("image_id") % 3 == 2, F.col("max_log2"))
+    packed = packed_images(P.embedding_tiles(spark, d), 2, asked)
+    return packed.select("image_id", F.round(I.parse(F.hex(F.substring("payload", 2, 100)))["alt_headroom"], 6).alias("stated"), F.col("warning").isNotNull().alias("warned"))
+
+
 @query(f"""WITH {PX}, {GAIN}, i AS (SELECT image_id, hi FROM rg), r AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 17]) AS criterion),
 f AS (SELECT * FROM (VALUES {", ".join(f"({k}, {c}, '{s}')" for k, (_, of) in enumerate(FAULTS) for c, s in of.items())}) v(fault, criterion, status))
 SELECT 'image' || image_id || '.heic' AS path, r.criterion, coalesce(CASE WHEN r.criterion = 10 AND f.fault = 5 AND NOT (hi > 1 AND abs(hi * 0.5 / (hi - 0.5) - 1) > 0.001) THEN 'pass' ELSE f.status END, CASE WHEN r.criterion IN (8, 9) THEN 'skip' ELSE 'pass' END) AS status FROM i CROSS JOIN r LEFT JOIN f ON f.fault = i.image_id % {len(FAULTS)} AND f.criterion = r.criterion""")
@@ -352,8 +369,8 @@ def exif_rebuild(spark, d):
     return parsed(ids.mapInArrow(run, "path string, content binary"), rebuilt, "tags int, kept string, n_bytes long").drop("error")
 
 
-#: budget_search: what a file may take, and the qualities tried.
-_BUDGET, _HIGH, _LOW = 850, 100, 20
+#: budget_search: what a file may take, the qualities tried, and the gain map's highest.
+_BUDGET, _HIGH, _LOW, _GAIN = 850, 100, 20, 90
 
 
 @query(f"""WITH i AS ({IMAGES}) SELECT image_id, true AS within_or_floor, true AS no_better FROM i""")
@@ -366,7 +383,7 @@ def budget_search(spark, d):
         for b in batches:
             rows = []
             for r in b.to_pylist():
-                file = lambda q: mux(_request(r["width"], r["height"], r["base"], r["gain"], r["payload"], "both", q, 2, {}))
+                file = lambda q: mux(_request(r["width"], r["height"], r["base"], r["gain"], r["payload"], "both", q, 2, {}, gain_quality(q, _HIGH, _GAIN)))
                 found = encode_within(file, _HIGH, _LOW, _BUDGET)
                 fits = [q for q in range(_LOW, _HIGH + 1) if len(file(q)) <= _BUDGET]
                 rows.append((r["image_id"], found.within == (len(found.data) <= _BUDGET) and (found.within or found.quality == _LOW), found.quality == max(fits, default=_LOW)))
@@ -378,14 +395,16 @@ def budget_search(spark, d):
 
 @query("""WITH e AS (SELECT vec_id // 3 AS id, vec_id % 3 AS ch, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
 p AS (SELECT id, ch, i, floor(least(abs(v::DOUBLE) * 8, 1.0) * 65535) / 65535 AS c, floor(least(abs(v::DOUBLE) * 2, 1.0) * 65535) / 65535 AS t FROM e),
-r AS (SELECT id, greatest(((CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END) + 0.015625) * pow(2.0, -0.5 + t * 2.5) - 0.015625, 0.0) AS lin FROM p)
+k AS (SELECT *, CASE WHEN id % 2 = 0 THEN 0 ELSE ch END AS own FROM p),
+r AS (SELECT id, greatest(((CASE WHEN c <= 0.04045 THEN c / 12.92 ELSE pow((c + 0.055) / 1.055, 2.4) END) + 0.015625) * pow(2.0, -0.5 - own / 4.0 + pow(t, 1 / (1 + own / 2.0)) * (2.5 + own * 0.75)) - 0.015625, 0.0) AS lin FROM k)
 SELECT id || '.tif' AS path, 64::BIGINT AS n, round(sum(lin), 4) AS total, round(max(lin), 5) AS peak FROM r GROUP BY id""")
 def gain_map_tiff_reconstruct(spark, d):
-    """Files of a 16-bit base and a 16-bit gain map, read and reconstructed per channel.
-    The metadata come from the file, in SQL."""
+    """Files of a 16-bit base and a 16-bit gain map, read and reconstructed per channel, by
+    metadata of one channel or of three that differ, which come from the file, in SQL."""
     tiles = P.embedding_tiles(spark, d)
-    one = {"min_log2": F.lit(-0.5), "max_log2": F.lit(2.0), "gamma": F.lit(1.0), "base_offset": F.lit(1 / 64), "alt_offset": F.lit(1 / 64)}
-    meta = F.unhex(I.serialize([one], F.lit(0.0), F.lit(2.0), F.lit(False)))
+    of = lambda c: {"min_log2": F.lit(-0.5 - c / 4), "max_log2": F.lit(2.0 + c / 2), "gamma": F.lit(1.0 + c / 2), "base_offset": F.lit(1 / 64), "alt_offset": F.lit(1 / 64)}
+    rooms = (F.lit(0.0), F.lit(2.0), F.lit(False))
+    meta = F.unhex(F.when(F.col("image_id") % 2 == 0, I.serialize([of(0)], *rooms)).otherwise(I.serialize([of(0), of(1), of(2)], *rooms)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -396,10 +415,10 @@ def gain_map_tiff_reconstruct(spark, d):
             yield pa.RecordBatch.from_arrays([pa.array([f"{i}.tif" for i in b["image_id"].to_pylist()]), pa.array(files, pa.binary())], ["path", "content"])
 
     files = tiles.select("*", meta.alias("meta")).mapInArrow(run, "path string, content binary")
-    m = I.parse(F.col("meta"))
-    of_file = table(files, "gain_maps").select("path", *(m[c].alias(c) for c in ("min_log2", "max_log2", "gamma", "base_offset", "alt_offset")))
+    m = I.parse_channels(F.col("meta"))
+    of_file = table(files, "gain_maps").select("path", *(I.channel_of(m[f], k).alias(f"{f}_{c}") for f in I.FIELDS for k, c in enumerate("rgb")))
     t = attach(table(files, "gain_map_pixels"), of_file, "path")
-    lin = [F.greatest((srgb_to_linear(F.col(f"b{c}") / 65535.0) + F.col("base_offset")) * F.pow(F.lit(2.0), decode(F.col(f"g{c}") / 65535.0, F.col("min_log2"), F.col("max_log2"), F.col("gamma"))) - F.col("alt_offset"), F.lit(0.0)) for c in "rgb"]
+    lin = [F.greatest((srgb_to_linear(F.col(f"b{c}") / 65535.0) + F.col(f"base_offset_{c}")) * F.pow(F.lit(2.0), decode(F.col(f"g{c}") / 65535.0, F.col(f"min_log2_{c}"), F.col(f"max_log2_{c}"), F.col(f"gamma_{c}"))) - F.col(f"alt_offset_{c}"), F.lit(0.0)) for c in "rgb"]
     return t.groupBy("path").agg(F.count("*").alias("n"), F.round(F.sum(lin[0] + lin[1] + lin[2]), 4).alias("total"), F.round(F.max(F.greatest(*lin)), 5).alias("peak"))
 
 

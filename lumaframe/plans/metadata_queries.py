@@ -181,6 +181,22 @@ def iso_parse_hex(spark, d):
     return m.select("id", p["error"].alias("error"), (F.round(p["max_log2"], 6) + 0.0).alias("max_log2"), F.round(p["alt_headroom"], 6).alias("alt_headroom"), F.round(p["gamma"], 6).alias("gamma"), p["base_space"].alias("base_space"))
 
 
+_THREE = " || ".join(" || ".join((_word_sql(f"mn - {c} / 8.0", True), _word_sql(f"mx + {c} / 8.0", True), _word_sql(f"gm + {c} / 4.0", False), _word_sql("off", True), _word_sql("off", True))) for c in range(3))
+
+
+@query(f"""WITH m AS ({META}) SELECT id, CASE WHEN id % 5 = 4 THEN 'denominator' END AS error, CASE WHEN id % 5 <> 4 THEN CASE WHEN id % 2 = 0 THEN 3 ELSE 1 END END AS channels,
+CASE WHEN id % 5 <> 4 THEN round(round((mx + CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END / 8.0) * 65536) / 65536, 6) + 0.0 END AS greatest_max, CASE WHEN id % 5 <> 4 THEN round(round((mn - CASE WHEN id % 2 = 0 THEN 2 ELSE 0 END / 8.0) * 65536) / 65536, 6) + 0.0 END AS least_min,
+CASE WHEN id % 5 <> 4 THEN round(round((gm + CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END / 4.0) * 65536) / 65536, 6) END AS second_gamma FROM m""")
+def iso_parse_channels(spark, d):
+    """Payloads of one channel and of three that differ; the last one of some is broken."""
+    ch = [{"min_log2": F.col("mn") - c / 8, "max_log2": F.col("mx") + c / 8, "gamma": F.col("gm") + c / 4, "base_offset": F.col("off"), "alt_offset": F.col("off")} for c in range(3)]
+    made = F.when(F.col("id") % 2 == 0, I.serialize(ch, F.lit(0.0), F.col("mx"), F.col("bs"))).otherwise(I.serialize(ch[:1], F.lit(0.0), F.col("mx"), F.col("bs")))
+    whole = _meta(spark, d).select("id", made.alias("h"))
+    h = whole.select("id", F.when(F.col("id") % 5 == 4, F.concat(F.substring("h", F.lit(1), F.length("h") - 8), F.lit("00000000"))).otherwise(F.col("h")).alias("h"))
+    p = I.parse_channels(F.col("h"))
+    return h.select("id", p["error"].alias("error"), F.when(p["error"].isNull(), F.size(p["max_log2"])).alias("channels"), (F.round(F.array_max(p["max_log2"]), 6) + 0.0).alias("greatest_max"), (F.round(F.array_min(p["min_log2"]), 6) + 0.0).alias("least_min"), F.round(I.channel_of(p["gamma"], 1), 6).alias("second_gamma"))
+
+
 @query(f"WITH m AS ({META}) SELECT id, CASE WHEN id % 3 = 0 THEN 142 ELSE 62 END AS want, CASE WHEN id % 3 = 0 THEN 142 ELSE 62 END AS have FROM m")
 def payload_length(spark, d):
     """Lengths that the flags ask for, of payloads of one and three channels."""

@@ -251,15 +251,29 @@ def _out(m) -> str:
     return f"(least({r}, {g}, {b}) < -1e-5 * greatest({r}, {g}, {b}, 1.0))"
 
 
-@query(f"""WITH {PX} SELECT image_id, count(*) AS n, sum({_out(C.conversion('bt2020', 'bt709'))}::INTEGER)::BIGINT AS out_709, sum({_out(C.conversion('bt2020', 'display-p3'))}::INTEGER)::BIGINT AS out_p3,
-sum({_out(None)}::INTEGER)::BIGINT AS out_2020, sum(({_mat(C.to_xyz('bt2020'))[1]} > 1)::INTEGER)::BIGINT AS above_white, round(least(min({_mat(C.conversion('bt2020', 'bt709'))[0]}), 0.0), 6) + 0.0 AS worst_red FROM px GROUP BY image_id""")
+_C709 = _mat(C.conversion("bt2020", "bt709"))
+_LOW, _TOP = f"least({', '.join(_C709)})", f"greatest({', '.join(_C709)})"
+#: The same colours by way of Display P3, where the other render clips what is below zero.
+_VIA = _mat(C.conversion("display-p3", "bt709"), tuple(f"greatest({c}, 0.0)" for c in _mat(C.conversion("bt2020", "display-p3"))))
+
+
+@query(f"""WITH {PX}, q AS (SELECT *, {_out(C.conversion('bt2020', 'bt709'))} AS out709, {_LOW} AS low, {_TOP} AS top, greatest({", ".join(f"abs({a} - {b})" for a, b in zip(_C709, _VIA))}) AS apart FROM px)
+SELECT image_id, count(*) AS n, sum(out709::INTEGER)::BIGINT AS out_709, sum({_out(C.conversion('bt2020', 'display-p3'))}::INTEGER)::BIGINT AS out_p3, sum({_out(None)}::INTEGER)::BIGINT AS out_2020, sum(({_mat(C.to_xyz('bt2020'))[1]} > 1)::INTEGER)::BIGINT AS above_white,
+round(coalesce(min(CASE WHEN out709 THEN low END), 0.0), 6) + 0.0 AS worst, round(coalesce(arg_min(CASE WHEN top > 0 THEN low / top ELSE 0.0 END, CASE WHEN out709 THEN low END), 0.0), 6) + 0.0 AS worst_relative, round(max(apart), 6) AS disagreement FROM q GROUP BY image_id""")
 def out_of_gamut_counts(spark, d):
+    """Pixels outside each gamut; the worst negative component with how deep it is against
+    its pixel's brightest; the largest disagreement with a render that clips in P3."""
     rgb = tuple(map(F.col, "rgb"))
-    r709 = C.convert("bt2020", "bt709", *rgb)
-    y = C.apply_matrix(C.to_xyz("bt2020"), *rgb)[1]
-    return _px(spark, d).groupBy("image_id").agg(
-        F.count("*").alias("n"), F.count_if(C.out_of_gamut(*r709)).alias("out_709"), F.count_if(C.out_of_gamut(*C.convert("bt2020", "display-p3", *rgb))).alias("out_p3"),
-        F.count_if(C.out_of_gamut(*rgb)).alias("out_2020"), F.count_if(y > 1).alias("above_white"), (F.round(F.least(F.min(r709[0]), F.lit(0.0)), 6) + 0.0).alias("worst_red"),
+    names = ("r7", "g7", "b7", "rp", "gp", "bp", "light")
+    r709, p3 = C.convert("bt2020", "bt709", *rgb), C.convert("bt2020", "display-p3", *rgb)
+    px = _px(spark, d).select("*", *(c.alias(n) for n, c in zip(names, (*r709, *p3, C.apply_matrix(C.to_xyz("bt2020"), *rgb)[1]))))
+    seven, via = tuple(map(F.col, names[:3])), C.convert("display-p3", "bt709", *(F.greatest(F.col(c), F.lit(0.0)) for c in names[3:6]))
+    out, low, top = C.out_of_gamut(*seven), F.least(*seven), F.greatest(*seven)
+    relative = F.min_by(F.when(top > 0, low / F.when(top > 0, top).otherwise(1.0)).otherwise(0.0), F.when(out, low))
+    return px.groupBy("image_id").agg(
+        F.count("*").alias("n"), F.count_if(out).alias("out_709"), F.count_if(C.out_of_gamut(*map(F.col, names[3:6]))).alias("out_p3"), F.count_if(C.out_of_gamut(*rgb)).alias("out_2020"), F.count_if(F.col("light") > 1).alias("above_white"),
+        (F.round(F.coalesce(F.min(F.when(out, low)), F.lit(0.0)), 6) + 0.0).alias("worst"), (F.round(F.coalesce(relative, F.lit(0.0)), 6) + 0.0).alias("worst_relative"),
+        F.round(F.max(F.greatest(*(F.abs(a - b) for a, b in zip(seven, via)))), 6).alias("disagreement"),
     )
 
 
