@@ -27,7 +27,7 @@ from ..operators.mux import MuxRequest, mux
 from ..sources import boxes as B
 from ..sources import carriers as M
 from ..sources import images as S
-from ..sources.camera import align, make_note, tags_for
+from ..sources.camera import align, exif_with_note, graft, make_note, note_of, note_place, tags_for
 from ..sources.gainmap_tiff import write_gain_map
 from ..sources.files import parsed, resolved_items, structure, table
 from ..sources.loading import tiff_light
@@ -436,15 +436,25 @@ def align_headroom(spark, d):
     return t.mapInArrow(run, "id long, outcome string")
 
 
-@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'not-offered' WHEN n_nationkey % 4 = 1 THEN 'source-has-own' WHEN n_nationkey % 3 = 2 THEN 'byte-order-differs' WHEN n_nationkey % 5 = 3 THEN 'no-exif-ifd' WHEN n_nationkey * 100000 > 1048576 + 500 THEN 'unreachable-offset' ELSE 'carried' END AS outcome FROM nation""")
+@query("""SELECT n_nationkey::BIGINT AS id, CASE WHEN n_nationkey % 6 = 0 THEN 'not-offered' WHEN n_nationkey % 4 = 1 THEN 'source-has-own' WHEN n_nationkey % 3 = 2 THEN 'byte-order-differs' WHEN n_nationkey % 5 = 3 THEN 'no-exif-ifd' WHEN n_nationkey * 100000 > 1048576 + 500 THEN 'unreachable-offset' ELSE 'carried' END AS outcome FROM nation""")
 def maker_note_graft(spark, d):
-    """What becomes of a companion's note beside a block: a left join and one expression."""
-    k = F.col("id")
-    blocks = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 4 == 1).alias("has_own"), (F.col("n_nationkey") % 5 != 3).alias("has_exif"), F.lit(True).alias("little"), F.lit(500).alias("ends"))
-    notes = spark.range(25).where("id % 6 <> 0").select("id", (k % 3 != 2).alias("note_little"), (k * 100000).alias("offset"))
-    outcome = F.when(F.col("offset").isNull(), "not-offered").when(F.col("has_own"), "source-has-own").when(F.col("little") != F.col("note_little"), "byte-order-differs")
-    outcome = outcome.when(~F.col("has_exif"), "no-exif-ifd").when(F.col("offset") > F.col("ends") + (1 << 20), "unreachable-offset").otherwise("carried")
-    return blocks.join(notes, "id", "left").select("id", outcome.alias("outcome"))
+    """Blocks and companions made by id, and what becomes of the companion's note."""
+    ids = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for i in b["id"].to_pylist():
+                note = make_note({33: (1, 1)})
+                own = exif_with_note(note, "<") if i % 4 == 1 else S.write_tags([(274, 3, b"\1\0")], [] if i % 5 == 3 else [(37386, 5, bytes(8))])
+                companion = None if i % 6 == 0 else exif_with_note(note, ">" if i % 3 == 2 else "<", i * 100_000)
+                out, outcome = graft(own, companion)
+                if outcome == "carried" and (note_of(out) != note or note_place(out)[0] != i * 100_000) or outcome != "carried" and out != own:
+                    outcome = "wrong"
+                rows.append((i, outcome))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [[]] * 2, (pa.int64(), pa.string()))], ["id", "outcome"])
+
+    return ids.mapInArrow(run, "id long, outcome string")
 
 
 @query("""SELECT to_json({'id': s_suppkey, 'name': s_name, 'ok': s_suppkey % 3 = 0})::VARCHAR AS report FROM supplier""")

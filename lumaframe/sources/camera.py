@@ -6,7 +6,7 @@ import math
 import struct
 
 from ..functions.headroom import BRANCHES, MEETING, MOST_EXPRESSIBLE, MOST_STOPS
-from .images import byte_order, tiff_entries
+from .images import EXIF_IFD, byte_order, tiff_entries
 
 #: What the note starts with, where its directory is, its two tags, the
 #: Exif tag that holds a note, and how closely copies of a headroom must agree.
@@ -33,6 +33,59 @@ def note_state(data: bytes, whole: bool) -> str:
     return "beyond" if cut and not whole else "absent"
 
 
+#: Bytes of padding that keeping a note in its place may cost.
+MOST_PADDING = 1 << 20
+
+
+def _directory(d: bytes, order: str, at: int) -> list[tuple[int, int, int, bytes]]:
+    """(tag, type, count, cell) of the directory at a place."""
+    count = struct.unpack_from(order + "H", d, at)[0]
+    return [struct.unpack_from(order + "HHI4s", d, at + 2 + 12 * i) for i in range(min(count, (len(d) - at - 2) // 12))]
+
+
+def _exif_place(d: bytes, order: str) -> int | None:
+    first = struct.unpack_from(order + "I", d, 4)[0]
+    return next((struct.unpack(order + "I", cell)[0] for tag, _, _, cell in _directory(d, order, first) if tag == EXIF_IFD), None)
+
+
+def note_place(d: bytes) -> tuple[int, int] | None:
+    """Where a block's maker's note is, and its length."""
+    order = byte_order(d)
+    at = _exif_place(d, order)
+    return None if at is None else next(((struct.unpack(order + "I", cell)[0], n) for tag, _, n, cell in _directory(d, order, at) if tag == NOTE_TAG and n > 4), None)
+
+
+def graft(block: bytes, companion: bytes | None) -> tuple[bytes, str]:
+    """The block with its companion's maker's note, and what became of it: not-offered,
+    source-has-own, byte-order-differs, no-exif-ifd, unreachable-offset or carried.
+
+    Offsets within a note may count from the block's start, so a note keeps its place: the
+    block is padded up to it, and the Exif directory, with one entry more, follows.
+    """
+    place = None if companion is None else note_place(companion)
+    if place is None or place[0] + place[1] > len(companion):
+        return block, "not-offered"
+    if note_place(block) is not None:
+        return block, "source-has-own"
+    order = byte_order(block)
+    if order != byte_order(companion):
+        return block, "byte-order-differs"
+    at = _exif_place(block, order)
+    if at is None:
+        return block, "no-exif-ifd"
+    start, size = place
+    if not len(block) <= start <= len(block) + MOST_PADDING:
+        return block, "unreachable-offset"
+    rows = sorted([*_directory(block, order, at), (NOTE_TAG, 7, size, struct.pack(order + "I", start))])
+    out = block.ljust(start, b"\0") + companion[start : start + size]
+    out += b"\0" * (len(out) % 2)
+    first = struct.unpack_from(order + "I", block, 4)[0]
+    pointer = next(i for i, r in enumerate(_directory(block, order, first)) if r[0] == EXIF_IFD)
+    where = first + 2 + 12 * pointer + 8
+    out = out[:where] + struct.pack(order + "I", len(out)) + out[where + 4 :]
+    return out + struct.pack(order + "H", len(rows)) + b"".join(struct.pack(order + "HHI4s", *r) for r in rows) + b"\0\0\0\0", "carried"
+
+
 def _rationals(note: bytes) -> tuple[str, int, dict[int, tuple[int, int]]] | None:
     """Byte order, entry count, and for each single rational its (entry, value) places."""
     if not note.startswith(SIGNATURE) or len(note) < DIRECTORY + 2:
@@ -122,8 +175,10 @@ def make_note(rationals: dict[int, tuple[int, int]]) -> bytes:
     return SIGNATURE + b"\0\1MM" + struct.pack(">H", len(rationals)) + body + b"\0\0\0\0" + values
 
 
-def exif_with_note(note: bytes) -> bytes:
-    """A TIFF block whose Exif directory holds the note."""
-    first = struct.pack(">H", 1) + struct.pack(">HHII", 34665, 4, 1, 8 + 18) + b"\0\0\0\0"
-    exif = struct.pack(">H", 1) + struct.pack(">HHII", NOTE_TAG, 7, len(note), 8 + 18 + 18) + b"\0\0\0\0"
-    return b"MM\0*" + struct.pack(">I", 8) + first + exif + note
+def exif_with_note(note: bytes, order: str = ">", place: int = 44) -> bytes:
+    """A TIFF block whose Exif directory holds the note, which is at ``place``."""
+    def one(tag: int, typ: int, n: int, value: int) -> bytes:
+        return struct.pack(order + "H", 1) + struct.pack(order + "HHII", tag, typ, n, value) + b"\0\0\0\0"
+
+    head = (b"II*\0" if order == "<" else b"MM\0*") + struct.pack(order + "I", 8)
+    return (head + one(EXIF_IFD, 4, 1, 26) + one(NOTE_TAG, 7, len(note), place)).ljust(place, b"\0") + note

@@ -41,6 +41,18 @@ def test_notes_reach_the_rules():
     assert f[20:22] == (1.0, -0.008)
 
 
+def test_a_companions_note_keeps_its_place():
+    note = N.make_note({33: (1, 1), 48: (9, 1000)})
+    own = S.write_tags([(274, 3, b"\6\0")], [(37386, 5, bytes(8))])
+    out, outcome = N.graft(own, N.exif_with_note(note, "<", 500))
+    kept = {(i, t): v for i, t, _, _, v in S.tiff_entries(out)}
+    assert outcome == "carried" and kept["exif", N.NOTE_TAG] == note and out[500 : 500 + len(note)] == note
+    assert kept["ifd0", 274] == b"\6\0" and kept["exif", 37386] == bytes(8)
+    assert N.graft(own, None)[1] == N.graft(own, own)[1] == "not-offered" and N.graft(out, N.exif_with_note(note, "<", 500))[1] == "source-has-own"
+    assert N.graft(own, N.exif_with_note(note, "<", 50))[1] == N.graft(own, N.exif_with_note(note, "<", 3 << 20))[1] == "unreachable-offset"
+    assert N.graft(own, N.exif_with_note(note, ">", 500))[1] == "byte-order-differs"
+
+
 def test_gain_map_tiff():
     base, gain = list(range(0, 48 * 1000, 1000)), list(range(48))
     d = G.write_gain_map(4, 4, base, gain, META)
