@@ -62,7 +62,7 @@ END_HASH = 0x2545F4914F6CDD1D
 #: hashed one by one.
 BLOCK, LONG_WORD = 1 << 16, 1024
 #: Text of a chunk; chunks for each task that scores them.
-CHUNK_BYTES, CHUNKS_PER_TASK = 12 << 20, 2
+CHUNK_BYTES, CHUNKS_PER_TASK = 5 << 20, 4
 #: Text whose n-grams share a bucket or a counting task; bits of a bucket's number.
 BUCKET_BYTES, TASK_BYTES = 16 << 20, 24 << 20
 LEAST_BITS, MOST_BITS = 11, 20
