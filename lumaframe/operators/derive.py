@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.color import is_finite, luma, positive, srgb8_to_linear, tone_map
 from ..functions.gain import OFFSET, log2_gain
+from .written import materialize
 
 
 #: Images up to which their numbers are broadcast to the pixels.
@@ -19,13 +20,14 @@ MOST_BROADCAST = 1_000_000
 def attach(rows: DataFrame, per_image: DataFrame, key: str = "image_id") -> DataFrame:
     """Add an image's numbers to its rows.
 
-    As many images as ``MOST_BROADCAST`` go to the rows where those are, so that an image
-    larger than all others stays spread over tasks. How many there are is bounded by a
-    count of ids that stops there. Beyond that both sides are sorted, and adaptive
-    execution splits images that are too large.
+    They are written first, so that the pass over the pixels that gives them is made once,
+    and counted there: as many images as ``MOST_BROADCAST`` go to the rows where those
+    are, so that an image larger than all others stays spread over tasks. Beyond that both
+    sides are sorted, and adaptive execution splits images that are too large.
     """
-    small = per_image.select(key).limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return rows.join(F.broadcast(per_image) if small else per_image.hint("merge"), key)
+    known = materialize(per_image, "per_image")
+    small = known.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(known) if small else known.hint("merge"), key)
 
 
 def with_white(px: DataFrame) -> DataFrame:

@@ -65,8 +65,7 @@ def scene(spark: SparkSession, width: int, height: int, peak: float, image_id: i
                 if y0 == 0:
                     for c in planes:
                         c[0, 0] = peak
-                ends = pa.array([0, rows * width], pa.int32())
-                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in ((image_id, pa.int64()), (y0, pa.int32()), (rows, pa.int32()), (width, pa.int32()))), *(pa.ListArray.from_arrays(ends, pa.array(c.reshape(-1))) for c in planes)], ["image_id", "y0", "height", "width", *"rgb"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in ((image_id, pa.int64()), (y0, pa.int32()), (rows, pa.int32()), (width, pa.int32()))), *(pa.array([c.astype("<f8").tobytes()], pa.binary()) for c in planes)], ["image_id", "y0", "height", "width", *"rgb"])
 
     return spark.range(-(-height // BAND)).mapInArrow(run, SCHEMA)
 

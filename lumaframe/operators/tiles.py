@@ -5,8 +5,9 @@ tiles as flat arrays, and what leaves it are arrays again, or one row for each t
 extremes, sums, counts by bucket. Those combine on the map side, so that an image of any
 size is spread over as many tasks as it has bands, and no row holds more than a band.
 
-Frames of tiles: image_id, y0 (first row of the band), height, width, r, g, b (array of
-doubles, row by row). Bands are ``BAND`` rows, the last of an image may be lower;
+Frames of tiles: image_id, y0 (first row of the band), height, width, r, g, b (doubles, row
+by row: as little-endian bytes, which are never taken apart between the JVM and here, or
+as arrays). Bands are ``BAND`` rows, the last of an image may be lower;
 ``BAND`` is a multiple of the subsampling steps, so that blocks lie within a band.
 """
 
@@ -26,7 +27,7 @@ from .derive import attach
 BAND = 48
 PLACE = ("image_id", "y0", "height", "width")
 _PLACE = "image_id long, y0 int, height int, width int"
-SCHEMA = f"{_PLACE}, r array<double>, g array<double>, b array<double>"
+SCHEMA = f"{_PLACE}, r binary, g binary, b binary"
 #: A plane's tile: gh rows of gw codes from row gy0 on.
 PLANE = "image_id long, y0 int, gy0 int, gh int, gw int, codes binary"
 #: Buckets to an octave of errors and of light, by which ranks are looked for.
@@ -43,12 +44,16 @@ class Lot:
         self.size, self.first = size, np.cumsum(size) - size
         self.total = int(size.sum())
 
-    def flat(self, name: str) -> np.ndarray:
+    def channel(self, name: str) -> np.ndarray:
         column = self.b[name]
-        return np.frombuffer(b"".join(column.to_pylist()), np.uint8) if pa.types.is_binary(column.type) else column.flatten().to_numpy(zero_copy_only=False)
+        if not pa.types.is_binary(column.type):
+            return column.flatten().to_numpy(zero_copy_only=False)
+        _, ends, data = column.buffers()
+        ends = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].view("<f8") if data else np.zeros(0)
 
     def rgb(self) -> tuple[np.ndarray, ...]:
-        return tuple(self.flat(c) for c in "rgb")
+        return tuple(self.channel(c) for c in "rgb")
 
     def spread(self, values: np.ndarray) -> np.ndarray:
         """A number of each tile, for each of its pixels."""
@@ -69,13 +74,6 @@ class Lot:
     def most(self, x: np.ndarray) -> np.ndarray:
         return np.maximum.reduceat(x, self.first) if self.total else np.zeros(0)
 
-    def arrays(self, x: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.append(self.first, self.total).astype(np.int32)), pa.array(x))
-
-    def binaries(self, x: np.ndarray) -> pa.Array:
-        data, ends = x.tobytes(), np.append(self.first, self.total) * x.itemsize
-        return pa.array([data[a:z] for a, z in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary())
-
 
 def each(df: DataFrame, f: Callable[[Lot], dict[str, object]], schema: str) -> DataFrame:
     """``f`` over the tiles of every batch; it gives the columns of ``schema``."""

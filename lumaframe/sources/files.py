@@ -134,7 +134,7 @@ TABLES: dict[str, tuple[Callable[[bytes], Iterable[tuple]], str]] = {
     "jpeg_segments": (images.jpeg_segments, "ord int, marker int, body binary"),
     "gain_map_pixels": (gainmap_tiff.gain_map, "y int, x int, br int, bg int, bb int, gr int, gg int, gb int"),
     "gain_maps": (gainmap_tiff.gain_map_meta, "width int, height int, meta string"),
-    "tiff_tiles": (images.tiff_tiles, "y0 int, height int, width int, r array<double>, g array<double>, b array<double>"),
+    "tiff_tiles": (images.tiff_tiles, "y0 int, height int, width int, r binary, g binary, b binary"),
     "sidecar": (carriers.sidecar, "kind string, label string, data binary"),
     "coded_images": (lambda d: [carriers.coded_image(d)], "width long, height long, chroma int, depth int, config binary, data binary"),
     "icc_tags": (images.icc_tags, "signature string, payload binary"),

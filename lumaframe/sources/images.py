@@ -99,12 +99,12 @@ def tiff_pixels(d: bytes) -> Iterator[tuple[np.ndarray, ...]]:
     yield (*places(*image.shape[:2]), *image.reshape(-1, 3).T)
 
 
-def tiff_tiles(d: bytes) -> Iterator[tuple[int, int, int, list, list, list]]:
+def tiff_tiles(d: bytes) -> Iterator[tuple[int, int, int, bytes, bytes, bytes]]:
     """(y0, height, width, r, g, b) of the bands of ``tiff_image``."""
     image = tiff_image(d)
     for y0 in range(0, len(image), BAND):
         band = image[y0 : y0 + BAND]
-        yield y0, len(band), band.shape[1], *(np.ascontiguousarray(c) for c in band.reshape(-1, 3).T)
+        yield y0, len(band), band.shape[1], *(c.astype("<f8").tobytes() for c in band.reshape(-1, 3).T)
 
 
 def write_tiff(width: int, height: int, values: list[float] | np.ndarray, bits: int = 32) -> bytes:

@@ -59,7 +59,7 @@ def _tiff(d: bytes) -> np.ndarray:
 def _light_bands(samples: np.ndarray, reference_white: float) -> Iterator[tuple]:
     for y0 in range(0, len(samples), BAND):
         band = linear_of(samples[y0 : y0 + BAND], reference_white)
-        yield y0, len(band), band.shape[1], *(np.ascontiguousarray(c) for c in band.reshape(-1, 3).T)
+        yield y0, len(band), band.shape[1], *(c.astype("<f8").tobytes() for c in band.reshape(-1, 3).T)
 
 
 def _code_bands(samples: np.ndarray) -> Iterator[tuple]:

@@ -82,7 +82,7 @@ def test_bands_change_nothing(spark, monkeypatch, band, subsample):
     tiles = scene(spark, 50, 70, 6.0)
     rows = sorted(tiles.collect(), key=lambda r: r["y0"])
     assert len(rows) == -(-70 // band)
-    r, g, b = (np.concatenate([np.array(x[c]) for x in rows]) for c in "rgb")
+    r, g, b = (np.concatenate([np.frombuffer(x[c]) for x in rows]) for c in "rgb")
     white = np.full(len(r), max(1.0, N.luma(r, g, b).max()))
     base = N.tone_map(r, g, b, white)
     gain = N.log2_gain(N.luma(r, g, b), N.luma(*(N.LINEAR[c] for c in base)))

@@ -44,7 +44,7 @@ def test_every_format_as_light_and_codes(spark, tmp_path):
             if r["error"]:
                 out[name] = r["error"].split(":")[0]
             else:
-                part = np.frombuffer(r["base"], np.uint8).reshape(r["height"], r["width"], 3) if columns == "base" else np.stack([np.array(r[c]) for c in "rgb"], axis=1).reshape(r["height"], r["width"], 3)
+                part = np.frombuffer(r["base"], np.uint8).reshape(r["height"], r["width"], 3) if columns == "base" else np.stack([np.frombuffer(r[c]) for c in "rgb"], axis=1).reshape(r["height"], r["width"], 3)
                 out[name] = np.concatenate([out[name], part]) if name in out else part
         return out
 
