@@ -98,7 +98,7 @@ class Vocabulary:
 
     def edges(self, word: str) -> list[tuple[list[int], list[int], list[float]]]:
         """Forward filtering: for each place from 1 on the (length, piece, probability
-        summed up) of the pieces that end there, the most likely first."""
+        summed up) of the pieces that end there, the longest first."""
         weight, longest = self.weight, self.longest
         before, out = [1.0], []
         for end in range(1, len(word) + 1):
@@ -110,7 +110,7 @@ class Vocabulary:
             c = word[end - 1]
             if c not in weight or c == SPACE_MARK:
                 found.append((before[end - 1] * self.escape, 1, _ESCAPE + ord(c)))
-            found.sort(key=lambda x: (-x[0], x[1]))
+            found.sort(key=lambda x: -x[1])
             total = sum(x[0] for x in found)
             sums = list(itertools.accumulate(x[0] / total for x in found))
             out.append(([x[1] for x in found], [x[2] for x in found], sums))
@@ -215,16 +215,20 @@ class Sampler:
             share[e] = before[state[e]] * weight[e]
             np.add.at(before, end[e], share[e])
         share /= before[end]
-        # by state, the most likely first, the shorter of equally likely ones
-        order = np.lexsort((size, -share, end))
+        # by state, the longest first: the last found, as one sort of both numbers in one
+        room = max(1, len(end).bit_length())
+        order = len(end) - 1 - (np.sort(end << room | np.arange(len(end))[::-1]) & ((1 << room) - 1))
         end, size, ids, share = (x[order] for x in (end, size, ids, share))
         group = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
         last = np.append(group[1:], len(end)) - 1
         # summed within each state alone, so that company changes no digit
-        summed, within = share.copy(), np.arange(len(end)) - np.repeat(group, last - group + 1)
-        for k in range(1, int(within.max(initial=0)) + 1):
-            at = np.flatnonzero(within == k)
+        summed, k = share.copy(), 0
+        more = np.flatnonzero(last > group)
+        while len(more):
+            k += 1
+            at = group[more] + k
             summed[at] += summed[at - 1]
+            more = more[last[more] > at]
         summed[last] = 1.0
         base = self.states + first + np.arange(len(words))
         edge = np.zeros(len(before), dtype=np.int32)
