@@ -43,8 +43,18 @@ def parse_size(text: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    """Decimal units, halves to even."""
-    return F.when(n >= 1_000_000, F.format_string("%.1f MB", F.bround(n / 1e6, 1))).when(n >= 1_000, F.format_string("%.0f KB", F.bround(n / 1e3, 0))).otherwise(F.format_string("%d B", n))
+    """Decimal units, halves to even. Of megabytes it is the double that is rounded, not its
+    shortest decimals: 1.15 lies below the half, 1.05 above it, 1.25 on it."""
+    mega = n / 1e6
+    whole = F.floor(mega)
+    # the fraction of a double from 1 on is a multiple of 2**-52, so this is exact
+    left = F.floor((mega - whole) * 2.0**52) * 10
+    tenths = whole * 10 + F.shiftright(left, 52)
+    over = left.bitwiseAND(2**52 - 1)
+    up = (over > 2**51) | ((over == 2**51) & (tenths % 2 == 1))
+    tenths = tenths + up.cast("long")
+    text = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit(" MB"))
+    return F.when(n >= 1_000_000, text).when(n >= 1_000, F.format_string("%.0f KB", F.bround(n / 1e3, 0))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
 
 
 def exit_code(status: Column) -> Column:

@@ -154,6 +154,15 @@ def test_sizes(spark):
         assert one(spark, T.parse_size(F.lit(text))) == want
 
 
+def test_bytes_are_rounded_as_printed(spark):
+    """Python prints the exact value of a double too. All halves up to 3 GB, then large ones."""
+    values = [*range(1_050_000, 3_000_000_000, 100_000), *range(500, 1_000_000, 500), *(10**k + d for k in range(19) for d in (-1, 0, 50_000, 250_000, 750_000)), 2**63 - 1]
+    rows = spark.createDataFrame([(n,) for n in values], "n long").select("n", T.human_bytes(F.col("n")).alias("s")).collect()
+    want = lambda n: f"{n / 1e6:.1f} MB" if n >= 1_000_000 else f"{n / 1e3:.0f} KB" if n >= 1_000 else f"{n} B"
+    assert [tuple(r) for r in rows if r["s"] != want(r["n"])] == []
+    assert one(spark, T.human_bytes(F.lit(None).cast("long"))) is None
+
+
 def test_peak_ignores_a_hot_pixel(spark):
     ramp = spark.range(64 * 64).select(F.lit(1).alias("image_id"), *(F.when(F.col("id") == 77, 4000.0).otherwise((F.col("id") % 64 + 0.5) / 64 * 4).alias(c) for c in "rgb"))
     assert M.peak_luma(ramp, 0.001).first()["peak"] < 8
