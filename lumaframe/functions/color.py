@@ -104,6 +104,13 @@ def luma(r: Column, g: Column, b: Column) -> Column:
     return LUMA[0] * r + LUMA[1] * g + LUMA[2] * b
 
 
+def luma_code(r: Column, g: Column, b: Column) -> Column:
+    """Nearest code to the luma of 8-bit codes, halves up. The weights are whole
+    ten-thousandths: their sum as doubles can fall short of a half that is met exactly."""
+    wr, wg, wb = (round(w * 10_000) for w in LUMA)
+    return F.floor((wr * r + wg * g + wb * b + 5_000) / 10_000)
+
+
 def positive(c: Column) -> Column:
     """At least 0; NaN is 0."""
     return F.when(F.isnan(c) | (c < 0), F.lit(0.0)).otherwise(c)

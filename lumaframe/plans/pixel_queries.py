@@ -348,8 +348,7 @@ _BY = "(0.2126 * br + 0.7152 * bg + 0.0722 * bb)"
 SELECT image_id, {", ".join(f"(CASE WHEN max(floor(total * {q})) = 0 THEN 0 ELSE coalesce(min(CASE WHEN seen >= floor(total * {q}) THEN bucket END), 255) END)::INTEGER AS {n}" for n, q in (("p5", 0.05), ("p50", 0.5), ("p95", 0.95)))} FROM c GROUP BY image_id""")
 def luma_histogram_percentiles(spark, d):
     px = D.with_base(D.with_white(_px(spark, d)), F.col("white"))
-    y = C.luma(F.col("br"), F.col("bg"), F.col("bb"))
-    counts = px.select("image_id", F.least(F.floor(y + 0.5), F.lit(255)).cast("int").alias("bucket")).groupBy("image_id", "bucket").agg(F.count("*").alias("n"))
+    counts = px.select("image_id", F.least(C.luma_code(*map(F.col, ("br", "bg", "bb"))), F.lit(255)).cast("int").alias("bucket")).groupBy("image_id", "bucket").agg(F.count("*").alias("n"))
     return M.first_bucket_at(counts, {"p5": 0.05, "p50": 0.5, "p95": 0.95}, ["image_id"], 255)
 
 

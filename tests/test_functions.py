@@ -44,6 +44,39 @@ def test_every_code_survives(spark):
     assert all(r["id"] == r["back"] for r in rows)
 
 
+def luma_halves():
+    """r, g, b, code: all 8-bit colours whose luma is exactly a half, which goes up."""
+    r, g, b = (c.ravel() for c in np.meshgrid(*[np.arange(256)] * 3, indexing="ij"))
+    parts = 2126 * r + 7152 * g + 722 * b
+    at = parts % 10_000 == 5_000
+    return np.stack([r[at], g[at], b[at], (parts[at] + 5_000) // 10_000], axis=1)
+
+
+def test_luma_codes_at_halves(spark):
+    df = spark.createDataFrame(luma_halves().tolist(), "br int, bg int, bb int, want int")
+    assert df.where(C.luma_code(*map(F.col, ("br", "bg", "bb"))) != F.col("want")).count() == 0
+
+
+def test_luma_percentiles_at_halves(spark, tmp_path):
+    """Images of one colour, whose luma is a half that the sum of doubles misses."""
+    import duckdb
+
+    from lumaframe.plans import pixel_queries as Q
+
+    halves = luma_halves()
+    missed = halves[np.floor(N.luma(*halves[:, :3].T) + 0.5) != halves[:, 3]][:20]
+    assert len(missed) == 20
+    light = N.srgb_to_linear(missed[:, :3] / 255.0) / 8
+    rows = [(3 * i + c, [float(light[i, c])] * 64) for i in range(20) for c in range(3)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = Q.QUERIES["luma_histogram_percentiles"](spark, str(tmp_path)).select("image_id", "p5", "p50", "p95").collect()
+    want = [(i, code, code, code) for i, code in enumerate(missed[:, 3].tolist())]
+    assert sorted(map(tuple, got)) == want
+    assert sorted(con.execute(f"SELECT image_id, p5, p50, p95 FROM ({Q.SQL['luma_histogram_percentiles']})").fetchall()) == want
+
+
 def test_nan_and_infinity(spark):
     assert one(spark, C.linear_to_srgb8(F.lit(NAN))) == 0
     assert one(spark, C.linear_to_srgb8(F.lit(INF))) == 255
